@@ -43,7 +43,7 @@ def _scramble(x: np.ndarray, key: np.uint64, mask: np.uint64) -> np.ndarray:
 def permuted(index: np.ndarray, n: int, keys: list[np.uint64], back: bool = False) -> np.ndarray:
     """A permutation of 0 .. n - 1 applied to index (or undone): a Feistel network on the least even
     number of bits that holds n, applied again to what falls outside."""
-    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    half = max(1, (int(n - 1).bit_length() + 1) // 2)
     shift, mask = np.uint64(half), np.uint64((1 << half) - 1)
 
     def once(x: np.ndarray) -> np.ndarray:
