@@ -42,6 +42,11 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of a fixed odd base and of its inverse, for hashes of variable runs by prefix sums."""
+    return _power(_BASE, n), _power(_BASE_INVERSE, n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the public splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -73,12 +78,13 @@ class Words:
     text i. A null text has no words.
     """
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
+    def __init__(self, texts: list[str | None], lower: bool = False, gap: np.ndarray = _SPACE):
+        """gap: for each byte whether it stands between words; the line feed must."""
         parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         buf = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
         self.buf = _LOWER[buf] if lower else buf
         self.text_at = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)))
-        space = _SPACE[self.buf]
+        space = gap[self.buf]
         before = np.concatenate(([True], space[:-1]))
         self.start = np.flatnonzero(~space & before)
         self.end = np.flatnonzero(space & ~before)

@@ -179,7 +179,7 @@ def mix(
     pieces = placed.select("code", "source", "doc_id", "size", "at", block.alias("block"))
     low = F.greatest(F.col("at") - F.col("block") * block_words, F.lit(0))
     high = F.least(F.col("at") + F.col("size") - F.col("block") * block_words, F.lit(block_words))
-    words = F.greatest(F.lit(0), F.least(high, F.col("take")) - low)
+    words = F.greatest(F.lit(0), F.least(high, F.coalesce("take", F.lit(0))) - low)
     taken = (
         pieces.join(drawn, ["code", "block"], "left")
         .groupBy("code", "source", "at", "doc_id", "size")
