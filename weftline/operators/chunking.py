@@ -1,0 +1,163 @@
+"""Markdown pages cut into chunks: at markers, stubs merged, long pieces split with overlap."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weftline.functions.text import chunk_id, strip
+from weftline.functions.urls import citation
+
+MARKER = r"<!--\s*(section|api):\s*([^\s>]+)\s*-->"
+OVERLAP_SIGN = "<!-- overlap -->\n\n"
+SEGMENTS = "array<struct<anchor:string,text:string,kind:string>>"
+
+
+def segments(markdown: Column) -> Column:
+    """Array of (anchor, text, kind): what follows each marker; text before the first one is dropped."""
+    texts = F.slice(F.split(markdown, MARKER, -1), 2, 1_000_000_000)
+    kinds = F.regexp_extract_all(markdown, F.lit(MARKER), F.lit(1))
+    anchors = F.regexp_extract_all(markdown, F.lit(MARKER), F.lit(2))
+    made = F.transform(texts, lambda t, i: F.struct(F.concat(F.lit("#"), anchors[i]).alias("anchor"), strip(t).alias("text"), kinds[i].alias("kind")))
+    return F.when(F.size(kinds) > 0, made).otherwise(F.array().cast(SEGMENTS))
+
+
+def merged(parts: Column, min_chars: int = 120) -> Column:
+    """Segments shorter than min_chars joined to the next one, which keeps its anchor; a short rest at
+    the end goes to the one before. Empty segments vanish; if all are short, the first anchor has all."""
+    start = F.struct(F.array().cast(SEGMENTS).alias("done"), F.lit("").alias("carry"), F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("string").alias("kind"))
+
+    def step(s: Column, x: Column) -> Column:
+        text = F.when(s["carry"] == "", x["text"]).when(x["text"] == "", s["carry"]).otherwise(F.concat(s["carry"], F.lit("\n\n"), x["text"]))
+        short = F.length(text) < min_chars
+        whole = F.concat(s["done"], F.array(F.struct(x["anchor"].alias("anchor"), text.alias("text"), x["kind"].alias("kind"))))
+        return F.struct(
+            F.when(short, s["done"]).otherwise(whole).alias("done"),
+            F.when(short, text).otherwise(F.lit("")).alias("carry"),
+            F.when(short & (F.length(text) > 0), F.coalesce(s["anchor"], x["anchor"])).alias("anchor"),
+            F.when(short & (F.length(text) > 0), F.coalesce(s["kind"], x["kind"])).alias("kind"),
+        )
+
+    def finish(s: Column) -> Column:
+        last = F.element_at(s["done"], -1)
+        joined = F.struct(last["anchor"].alias("anchor"), F.concat(last["text"], F.lit("\n\n"), s["carry"]).alias("text"), last["kind"].alias("kind"))
+        alone = F.struct(s["anchor"].alias("anchor"), s["carry"].alias("text"), s["kind"].alias("kind"))
+        return (
+            F.when(s["carry"] == "", s["done"])
+            .when(F.size(s["done"]) == 0, F.array(alone))
+            .otherwise(F.concat(F.slice(s["done"], F.lit(1), F.size(s["done"]) - 1), F.array(joined)))
+        )
+
+    return F.aggregate(parts, start, step, finish)
+
+
+def paragraphs(text: str) -> list[str]:
+    """Blocks between blank lines; what a fence opens stays one block until a block starts with a fence."""
+    out: list[str] = []
+    open_block: list[str] | None = None
+    for block in re.split(r"\n{2,}", text):
+        fence = block.startswith("```")
+        if open_block is not None:
+            open_block.append(block)
+            if fence:
+                out.append("\n\n".join(open_block))
+                open_block = None
+        elif fence:
+            open_block = [block]
+        elif block.strip():
+            out.append(block)
+    if open_block:
+        out.append("\n\n".join(open_block))
+    return out
+
+
+def pieces(text: str, max_chars: int = 1500, overlap: int = 200) -> list[str]:
+    """Paragraphs packed into pieces of at most max_chars; a longer paragraph is a piece of its own.
+    Each piece but the first starts with a sign and as many whole paragraphs of the one before as fit
+    into overlap characters."""
+    if len(text) <= max_chars:
+        return [text]
+    out: list[str] = []
+    held: list[str] = []
+    carried = 0
+
+    def flush() -> None:
+        out.append((OVERLAP_SIGN if out else "") + "\n\n".join(held))
+
+    for paragraph in paragraphs(text):
+        size = sum(map(len, held[carried:])) + 2 * max(0, len(held) - carried)
+        if len(held) > carried and size + len(paragraph) > max_chars:
+            flush()
+            budget, tail = overlap, []
+            for old in reversed(held):
+                if len(old) > budget:
+                    break
+                tail.insert(0, old)
+                budget -= len(old) + 2
+            held, carried = tail, len(tail)
+        held.append(paragraph)
+    if len(held) > carried:
+        flush()
+    return out
+
+
+def split_pieces(max_chars: int = 1500, overlap: int = 200):
+    """pieces() as a column function; limits are checked when the plan is built."""
+    if max_chars <= 0 or not 0 <= overlap < max_chars:
+        raise ValueError("max_chars must be positive and overlap between 0 and max_chars")
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: None if t is None else pieces(t, max_chars, overlap))
+
+    return split
+
+
+def chunks(pages: DataFrame, max_chars: int = 1500, min_chars: int = 120, overlap: int = 200) -> DataFrame:
+    """Chunks of pages (url, title, section, markdown, markers): the columns of schemas.CHUNKS.
+
+    A page without markers is one chunk at #top. A marker's section entry (by anchor, the last one
+    counts) gives kind, symbol, parameters and source. Pages whose segments are all empty have none.
+    """
+    if min_chars < 0:
+        raise ValueError("min_chars must not be negative")
+    split = split_pieces(max_chars, overlap)
+    marked = pages.withColumn("__parts", segments(F.col("markdown")))
+    whole = F.array(F.struct(F.lit("#top").alias("anchor"), strip(F.col("markdown")).alias("text"), F.lit("page").alias("kind")))
+    plain = F.size("__parts") == 0
+    marked = marked.withColumn("__plain", plain).withColumn("__parts", F.when(plain, whole).otherwise(merged(F.col("__parts"), min_chars)))
+    each = marked.select("*", F.explode("__parts").alias("__part")).withColumn("__pieces", F.when(F.col("__plain"), F.array("__part.text")).otherwise(split(F.col("__part.text"))))
+    each = each.select("*", F.posexplode("__pieces").alias("sub_index", "text"))
+    section = F.element_at(F.filter(F.coalesce("markers.sections", F.array().cast(SECTIONS)), lambda s: s["anchor"] == F.col("__part.anchor")), -1)
+    each = each.withColumn("__section", F.when(F.size(F.filter(F.coalesce("markers.sections", F.array().cast(SECTIONS)), lambda s: s["anchor"] == F.col("__part.anchor"))) > 0, section))
+    from weftline.functions.text import chunk_keywords
+
+    anchor = F.col("__part.anchor")
+    symbol = F.coalesce(F.col("__section.symbol"), F.lit(""))
+    kind = F.coalesce(F.nullif(F.col("__section.kind"), F.lit("")), F.when(F.col("__part.kind") == "api", "object").when(F.col("__part.kind") == "section", "heading").otherwise("page"))
+    return each.select(
+        F.when(F.col("__plain"), F.concat(F.lit("top__0__"), F.substring(F.md5("url"), 1, 6))).otherwise(chunk_id(anchor, F.col("sub_index"), F.col("url"))).alias("chunk_id"),
+        "text",
+        F.col("url").alias("page_url"),
+        F.when(F.col("__plain"), F.col("url")).otherwise(citation(F.col("url"), anchor)).alias("citation_url"),
+        anchor.alias("anchor"),
+        F.col("title").alias("page_title"),
+        "section",
+        kind.alias("kind"),
+        symbol.alias("symbol"),
+        chunk_keywords(F.coalesce("markers.keywords", F.array().cast("array<string>")), symbol, F.col("__section.params")).alias("keywords"),
+        F.coalesce("__section.params", F.array().cast("array<string>")).alias("params"),
+        F.coalesce("__section.source_url", F.lit("")).alias("source_url"),
+        F.length("text").alias("char_count"),
+        (F.col("sub_index") > 0).alias("is_continuation"),
+        "sub_index",
+    )
+
+
+SECTIONS = "array<struct<anchor:string,label:string,level:int,kind:string,symbol:string,params:array<string>,source_url:string>>"

@@ -1,4 +1,381 @@
-"""The named queries over the driver's tables, and their SQL."""
+"""The named queries over the driver's tables, and DuckDB SQL with the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftline.functions import citations, text, urls, vectors
+from weftline.functions.sparse import sparse_vector
+from weftline.operators import chunking, increments, search, stats
+from weftline.plans import ingest
+from weftline.sources import pages as page_source
+from weftline.streaming import limits
 
 QUERIES = {}
 ORACLE_SQL = {}
+
+TOP_K = 6
+PREFETCH = 3
+
+
+def query(sql: str | None = None):
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(t: Column) -> Column:
+    """A text's lines, as segments; the fixtures have no blank lines."""
+    return F.split(t, "\n")
+
+
+# Pieces of SQL that several queries share.
+_TOKENS = r"""list_filter(list_transform(regexp_split_to_array(lower({0}), '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{2028}}\x{{2029}}\x{{3000}}]+'),
+  lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}\p{{M}}_]+|[^\p{{L}}\p{{N}}\p{{M}}_.]+$', '', 'g')), lambda w: w <> '')"""
+_FNV = """list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, octet_length(encode({0}))::BIGINT + 1),
+  lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"""
+_SPARSE = f"""
+qt AS (SELECT item_id AS query_id, unnest({_TOKENS.format('text')}) AS w FROM benchmark),
+dt AS (SELECT doc_id AS key, unnest({_TOKENS.format('text')}) AS w FROM documents),
+vocab AS (SELECT w, ({_FNV.format('w')}) % 131072 AS bucket FROM (SELECT w FROM qt UNION SELECT w FROM dt)),
+q AS (SELECT query_id, bucket, count(*)::DOUBLE AS tf FROM qt JOIN vocab USING (w) GROUP BY ALL),
+d AS (SELECT key, bucket, count(*)::DOUBLE AS tf FROM dt JOIN vocab USING (w) GROUP BY ALL),
+idf AS (SELECT bucket, count(*) AS df, ln(1 + ((SELECT count(DISTINCT doc_id) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf
+        FROM d GROUP BY bucket)"""
+_KEYWORD = f"""{_SPARSE},
+ks AS (SELECT query_id, key, round(sum(q.tf * idf * d.tf), 6) AS score FROM q JOIN idf USING (bucket) JOIN d USING (bucket) GROUP BY ALL),
+kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM ks)"""
+_DENSE = """
+ds AS (SELECT q.vec_id AS query_id, v.vec_id AS key, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+       FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM ds)"""
+_LENGTH = """
+ls AS (SELECT item_id AS query_id, doc_id AS key, -abs(length(b.text) - length(d.text))::DOUBLE AS score FROM benchmark b, documents d),
+lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM ls)"""
+
+
+@query(f"SELECT item_id, {_TOKENS.format('text')} AS tokens FROM benchmark")
+def tokenize_query(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", text.query_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"""WITH t AS (SELECT item_id, unnest({_TOKENS.format('text')}) AS w FROM benchmark)
+SELECT item_id, (({_FNV.format('w')}) % 131072)::INT AS bucket, count(*) AS tf FROM t GROUP BY ALL""")
+def sparse_vector_terms(spark, sf_dir):
+    tokens = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.query_tokens(F.col("text"))).alias("w"))
+    return tokens.groupBy("item_id", text.bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("tf"))
+
+
+@query(f"WITH {_SPARSE} SELECT bucket::INT AS bucket, df, round(idf, 6) AS idf FROM idf")
+def sparse_postings_idf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    weights = search.bucket_weights(search.postings(docs, "doc_id", "text"), docs, "doc_id")
+    return weights.select("bucket", "df", F.round("idf", 6).alias("idf"))
+
+
+def _keyword(spark, sf_dir, k):
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return search.keyword_search(queries, docs, k)
+
+
+@query(f"WITH {_KEYWORD} SELECT query_id, key, score, rank::INT AS rank FROM kr WHERE rank <= 18")
+def sparse_search_topk(spark, sf_dir):
+    return _keyword(spark, sf_dir, TOP_K * PREFETCH)
+
+
+def _dense(spark, sf_dir, k):
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.dense_search(queries, rows.select(F.col("vec_id").alias("key"), "embedding"), k)
+
+
+@query(f"WITH {_DENSE} SELECT query_id, key, score, rank::INT AS rank FROM dr WHERE rank <= 18")
+def dense_search_topk(spark, sf_dir):
+    return _dense(spark, sf_dir, TOP_K * PREFETCH)
+
+
+_RRF = """
+f AS (SELECT query_id, key, sum(round(1.0 / (60 + rank), 12)::DECIMAL(20,12))::DOUBLE AS s FROM ({legs}) GROUP BY ALL),
+fr AS (SELECT query_id, key, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, key) AS rank FROM f)"""
+_BOTH = _RRF.format(legs="SELECT query_id, key, rank FROM kr WHERE rank <= 18 UNION ALL SELECT query_id, key, rank FROM lr WHERE rank <= 18")
+
+
+def _by_length(spark, sf_dir):
+    """A second ranking of documents for benchmark items that SQL can give: by closeness in length.
+
+    The candidates of a length are its neighbours in an order by length; ranks come from a bounded
+    number of documents on each side, found by position.
+    """
+    def leg(queries: DataFrame, k: int) -> DataFrame:
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.length("text").alias("n"))
+        sizes = docs.groupBy("n").agg(F.count("*").alias("c"))
+        # Sizes near a query's: enough distinct ones to hold k documents; documents join by size.
+        wanted = F.broadcast(queries.select("query_id", F.length("text").alias("m")))
+        near = sizes.join(wanted).withColumn("gap", F.abs(F.col("n") - F.col("m")))
+        order = Window.partitionBy("query_id").orderBy("gap")
+        held = near.withColumn("before", F.coalesce(F.sum("c").over(order.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < k)
+        hits = docs.join(held.select("query_id", "n", "gap"), "n").select("query_id", "key", (-F.col("gap")).cast("double").alias("score"))
+        return search.top_ranked(hits, k)
+
+    return leg
+
+
+@query(f"WITH {_KEYWORD}, {_LENGTH}, {_BOTH} SELECT query_id, key, score, rank::INT AS rank FROM fr WHERE rank <= 6")
+def rrf_fusion(spark, sf_dir):
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.fused([_keyword(spark, sf_dir, 18), _by_length(spark, sf_dir)(queries, 18)], TOP_K)
+
+
+@query(f"""WITH {_KEYWORD} SELECT query_id, key, score, rank::INT AS rank FROM (
+  SELECT kr.*, row_number() OVER (PARTITION BY query_id, source || '|' || lang ORDER BY rank) AS n FROM kr JOIN documents ON key = doc_id WHERE rank <= 18)
+WHERE n = 1""")
+def retrieval_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source", "lang")
+    hits = docs.join(F.broadcast(_keyword(spark, sf_dir, 18)), "key")
+    return search.deduplicated(hits, F.concat_ws("|", "source", "lang")).select("query_id", "key", "score", "rank")
+
+
+_RERANK = f"""WITH {_KEYWORD},
+h AS (SELECT kr.query_id, kr.key, kr.score AS rrf, kr.rank AS pr, list_distinct({_TOKENS.format('b.text')}) AS qw, {_TOKENS.format('d.text')} AS dw
+      FROM kr JOIN benchmark b ON kr.query_id = b.item_id JOIN documents d ON kr.key = d.doc_id WHERE kr.rank <= 18),
+c AS (SELECT query_id, key, rrf, pr, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0 END AS ce FROM h),
+m AS (SELECT *, min(rrf) OVER w AS r0, max(rrf) OVER w AS r1, min(ce) OVER w AS c0, max(ce) OVER w AS c1 FROM c WINDOW w AS (PARTITION BY query_id)),
+b AS (SELECT query_id, key, pr, round(0.7 * CASE WHEN c1 - c0 < 1e-9 THEN 0.5 ELSE (ce - c0) / (c1 - c0) END
+      + (1 - 0.7) * CASE WHEN r1 - r0 < 1e-9 THEN 0.5 ELSE (rrf - r0) / (r1 - r0) END, 6) AS score FROM m),
+k AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pr) AS rank FROM b)"""
+
+
+def _reranked(spark, sf_dir):
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    hits = docs.join(F.broadcast(_keyword(spark, sf_dir, 18)), "key").join(F.broadcast(queries), "query_id")
+    overlap = search.word_overlap(text.query_tokens(F.col("question")), text.query_tokens(F.col("text")))
+    return search.reranked(hits, overlap, 0.7).select("query_id", "key", "score", "rank")
+
+
+@query(_RERANK + " SELECT query_id, key, score, rank::INT AS rank FROM k")
+def minmax_blend_rerank(spark, sf_dir):
+    return _reranked(spark, sf_dir)
+
+
+@query(_RERANK + """ SELECT query_id, key, score, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM k WHERE score >= 0.4) WHERE n <= 4""")
+def threshold_topk(spark, sf_dir):
+    return search.cut(_reranked(spark, sf_dir), 0.4, 4)
+
+
+@query(f"""WITH {_KEYWORD}, {_LENGTH}, {_BOTH},
+h0 AS (SELECT fr.*, d.text AS dtext, row_number() OVER (PARTITION BY query_id, source || '|' || lang ORDER BY rank) AS n
+       FROM fr JOIN documents d ON key = doc_id WHERE rank <= 6),
+h AS (SELECT query_id, key, score AS rrf, rank AS pr, list_distinct({_TOKENS.format('b.text')}) AS qw, {_TOKENS.format('dtext')} AS dw
+      FROM h0 JOIN benchmark b ON query_id = item_id WHERE n = 1),
+c AS (SELECT query_id, key, rrf, pr, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0 END AS ce FROM h),
+m AS (SELECT *, min(rrf) OVER w AS r0, max(rrf) OVER w AS r1, min(ce) OVER w AS c0, max(ce) OVER w AS c1 FROM c WINDOW w AS (PARTITION BY query_id)),
+b AS (SELECT query_id, key, pr, rrf, round(0.7 * CASE WHEN c1 - c0 < 1e-9 THEN 0.5 ELSE (ce - c0) / (c1 - c0) END
+      + (1 - 0.7) * CASE WHEN r1 - r0 < 1e-9 THEN 0.5 ELSE (rrf - r0) / (r1 - r0) END, 6) AS score FROM m)
+SELECT query_id, key, rrf AS rrf_score, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pr)::INT AS rank FROM b""")
+def hybrid_search(spark, sf_dir):
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "key")
+    hits = search.hybrid_search(queries, docs, search.Options(), _by_length(spark, sf_dir), F.concat_ws("|", "source", "lang"))
+    return hits.select("query_id", "key", "rrf_score", "score", "rank")
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_replace(split_part(trim(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/docs/stable/', ''), '^/+|/+$', '', 'g'), '/'), '/', 1), '\.[^.]*$', ''), ''), 'root') AS section FROM pages""")
+def url_section(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.section(F.col("url")).alias("section"))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_replace(trim(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/docs/stable/', ''), '/'), '\.html?$', '.md'), ''), 'index.md') AS path FROM pages""")
+def url_rel_path(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.relative_path(F.col("url")).alias("path"))
+
+
+@query("SELECT page_id, url FROM pages WHERE NOT (contains(url, '_modules/') OR contains(url, 'genindex') OR contains(url, 'py-modindex') OR contains(url, 'search') OR contains(url, '/de/'))")
+def url_skip_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(~urls.skipped(F.col("url"), (*urls.SKIPPED, "/de/"))).select("page_id", "url")
+
+
+@query()
+def html_to_markdown(spark, sf_dir):
+    pages = page_source.parsed(table(spark, sf_dir, "pages"))
+    return pages.select("url", "title", "section", "markdown", "char_count")
+
+
+@query()
+def page_markers(spark, sf_dir):
+    pages = page_source.parsed(table(spark, sf_dir, "pages"))
+    section = F.explode("markers.sections").alias("s")
+    return pages.select("url", section).select("url", "s.anchor", "s.label", "s.level", "s.kind", "s.symbol")
+
+
+@query(r"""SELECT doc_id, i::INT AS pos, p AS paragraph FROM (
+  SELECT doc_id, unnest(l) AS p, unnest(range(len(l))) AS i FROM (
+    SELECT doc_id, list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x) <> '') AS l FROM documents))""")
+def paragraph_split(spark, sf_dir):
+    blocks = F.filter(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")), "\n{2,}"), lambda p: F.trim(p) != "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(blocks).alias("pos", "paragraph"))
+
+
+@query()
+def sub_split(spark, sf_dir):
+    split = chunking.split_pieces()
+    spaced = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split(spaced)).alias("sub_index", "piece"))
+
+
+@query()
+def merge_small(spark, sf_dir):
+    parts = F.transform(_lines(F.col("text")), lambda t, i: F.struct(F.concat(F.lit("#s"), i.cast("string")).alias("anchor"), text.strip(t).alias("text"), F.lit("section").alias("kind")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.merged(parts)).alias("pos", "s")).select("doc_id", "pos", "s.anchor", "s.text")
+
+
+_MARKED = r"""list_transform(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10))))), lambda x: '<!-- section: s' || doc_id || '_' || x[2] || ' -->' || chr(10) || x[1])"""
+
+
+@query(r"""SELECT doc_id, i::INT AS pos, '#s' || doc_id || '_' || i AS anchor, regexp_replace(t, '^[\s\x0B\x{85}\x{A0}\x{2028}\x{2029}\x{3000}]+|[\s\x0B\x{85}\x{A0}\x{2028}\x{2029}\x{3000}]+$', '', 'g') AS text FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)""")
+def marker_split(spark, sf_dir):
+    marked = F.array_join(F.transform(_lines(F.col("text")), lambda t, i: F.concat(F.lit("<!-- section: s"), F.col("doc_id").cast("string"), F.lit("_"), i.cast("string"), F.lit(" -->\n"), t)), "\n")
+    parts = chunking.segments(marked)
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("pos", "s")).select("doc_id", "pos", "s.anchor", "s.text")
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(url, '^#+', ''), '[^a-zA-Z0-9]+', '_', 'g'), '_') || '__' || page_id || '__' || substr(md5(url), 1, 6) AS chunk_id,
+  rtrim(url, '/') || '#a' || page_id AS citation_url FROM pages""")
+def chunk_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages")
+    anchor = F.concat(F.lit("#a"), F.col("page_id").cast("string"))
+    return rows.select("page_id", text.chunk_id(F.col("url"), F.col("page_id"), F.col("url")).alias("chunk_id"), urls.citation(F.col("url"), anchor).alias("citation_url"))
+
+
+@query()
+def page_chunks(spark, sf_dir):
+    found = chunking.chunks(page_source.parsed(table(spark, sf_dir, "pages")))
+    return found.select("chunk_id", "text", "page_url", "citation_url", "kind", "char_count", "sub_index")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def incremental_anti_join(spark, sf_dir):
+    return increments.pending(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.source ELSE 'q' || l.quality END AS source
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id UNION ALL
+SELECT doc_id, 'q' || quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+def upsert_last_wins(spark, sf_dir):
+    old = table(spark, sf_dir, "documents").select("doc_id", "source")
+    new = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("source"))
+    return increments.upserted(old, new, "doc_id")
+
+
+@query("""WITH s AS (SELECT lang, length(text) AS n, row_number() OVER (PARTITION BY lang ORDER BY length(text)) AS r, count(*) OVER (PARTITION BY lang) AS c FROM documents)
+SELECT lang, count(*) AS n, min(n) AS min_size, median(n)::DOUBLE AS median_size, round(avg(n), 6) AS mean_size,
+       max(n) FILTER (r = floor(c * 0.95)::BIGINT + 1) AS p95_size, max(n) AS max_size FROM s GROUP BY lang""")
+def chunk_size_stats(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", F.length("text").alias("size").cast("long"))
+    return stats.size_stats(rows, "size", ["lang"])
+
+
+@query("""SELECT count(*) AS pages, sum(n_chars)::BIGINT AS total_chars, (sum(n_chars) // greatest(count(*), 1))::BIGINT AS avg_chars,
+  sum(len(string_split(text, chr(10))) - 1)::BIGINT AS symbols, count(*) FILTER (contains(text, chr(10))) AS pages_with_symbols FROM documents""")
+def corpus_summary(spark, sf_dir):
+    return stats.corpus_summary(table(spark, sf_dir, "documents"), "n_chars", (F.size(_lines(F.col("text"))) - 1).cast("long"))
+
+
+@query("SELECT source, count(*) AS n, min(doc_id) AS first_place FROM documents GROUP BY source ORDER BY n DESC, first_place LIMIT 10")
+def top_sections(spark, sf_dir):
+    return stats.top_groups(table(spark, sf_dir, "documents"), "source", "doc_id")
+
+
+_ANSWER = F.concat(F.col("text"), F.lit(" ["), (F.col("turn") % 3 + 2).cast("string"), F.lit("][1] and ["), (F.col("turn") % 3 + 2).cast("string"), F.lit("] [9]"))
+_DOCS = F.array(*[F.struct(F.lit(f"https://example.org/{i}").alias("url"), F.lit(f"Title {i}").alias("title"), F.lit("" if i % 2 else f"sym{i}").alias("symbol")) for i in range(1, 5)])
+
+
+@query("""SELECT conv_id, turn, [turn % 3 + 2, 1]::INT[] AS cited, ['https://example.org/' || (turn % 3 + 2), 'https://example.org/1'] AS urls FROM conversations
+WHERE NOT regexp_matches(text, '\\[[0-9]+\\]')""".replace("\\\\", "\\"))
+def citation_sources(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"\[[0-9]+\]"))
+    found = citations.cited_sources(_ANSWER, _DOCS)
+    return rows.select("conv_id", "turn", F.transform(found, lambda s: s["index"]).alias("cited"), F.transform(found, lambda s: s["url"]).alias("urls"))
+
+
+@query(r"""SELECT conv_id, turn, text || ' [1][2] and [1] [9]' AS answer FROM conversations WHERE NOT regexp_matches(text, '\[[0-9]+\]')""")
+def citation_renumber(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"\[[0-9]+\]"))
+    used = F.transform(citations.cited_sources(_ANSWER, _DOCS), lambda s: s["index"])
+    return rows.select("conv_id", "turn", citations.renumbered(_ANSWER, used).alias("answer"))
+
+
+@query(f"""WITH {_KEYWORD} SELECT query_id, string_agg('[' || rank || '] **' || source || '** (doc:' || key || ')' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+FROM kr JOIN documents ON key = doc_id WHERE rank <= 6 GROUP BY query_id""")
+def format_context(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.lit("").alias("symbol"), F.col("source").alias("title"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"))
+    return ingest.contexts(docs.join(F.broadcast(_keyword(spark, sf_dir, 6)), "key"))
+
+
+@query("""SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS unit FROM embeddings""")
+def l2_normalize(spark, sf_dir):
+    unit = F.transform(vectors.l2_normalized(F.col("embedding")), lambda x: F.round(x, 6))
+    return table(spark, sf_dir, "embeddings").select("vec_id", unit.alias("unit"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+f AS (SELECT event_id, user_id, ts, r, true AS accepted, [ts] AS live FROM e WHERE r = 1
+ UNION ALL
+ SELECT e.event_id, e.user_id, e.ts, e.r, len(list_filter(f.live, lambda t: t > e.ts - INTERVAL 86400 SECOND)) < 2,
+  CASE WHEN len(list_filter(f.live, lambda t: t > e.ts - INTERVAL 86400 SECOND)) < 2 THEN list_append(list_filter(f.live, lambda t: t > e.ts - INTERVAL 86400 SECOND), e.ts)
+       ELSE list_filter(f.live, lambda t: t > e.ts - INTERVAL 86400 SECOND) END
+ FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)
+SELECT event_id, user_id, accepted FROM f""")
+def throttle(spark, sf_dir):
+    return limits.throttled(table(spark, sf_dir, "events"), 2, 86400).select("event_id", "user_id", "accepted")
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+f AS (SELECT event_id, user_id, r, true AS emitted, ts AS last FROM e WHERE r = 1
+ UNION ALL
+ SELECT e.event_id, e.user_id, e.r, e.ts >= f.last + INTERVAL 6 HOUR, CASE WHEN e.ts >= f.last + INTERVAL 6 HOUR THEN e.ts ELSE f.last END
+ FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)
+SELECT event_id, user_id, emitted FROM f""")
+def draft_debounce(spark, sf_dir):
+    return limits.debounced(table(spark, sf_dir, "events"), 6 * 3600).select("event_id", "user_id", "emitted")
+
+
+def _scores(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").withColumn("qid", F.col("doc_id").cast("string"))
+    pairs = F.map_from_arrays(F.array(F.lit("quality"), F.lit("toxic")), F.array(F.col("quality").cast("double"), F.col("toxic").cast("double")))
+    return rows.select("qid", F.explode(pairs).alias("metric", "score"))
+
+
+@query("""SELECT metric, count(score) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(stddev_samp(score), 6) AS std, min(score) AS min, max(score) AS max
+FROM (SELECT 'quality' AS metric, quality::DOUBLE AS score FROM labels UNION ALL SELECT 'toxic', toxic::DOUBLE FROM labels) GROUP BY metric""")
+def eval_summary(spark, sf_dir):
+    return stats.score_summary(_scores(spark, sf_dir))
+
+
+@query("SELECT doc_id::VARCHAR AS qid, round((quality + toxic) / 2, 6) AS mean_score FROM labels ORDER BY mean_score, qid LIMIT 5")
+def eval_worst5(spark, sf_dir):
+    return stats.worst(_scores(spark, sf_dir))
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id IN (3, 7, 20, 41)")
+def access_filter(spark, sf_dir):
+    allowed = spark.range(1).select(F.explode(text.id_list(F.lit("3, 7,, 20 ,41"))).alias("user_id"))
+    return table(spark, sf_dir, "events").join(F.broadcast(allowed), "user_id", "left_semi").select("event_id", "user_id")
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s*[—–-]\s*PyTorch.*$', '')) AS title FROM pages""")
+def html_title(spark, sf_dir):
+    raw = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(raw, r"\s*[—–-]\s*PyTorch.*$", "")).alias("title"))
