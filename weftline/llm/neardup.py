@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import kernels
-from weftline.llm.storage import dropped, saved
+from weftline.llm.storage import BROADCAST_IDS, dropped, saved, small
 
 REGISTERS = 160
 SMALL = 320
@@ -330,10 +330,13 @@ def _by_row(docs: DataFrame, id_col: str, text: str, percent: int, k: int) -> Da
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of docs that stay: one of each group of near duplicates, that with the smallest id;
     of repeated rows one. Rows without words or id are in no group and stay."""
-    found = near_duplicates(docs, id_col, text, percent)
-    gone = found.where("component_id <> id").select(F.col("id").alias("__gone"))
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    found = saved(near_duplicates(docs, id_col, text, percent))
+    gone = saved(found.where("component_id <> id").select(F.col("id").alias("__gone")).distinct())
+    kept = docs.join(small(gone, BROADCAST_IDS), F.col(id_col) == F.col("__gone"), "left_anti")
     again = found.where("n_shingles > 0 AND id IS NOT NULL").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("__again"))
+    again = saved(again)
+    if again.isEmpty():
+        return kept
     once = kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col])
     return kept.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(once)
 

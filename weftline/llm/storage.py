@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most so many rows, of a few short columns each, may be broadcast (some MB).
 BROADCAST_ROWS = 50_000
+#: A table of one column of longs may have so many (about 20 MB as a hash table).
+BROADCAST_IDS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
