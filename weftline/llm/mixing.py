@@ -181,7 +181,7 @@ def mix(
     high = F.least(F.col("at") + F.col("size") - F.col("block") * block_words, F.lit(block_words))
     words = F.greatest(F.lit(0), F.least(high, F.coalesce("take", F.lit(0))) - low)
     taken = (
-        pieces.join(drawn, ["code", "block"], "left")
+        pieces.join(drawn.hint("merge"), ["code", "block"], "left")  # grows with the input: Spark must not broadcast it
         .groupBy("code", "source", "at", "doc_id", "size")
         .agg(F.coalesce(F.sum(words), F.lit(0)).alias("taken"))
         .select("code", "source", "doc_id", "size", "taken")
