@@ -88,7 +88,9 @@ def test_vectors(spark):
         one(spark, vectors.mean_pooled(F.col("v"), 3), v=[[1.0, 2.0]])
 
 
-DOCS = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(t).alias("title"), F.lit(s).alias("symbol")) for u, t, s in (("u1", "T1", ""), ("u2", "T2", "s2"), ("u3", "", ""))])
+def docs():
+    rows = (("u1", "T1", ""), ("u2", "T2", "s2"), ("u3", "", ""))
+    return F.array(*[F.struct(F.lit(u).alias("url"), F.lit(t).alias("title"), F.lit(s).alias("symbol")) for u, t, s in rows])
 
 
 @pytest.mark.parametrize(
@@ -101,7 +103,7 @@ DOCS = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(t).alias("title"), F.lit(
     ],
 )
 def test_citations(spark, answer, numbers, new):
-    found = citations.cited_sources(F.col("a"), DOCS)
+    found = citations.cited_sources(F.col("a"), docs())
     used = F.transform(found, lambda s: s["index"])
     assert one(spark, used, a=answer) == numbers
     assert one(spark, citations.renumbered(F.col("a"), used), a=answer) == new
@@ -109,7 +111,7 @@ def test_citations(spark, answer, numbers, new):
 
 def test_chat_output(spark):
     answer = "Use **x** & `y` [2][9]\n```python\na<b\n```"
-    sources = citations.cited_sources(F.col("a"), DOCS)
+    sources = citations.cited_sources(F.col("a"), docs())
     html = one(spark, citations.chat_answer(F.col("a"), sources), a=answer)
     assert "<b>x</b> &amp; <code>y</code>" in html and "<pre><code>a&lt;b\n</code></pre>" in html
     assert '<a href="u2">²</a>' in html and "[9]" in html and html.endswith("2. s2")

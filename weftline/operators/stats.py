@@ -66,7 +66,7 @@ def score_summary(scores: DataFrame) -> DataFrame:
 
 def worst(scores: DataFrame, k: int = 5) -> DataFrame:
     """The k questions with the lowest mean score, ties by id."""
-    mean = scores.where(~F.isnan("score")).groupBy("qid").agg(F.round(F.avg("score"), 6).alias("mean_score"))
+    mean = scores.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("qid").agg(F.round(F.avg("score"), 6).alias("mean_score"))
     return mean.orderBy("mean_score", "qid").limit(k)
 
 

@@ -298,23 +298,29 @@ def top_sections(spark, sf_dir):
     return stats.top_groups(table(spark, sf_dir, "documents"), "source", "doc_id")
 
 
-_ANSWER = F.concat(F.col("text"), F.lit(" ["), (F.col("turn") % 3 + 2).cast("string"), F.lit("][1] and ["), (F.col("turn") % 3 + 2).cast("string"), F.lit("] [9]"))
-_DOCS = F.array(*[F.struct(F.lit(f"https://example.org/{i}").alias("url"), F.lit(f"Title {i}").alias("title"), F.lit("" if i % 2 else f"sym{i}").alias("symbol")) for i in range(1, 5)])
+def _answer() -> Column:
+    """A text with made-up marks, so that the fixtures exercise citations."""
+    n = (F.col("turn") % 3 + 2).cast("string")
+    return F.concat(F.col("text"), F.lit(" ["), n, F.lit("][1] and ["), n, F.lit("] [9]"))
+
+
+def _docs() -> Column:
+    return F.array(*[F.struct(F.lit(f"https://example.org/{i}").alias("url"), F.lit(f"Title {i}").alias("title"), F.lit("" if i % 2 else f"sym{i}").alias("symbol")) for i in range(1, 5)])
 
 
 @query("""SELECT conv_id, turn, [turn % 3 + 2, 1]::INT[] AS cited, ['https://example.org/' || (turn % 3 + 2), 'https://example.org/1'] AS urls FROM conversations
 WHERE NOT regexp_matches(text, '\\[[0-9]+\\]')""".replace("\\\\", "\\"))
 def citation_sources(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"\[[0-9]+\]"))
-    found = citations.cited_sources(_ANSWER, _DOCS)
+    found = citations.cited_sources(_answer(), _docs())
     return rows.select("conv_id", "turn", F.transform(found, lambda s: s["index"]).alias("cited"), F.transform(found, lambda s: s["url"]).alias("urls"))
 
 
 @query(r"""SELECT conv_id, turn, text || ' [1][2] and [1] [9]' AS answer FROM conversations WHERE NOT regexp_matches(text, '\[[0-9]+\]')""")
 def citation_renumber(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"\[[0-9]+\]"))
-    used = F.transform(citations.cited_sources(_ANSWER, _DOCS), lambda s: s["index"])
-    return rows.select("conv_id", "turn", citations.renumbered(_ANSWER, used).alias("answer"))
+    used = F.transform(citations.cited_sources(_answer(), _docs()), lambda s: s["index"])
+    return rows.select("conv_id", "turn", citations.renumbered(_answer(), used).alias("answer"))
 
 
 @query(f"""WITH {_KEYWORD} SELECT query_id, string_agg('[' || rank || '] **' || source || '** (doc:' || key || ')' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
