@@ -49,21 +49,21 @@ _ALL_TITLES = "|".join(TITLES["m"] + TITLES["f"] + TITLES["n"])
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Patterns of each type, tried in this order at each place of a text.
 PATTERNS = {
-    "secret": r"(?i:\b(?:access[_-]?token|auth[_-]?token|token|api[_-]?key|secret[_-]?key|secret|passwd|password)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{8,}+"
-    r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,})",
+    "secret": r"(?=[AaTtSsPp])(?i:\b(?:access[_-]?token|auth[_-]?token|token|api[_-]?key|secret[_-]?key|secret|passwd|password)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{8,}+"
+    r"|(?=[Agsx])(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,})",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)++[\p{L}]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": rf"(?=[0-9])(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9.,-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[.,-][0-9])",
-    "phone": r"(?<![\p{L}0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "titled": rf"(?<![\p{{L}}])(?:{_ALL_TITLES})\.? {_NAME_PART}(?: {_NAME_PART})?",
-    "name": rf"(?<![\p{{L}}])(?:{_ALL_GIVEN}) {_NAME_PART}",
+    "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "card": r"(?=[0-9])(?<![0-9.,-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[.,-][0-9])",
+    "phone": r"(?=[0-9+(])(?<![\p{L}0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
+    "titled": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_ALL_TITLES})\.? {_NAME_PART}(?: {_NAME_PART})?",
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_ALL_GIVEN}) {_NAME_PART}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What a text with an entity has at least; cheaper to look for.
-HINT = rf"[@0-9]|\b(?:{_ALL_TITLES})\b|(?:{_ALL_GIVEN}) \p{{Lu}}|(?i:token|key|secret|passw)"
+#: What a text with an entity has at least; cheaper to look for, as most places fail at their first sign.
+HINT = rf"[@0-9=:]|(?=[\p{{Lu}}gsx])(?<!\p{{L}})(?:AKIA|gh[pousr]_|sk-|xox[abp]-|(?=\p{{Lu}})(?:{_ALL_TITLES}|{_ALL_GIVEN})\.? \p{{Lu}})"
 
 
 def _type_of(value: Column) -> Column:
@@ -93,26 +93,33 @@ def _hex(digest: Column, i: Column, width: int = 4) -> Column:
     return F.conv(F.substr(digest, F.pmod(i * width, F.lit(192 - width)) + 1, F.lit(width)), 16, 10).cast("int")
 
 
-def _scrambled(value: Column, digest: Column) -> Column:
-    """Each digit by a digit, each letter by one of the same script and case; the rest stays."""
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once even where use has it in a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def sign(c: Column, i: Column) -> Column:
-        n = _hex(digest, i)
 
-        def of(alphabet: str) -> Column:
-            return F.substr(F.lit(alphabet), n % len(alphabet) + 1, F.lit(1))
+def _sign(c: Column, n: Column) -> Column:
+    """A sign of c's kind, by a number."""
+
+    def of(alphabet: str) -> Column:
+        return F.substr(F.lit(alphabet), n % len(alphabet) + 1, F.lit(1))
+
+    lower = c == F.lower(c)
+    return (
+        F.when(c.between("0", "9"), of("0123456789"))
+        .when(c.between("a", "z"), of("abcdefghijklmnopqrstuvwxyz"))
+        .when(c.between("A", "Z"), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        .when(c < "\u0080", c)
+        .when(c.rlike(r"\p{IsCyrillic}"), F.when(lower, of("абвгдежзиклмнопрстуфхцч")).otherwise(of("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧ")))
+        .when(c.rlike(r"\p{IsGreek}"), F.when(lower, of("αβγδεζηθικλμνξοπρστυφχψω")).otherwise(of("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")))
+        .when(c.rlike(r"\p{L}"), F.when(lower, of("abcdefghijklmnopqrstuvwxyz")).otherwise(of("ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
+        .otherwise(c)
+    )
 
-        return (
-            F.when(c.rlike("[0-9]"), of("0123456789"))
-            .when(c.rlike("[a-z]"), of("abcdefghijklmnopqrstuvwxyz"))
-            .when(c.rlike("[A-Z]"), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-            .when(c.rlike(r"\p{IsCyrillic}"), F.when(c == F.lower(c), of("абвгдежзиклмнопрстуфхцч")).otherwise(of("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧ")))
-            .when(c.rlike(r"\p{IsGreek}"), F.when(c == F.lower(c), of("αβγδεζηθικλμνξοπρστυφχψω")).otherwise(of("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")))
-            .when(c.rlike(r"\p{L}"), F.when(c == F.lower(c), of("abcdefghijklmnopqrstuvwxyz")).otherwise(of("ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
-            .otherwise(c)
-        )
 
-    return F.array_join(F.transform(F.split(value, ""), sign), "")
+def _scrambled(value: Column, digest: Column) -> Column:
+    """Each digit by a digit, each letter by one of the same script and case; the rest stays."""
+    return _once(digest, lambda d: F.array_join(F.transform(F.split(value, ""), lambda c, i: _sign(c, _hex(d, i))), ""))
 
 
 def _script(part: Column) -> Column:
@@ -136,23 +143,26 @@ def _surrogate(kind: Column, value: Column, gender: Column, draw: Column) -> Col
         """The value with what the pattern matches at its start kept."""
         head = F.regexp_extract(value, rf"\A(?:{pattern})", 0)
         rest = F.substr(value, F.length(head) + 1)
-        return F.concat(head, _scrambled(rest, _digest(rest, name, draw)))
+        made = _scrambled(rest, _digest(rest, name, draw))
+        # Hexadecimal digits stay such.
+        hexadecimal = rest.rlike(r"\A(?=.*[0-9])[0-9a-f]+\z") if name == "secret" else F.lit(False)
+        return F.concat(head, F.when(hexadecimal, F.translate(made, "ghijklmnopqrstuvwxyz", "abcdefabcdefabcdefab")).otherwise(made))
 
     tail = F.regexp_extract(value, r"\.[^.]*\z", 0)
     head = F.substr(value, F.lit(1), F.length(value) - F.length(tail))
     email = F.concat(_scrambled(head, _digest(head, "email", draw)), tail)
-    digest = _digest(value, "ip", draw)
-    octets = F.transform(
-        F.split(value, r"\."),
-        lambda o, i: F.when(F.length(o) == 1, _hex(digest, i) % 9 + 1).when(F.length(o) == 2, _hex(digest, i) % 90 + 10).otherwise(_hex(digest, i) % 155 + 100).cast("string"),
-    )
+
+    def octet(o: Column, n: Column) -> Column:
+        return F.when(F.length(o) == 1, n % 9 + 1).when(F.length(o) == 2, n % 90 + 10).otherwise(n % 155 + 100).cast("string")
+
+    address = _once(_digest(value, "ip", draw), lambda d: F.array_join(F.transform(F.split(value, r"\."), lambda o, i: octet(o, _hex(d, i))), "."))
     card = _scrambled(value, _digest(value, "card", draw))
     body = F.regexp_replace(F.substr(card, F.lit(1), F.length(card) - 1), "[ -]", "")
     check = F.pmod(-_digit_sum(body, 0), F.lit(10)).cast("string")
     names = _new_name(value, gender, _digest(value, "name", draw))
     return (
         F.when(kind == "email", email)
-        .when(kind == "ip", F.array_join(octets, "."))
+        .when(kind == "ip", address)
         .when(kind == "card", F.when(_luhn(value), F.concat(F.substr(card, F.lit(1), F.length(card) - 1), check)).otherwise(card))
         .when(kind == "secret", after(r"(?i:[a-z_-]+?\s*[=:]\s*[\"']?)|AKIA|gh[a-z]_|sk-|xox[abp]-", "secret"))
         .when(kind == "iban", after(r"[A-Z]{2}", "iban"))
@@ -165,8 +175,9 @@ def _surrogate(kind: Column, value: Column, gender: Column, draw: Column) -> Col
 def surrogates(entities: DataFrame) -> DataFrame:
     """(kind, value, surrogate) from (kind, value, gender): distinct within a kind, and no value of the
     corpus. Values that collide draw again, the others keep theirs."""
+    spread = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = saved(entities.distinct())
-    fixed, open_rows = None, values
+    fixed, open_rows = None, values.repartition(spread, "value")
     for draw in range(MOST_DRAWS):
         made = open_rows.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.lit(draw)))
         made = saved(made)
@@ -193,7 +204,9 @@ def _key(doc_id: str, text: str) -> Column:
 
 def _mapping(values: DataFrame) -> DataFrame:
     """(value, kind, new) for each distinct entity value (value)."""
-    typed = saved(values.withColumn("kind", _type_of(F.col("value"))))
+    # Few bytes but much work: not for one task.
+    spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    typed = saved(values.repartition(spread, "value").withColumn("kind", _type_of(F.col("value"))))
     named = typed.where(F.col("kind").isin("titled", "name"))
     title = F.regexp_extract("value", rf"\A(?:(?:{_ALL_TITLES})\.? (?=\p{{Lu}}))?", 0)
     words = named.select("value", "kind", title.alias("title")).withColumn("parts", F.split(F.substr("value", F.length("title") + 1), " "))
@@ -231,20 +244,23 @@ def replaced(
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "n_replaced"]
     hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    rows = docs.where(hinted).select(_key(doc_id, text).alias("key"), F.explode(F.array_distinct(_found(F.col(text)))).alias("value"))
-    found = saved(rows.distinct())
+    # explode_outer: else Spark looks for entities once more, to drop rows without any beforehand.
+    rows = docs.where(hinted).select(_key(doc_id, text).alias("key"), F.explode_outer(_found(F.col(text))).alias("value"))
+    found = saved(rows.where("value IS NOT NULL").distinct())
     mapping = _mapping(found.select("value").distinct())
     maps = found.join(small(mapping), "value").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("__new"))
     maps = saved(maps.withColumnRenamed("key", "__key"))
-    joined = docs.join(small(maps), (_key(doc_id, text) == F.col("__key")) & hinted, "left")
-    split = F.split(F.col(text), ENTITY, -1)
-    values = _found(F.col(text))
-    new = F.array_join(
-        F.transform(split, lambda gap, i: F.concat(gap, F.coalesce(F.col("__new")[F.get(values, i)], F.get(values, i), F.lit("")))), ""
-    )
+    joined = docs.join(small(maps), _key(doc_id, text) == F.col("__key"), "left")
+    gaps = F.split(F.col(text), ENTITY, -1)
+
+    def rewritten(values: Column) -> Column:
+        put = F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.col("__new")[F.get(values, i)], F.get(values, i), F.lit(""))))
+        return F.struct(F.array_join(put, "").alias("text"), F.size(F.filter(values, lambda v: F.col("__new")[v].isNotNull())).alias("n"))
+
     changed = F.col("__new").isNotNull()
-    n = F.when(changed, F.size(F.filter(values, lambda v: F.col("__new")[v].isNotNull()))).otherwise(0).cast("long")
-    joined = joined.withColumn("__text", F.when(changed, new).otherwise(F.col(text)))
+    joined = joined.withColumn("__made", F.when(changed, _once(_found(F.col(text)), rewritten)))
+    n = F.coalesce("__made.n", F.lit(0)).cast("long")
+    joined = joined.withColumn("__text", F.when(changed, F.col("__made.text")).otherwise(F.col(text)))
     made = {text: F.col("__text")}
     if length:
         made[length] = F.when(changed, F.length("__text").cast(docs.schema[length].dataType)).otherwise(F.col(length))
