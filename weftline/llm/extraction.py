@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled pages from which weights are learned: at most so many, those with the smallest hash of the url.
+from weftline.llm.storage import sampled
+
+#: Labelled pages from which weights are learned: at most about so many, those with the smallest hash of the url.
 TRAINING_PAGES = 5000
 
 # Element names of HTML and words of class, id and role attributes.
@@ -221,7 +223,7 @@ def learn_weights(pages: DataFrame, url: str = "url", html: str = "html", limit:
     is empty, and the default weights hold.
     """
     likely = pages.select(F.col(url).alias("u"), F.col(html).alias("h")).where(F.col("h").rlike(r"(?i)<(?:article|main)[\s>]"))
-    sample = likely.orderBy(F.xxhash64("u"), "u").limit(limit)
+    sample = sampled(likely, F.col("u"), limit)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -233,7 +235,7 @@ def learn_weights(pages: DataFrame, url: str = "url", html: str = "html", limit:
                         total[key] = total.get(key, 0) + n
             yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["kind", "name", "inside", "n"])
 
-    counted = sample.repartition(8).mapInPandas(count, "kind string, name string, inside boolean, n long")
+    counted = sample.mapInPandas(count, "kind string, name string, inside boolean, n long")
     rows = counted.groupBy("kind", "name", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind", "name", "inside").limit(2000).collect()
     return weights_from({(r["kind"], r["name"], r["inside"]): r["n"] for r in rows})
 

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import extraction, kernels
-from weftline.llm.storage import saved, small
+from weftline.llm.storage import sampled, saved, small
 
-#: Labelled texts used at most for the models, those with the smallest hash of text, and how much of each.
+#: Labelled texts used at most (about) for the models, those with the smallest hash.
 TRAINING_TEXTS = 4000
 BUCKETS = 1 << 14
 #: Trigrams of a text count as so many independent ones at most: neighbours share letters.
@@ -57,7 +57,7 @@ def _trigrams(texts: list[str | None]) -> list[np.ndarray]:
 def learn_models(texts: DataFrame, text: str = "text", lang: str = "lang", limit: int = TRAINING_TEXTS) -> tuple[list[str], np.ndarray]:
     """Languages, and the log likelihood of each bucket in each: a table of bounded size."""
     known = texts.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sample = saved(known.orderBy(F.xxhash64("text"), "text").limit(limit)).repartition(8)
+    sample = sampled(known, F.col("text"), limit)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

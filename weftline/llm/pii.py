@@ -250,7 +250,7 @@ def replaced(
     mapping = _mapping(found.select("value").distinct())
     maps = found.join(small(mapping), "value").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("__new"))
     maps = saved(maps.withColumnRenamed("key", "__key"))
-    joined = docs.join(small(maps), _key(doc_id, text) == F.col("__key"), "left")
+    joined = docs.join(small(maps, weight=F.size("__new")), _key(doc_id, text) == F.col("__key"), "left")
     gaps = F.split(F.col(text), ENTITY, -1)
 
     def rewritten(values: Column) -> Column:

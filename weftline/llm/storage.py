@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of at most so many rows, of a few short columns each, may be broadcast (some MB).
@@ -40,7 +40,23 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else as it is (then Spark shuffles,
-    and splits skewed partitions at run time)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most limit rows (or its weights sum up to no more), else
+    as it is: then Spark shuffles, and splits skewed partitions at run time."""
+    if weight is None:
+        fits = df.limit(limit + 1).count() <= limit
+    else:
+        fits = (df.agg(F.sum(weight)).first()[0] or 0) <= limit
+    return F.broadcast(df) if fits else df
+
+
+def sampled(df: DataFrame, key: Column, limit: int) -> DataFrame:
+    """About limit rows of df at most (all, if there are no more): those whose key hashes lowest.
+
+    A cut-off on the hash instead of a sort, so that no task gathers candidates; equal keys stay or go
+    together, and reruns agree.
+    """
+    n = df.count()
+    if n <= limit:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 32)) < int((1 << 32) * limit / n))
