@@ -221,8 +221,8 @@ class _Links:
         pairs = saved(pairs.select("a", "b").distinct())
         both = _with(_with(pairs, self.reps, "a", ["small", "large"]), self.reps, "b", ["small", "large"])
         likely = saved(both.where(_likely("a_small", "a_large", "b_small", "b_large", F.lit(least))).select("a", "b"))
-        wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-        sets = saved(self.texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", self.sets("text").alias("set")))
+        wanted = saved(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct())
+        sets = saved(self.texts.join(small(wanted, BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"]).select("id", self.sets("text").alias("set")))
         full = _with(_with(likely, sets, "a", ["set"]), sets, "b", ["set"])
         links = saved(full.where(_linked("a_set", "b_set", F.lit(self.percent))).select("a", "b"))
         for table in (pairs, likely, sets):
@@ -238,7 +238,7 @@ def _may_link(percent: int) -> Column:
 
 def _crowded_links(crowded: DataFrame, links: _Links, k: int, percent: int) -> DataFrame:
     """Links within bands of more than MOST_IN_BAND sets, without listing pairs. crowded: (band, id)."""
-    ids = crowded.select("id").distinct()
+    ids = small(saved(crowded.select("id").distinct()), BROADCAST_IDS)
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
