@@ -10,8 +10,9 @@
 4. Pairs of a band: in bands of up to MOST_IN_BAND sets all of them. In larger bands, an exact way
    that doesn't list pairs: shingles that only one set of all those bands has bound each set's
    possible overlap, sets that can't reach the threshold with anything go, the most central set of
-   each band is compared with all others, and only sets which that leaves apart, and whose bounds
-   still allow a link, are paired.
+   each band is compared with all others, and only sets which that leaves apart are joined with the
+   rest, on the rarest shingles of each (one of which linked sets must share) and within the bounds
+   that the shared shingle's place sets.
 5. Pairs are dropped if the collision-corrected estimate from the registers is over five standard
    deviations below the threshold, and confirmed on the full sets of 64-bit shingle hashes.
 6. Components of confirmed links by repeated smallest-label steps with shortcuts, on tables only.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -255,17 +256,27 @@ def _crowded_links(crowded: DataFrame, links: _Links, k: int, percent: int) -> D
     members = saved(crowded.join(most, "id"))
     hubs = members.groupBy("band").agg(F.max_by("id", F.struct(F.col("most") / F.col("n"), -F.col("id"))).alias("hub"))
     spokes = members.join(hubs, "band").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    first = links.confirmed(spokes)
-    labels = components(first)
+    linked = links.confirmed(spokes)
+    labels = components(linked)
     members = members.join(hubs, "band").join(labels, "id", "left")
     hub_label = labels.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
     members = members.join(hub_label, "hub", "left").select("band", "id", "n", "most", "component", (F.col("id") == F.col("hub")).alias("is_hub"), F.coalesce(F.col("component") == F.col("hub_component"), F.col("id") == F.col("hub")).alias("with_hub"))
+    members = members.groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("c"), F.min(F.col("with_hub").cast("int")).alias("settled"))
+    # Shingles in order of frequency: two linked sets share one among the first of each, and what follows
+    # its place in both bounds what they can share at all.
+    counts = saved(shingles.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     members = saved(members)
-    x = members.where("NOT with_hub").select("band", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("most").alias("x_most"), F.col("component").alias("x_c"))
-    y = members.where("NOT is_hub").select("band", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("most").alias("y_most"), F.col("component").alias("y_c"))
-    rest = x.join(y, "band").where((F.col("x") != F.col("y")) & _may_link(percent) & ~F.coalesce(F.col("x_c") == F.col("y_c"), F.lit(False)))
+    kept = shingles.join(members, "id").join(counts, "h")
+    # Shingles of one set only come first of all: they are its n less those that others have, too.
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "h")) + F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    first = kept.withColumn("left", F.col("n") - place + 1).where(100 * F.col("left") >= percent * F.col("n"))
+    first = saved(first.select("h", "id", "n", "c", "settled", "left"))
+    x = first.where("settled = 0").select("h", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("left").alias("x_most"), F.col("c").alias("x_c"))
+    y = first.select("h", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("left").alias("y_most"), F.col("c").alias("y_c"), F.col("settled").alias("y_settled"))
+    each_once = (F.col("y_settled") == 1) | (F.col("x") < F.col("y"))
+    rest = x.join(y, "h").where((F.col("x") != F.col("y")) & each_once & _may_link(percent) & ~F.coalesce(F.col("x_c") == F.col("y_c"), F.lit(False)))
     second = links.confirmed(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    return first.unionByName(second)
+    return linked.unionByName(second)
 
 
 def near_duplicates(
