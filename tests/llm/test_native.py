@@ -95,6 +95,18 @@ def test_surrogates_are_distinct(spark):
     assert pii.replaced(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_surrogates_never_run_out(spark):
+    surnames = [("part", f"Name{i}") for i in range(70_000)]  # 16^4 names have four syllables
+    addresses = [("ip", ".".join(f"{i:04d}")) for i in range(10_000)]  # all of four one-digit octets
+    others = [("secret", "password=--------"), *[("email", f"{c}@{d}.com") for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz"]]
+    values = [(k, v, None) for k, v in surnames + addresses + others]
+    made = pii.surrogates(spark.createDataFrame(values, "kind string, value string, gender string")).collect()
+    new = {(r["kind"], r["surrogate"]) for r in made}
+    assert len(made) == len(new) == len(values) and not new & {(k, v) for k, v, _ in values}
+    assert all(re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", v) for k, v in new if k == "ip")
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.com", v) for k, v in new if k == "email")
+
+
 def test_no_python_in_the_plans(spark, documents):
     docs = documents([(1, ITEM)])
     for plan in (decontamination.contamination(docs, items(spark, ITEM)), pii.replaced(docs)):

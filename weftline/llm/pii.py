@@ -3,20 +3,25 @@
 Entities are found by patterns. Each distinct value gets a surrogate made from a keyed digest: of the
 same type, format, script and (for names) gender. Values whose surrogate is another's, or is itself an
 entity of the corpus, are drawn again until all are distinct; so equal values stay equal and different
-ones different in all documents. Parts of names have surrogates of their own, so that a surname alone
+ones different in all documents. Names get longer with each draw, other values where a format has no
+free ones after many draws; so no number of distinct values uses the surrogates up. Parts of names have surrogates of their own, so that a surname alone
 still refers to the person.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.storage import saved, small
 
 KEY = "weftline"
-#: Draws for a value before its type's space of surrogates counts as used up.
-MOST_DRAWS = 50
+#: Draws for a value before its format's space of surrogates counts as used up; later ones are longer.
+FORMAT_DRAWS = 8
+#: Syllables of a made-up name at first; each further draw has one more.
+NAME_SYLLABLES = 4
 
 # Titles and given names by gender, and syllables of made-up names by script.
 TITLES = {
@@ -84,9 +89,9 @@ def _luhn(value: Column) -> Column:
     return _digit_sum(F.regexp_replace(value, "[ -]", ""), 1) % 10 == 0
 
 
-def _digest(value: Column, kind: str, draw: Column) -> Column:
+def _digest(value: Column, kind: str, draw: int) -> Column:
     """192 hexadecimal digits that depend on the key, the kind, the draw and the value."""
-    return F.concat(*[F.sha2(F.concat_ws("\0", F.lit(KEY), F.lit(kind), F.lit(i), draw.cast("string"), value), 256) for i in range(3)])
+    return F.concat(*[F.sha2(F.concat_ws("\0", F.lit(KEY), F.lit(kind), F.lit(i), F.lit(str(draw)), value), 256) for i in range(3)])
 
 
 def _hex(digest: Column, i: Column, width: int = 4) -> Column:
@@ -126,40 +131,46 @@ def _script(part: Column) -> Column:
     return F.when(part.rlike(r"\p{IsCyrillic}"), "cyrillic").when(part.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _new_name(part: Column, gender: Column, digest: Column) -> Column:
+def _new_name(part: Column, gender: Column, digest: Column, syllables: int) -> Column:
     """A made-up name in the part's script, with an ending for the gender ('' for surnames)."""
     tables = F.create_map(*[x for s, list_ in SYLLABLES.items() for x in (F.lit(s), F.array(*map(F.lit, list_)))])
     ends = F.create_map(*[x for s, by in ENDINGS.items() for g, e in by.items() for x in (F.lit(s + g), F.lit(e))])
     script = _script(part)
-    made = F.concat(*[F.element_at(tables[script], _hex(digest, F.lit(i)) % 16 + 1) for i in range(4)])
+    made = F.concat(*[F.element_at(tables[script], _hex(digest, F.lit(i)) % 16 + 1) for i in range(syllables)])
     return F.concat(F.initcap(made), F.coalesce(ends[F.concat(script, gender)], F.lit("")))
 
 
-def _surrogate(kind: Column, value: Column, gender: Column, draw: Column) -> Column:
-    """A candidate for a value (for names: of one part of a name)."""
-    out = _scrambled(value, _digest(value, "any", draw))
+def _surrogate(kind: Column, value: Column, gender: Column, draw: int) -> Column:
+    """A candidate for a value (for names: of one part of a name). From draw FORMAT_DRAWS on it is longer
+    than the value, by one more digit or letter (for addresses: first of octets of any length) each time."""
+    more = max(0, draw - FORMAT_DRAWS + 1)
+    out = _scrambled(F.concat(value, F.lit("0" * more)), _digest(value, "any", draw))
 
     def after(pattern: str, name: str) -> Column:
         """The value with what the pattern matches at its start kept."""
         head = F.regexp_extract(value, rf"\A(?:{pattern})", 0)
-        rest = F.substr(value, F.length(head) + 1)
+        rest = F.concat(F.substr(value, F.length(head) + 1), F.lit("0" * more))
         made = _scrambled(rest, _digest(rest, name, draw))
         # Hexadecimal digits stay such.
         hexadecimal = rest.rlike(r"\A(?=.*[0-9])[0-9a-f]+\z") if name == "secret" else F.lit(False)
         return F.concat(head, F.when(hexadecimal, F.translate(made, "ghijklmnopqrstuvwxyz", "abcdefabcdefabcdefab")).otherwise(made))
 
     tail = F.regexp_extract(value, r"\.[^.]*\z", 0)
-    head = F.substr(value, F.lit(1), F.length(value) - F.length(tail))
+    head = F.concat(F.lit("a" * more), F.substr(value, F.lit(1), F.length(value) - F.length(tail)))
     email = F.concat(_scrambled(head, _digest(head, "email", draw)), tail)
 
     def octet(o: Column, n: Column) -> Column:
+        if more:
+            return (n % 254 + 1).cast("string")
         return F.when(F.length(o) == 1, n % 9 + 1).when(F.length(o) == 2, n % 90 + 10).otherwise(n % 155 + 100).cast("string")
 
-    address = _once(_digest(value, "ip", draw), lambda d: F.array_join(F.transform(F.split(value, r"\."), lambda o, i: octet(o, _hex(d, i))), "."))
-    card = _scrambled(value, _digest(value, "card", draw))
+    # Four octets as long as there can be free ones, then further ones.
+    octets = F.split(F.concat(value, F.lit(".0" * max(0, more - FORMAT_DRAWS))), r"\.")
+    address = _once(_digest(value, "ip", draw), lambda d: F.array_join(F.transform(octets, lambda o, i: octet(o, _hex(d, i))), "."))
+    card = _scrambled(F.concat(F.lit("0" * more), value), _digest(value, "card", draw))
     body = F.regexp_replace(F.substr(card, F.lit(1), F.length(card) - 1), "[ -]", "")
     check = F.pmod(-_digit_sum(body, 0), F.lit(10)).cast("string")
-    names = _new_name(value, gender, _digest(value, "name", draw))
+    names = _new_name(value, gender, _digest(value, "name", draw), NAME_SYLLABLES + draw)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", address)
@@ -174,12 +185,12 @@ def _surrogate(kind: Column, value: Column, gender: Column, draw: Column) -> Col
 
 def surrogates(entities: DataFrame) -> DataFrame:
     """(kind, value, surrogate) from (kind, value, gender): distinct within a kind, and no value of the
-    corpus. Values that collide draw again, the others keep theirs."""
+    corpus. Values that collide draw again, the others keep theirs. Null values have none."""
     spread = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    values = saved(entities.distinct())
+    values = saved(entities.where("value IS NOT NULL").distinct())
     fixed, open_rows = None, values.repartition(spread, "value")
-    for draw in range(MOST_DRAWS):
-        made = open_rows.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.lit(draw)))
+    for draw in count():  # it ends: each draw has more room than the one before
+        made = open_rows.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("gender"), draw))
         made = saved(made)
         first = made.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         good = made.join(first, ["kind", "surrogate", "value"], "left_semi")
@@ -191,7 +202,6 @@ def surrogates(entities: DataFrame) -> DataFrame:
         open_rows = made.drop("surrogate").join(good.select("kind", "value"), ["kind", "value"], "left_anti")
         if open_rows.isEmpty():
             return fixed.select("kind", "value", "surrogate")
-    raise ValueError("no distinct surrogates left for some values")
 
 
 def _found(text: Column) -> Column:
