@@ -42,6 +42,26 @@ def test_slots_must_agree(spark, documents):
     assert contaminated(spark, documents, [(1, FILL + good), (2, FILL + torn)], item) == {1: [0]}
 
 
+def test_one_consistent_occurrence_is_enough(spark, documents):
+    # 12 stands for 31 in one copy and for 44 in the other; within each all agrees.
+    item = "a man has 12 apples in his bag and sells them for 5 coins each so how much are all 12 worth in coins"
+    copies = [item.replace("12", a).replace("5 ", f"{b} ") for a, b in (("31", "8"), ("44", "9"))]
+    torn = item.replace("12", "31", 1).replace("12", "77").replace("5 ", "8 ")
+    # The same window twice in the item, with different numbers.
+    twice = "first the farmer has 12 apples in his old barn today and then the farmer has 15 apples in his old barn today so count them"
+    other = twice.replace("12", "71").replace("15", "93")
+    rows = [
+        (1, FILL + copies[0] + ". " + FILL + copies[1]),
+        (2, FILL + torn),
+        (3, FILL + torn + ". " + FILL + copies[0]),
+        (4, FILL + other),
+        (5, FILL + other.replace("and then", "and shortly after then")),
+        (6, copies[0] + " " + copies[1] + " " + copies[0]),
+        (7, FILL + torn.replace("bag and", "bag there and")),
+    ]
+    assert contaminated(spark, documents, rows, item, twice) == {1: [0], 3: [0], 4: [1], 5: [1], 6: [0]}
+
+
 def test_short_items_and_no_items(spark, documents):
     assert contaminated(spark, documents, [(1, FILL + "five words are found here too"), (2, FILL)], "five words are found") == {1: [0]}
     assert contaminated(spark, documents, [(1, FILL)]) == {}

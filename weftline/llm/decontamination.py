@@ -3,12 +3,13 @@
 Numbers, quantities with units and names become typed placeholders; the rest is lower-cased and cut
 into words. Windows of such words of all benchmark items are hash-joined with those of all documents.
 An item is in a document if enough of its windows are and the slots agree: aligned as the windows are,
-each value of the item stands for one value in the document throughout, the same or another.
+each value of the item stands for one value in the document throughout, the same or another. Where the
+document as a whole disagrees, each occurrence of the item in it is judged by itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.storage import saved, small
@@ -114,19 +115,52 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     enough = hits.groupBy("key", "doc_id", "item").agg((F.count_distinct("item_at") / F.first("n")).alias("share")).where(F.col("share") >= COVERAGE)
     enough = saved(enough)
 
-    # Slots of the items' matched windows, each with its place in the document.
+    # Slots of the items' windows, and of the documents that have enough of them.
     slots = windows.select("item", F.col("at").alias("item_at"), F.explode("slots").alias("slot"))
-    aligned = hits.join(slots, ["item", "item_at"]).select(
-        "key", "item", F.col("slot.value").alias("item_value"), (F.col("at") - F.col("item_at") + F.col("slot.at")).alias("at")
-    )
-    aligned = aligned.distinct()
-    wanted = aligned.select("key").distinct()
+    slots = slots.select("item", "item_at", F.col("slot.at").alias("slot_at"), F.col("slot.value").alias("item_value"))
+    wanted = enough.select("key").distinct()
     own = rows.join(small(wanted), "key", "left_semi").dropDuplicates(["key"]).withColumn("words", template_words(F.col("text")))
     own = own.select("key", F.explode(template_slots(F.col("text"), F.col("words"))).alias("slot")).select("key", F.col("slot.at").alias("at"), F.col("slot.value").alias("value"))
-    # Where a document has an item several times, one consistent reading is enough.
-    kinds_of = aligned.join(own, ["key", "at"]).groupBy("key", "item", "item_value").agg(F.count_distinct("value").alias("values"), F.max((F.col("value") == F.col("item_value")).cast("int")).alias("same"))
-    torn = kinds_of.groupBy("key", "item").agg(F.max("values").alias("most"), F.min("same").alias("same")).where("most > 1 AND same = 0").select("key", "item")
-    return enough.join(torn, ["key", "item"], "left_anti")
+    own = saved(own)
+    torn = saved(_torn(hits.join(enough, ["key", "item"], "left_semi"), slots, own, ["key", "item"]))
+    whole = enough.join(torn, ["key", "item"], "left_anti")
+    # Several occurrences, or windows that the item has twice, may disagree: one consistent reading is enough.
+    read = saved(_readings(hits.join(torn, ["key", "item"], "left_semi")))
+    good = read.groupBy("key", "item", "anchor").agg((F.count_distinct("item_at") / F.first("n")).alias("share")).where(F.col("share") >= COVERAGE)
+    good = good.join(_torn(read, slots, own, ["key", "item", "anchor"]), ["key", "item", "anchor"], "left_anti")
+    single = enough.select("key", "item", "doc_id").distinct().join(good.groupBy("key", "item").agg(F.max("share").alias("share")), ["key", "item"])
+    return whole.unionByName(single)
+
+
+def _torn(hits: DataFrame, slots: DataFrame, own: DataFrame, by: list[str]) -> DataFrame:
+    """The groups of hits in which an item's value stands for several, and some value never for itself."""
+    aligned = hits.join(slots, ["item", "item_at"]).select(*by, "item_value", (F.col("at") - F.col("item_at") + F.col("slot_at")).alias("at")).distinct()
+    kinds_of = aligned.join(own, ["key", "at"]).groupBy(*by, "item_value").agg(F.count_distinct("value").alias("values"), F.max((F.col("value") == F.col("item_value")).cast("int")).alias("same"))
+    return kinds_of.groupBy(*by).agg(F.max("values").alias("most"), F.min("same").alias("same")).where("most > 1 AND same = 0").select(*by)
+
+
+def _readings(hits: DataFrame) -> DataFrame:
+    """hits by the occurrence (anchor) that they are read as part of.
+
+    Each alignment (place in the document less that in the item) is the anchor of one occurrence. Others
+    up to half the item's windows away fill in what it leaves, as where words were put in or left out: each
+    window of the item, and of the document, goes to the anchor if it can, else to the alignment with
+    most windows.
+    """
+    placed = hits.select("key", "item", "n", "at", "item_at", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    shifts = placed.groupBy("key", "item", "shift").agg(F.count("*").alias("size"))
+    # Neighbours by buckets of that width: an equi-join.
+    spans = placed.groupBy("item").agg(F.greatest(F.max("n").cast("long"), F.lit(2)).alias("n"))
+    reach = F.ceil(F.col("n") / 2)
+    shifts = shifts.join(spans, "item").select("key", "item", "shift", "size", reach.alias("reach"), F.floor(F.col("shift") / reach).alias("bucket"))
+    anchors = shifts.select("key", "item", F.col("shift").alias("anchor"), "reach", F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"))
+    pairs = anchors.join(shifts.drop("reach"), ["key", "item", "bucket"]).where(F.abs(F.col("anchor") - F.col("shift")) <= F.col("reach"))
+    read = placed.join(pairs.select("key", "item", "shift", "anchor", "size"), ["key", "item", "shift"])
+    best = F.struct((F.col("shift") == F.col("anchor")).alias("own"), F.col("size"), (-F.abs(F.col("shift") - F.col("anchor"))).alias("near"), F.col("shift"))
+    read = read.withColumn("best", best)
+    for side in ("item_at", "at"):
+        read = read.withColumn(f"top_{side}", F.max("best").over(Window.partitionBy("key", "item", "anchor", side)))
+    return read.where("best = top_item_at AND best = top_at").select("key", "item", "n", "anchor", "at", "item_at")
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
