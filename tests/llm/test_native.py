@@ -62,6 +62,19 @@ def test_one_consistent_occurrence_is_enough(spark, documents):
     assert contaminated(spark, documents, rows, item, twice) == {1: [0], 3: [0], 4: [1], 5: [1], 6: [0]}
 
 
+def test_number_heavy_and_unspaced_items(spark, documents, caplog):
+    sums, chinese = "What is 12 + 7 + 30 + 4 + 5 + 6", "小明有12个苹果，他给了小红5个苹果，还剩下多少个苹果？"
+    rows = [
+        (1, FILL + sums + "? " + FILL),
+        (2, FILL + sums.replace("7 + 30", "8 + 31") + "? " + FILL),
+        (3, "这是一段普通的文字。" + chinese + "后面还有别的文字。"),
+        (4, "这是一段普通的文字。" + chinese.replace("12", "31").replace("5", "9")),
+        (5, "这是一段普通的文字，与题目没有任何关系。"),
+    ]
+    assert contaminated(spark, documents, rows, sums, chinese, None, "12 + 7") == {1: [0], 3: [1], 4: [1]}
+    assert "2 benchmark items are too short" in caplog.text
+
+
 def test_short_items_and_no_items(spark, documents):
     assert contaminated(spark, documents, [(1, FILL + "five words are found here too"), (2, FILL)], "five words are found") == {1: [0]}
     assert contaminated(spark, documents, [(1, FILL)]) == {}

@@ -4,11 +4,15 @@ Numbers, quantities with units and names become typed placeholders; the rest is
 into words. Windows of such words of all benchmark items are hash-joined with those of all documents.
 An item is in a document if enough of its windows are and the slots agree: aligned as the windows are,
 each value of the item stands for one value in the document throughout, the same or another. Where the
-document as a whole disagrees, each occurrence of the item in it is judged by itself.
+document as a whole disagrees, each occurrence of the item in it is judged by itself. Items whose windows
+are mostly placeholders are looked for by their literal words, so as they stand only.
 """
 
 from __future__ import annotations
 
+import logging
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,9 @@ LEAST_PLAIN = 0.5
 #: Share of an item's windows that a document must have.
 COVERAGE = 0.3
 
+#: Characters of scripts without spaces (Thai to Khmer, kana, Chinese), each of which is a word.
+UNSPACED = "[\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3040-\\u30ff\\u31f0-\\u31ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff\\x{20000}-\\x{3ffff}]"
+
 # Units, and the placeholders' characters (private use).
 UNITS = (
     "mm|cm|dm|km|m|in|ft|yd|mi|miles?|inch(?:es)?|feet|foot|yards?|met(?:er|re)s?|kilomet(?:er|re)s?|centimet(?:er|re)s?"
@@ -38,6 +45,13 @@ NUMBER_PATTERN = rf"{_DIGITS}(?![\p{{L}}\p{{N}}])"
 NAME_PATTERN = r"(?<=[\p{Ll}0-9,;] )\p{Lu}[\p{Ll}'’-]++(?: \p{Lu}[\p{Ll}'’-]++)*+"
 
 
+def _spaced(text: Column) -> Column:
+    """The text ('' for null), with characters of scripts without spaces set apart; a column of its own
+    before words and slots are cut, as these would work it out many times over."""
+    plain = F.coalesce(text, F.lit(""))
+    return F.when(plain.rlike(UNSPACED), F.regexp_replace(plain, f"({UNSPACED})", " $1 ")).otherwise(plain)
+
+
 def _stages(text: Column) -> tuple[Column, Column, Column]:
     """The text, without quantities, without numbers too, and without names too."""
     plain = F.coalesce(text, F.lit(""))
@@ -53,6 +67,11 @@ def template_words(text: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
+def literal_words(text: Column) -> Column:
+    """Words of the text as it stands: lower-case letters and digits."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def _places(words: Column, sign: str) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when(w == sign, i)), lambda i: i.isNotNull())
 
@@ -75,23 +94,37 @@ def _window_hashes(words: Column, k: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.slice(words, i, k)))
 
 
-def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, k, n, window, at, slots): all windows of the items, how many windows the item has, and the
-    placeholders in each. Items of under SHORT_WINDOW_WORDS words have none."""
-    words = items.select(F.col(item_id).alias("item"), F.col(text).alias("text")).distinct()
-    words = words.withColumn("words", template_words(F.col("text"))).withColumn("slots", template_slots(F.col("text"), F.col("words")))
+def _item_windows(words: DataFrame, literal: bool) -> DataFrame:
+    """Windows of (item, words, slots) that are plain enough, or (literal) all."""
     length = F.size("words")
-    out = None
+    out = []
     for k, fits in ((WINDOW_WORDS, length >= WINDOW_WORDS), (SHORT_WINDOW_WORDS, (length < WINDOW_WORDS) & (length >= SHORT_WINDOW_WORDS))):
         rows = words.where(fits).select("item", "words", "slots", F.posexplode(_window_hashes(F.col("words"), k)).alias("at", "window"))
         inside = F.filter("slots", lambda s: (s["at"] >= F.col("at")) & (s["at"] < F.col("at") + k))
-        rows = rows.select("item", F.lit(k).alias("k"), "window", "at", inside.alias("slots"))
-        rows = rows.where(F.size("slots") <= (1 - LEAST_PLAIN) * k)
-        out = rows if out is None else out.unionByName(rows)
+        rows = rows.select("item", F.lit(k).alias("k"), F.lit(literal).alias("literal"), "window", "at", inside.alias("slots"))
+        out.append(rows.where(F.size("slots") <= (1 - LEAST_PLAIN) * k))
+    return reduce(DataFrame.unionByName, out)
+
+
+def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, k, literal, n, window, at, slots): all windows of the items, how many windows the item has,
+    and the placeholders in each. Items without a window of enough plain words have literal ones, without
+    placeholders. Items of under SHORT_WINDOW_WORDS words have none."""
+    texts = items.select(F.col(item_id).alias("item"), _spaced(F.col(text)).alias("text")).distinct()
+    words = texts.withColumn("words", template_words(F.col("text"))).withColumn("slots", template_slots(F.col("text"), F.col("words")))
+    plain = saved(_item_windows(words, False))
+    left = texts.join(plain.select("item").distinct(), "item", "left_anti")
+    left = left.withColumn("words", literal_words(F.col("text"))).withColumn("slots", F.filter(template_slots(F.lit(""), F.array(F.lit(""))), lambda s: F.lit(False)))
+    out = saved(plain.unionByName(_item_windows(left, True)))
     counts = out.groupBy("item").agg(F.count_distinct("at").alias("n"))
     return out.join(counts, "item")
 
 
+def unsearchable(items: DataFrame, windows: DataFrame, item_id: str = "item_id") -> DataFrame:
+    """The rows of items that have no window, and so are found nowhere."""
+    return items.join(windows.select(F.col("item").alias(item_id)).distinct(), item_id, "left_anti")
+
+
 def _key(doc_id: str, text: str) -> Column:
     """Rows with equal id and text share a key, and a verdict."""
     return F.xxhash64(F.col(doc_id), F.col(text))
@@ -101,12 +134,15 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     """(key, doc_id, item, share): the items found in each document, by the key of its rows, and the
     share of the item's windows that it has."""
     windows = saved(benchmark_windows(items))
-    kinds = [r["k"] for r in windows.select("k").distinct().collect()]
-    rows = docs.select(_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    cut = rows.select("key", "doc_id", template_words(F.col("text")).alias("words"))
+    missed = unsearchable(items, windows).count()
+    if missed:
+        logging.getLogger(__name__).warning("%d benchmark items are too short to be looked for", missed)
+    kinds = [(r["literal"], r["k"]) for r in windows.select("literal", "k").distinct().collect()]
+    rows = docs.select(_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), _spaced(F.col(text)).alias("text"))
     hits = None
-    for k in sorted(kinds):
-        side = windows.where(F.col("k") == k).select("window", "item", "n", F.col("at").alias("item_at"))
+    for literal, k in sorted(kinds):
+        cut = rows.select("key", "doc_id", (literal_words if literal else template_words)(F.col("text")).alias("words"))
+        side = windows.where((F.col("k") == k) & (F.col("literal") == literal)).select("window", "item", "n", F.col("at").alias("item_at"))
         found = cut.select("key", "doc_id", F.posexplode(_window_hashes(F.col("words"), k)).alias("at", "window")).join(small(side), "window")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
@@ -167,7 +203,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """doc_id, contaminated and items (sorted ids of the items found) of each row of docs.
 
     Null and empty texts are clean; so is everything if there are no items. Repeated rows get the same
-    verdict each. Items with a null text or under SHORT_WINDOW_WORDS words are found nowhere.
+    verdict each. Items with a null text or under SHORT_WINDOW_WORDS words are found nowhere; a warning says
+    how many these are. Items of mostly placeholders are found with their own values only.
     """
     found = matches(docs, items, doc_id, text).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), _key(doc_id, text).alias("key"))
