@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from weftline.llm import language, licenses, spans, toxicity
+from weftline.llm import licenses, spans, toxicity
 from weftline.llm.registry import QUERIES
 
 WORDS = [f"{a}{b}{c}" for a in ("ba", "ce", "di", "fo") for b in ("na", "pe", "ri") for c in ("st", "ll", "m")]
@@ -126,22 +126,6 @@ def test_licenses_in_any_place(spark, documents):
     assert licenses.bands(0.5) == 24
 
 
-def test_languages_use_all_evidence(spark):
-    rng = random.Random(2)
-    parts = {"de": ["ung", "schl", "keit", "ver"], "fr": ["eau", "tion", "oux", "ment"], "en": ["ing", "the", "ly", "wh"]}
-    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(n))
-    labelled = spark.createDataFrame([(text(x, 40), x) for x in parts for _ in range(20)] + [(None, "de"), ("x", None)], "text string, lang string")
-    rows = [(i, f"http://h{i % 4}.example.{'de' if x == 'de' else 'com'}/", f'<html lang="{x}"><p>{text(x, 30)}</p>') for i, x in enumerate(list(parts) * 12)]
-    rows += [(900, None, None), (901, "http://h0.example.de/x", '<html lang="de"><p>12</p>'), (902, "not an address", "<p></p>")]
-    found = {r["page_id"]: r for r in language.page_languages(spark.createDataFrame(rows, "page_id long, url string, html string"), labelled).collect()}
-    assert len(found) == len(rows)
-    assert all(found[i]["lang"] == list(parts)[i % 3] for i in range(36))
-    assert found[901]["lang"] == "de" and found[901]["text_lang"] is None
-    assert found[900]["lang"] in parts and 0 < found[900]["confidence"] <= 1
-    empty = language.page_languages(spark.createDataFrame(rows[:2], "page_id long, url string, html string"), labelled.limit(0)).collect()
-    assert {r["lang"] for r in empty} == {None}
-
-
 def test_pipeline_equals_its_stages(spark, documents, tmp_path):
     rng = random.Random(8)
     good = [prose(rng, 80) for _ in range(30)]

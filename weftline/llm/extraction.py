@@ -1,10 +1,12 @@
 """Main text of HTML pages by the maximum-scoring subsequence (operator 1).
 
-A page is a sequence of words and tags. Words score by where they stand (their element's context) and
-tags by their name; both weights are log odds, learned by counting over labelled pages: pages whose
-main text an ``article`` (or ``main``) element marks. Words are positive and tags negative. One linear
-scan finds the contiguous region with the highest total; the text of that region, without the elements
-that never belong to an article (menus, adverts, forms and so on), is the result.
+A page is a sequence of words and tags. Each word scores by its context: the elements and the words of
+the class, id and role attributes around it, and the size and share of links of the block that it
+stands in; each tag costs by its name. The weights are log odds, counted over labelled pages (those
+whose main text an ``article`` or ``main`` element marks) on top of a stated prior. One linear scan
+finds the contiguous region with the highest total; its text, without the elements whose context is
+that of boilerplate (an advert amid an article), is the result. The marks serve as labels and are
+not read when a page is scored, but for one thing: a header within a section or article is not the page's.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,16 +25,13 @@ from pyspark.sql import types as T
 
 from weftline.llm.storage import sampled
 
-#: Labelled pages from which weights are learned: at most about so many, those with the smallest hash of the url.
+#: Pages looked at for weights: about so many at most, those with the smallest hash; the marked ones among them count.
 TRAINING_PAGES = 5000
+#: A learned class of context or tag must be on so many of these pages at least.
+LEAST_PAGES = 3
 
-# Element names of HTML and words of class, id and role attributes.
+# Element names of HTML, and words of class, id and role attributes.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
-DROPPED = {
-    "script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "head",
-    "nav", "header", "footer", "aside", "form", "button", "select", "option", "input", "label", "fieldset", "dialog",
-    "menu", "svg", "canvas", "object", "embed", "audio", "video", "map",
-}
 VOID = {
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
 }
@@ -43,209 +44,371 @@ CLOSES = {  # an opening tag of the key ends an open element of the values
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"},
 }
-DROPPED_WORDS = {
+MARKS = {"article", "main"}
+# Elements that say nothing about what is in them, and parts of lists and tables, which count with the whole.
+PLAIN = INLINE | MARKS | {
+    "html", "body", "div", "section", "center", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot",
+    "tr", "td", "th", "summary", "details",
+}
+PARTS = {"li", "dt", "dd", "thead", "tbody", "tfoot", "tr", "td", "th"}
+# The prior: so many pages with a class of context outside (first) or inside (second) the main text.
+OUTSIDE_ELEMENTS = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "fieldset", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "map"}
+INSIDE_ELEMENTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption"}
+OUTSIDE_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "banner",
     "banners", "sponsor", "sponsored", "promo", "promotion", "promoted", "nav", "navbar", "navigation", "navigations",
     "menu", "menubar", "menus", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "aside", "complementary", "footer",
-    "header", "masthead", "contentinfo", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification",
-    "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments",
-    "commentlist", "disqus", "respond", "replies", "reply", "discussion", "share", "sharing", "social", "related",
-    "recommended", "recommendations", "widget", "widgets", "pagination", "pager", "toolbar", "search", "alert",
-    "alertdialog", "dialog", "disclaimer", "copyright",
+    "contentinfo", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "popup", "modal",
+    "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "commentlist",
+    "disqus", "respond", "replies", "reply", "social", "related", "recommended", "recommendations", "widget", "widgets",
+    "pagination", "pager", "toolbar", "alert", "alertdialog", "dialog", "disclaimer", "copyright",
 }
-# Words that excuse some of them ("page-header"), and words that turn all around ("has-sidebar").
-EXCUSED = {"header", "masthead", "search", "discussion", "share"}
-KEPT_WORDS = {"content", "article", "post", "entry", "main", "story", "page", "body", "text", "wrapper", "container"}
+# Words that may stand around or inside an article, too.
+DOUBTFUL_WORDS = {"header", "masthead", "search", "discussion", "share", "sharing"}
+# In "has-sidebar" or "no-ads" the second word doesn't say what the element is.
 TURNING = {"has", "with", "no", "not", "without", "is"}
-
-_TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<![^>]*>|<\?[^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
-_NAME_WORD = re.compile(r"[a-z]+")
+PRIOR = {
+    **{("element", x): (40.0, 0.0) for x in OUTSIDE_ELEMENTS},
+    **{("element", x): (1.0, 8.0) for x in INSIDE_ELEMENTS},
+    ("element", "header"): (40.0, 0.0),
+    ("element", "inner header"): (1.0, 1.0),
+    **{("word", x): (40.0, 0.0) for x in OUTSIDE_WORDS},
+    **{("word", x): (3.0, 0.0) for x in DOUBTFUL_WORDS},
+    ("links", "most"): (8.0, 1.0),
+    ("links", "some"): (1.0, 1.0),
+    ("links", "few"): (2.0, 3.0),
+    ("size", "2"): (4.0, 1.0),
+    ("size", "9"): (3.0, 2.0),
+    ("size", "29"): (2.0, 3.0),
+    ("size", "more"): (1.0, 6.0),
+}
+
+#: Bounds of weights: of a context for and against, of a block's size and links, and of a tag's cost. A
+#: plain word outweighs the tags of a paragraph, so that short paragraphs stay.
+MOST_FOR, MOST_AGAINST, MOST_BLOCK = 1.5, 4.0, 0.75
+LEAST_COST, MOST_COST = 0.01, 0.5
+#: An element with so much of a page's words is no boilerplate if what else there is has under this share of its words.
+WRAPPER_SHARE, LITTLE_ELSE = 0.5, 0.1
+
+#: Weights of blocks where only short ones are.
+SHORT_BLOCKS = {("links", "few"): 1.0, ("links", "some"): 1.0, ("links", "most"): -1.0}
+
+Feature = tuple[str, str]
+Weights = dict[Feature, float]
+
+_NEXT = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_IN_TAG = re.compile(r">|=\s*[\"']")
+_COMMENT_END = re.compile(r"--!?>")
+_NAMING = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_WORD = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
-    """Whether an element never belongs to an article."""
-    if name in ("html", "body"):
-        return False
-    if name in DROPPED:
-        return True
-    if "=" not in attributes or name in VOID:
-        return False
-    for attribute, *values in _ATTRIBUTE.findall(attributes):
-        if attribute.lower() in ("class", "id", "role"):
-            for part in html_lib.unescape("".join(values)).split():
-                words = set(_NAME_WORD.findall(_HUMP.sub("-", part).lower()))
-                bad = words & DROPPED_WORDS
-                if bad and not words & TURNING and not (bad <= EXCUSED and words & KEPT_WORDS):
-                    return True
-    return False
+@lru_cache(maxsize=50_000)
+def _naming_words(values: str) -> tuple[Feature, ...]:
+    """The words of class, id and role values; names with a turning word have none."""
+    out: dict[Feature, None] = {}
+    for part in html_lib.unescape(values).split():
+        words = _WORD.findall(_HUMP.sub("-", part).lower())
+        if TURNING.isdisjoint(words):
+            out.update(dict.fromkeys(("word", w) for w in words))
+    return tuple(out)
 
 
-OUT, OPEN, MARKED = 0, 1, 2
+def _features(name: str, attributes: str, within: bool) -> tuple[Feature, ...]:
+    """What an element (within a section or not) says about the words in it."""
+    own = () if name in PLAIN else (("element", f"inner {name}" if within and name == "header" else name),)
+    if "=" in attributes and name not in ("html", "body"):
+        values = " ".join("".join(x) for x in _NAMING.findall(attributes))
+        if values:
+            return own + _naming_words(values)
+    return own
 
 
 class Page:
-    """A page as a sequence of items: (is_tag, name, text, block, place).
+    """A page as a sequence of items (element, block, text, tag): a text, or a tag's name with text None.
 
-    name: of the tag, or of the element that a text stands in. Block numbers grow where an element
-    begins or ends a block. place: OUT within boilerplate, MARKED within an article or main element,
-    else OPEN.
+    element numbers what the item stands in. Block numbers grow where an element begins or ends a
+    block. Of each element: parents, features, in_mark, and unit, the element whose words and links
+    count as those of its texts.
     """
 
     def __init__(self, source: str):
-        self.items: list[tuple[bool, str, str, int, int]] = []
-        self.has_mark = False
-        stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, marked
-        at = block = 0
-        end = len(source)
+        self.items: list[tuple[int, int, str | None, str]] = []
+        self.parents, self.features, self.in_mark, self.unit, self.is_link = [-1], [()], [False], [0], [False]
+        self._stack, self._names = [0], [""]
+        self._open: Counter[str] = Counter()
+        self._block = 0
+        self._read(source)
+
+    def _read(self, source: str) -> None:
+        at, end = 0, len(source)
         while at < end:
-            found = _TOKEN.search(source, at)
-            self._text(source[at : found.start() if found else end], stack, block)
+            found = _NEXT.search(source, at)
             if not found:
                 break
-            at = found.end()
-            name = (found[2] or "").lower()
-            if not name:
-                continue
-            bad, marked = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            if name not in INLINE:
-                block += 1
-            if found[1]:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                self.items.append((True, name, "", block, OUT if bad else MARKED if marked else OPEN))
-                if depth is not None:
-                    del stack[depth:]
-                elif name == "br":
-                    self._text(" ", stack, block)
-                continue
-            while stack and stack[-1][0] in CLOSES.get(name, ()):
-                stack.pop()
-            if name == "body":  # an unclosed head ends here
-                stack = [x for x in stack if x[0] != "head"]
-                bad = stack[-1][1] if stack else False
-            bad = bad or _boilerplate(name, found[3])
-            marked = marked or name in ("article", "main")
-            self.has_mark |= marked and not bad
-            self.items.append((True, name, "", block, OUT if bad else MARKED if marked else OPEN))
-            if name in VOID:
-                if name == "br":
-                    self._text(" ", stack, block)
-                continue
-            if found[3].rstrip().endswith("/") and name in ("svg", "path", "circle", "use", "rect"):
-                continue
-            if name in RAW:
-                close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                at = close.end() if close else end
-                continue
-            stack.append((name, bad, marked))
-
-    def _text(self, text: str, stack: list, block: int) -> None:
-        if text:
-            name, bad, marked = stack[-1] if stack else ("", False, False)
-            self.items.append((False, name, html_lib.unescape(text), block, OUT if bad else MARKED if marked else OPEN))
-
-    def counts(self) -> dict[tuple[str, str, bool], int]:
-        """Of a labelled page: how often each tag, and words in each element, are in the main text or not."""
-        out: dict[tuple[str, str, bool], int] = {}
-        for is_tag, name, text, _, place in self.items:
-            n = 1 if is_tag else len(text.split())
-            if n:
-                key = ("tag" if is_tag else "word", name, place == MARKED)
-                out[key] = out.get(key, 0) + n
-        return out
-
-    def main_text(self, weights: dict[tuple[str, str], float]) -> str:
-        """The text of the best region; empty if no word scores above zero.
-
-        Boilerplate within the region is left out and doesn't part it. Where a page marks its article,
-        words elsewhere count against a region; tags inside the mark cost next to nothing. Of regions
-        that tie, the first and longest is taken.
-        """
-        best, best_from, best_to = 0.0, 0, 0
-        total, start = 0.0, 0
-        for i, (is_tag, name, text, _, place) in enumerate(self.items):
-            if place == OUT:
+            start = found.start()
+            after = self._markup(source, start)
+            if after is None:  # what begins here ends nowhere: it is text
+                break
+            if start > at:
+                self._text(source[at:start])
+            at = after
+            if self._pending:
+                at = self._tag(source, at, *self._pending)
+        if at < end:
+            self._text(source[at:end])
+
+    def _markup(self, source: str, start: int) -> int | None:
+        """Where the markup at start ends; a tag is left in _pending. Each place of the page is looked at
+        a bounded number of times, whatever is unclosed."""
+        self._pending = None
+        if source.startswith("<!--", start):
+            if source.startswith((">", "->"), start + 4):
+                return source.index(">", start + 4) + 1
+            close = _COMMENT_END.search(source, start + 4)
+            return close.end() if close else len(source)
+        closing = source.startswith("/", start + 1)
+        name = _NAME.match(source, start + 1 + closing)
+        if not name:
+            close = source.find(">", start)
+            return close + 1 if close >= 0 else None
+        at = name.end()
+        while True:
+            sign = _IN_TAG.search(source, at)
+            if not sign:
+                return None
+            at = sign.end()
+            if sign[0] == ">":
+                break
+            close = source.find(sign[0][-1], at)
+            if close < 0:  # an open quotation: the tag ends at its next end sign
+                close = source.find(">", at)
+                if close < 0:
+                    return None
+                at = close + 1
+                break
+            at = close + 1
+        self._pending = (closing, name[0].lower(), source[name.end() : at - 1])
+        return at
+
+    def _tag(self, source: str, at: int, closing: bool, name: str, attributes: str) -> int:
+        """Takes in a tag that ends at at; returns where to read on."""
+        if name not in INLINE:
+            self._block += 1
+        self.items.append((self._stack[-1], self._block, None, name))
+        if closing:
+            if self._open[name]:
+                while self._pop() != name:
+                    pass
+            elif name == "br":
+                self._text(" ")
+            return at
+        while self._names[-1] in CLOSES.get(name, ()):
+            self._pop()
+        if name == "body" and self._open["head"]:  # an unclosed head ends here
+            while self._pop() != "head":
+                pass
+        if name in VOID:
+            if name == "br":
+                self._text(" ")
+            return at
+        if name in RAW:
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            return close.end() if close else len(source)
+        if attributes.endswith("/") and name in ("svg", "path", "circle", "use", "rect"):
+            return at
+        above, this = self._stack[-1], len(self.parents)
+        self.parents.append(above)
+        self.features.append(_features(name, attributes, self._open["article"] + self._open["section"] > 0))
+        self.in_mark.append(self.in_mark[above] or name in MARKS)
+        self.unit.append(self.unit[above] if name in INLINE or name in PARTS else this)
+        self.is_link.append(self.is_link[above] or name == "a")
+        self._stack.append(this)
+        self._names.append(name)
+        self._open[name] += 1
+        return at
+
+    def _pop(self) -> str:
+        self._stack.pop()
+        name = self._names.pop()
+        self._open[name] -= 1
+        return name
+
+    def _text(self, text: str) -> None:
+        self.items.append((self._stack[-1], self._block, html_lib.unescape(text), ""))
+
+    def measure(self) -> None:
+        """Words of each text and within each element, and the (size, links) features of each unit."""
+        own = [0] * len(self.parents)
+        self.words = [0 if text is None else len(text.split()) for _, _, text, _ in self.items]
+        of_unit, of_links = dict.fromkeys(self.unit, 0), dict.fromkeys(self.unit, 0)
+        for (e, _, text, _), n in zip(self.items, self.words, strict=True):
+            if text is not None:
+                own[e] += n
+                unit = self.unit[e]
+                of_unit[unit] += n
+                if self.is_link[e]:
+                    of_links[unit] += n
+        for e in range(len(own) - 1, 0, -1):  # parents come before their children
+            own[self.parents[e]] += own[e]
+        self.inside = own
+        self.block_features = {u: (_size(n), _links(of_links[u] / n if n else 0.0)) for u, n in of_unit.items()}
+
+    def shares(self) -> dict[tuple[str, str, bool], float]:
+        """Of a marked page: for each class of context, of block and of tag, its share of the words (tags)
+        inside the main text, and of those outside. Empty without a mark."""
+        if not any(self.in_mark):
+            return {}
+        self.measure()
+        out: dict[tuple[str, str, bool], float] = {}
+        totals = {"words": [0.0, 0.0], "tags": [0.0, 0.0]}
+        around: dict[int, frozenset[Feature]] = {-1: frozenset(), 0: frozenset()}
+        for (e, _, text, tag), n in zip(self.items, self.words, strict=True):
+            where = self.in_mark[e]
+            if text is None and tag not in MARKS:
+                totals["tags"][where] += 1
+                out["tag", tag, where] = out.get(("tag", tag, where), 0) + 1
+            if not n:
                 continue
-            if place == MARKED or not self.has_mark:
-                total += -PLAIN_TAG if is_tag and place == MARKED else score(weights, is_tag, name) * (1 if is_tag else len(text.split()))
+            totals["words"][where] += n
+            for f in self._around(e, around) | set(self.block_features[self.unit[e]]):
+                out[(*f, where)] = out.get((*f, where), 0) + n
+        return {k: n / (totals["tags" if k[0] == "tag" else "words"][k[2]] or 1) for k, n in out.items()}
+
+    def _around(self, e: int, known: dict[int, frozenset[Feature]]) -> frozenset[Feature]:
+        chain = []
+        while e not in known:
+            chain.append(e)
+            e = self.parents[e]
+        found = known[e]
+        for e in reversed(chain):
+            if self.features[e]:
+                found = found.union(self.features[e])
+            known[e] = found
+        return found
+
+    def contexts(self, weights: Weights, excused: bool) -> list[float]:
+        """A score of each element's place: the best sign for main text among what is around it, and the
+        worst against. excused: elements with most of the page's words have no sign against."""
+        best, worst = [0.0], [0.0]
+        most = WRAPPER_SHARE * self.inside[0]
+        for e in range(1, len(self.parents)):
+            up = self.parents[e]
+            own = sum(weights.get(f, 0.0) for f in self.features[e]) if self.features[e] else 0.0
+            if own < 0 and excused and self.inside[e] >= most:
+                own = 0.0
+            best.append(max(best[up], min(own, MOST_FOR)))
+            worst.append(min(worst[up], max(own, -MOST_AGAINST)))
+        return [b + w for b, w in zip(best, worst, strict=True)]
+
+    def main_text(self, weights: Weights) -> str:
+        """The text of the best region. On a page of short blocks only, where none scores above zero, sizes
+        don't count: every word does that is not in boilerplate nor among links."""
+        self.measure()
+        found = self._region(weights, False)
+        wider = self._region(weights, True)
+        if wider[1] and found[1] < LITTLE_ELSE * wider[1]:
+            found = wider
+        if not found[1]:
+            found = self._region({f: w for f, w in weights.items() if f[0] in ("element", "word")} | SHORT_BLOCKS, False)
+        return found[0]
+
+    def _region(self, weights: Weights, excused: bool) -> tuple[str, int]:
+        """The best region's text and its number of words. Boilerplate amid a region is left out; it costs as
+        much as a tag, however long it is, so that it doesn't part an article."""
+        context = self.contexts(weights, excused)
+        of_block = {u: sum(weights.get(f, 0.0) for f in fs) for u, fs in self.block_features.items()}
+        scores = []
+        before = False
+        for (e, _, text, tag), n in zip(self.items, self.words, strict=True):
+            boilerplate = context[e] < 0
+            if boilerplate:
+                scores.append(0.0 if before else -MOST_COST)
+            elif text is None:
+                scores.append(weights.get(("tag", tag), -LEAST_COST))
             else:
-                total -= PLAIN_TAG if is_tag else OFF_WORD * len(text.split())
-            if total > best:
-                best, best_from, best_to = total, start, i + 1
-            if total <= 0:
-                total, start = 0.0, i + 1
+                scores.append(n * (context[e] + of_block[self.unit[e]]) if n else 0.0)
+            before = boilerplate
+        first, last = best_region(scores)
         blocks: dict[int, list[str]] = {}
-        for is_tag, _, text, block, place in self.items[best_from:best_to]:
-            if not is_tag and place != OUT:
+        n_words = 0
+        for i in range(first, last):
+            e, block, text, _ = self.items[i]
+            if text is not None and context[e] >= 0:
                 blocks.setdefault(block, []).append(text)
+                n_words += self.words[i]
         joined = (" ".join("".join(parts).split()) for parts in blocks.values())
-        return " ".join(x for x in joined if x)
+        return " ".join(x for x in joined if x), n_words
 
 
-#: Bounds of learned weights. A plain word outweighs the tags of a paragraph, so that short paragraphs stay.
-MIN_WORD, MAX_WORD, MAX_TAG = 0.5, 2.0, 1.0
-PLAIN_TAG = 0.01
-#: What a word outside the marked article of a page counts against a region.
-OFF_WORD = 4.0
+def _size(n: int) -> Feature:
+    return ("size", "2" if n <= 2 else "9" if n <= 9 else "29" if n <= 29 else "more")
 
 
-def score(weights: dict[tuple[str, str], float], is_tag: bool, name: str) -> float:
-    """The weight learned for a tag or for words in an element, or one for what labelled pages don't show."""
-    if is_tag:
-        return weights.get(("tag", name), -PLAIN_TAG)
-    return weights.get(("word", name), 1.0)
+def _links(share: float) -> Feature:
+    return ("links", "few" if share < 1 / 3 else "some" if share < 2 / 3 else "most")
 
 
-def weights_from(counts: dict[tuple[str, str, bool], int]) -> dict[tuple[str, str], float]:
-    """Log odds of standing inside the main text, with half a count added to each side.
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """From and to which item (exclusive) the sum is greatest; of those that tie the first to end that
+    begins earliest. Empty (0, 0) if no sum is above zero."""
+    best, best_from, best_to = 0.0, 0, 0
+    total, start = 0.0, 0
+    for i, score in enumerate(scores):
+        total += score
+        if total > best:
+            best, best_from, best_to = total, start, i + 1
+        if total < 0:
+            total, start = 0.0, i + 1
+    return best_from, best_to
 
-    Words are positive and tags negative, within the bounds above: words by the odds of their
-    element, tags by how much more at home they are outside.
-    """
-    sides = {inside: sum(n for (_, _, side), n in counts.items() if side == inside) + 1 for inside in (True, False)}
+
+def weights_from(shares: dict[tuple[str, str, bool], float]) -> Weights:
+    """Log odds of standing inside the main text, from sums of pages' shares on top of the prior, with half
+    a page added to each side. A tag's weight is a cost: how much more at home it is outside."""
     out = {}
-    for kind, name in {(k, n) for k, n, _ in counts}:
-        inside, outside = (counts.get((kind, name, side), 0) + 0.5 for side in (True, False))
-        odds = math.log(inside / sides[True]) - math.log(outside / sides[False])
-        out[kind, name] = min(MAX_WORD, max(MIN_WORD, odds)) if kind == "word" else -min(MAX_TAG, max(PLAIN_TAG, -odds))
+    for kind, name in {k[:2] for k in shares} | set(PRIOR):
+        outside, inside = PRIOR.get((kind, name), (0.0, 0.0))
+        odds = math.log((inside + shares.get((kind, name, True), 0.0) + 0.5) / (outside + shares.get((kind, name, False), 0.0) + 0.5))
+        if kind == "tag":
+            odds = -min(MOST_COST, max(LEAST_COST, -odds))
+        elif kind in ("size", "links"):
+            odds = min(MOST_BLOCK, max(-MOST_BLOCK, odds))
+        else:
+            odds = min(MOST_FOR, max(-MOST_AGAINST, odds))
+        out[kind, name] = odds
     return out
 
 
-def learn_weights(pages: DataFrame, url: str = "url", html: str = "html", limit: int = TRAINING_PAGES) -> dict[tuple[str, str], float]:
-    """Weights from labelled pages: a bounded sample of those with an article or main element.
+#: The prior alone, for pages without labelled ones.
+PRIOR_WEIGHTS = weights_from({})
 
-    The result is a small table: a row for each class of tag or context. Without labelled pages it
-    is empty, and the default weights hold.
-    """
-    likely = pages.select(F.col(url).alias("u"), F.col(html).alias("h")).where(F.col("h").rlike(r"(?i)<(?:article|main)[\s>]"))
-    sample = sampled(likely, F.col("u"), limit)
+
+def learn_weights(pages: DataFrame, url: str = "url", html: str = "html", limit: int = TRAINING_PAGES) -> Weights:
+    """Weights from the labelled pages in a bounded sample: the result is a table of what LEAST_PAGES of
+    these have. Equal rows count once. Without labelled pages the prior holds."""
+    sample = sampled(pages.select(F.col(url).alias("u"), F.col(html).alias("h")), ["u", "h"], limit)
+    sample = sample.where(F.col("h").rlike(r"(?i)<(?:article|main)[\s>]")).select("h")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            total: dict[tuple[str, str, bool], int] = {}
-            for source in batch["h"]:
-                page = Page(source)
-                if page.has_mark:
-                    for key, n in page.counts().items():
-                        total[key] = total.get(key, 0) + n
-            yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["kind", "name", "inside", "n"])
+            rows = [(*k, n) for source in batch["h"] for k, n in Page(source).shares().items()]
+            yield pd.DataFrame(rows, columns=["kind", "name", "inside", "n"])
 
-    counted = sample.mapInPandas(count, "kind string, name string, inside boolean, n long")
-    rows = counted.groupBy("kind", "name", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind", "name", "inside").limit(2000).collect()
-    return weights_from({(r["kind"], r["name"], r["inside"]): r["n"] for r in rows})
+    counted = sample.mapInPandas(count, "kind string, name string, inside boolean, n double").groupBy("kind", "name", "inside")
+    counted = counted.agg(F.round(F.sum("n"), 6).alias("n"), F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    return weights_from({(r["kind"], r["name"], r["inside"]): r["n"] for r in counted.collect()})
 
 
-def main_text(pages: DataFrame, url: str = "url", html: str = "html", weights: dict[tuple[str, str], float] | None = None) -> DataFrame:
+def main_text(pages: DataFrame, url: str = "url", html: str = "html", weights: Weights | None = None) -> DataFrame:
     """pages with text and n_chars (code points) instead of columns of these names.
 
-    Null, empty and tagless pages: null and empty give an empty text, plain text itself. Broken markup
-    is read as far as it goes: unclosed elements end with the page, comments and scripts at their own
-    end or the page's. Repeated rows are treated one by one.
+    Null and empty pages give an empty text, pages without tags their words. Broken markup is read as far
+    as it goes: unclosed elements end with the page, comments and scripts at their own end or the page's;
+    a tag that never ends is text. Time and memory grow with a page's length, however long or deep it
+    is. Of regions that tie, the one that ends first is taken. Repeated rows are treated one by one.
     """
     learned = learn_weights(pages, url, html) if weights is None else weights
 

@@ -4,7 +4,8 @@ Four pieces of evidence are multiplied: the likelihood of the page's text under
 of each language; that of the language its markup declares; that of its address's suffix; and a prior
 of its host. Host priors are smoothed in a hierarchy, host to registered domain to suffix to all pages,
 from grouped counts of what the texts alone say, the page's own vote left out. How far declarations
-can be trusted is counted in the same way.
+can be trusted is counted in the same way. A text's likelihood is tempered, by a temperature fitted to
+labelled texts.
 """
 
 from __future__ import annotations
@@ -18,18 +19,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import extraction, kernels
-from weftline.llm.storage import sampled, saved, small
+from weftline.llm.storage import dropped, saved, small
 
-#: Labelled texts used at most (about) for the models, those with the smallest hash.
-TRAINING_TEXTS = 4000
+#: Labelled texts used for a language's model and for the temperature, at most (about) for each language: the
+#: distinct ones with the smallest hash. One in TEMPERATURE_SHARE of them serves the temperature.
+TRAINING_TEXTS, TEMPERATURE_SHARE = 2000, 4
 BUCKETS = 1 << 14
-#: Trigrams of a text count as so many independent ones at most: neighbours share letters.
-MOST_EVIDENCE = 60.0
+#: Temperatures tried: neighbouring trigrams share letters, so that a text's are no independent evidence.
+TEMPERATURES = tuple(2.0**-i for i in range(9))
 #: Weight of each level of the hierarchy in pages.
 SMOOTHING = 5.0
 #: Likelihood that a country's suffix stands on pages of one of its languages.
 SUFFIX_TRUST = 0.8
 
+#: Where markup declares a language: the root element, a meta element in its stead, or a locale for previews.
+DECLARATIONS = (
+    r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})",
+    r"(?i)<meta\b[^<>]*?\bcontent-language\b[^<>]*?\bcontent\s*=\s*[\"']?([a-z]{2,3})",
+    r"(?i)<meta\b[^<>]*?\bog:locale\b[^<>]*?\bcontent\s*=\s*[\"']?([a-z]{2,3})",
+)
+
 # Languages of country suffixes.
 SUFFIX_LANGUAGES = {
     "de": ["de"], "at": ["de"], "ch": ["de", "fr", "it"], "li": ["de"], "fr": ["fr"], "be": ["nl", "fr"], "es": ["es"],
@@ -54,10 +63,24 @@ def _trigrams(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def learn_models(texts: DataFrame, text: str = "text", lang: str = "lang", limit: int = TRAINING_TEXTS) -> tuple[list[str], np.ndarray]:
-    """Languages, and the log likelihood of each bucket in each: a table of bounded size."""
+def training_texts(texts: DataFrame, text: str = "text", lang: str = "lang", limit: int = TRAINING_TEXTS) -> DataFrame:
+    """(lang, text, h): about limit distinct labelled texts of each language at most, with their hash.
+
+    The cut-off on the hash comes from each language's number of distinct texts, so that rare languages
+    keep all of theirs and repeated texts crowd out nothing.
+    """
     known = texts.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sample = sampled(known, F.col("text"), limit)
+    known = known.withColumn("h", F.xxhash64("text"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("c"))
+    below = known.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 32)) < F.lit(float(1 << 32)) * limit / F.col("c"))  # a row a language
+    return below.dropDuplicates(["lang", "h"]).select("lang", "text", "h")
+
+
+def learn_models(texts: DataFrame, text: str = "text", lang: str = "lang", limit: int = TRAINING_TEXTS) -> tuple[list[str], np.ndarray, float]:
+    """All languages of the labelled texts, the log likelihood of each bucket in each, and the temperature:
+    that at which held-back texts are likeliest. Tables of bounded size."""
+    sample = saved(training_texts(texts, text, lang, limit))
+    held_back = F.pmod(F.shiftright("h", 32), F.lit(TEMPERATURE_SHARE)) == 0
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -66,21 +89,38 @@ def learn_models(texts: DataFrame, text: str = "text", lang: str = "lang", limit
                 at = np.flatnonzero(n)
                 yield pd.DataFrame({"lang": name, "bucket": at, "n": n[at]})
 
-    counted = sample.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counted["lang"].unique())
+    counted = sample.where(~held_back).mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     table = np.full((len(languages), BUCKETS), 0.1)
     for i, name in enumerate(languages):
         part = counted[counted["lang"] == name]
         table[i, part["bucket"].to_numpy()] += part["n"].to_numpy()
-    return languages, np.log(table / table.sum(1, keepdims=True))
-
+    table = np.log(table / table.sum(1, keepdims=True))
 
-def text_evidence(texts: list[str | None], table: np.ndarray) -> np.ndarray:
-    """Log likelihood of each text in each language; zeros without letters."""
+    def trials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            scores = text_evidence(batch["text"].tolist(), table, 1.0)
+            own = np.searchsorted(languages, batch["lang"])
+            for i, t in enumerate(TEMPERATURES):
+                likely = t * scores
+                likely -= likely.max(1, keepdims=True)
+                loss = likely[np.arange(len(own)), own] - np.log(np.exp(likely).sum(1))
+                yield pd.DataFrame({"i": [i], "fit": [float(loss.sum())]})
+
+    tried = {}
+    if len(languages) > 1:
+        summed = sample.where(held_back).select("lang", "text").mapInPandas(trials, "i int, fit double").groupBy("i").agg(F.sum("fit").alias("fit"))
+        tried = {r["i"]: round(r["fit"], 6) for r in summed.collect()}
+    dropped(sample)
+    return languages, table, TEMPERATURES[max(tried, key=lambda i: (tried[i], i), default=0)]
+
+
+def text_evidence(texts: list[str | None], table: np.ndarray, temperature: float) -> np.ndarray:
+    """Log likelihood of each text in each language, tempered; zeros without letters."""
     out = np.zeros((len(texts), len(table)))
     for i, grams in enumerate(_trigrams(texts)):
         if len(grams):
-            out[i] = table[:, grams].mean(1) * min(len(grams), MOST_EVIDENCE)
+            out[i] = table[:, grams].sum(1) * temperature
     return out
 
 
@@ -101,8 +141,9 @@ def page_languages(
     text_lang is the best language by the text alone (null without letters), lang by all evidence.
     Null pages and addresses count as no evidence; a page without any gets the most common language.
     Repeated rows vote each. Without labelled texts lang is null. Ties go to the first language by name.
+    Texts count as a whole, however long.
     """
-    languages, table = learn_models(labelled, text, lang)
+    languages, table, temperature = learn_models(labelled, text, lang)
     if not languages:
         nothing = F.lit(None).cast("string")
         return pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), nothing.alias("text_lang"), nothing.alias("declared"), nothing.alias("host"), nothing.alias("lang"), F.lit(None).cast("double").alias("confidence"))
@@ -111,15 +152,15 @@ def page_languages(
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            texts = [extraction.Page(x).main_text({}) if x else "" for x in batch]
-            yield pd.Series(list(text_evidence(texts, table)), dtype=object)
+            texts = [extraction.Page(x).main_text(extraction.PRIOR_WEIGHTS) if x else "" for x in batch]
+            yield pd.Series(list(text_evidence(texts, table, temperature)), dtype=object)
 
     names = F.array(*map(F.lit, languages))
-    declared = F.lower(F.regexp_extract(F.col(html), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    declared = F.coalesce(*[F.nullif(F.lower(F.regexp_extract(F.col(html), pattern, 1)), F.lit("")) for pattern in DECLARATIONS])
     host = F.lower(F.regexp_extract(F.col(url), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), evidence(F.col(html)).alias("score"),
-        F.nullif(declared, F.lit("")).alias("declared"), F.coalesce(host, F.lit("")).alias("host"),
+        declared.alias("declared"), F.coalesce(host, F.lit("")).alias("host"),
     )
     top = F.array_max("score")
     likely = F.transform("score", lambda s: F.exp(s - top))
@@ -140,9 +181,10 @@ def page_languages(
     everything = suffixes.agg(F.coalesce(_sums("suffix_votes", n), F.array(*[F.lit(0.0)] * n)).alias("all_votes"), F.coalesce(F.sum("suffix_n"), F.lit(0)).alias("all_n"))
     said = voters.where(F.col("declared").isin(languages)).groupBy("declared").agg(_sums("vote", n).alias("said_votes"))
 
-    joined = rows.join(small(hosts.select("host", "host_votes", "host_n")), "host", "left")
-    joined = joined.join(small(domains.select("domain", "domain_votes", "domain_n")), "domain", "left")
-    joined = joined.join(small(suffixes), "suffix", "left").join(small(said), "declared", "left")
+    wide = F.lit(-(-(n + 4) // 4))  # a row holds n numbers besides its key
+    joined = rows.join(small(hosts.select("host", "host_votes", "host_n"), weight=wide), "host", "left")
+    joined = joined.join(small(domains.select("domain", "domain_votes", "domain_n"), weight=wide), "domain", "left")
+    joined = joined.join(small(suffixes, weight=wide), "suffix", "left").join(small(said, weight=wide), "declared", "left")
     joined = joined.join(F.broadcast(everything))  # one row
     own = F.when(F.col("blank"), F.transform("vote", lambda x: F.lit(0.0))).otherwise(F.col("vote"))
     one = F.when(F.col("blank"), 0).otherwise(1)
@@ -159,8 +201,8 @@ def page_languages(
     for level in ("suffix", "domain", "host"):
         prior = prior.withColumn("prior", _smoothed(without(f"{level}_votes"), count(f"{level}_n"), F.col("prior")))
     # P(declared | language), from how often pages voted for a language declare it.
-    everywhere = F.transform("all_votes", lambda v: v + SMOOTHING)
-    trust = F.zip_with(F.zip_with(F.coalesce("said_votes", zero), names, lambda v, x: v + F.when(x == F.col("declared"), SMOOTHING / 2).otherwise(SMOOTHING / 20)), everywhere, lambda v, w: v / w)
+    everywhere = F.transform(without("all_votes"), lambda v: v + SMOOTHING)
+    trust = F.zip_with(F.zip_with(without("said_votes"), names, lambda v, x: v + F.when(x == F.col("declared"), SMOOTHING / 2).otherwise(SMOOTHING / 20)), everywhere, lambda v, w: v / w)
     trust = F.when(F.col("declared").isin(languages), trust).otherwise(F.transform(names, lambda x: F.lit(1.0)))
     of_suffix = F.lit(None).cast("array<string>")
     for suffix, its in SUFFIX_LANGUAGES.items():

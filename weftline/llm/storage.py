@@ -15,9 +15,12 @@ BROADCAST_IDS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir. Where it is unset in local mode (tests), a temporary one; on a
+    cluster that would be a folder of one machine, so there it must be set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -50,13 +53,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = No
     return F.broadcast(df) if fits else df
 
 
-def sampled(df: DataFrame, key: Column, limit: int) -> DataFrame:
-    """About limit rows of df at most (all, if there are no more): those whose key hashes lowest.
+def sampled(df: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """About limit distinct rows of df at most (all, if there are no more): those that hash lowest in the
+    columns by, all of which must be given to tell rows apart.
 
-    A cut-off on the hash instead of a sort, so that no task gathers candidates; equal keys stay or go
-    together, and reruns agree.
+    A cut-off on the hash instead of a sort, so that no task gathers candidates, and reruns agree. Equal
+    rows are combined before they are shuffled, and count once.
     """
     n = df.count()
-    if n <= limit:
-        return df
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 32)) < int((1 << 32) * limit / n))
+    if n > limit:
+        df = df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 32)) < int((1 << 32) * limit / n))
+    return df.dropDuplicates(by)
