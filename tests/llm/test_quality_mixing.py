@@ -84,3 +84,33 @@ def test_mix_reaches_targets_and_repeats(spark, documents):
         assert target - 1 - 1e-6 <= taken[source] <= target + 1e-6
     assert sorted(map(str, mixing.mix(docs.repartition(7), block_words=64).collect())) == sorted(map(str, found))
     assert mixing.mix(documents([])).count() == 0
+
+
+def test_slots_are_dealt_once_and_blocks_drawn_evenly(monkeypatch):
+    """Groups and shards part the slots among them; every block is in each whole epoch once, and the words
+    taken are the target."""
+    import pandas as pd
+
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 3)
+    for size, target, n_shards in ((1000, 1730.0, 7), (64, 128.0, 1), (65, 1.5, 4), (5000, 4999.9, 10)):
+        groups, shards, blocks_of = mixing._drawn(64, 7)
+        source = pd.DataFrame({"code": [9], "source_size": [size], "target": [target], "n_shards": [n_shards]})
+        dealt = pd.concat(shards(groups(iter([source]))))
+        assert dealt["shard"].max() < n_shards and dealt["shard"].is_unique
+        slots = sorted(x for r in dealt.itertuples() for x in range(r.first, r.first + r.n))
+        assert slots == list(range(len(slots)))
+        each = pd.DataFrame({"code": 9, "source_size": size, "words": int(target), "slot": slots})
+        drawn = pd.concat(blocks_of(iter([each])))
+        lengths = {b: min(64, size - 64 * b) for b in range(-(-size // 64))}
+        assert drawn["take"].sum() == int(target)
+        epochs = int(target) // size
+        for block, length in lengths.items():
+            takes = drawn[drawn["block"] == block]["take"].tolist()
+            assert takes.count(length) >= epochs and len(takes) <= epochs + 1
+
+
+def test_mix_of_long_texts_and_clashing_columns(spark, documents):
+    docs = documents([(1, "w " * 400_000, "en", "a", 1), (2, "w " * 1000, "en", "b", 1)])
+    docs = docs.selectExpr("*", "1 AS size", "2 AS target", "'x' AS code", "'y' AS block")
+    found = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    assert found[1]["size"] == 400_000 and found[2]["taken"] == 2000 and abs(found[1]["taken"] - found[1]["target"]) < 1

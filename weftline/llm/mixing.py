@@ -1,8 +1,8 @@
 """Mixing sources to target weights (operator 7).
 
 A source's documents, in a fixed pseudorandom order, are one run of words, cut into blocks of fixed
-length. The slots that a source gets are dealt over the output shards by a multinomial draw; slot
-numbers pass through the source's own pseudorandom permutation, one for each epoch, to block
+length. The slots that a source gets are dealt over the output shards by a multinomial draw, first over
+groups of shards and then within each; slot numbers pass through the source's own pseudorandom permutation, one for each epoch, to block
 numbers; and documents meet the drawn blocks in a join on the block's number.
 """
 
@@ -21,9 +21,10 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_EPOCHS = 2
 BLOCK_WORDS = 512
-SHARD_SLOTS = 4096
-MOST_SHARDS = 1024
-ORDER_BUCKETS = 1024
+#: Slots of a shard on average, and shards that one task deals out.
+SHARD_SLOTS, GROUP_SHARDS = 4096, 16
+#: Documents in a bucket of the fixed order on average; a task sorts such a bucket.
+BUCKET_ROWS = 50_000
 SEED = 7
 WORD = r"[^\x20\x09-\x0D]+"
 _ROUNDS = 6
@@ -88,11 +89,15 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def _drawn(block: int, shard_slots: int, seed: int):
-    """Tasks' work on sources: slots of each shard, and the blocks behind slots."""
+def _generator(*seed: int) -> np.random.Generator:
+    return np.random.Generator(np.random.PCG64([int(x) % 2**64 for x in seed]))
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each source's slots, dealt over the shards."""
+
+def _drawn(block: int, seed: int):
+    """Tasks' work on sources: slots of each group of shards, those of each shard, and the blocks behind slots."""
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each source's slots, dealt over the groups."""
         for batch in batches:
             for s in batch.itertuples():
                 blocks = -(-s.source_size // block)
@@ -105,11 +110,21 @@ def _drawn(block: int, shard_slots: int, seed: int):
                     if at < touched and at * block + last + (touched - at - 1) * block < rest:
                         touched += 1
                 slots = epochs * blocks + touched
-                rng = np.random.Generator(np.random.PCG64([seed, int(s.code) % 2**64]))
-                counts = rng.multinomial(slots, np.full(s.n_shards, 1 / s.n_shards))
+                shards = np.full(-(-s.n_shards // GROUP_SHARDS), GROUP_SHARDS)
+                shards[-1] = s.n_shards - GROUP_SHARDS * (len(shards) - 1)
+                counts = _generator(seed, s.code).multinomial(slots, shards / s.n_shards)
                 used = np.flatnonzero(counts)
                 first = np.cumsum(counts)[used] - counts[used]
-                yield pd.DataFrame({"code": s.code, "source_size": s.source_size, "words": int(s.target), "shard": used, "first": first, "n": counts[used]})
+                yield pd.DataFrame({"code": s.code, "source_size": s.source_size, "words": int(s.target), "part": used, "shards": shards[used], "first": first, "n": counts[used]})
+
+    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each group's slots, dealt over its shards."""
+        for batch in batches:
+            for g in batch.itertuples():
+                counts = _generator(seed, g.code, g.part).multinomial(g.n, np.full(g.shards, 1 / g.shards))
+                used = np.flatnonzero(counts)
+                first = g.first + np.cumsum(counts)[used] - counts[used]
+                yield pd.DataFrame({"code": g.code, "source_size": g.source_size, "words": g.words, "shard": g.part * GROUP_SHARDS + used, "first": first, "n": counts[used]})
 
     def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each slot's block, and how many of its words the slot takes."""
@@ -130,7 +145,7 @@ def _drawn(block: int, shard_slots: int, seed: int):
                         take = np.clip(rest - (index * block - (at < index) * (block - last)), 0, length)
                     yield pd.DataFrame({"code": code, "block": number, "take": take})
 
-    return shards, blocks_of
+    return groups, shards, blocks_of
 
 
 def mix(
@@ -145,7 +160,9 @@ def mix(
     """doc_id, source, size, source_size, target and taken of each row of docs.
 
     Null and empty texts have size 0 and nothing taken; null is a source of its own; repeated rows
-    are documents of their own. The draw depends on doc_id, sizes and seed only, so reruns agree.
+    are documents of their own. The draw depends on doc_id, sizes and seed only, so reruns agree;
+    documents that tie in the order have the same id and size, and so exchange their shares only.
+    A text of any length is one document over many blocks. Other columns of docs are not read.
     Words taken from a source are its target, rounded down: its last slot may be a short one.
     """
     rows = docs.select(
@@ -154,18 +171,22 @@ def mix(
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     rows = rows.withColumn("code", F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))))
-    rows = saved(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(ORDER_BUCKETS))))
+    rows = saved(rows.withColumn("order", F.xxhash64("doc_id", F.lit(seed))))
+    rows = rows.withColumn("bucket", F.pmod("order", F.lit(max(1, -(-rows.count() // BUCKET_ROWS)))))
     buckets = saved(rows.groupBy("source", "code", "bucket").agg(F.sum("size").alias("bucket_size")))
     sizes = buckets.groupBy("source", "code").agg(F.sum("bucket_size").alias("source_size"))
     targets = source_targets(sizes.select("source", "source_size"))
     targets = saved(targets.withColumn("code", F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))))
 
-    shards, blocks_of = _drawn(block_words, shard_slots, seed)
+    groups, shards, blocks_of = _drawn(block_words, seed)
     slots = (targets.agg(F.sum("target")).first()[0] or 0.0) / block_words
-    n_shards = int(min(MOST_SHARDS, max(1, -(-slots // shard_slots))))
+    n_shards = int(max(1, -(-slots // shard_slots)))
     sized = targets.where("source_size > 0 AND target >= 1").select("code", "source_size", "target", F.lit(n_shards).alias("n_shards"))
-    dealt = sized.mapInPandas(shards, "code long, source_size long, words long, shard long, first long, n long")
-    dealt = dealt.repartition("code", "shard").select(
+    dealt = sized.mapInPandas(groups, "code long, source_size long, words long, part long, shards long, first long, n long")
+    # Few bytes but all the slots: a stated number of partitions, which Spark leaves as it is.
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(spread, "code", "part").mapInPandas(shards, "code long, source_size long, words long, shard long, first long, n long")
+    dealt = dealt.select(
         "code", "source_size", "words", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot")
     )
     drawn = dealt.mapInPandas(blocks_of, "code long, block long, take long").where("take > 0")
