@@ -63,20 +63,25 @@ def plain_runs(sentences):
     out = set()
     for i in range(len(sentences)):
         for j in range(i + 1, len(sentences)):
-            if sum(map(len, sentences[i : j + 1])) >= spans.MIN_WORDS:
+            if len(sentences[i]) < spans.LONG_WORDS and sum(map(len, sentences[i : j + 1])) >= spans.MIN_WORDS:
                 out.add((i, j))
                 break
         for j in range(i - 1, -1, -1):
-            if sum(map(len, sentences[j : i + 1])) >= spans.MIN_WORDS:
+            if len(sentences[i]) < spans.LONG_WORDS and sum(map(len, sentences[j : i + 1])) >= spans.MIN_WORDS:
                 out.add((j, i))
                 break
+        if len(sentences[i]) >= spans.LONG_WORDS:
+            out.add((i, i))
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_spans_equal_brute_force(spark, documents, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 1000), (2, 1000), (3, 2)])
+def test_spans_equal_brute_force(spark, documents, monkeypatch, seed, hot):
+    """With a small limit, the way for hot hashes decides."""
+    monkeypatch.setattr(spans, "HOT_RUNS", hot)
+    monkeypatch.setattr(spans, "HOT_SHARE", 10**9 if hot < 1000 else 50_000)
     rng = random.Random(seed)
-    passage = [prose(rng, rng.randrange(2, 12)) for _ in range(9)]
+    passage = [prose(rng, rng.choice([2, 5, 11, 30])) for _ in range(9)]
     rows = []
     for i in range(40):
         own = [prose(rng, rng.randrange(1, 15)) for _ in range(rng.randrange(0, 8))]
@@ -106,6 +111,23 @@ def test_spans_defined_cases(spark, documents):
     found = sorted(((r["doc_id"], r["text"]) for r in spans.without_repeats(docs).collect()), key=str)
     assert found == sorted([(1, text), (1, text), (2, "x."), (3, None), (4, ""), (None, "short")], key=str)
     assert spans.without_repeats(documents([])).count() == 0
+    clash = docs.selectExpr("*", "1 AS __id", "2 AS spans", "3 AS key", "4 AS n_removed").withColumnRenamed("doc_id", "id")
+    clash = clash.withColumn("id", clash["id"].cast("string"))
+    found = spans.without_repeats(clash, "id")
+    assert found.columns == ["id", "text", "lang", "source", "n_chars", "__id", "spans", "key", "n_sentences", "n_removed"]
+    assert {(r["id"], r["text"]) for r in found.collect()} == {("1", text), ("2", "x."), ("3", None), ("4", ""), (None, "short")}
+
+
+def test_spans_of_long_sentences_wide_stops_and_long_texts(spark, documents):
+    rng = random.Random(6)
+    long = prose(rng, 60)
+    chinese = "这是一段普通的文字。后面还有别的文字！再来一句话？"
+    many = " ".join(prose(rng, 8) for _ in range(20_000))
+    rows = [(1, f"Own start. {long}"), (2, f"Another start. {long} Its own end."), (3, chinese), (4, "开头。" + chinese), (5, many), (6, "x " * 300_000), (7, "Tail of it. " + many)]
+    found = {r["doc_id"]: r for r in spans.without_repeats(documents(rows)).collect()}
+    assert found[2]["text"] == "Another start. Its own end."
+    assert found[3]["text"] == chinese and found[4]["text"] == "开头。"
+    assert found[5]["text"] == many and found[7]["text"] == "Tail of it." and found[7]["n_sentences"] == 20_001
 
 
 def test_licenses_in_any_place(spark, documents):

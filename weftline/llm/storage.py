@@ -43,14 +43,27 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fits(df: DataFrame, limit: int) -> bool:
+    """Whether df has at most limit rows."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """docs with its columns renamed, so that no name clashes with another table's; the new name of each (of
+    several equal names the first), and the columns that give the old names back."""
+    new = [f"own_{i}" for i in range(len(docs.columns))]
+    names = dict(reversed(list(zip(docs.columns, new, strict=True))))
+    return docs.toDF(*new), names, [F.col(n).alias(c) for n, c in zip(new, docs.columns, strict=True)]
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows (or its weights sum up to no more), else
     as it is: then Spark shuffles, and splits skewed partitions at run time."""
     if weight is None:
-        fits = df.limit(limit + 1).count() <= limit
+        few = fits(df, limit)
     else:
-        fits = (df.agg(F.sum(weight)).first()[0] or 0) <= limit
-    return F.broadcast(df) if fits else df
+        few = (df.agg(F.sum(weight)).first()[0] or 0) <= limit
+    return F.broadcast(df) if few else df
 
 
 def sampled(df: DataFrame, by: list[str], limit: int) -> DataFrame:
