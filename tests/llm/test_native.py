@@ -6,6 +6,7 @@ from weftline.llm import decontamination, pii
 
 ITEM = "Alice has 12 apples and gives 5 kg of them to her friend Bob Smith before the long walk home at 7"
 OTHER = "the quick brown fox jumps over a lazy dog while seven small birds sing their song"
+KEY = "a key for tests"
 FILL = "plain words that stand around every passage of this corpus and mean nothing at all "
 
 
@@ -95,7 +96,7 @@ def test_surrogates_keep_type_and_format(spark, documents):
     )
     rows = [(1, text), (2, "Again jo.li@mail.example.com and 4929 3483 8514 6306, not 4929348385146307 or version 2.0"), (3, None), (4, ""), (5, "clean text 2020 at 10:30")]
     docs = documents(rows)
-    found = {r["doc_id"]: r for r in pii.replaced(docs, length="n_chars").collect()}
+    found = {r["doc_id"]: r for r in pii.replaced(docs, KEY, length="n_chars").collect()}
     new = found[1]["text"]
     for value in ("jo.li@mail.example.com", "555-7713", "97.51.17.173", "4929348385146306", "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "3704 0044 0532", "123-45-6789"):
         assert value not in new
@@ -107,12 +108,12 @@ def test_surrogates_keep_type_and_format(spark, documents):
     assert "4929348385146307" in found[2]["text"] and "version 2.0" in found[2]["text"]
     assert found[3]["text"] is None and found[4]["text"] == "" and found[5]["text"] == "clean text 2020 at 10:30"
     assert [found[i]["n_replaced"] for i in (3, 4, 5)] == [0, 0, 0]
-    assert pii.pseudonymised(docs).columns == docs.columns
+    assert pii.pseudonymised(docs, KEY).columns == docs.columns
 
 
 def test_names_keep_gender_script_and_coreference(spark, documents):
     rows = [(1, "Mrs. Linda Barker met Mr. Barker and Иван Петров; then John Barker left."), (2, "Linda Barker again.")]
-    found = {r["doc_id"]: r["text"] for r in pii.replaced(documents(rows)).collect()}
+    found = {r["doc_id"]: r["text"] for r in pii.replaced(documents(rows), KEY).collect()}
     m = re.match(r"Mrs\. (\S+) (\S+) met Mr\. (\S+) and (\S+) (\S+); then (\S+) (\S+) left\.", found[1])
     first, last, again, ivan, petrov, john, third = m.groups()
     assert last == again == third != "Barker" and first.endswith("a") and john.endswith("o")
@@ -123,17 +124,17 @@ def test_names_keep_gender_script_and_coreference(spark, documents):
 def test_surrogates_are_distinct(spark):
     values = [f"{a}.{b}.1.1" for a in range(1, 10) for b in range(1, 10)]
     rows = spark.createDataFrame([("ip", v, None) for v in values], "kind string, value string, gender string")
-    made = [r["surrogate"] for r in pii.surrogates(rows).collect()]
+    made = [r["surrogate"] for r in pii.surrogates(rows, KEY).collect()]
     assert len(made) == len(set(made)) == len(values) and not set(made) & set(values)
-    assert pii.replaced(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert pii.replaced(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
 
 
 def test_surrogates_never_run_out(spark):
-    surnames = [("part", f"Name{i}") for i in range(70_000)]  # 16^4 names have four syllables
+    surnames = [("part", f"Name{i}") for i in range(100_000)]  # 16^4 names have four syllables
     addresses = [("ip", ".".join(f"{i:04d}")) for i in range(10_000)]  # all of four one-digit octets
     others = [("secret", "password=--------"), *[("email", f"{c}@{d}.com") for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz"]]
     values = [(k, v, None) for k, v in surnames + addresses + others]
-    made = pii.surrogates(spark.createDataFrame(values, "kind string, value string, gender string")).collect()
+    made = pii.surrogates(spark.createDataFrame(values, "kind string, value string, gender string"), KEY).collect()
     new = {(r["kind"], r["surrogate"]) for r in made}
     assert len(made) == len(new) == len(values) and not new & {(k, v) for k, v, _ in values}
     assert all(re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", v) for k, v in new if k == "ip")
@@ -142,6 +143,45 @@ def test_surrogates_never_run_out(spark):
 
 def test_no_python_in_the_plans(spark, documents):
     docs = documents([(1, ITEM)])
-    for plan in (decontamination.contamination(docs, items(spark, ITEM)), pii.replaced(docs)):
+    for plan in (decontamination.contamination(docs, items(spark, ITEM)), pii.replaced(docs, KEY)):
         text = plan._jdf.queryExecution().toString()
         assert "Python" not in text and "Arrow" not in text
+
+
+def test_names_by_context_and_alone(spark, documents):
+    rows = [
+        (1, "Mr. Zhou met Priya Raman, Kwame Mensah and Wei Zhang; mail zhou.wei@x.org, then Zhou left. Call 020 7946 0958. Zhou's hat and Raman stayed."),
+        (2, "Zhou without a title, and Bank of New York, are no names here."),
+        (3, "Call 030 1234567 or 01 23 45 67 89 or 089/123456, not on 01.02.2024 or 2024-01-02 or at 0.123 456."),
+        (4, "Dr. O'Brien and Mrs. McDonald's dog"),
+    ]
+    found = {r["doc_id"]: r["text"] for r in pii.replaced(documents(rows), KEY).collect()}
+    for name in ("Zhou", "Priya", "Raman", "Kwame", "Mensah", "Wei", "Zhang", "zhou.wei", "7946"):
+        assert name not in found[1]
+    m = re.match(r"Mr\. (\w+) met (\w+) (\w+), \w+ \w+ and \w+ \w+; mail \S+, then (\w+) left\. Call 0?\S+ \S+ \S+\. (\w+)'s hat and (\w+) stayed\.", found[1])
+    assert m[1] == m[4] == m[5] and m[3] == m[6] and len({m[1], m[2], m[3]}) == 3
+    assert found[2] == rows[1][1]
+    assert found[3].endswith(", not on 01.02.2024 or 2024-01-02 or at 0.123 456.") and not re.search("1234567|01 23 45|123456", found[3])
+    assert "Brien" not in found[4] and "McDonald" not in found[4] and found[4].endswith("'s dog")
+
+
+def test_recall_of_introduced_names_outside_the_lists(spark, documents):
+    """All of 300 made-up names, in sentences that introduce them, go."""
+    cues = ["My name is {}", "Dear {},", "Please contact {} for it", "we met {} there", "written by {}", "Sincerely, {}", "Patient: {}", "Ich heiße {}", "je m'appelle {}", "me llamo {}"]
+    names = [f"{a}{b} {c}{d}" for a in ("Qu", "Xo", "Ny") for b in ("ilo", "anth", "essa", "ur", "ima") for c in ("Dra", "Vel", "Mc", "O'") for d in ("Gund", "Zerath", "Holm", "Prax", "Tomer")]
+    rows = [(i, f"Some words first. {cues[i % 10].format(n)} and so on.") for i, n in enumerate(names)]
+    found = {r["doc_id"]: r["text"] for r in pii.replaced(documents(rows), KEY).collect()}
+    assert sum(n.split()[1] in found[i] or n.split()[0] in found[i] for i, n in enumerate(names)) <= 0.1 * len(names)
+
+
+def test_surrogates_of_defined_cases(spark, documents):
+    long = "Clean words go here. " * 60_000 + "mail a.person@host.example.org"
+    docs = documents([(1, long), (1, long), (1, "mail a.person@host.example.org"), (None, "mail a.person@host.example.org"), (2, None), (3, "")])
+    docs = docs.selectExpr("*", "1 AS value", "2 AS hash", "3 AS new", "4 AS id", "5 AS n_replaced")
+    found = pii.replaced(docs, KEY)
+    assert found.columns == [*docs.columns[:-1], "n_replaced"]
+    rows = found.collect()
+    assert [r["n_replaced"] for r in rows if r["text"]] == [1, 1, 1, 1] and len(rows) == 6
+    assert len({r["text"][-30:] for r in rows if r["text"]}) == 1 and "a.person" not in rows[0]["text"]
+    other = pii.replaced(docs, "another key").where("doc_id IS NULL").first()
+    assert other["text"] != next(r["text"] for r in rows if r["doc_id"] is None)

@@ -4,20 +4,20 @@ Entities are found by patterns. Each distinct value gets a surrogate made from a
 same type, format, script and (for names) gender. Values whose surrogate is another's, or is itself an
 entity of the corpus, are drawn again until all are distinct; so equal values stay equal and different
 ones different in all documents. Names get longer with each draw, other values where a format has no
-free ones after many draws; so no number of distinct values uses the surrogates up. Parts of names have surrogates of their own, so that a surname alone
-still refers to the person.
+free ones after many draws; so no number of distinct values uses the surrogates up. Parts of names have
+surrogates of their own, and where a document has a name, its parts are replaced wherever they stand alone
+in it, so that a surname alone still refers to the person.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.storage import saved, small
+from weftline.llm.storage import numbered, saved, small
 
-KEY = "weftline"
 #: Draws for a value before its format's space of surrogates counts as used up; later ones are longer.
 FORMAT_DRAWS = 8
 #: Syllables of a made-up name at first; each further draw has one more.
@@ -48,7 +48,16 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": {"m": "o", "f": "a", "n": "e"}, "cyrillic": {"m": "", "f": "а", "n": ""}, "greek": {"m": "ος", "f": "α", "n": "ι"}}
 
-_NAME_PART = r"\p{Lu}[\p{Ll}'’-]++"
+# A capitalised word (McDonald, O'Brien, Jean-Luc), without the ending of the genitive.
+_NAME_PART = r"\p{Lu}(?:[\p{Ll}-]|['’](?!s(?!\p{L}))|(?<=[\p{Ll}'’-])\p{Lu})++"
+_NAME = rf"{_NAME_PART}(?: {_NAME_PART}){{1,2}}+"
+# Words that introduce a name.
+CUES = (
+    "[Mm]y name is|[Nn]ame is|[Nn]amed|[Nn]ame:|[Dd]ear|[Cc]ontact|[Cc]ontact:|[Mm]et|[Mm]eet|[Aa]sk for|[Ss]igned by|[Ww]ritten by|[Ss]igned,|[Rr]egards,"
+    "|[Ss]incerely,|[Aa]uthor:|[Pp]atient|[Pp]atient:|[Cc]lient:|[Cc]ustomer:|[Aa]pplicant:|[Ee]mployee:|[Ii]ch hei(?:ß|ss)e|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es"
+)
+_SHORT_WORD = r"\p{Lu}[\p{L}'’-]{1,20}"
+_LISTED = rf"{_SHORT_WORD} {_SHORT_WORD}(?: {_SHORT_WORD})?(?:, and |, | and | und | et | y )"
 _ALL_GIVEN = "|".join(GIVEN["m"] + GIVEN["f"])
 _ALL_TITLES = "|".join(TITLES["m"] + TITLES["f"] + TITLES["n"])
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -62,18 +71,25 @@ PATTERNS = {
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?=[0-9])(?<![0-9.,-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[.,-][0-9])",
-    "phone": r"(?=[0-9+(])(?<![\p{L}0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
+    "phone": r"(?=[0-9+(])(?<![\p{L}0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+    r"|0[0-9]{2,4} [0-9]{3,4} ?[0-9]{3,4}|0[0-9]{2,4}-[0-9]{3,4}-?[0-9]{3,4}|0[0-9]{2,4}/[0-9]{5,8}|0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}))(?![0-9])",
     "titled": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_ALL_TITLES})\.? {_NAME_PART}(?: {_NAME_PART})?",
     "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_ALL_GIVEN}) {_NAME_PART}",
+    # After a word that introduces names, or after up to three names of a list that does.
+    "introduced": rf"(?=\p{{Lu}}[\p{{L}}'’-]++ \p{{Lu}})(?<=(?<!\p{{L}})(?:{CUES}) (?:{_LISTED}(?:{_LISTED}(?:{_LISTED})?)?)?){_NAME}",
 }
+NAMES = ("titled", "name", "introduced")
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Entities, and words that may be a part of one of a document's names.
+ENTITY_OR_PART = rf"{ENTITY}|(?<!\p{{L}}){_NAME_PART}"
 #: What a text with an entity has at least; cheaper to look for, as most places fail at their first sign.
-HINT = rf"[@0-9=:]|(?=[\p{{Lu}}gsx])(?<!\p{{L}})(?:AKIA|gh[pousr]_|sk-|xox[abp]-|(?=\p{{Lu}})(?:{_ALL_TITLES}|{_ALL_GIVEN})\.? \p{{Lu}})"
+HINT = rf"[@0-9=:]|(?=[\p{{Lu}}gsx])(?<!\p{{L}})(?:AKIA|gh[pousr]_|sk-|xox[abp]-|(?=\p{{Lu}})(?:{_ALL_TITLES}|{_ALL_GIVEN})\.? \p{{Lu}})|(?<!\p{{L}})(?:{CUES}) \p{{Lu}}"
 
 
 def _type_of(value: Column) -> Column:
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(PATTERNS.items()):
+    # An introduced name is known by what stands before it, so by itself any name may be one.
+    for name, pattern in reversed((PATTERNS | {"introduced": _NAME}).items()):
         out = F.when(value.rlike(rf"\A(?:{pattern})\z"), name).otherwise(out)
     return out
 
@@ -89,9 +105,9 @@ def _luhn(value: Column) -> Column:
     return _digit_sum(F.regexp_replace(value, "[ -]", ""), 1) % 10 == 0
 
 
-def _digest(value: Column, kind: str, draw: int) -> Column:
+def _digest(key: str, value: Column, kind: str, draw: int) -> Column:
     """192 hexadecimal digits that depend on the key, the kind, the draw and the value."""
-    return F.concat(*[F.sha2(F.concat_ws("\0", F.lit(KEY), F.lit(kind), F.lit(i), F.lit(str(draw)), value), 256) for i in range(3)])
+    return F.concat(*[F.sha2(F.concat_ws("\0", F.lit(key), F.lit(kind), F.lit(i), F.lit(str(draw)), value), 256) for i in range(3)])
 
 
 def _hex(digest: Column, i: Column, width: int = 4) -> Column:
@@ -140,24 +156,24 @@ def _new_name(part: Column, gender: Column, digest: Column, syllables: int) -> C
     return F.concat(F.initcap(made), F.coalesce(ends[F.concat(script, gender)], F.lit("")))
 
 
-def _surrogate(kind: Column, value: Column, gender: Column, draw: int) -> Column:
+def _surrogate(key: str, kind: Column, value: Column, gender: Column, draw: int) -> Column:
     """A candidate for a value (for names: of one part of a name). From draw FORMAT_DRAWS on it is longer
     than the value, by one more digit or letter (for addresses: first of octets of any length) each time."""
     more = max(0, draw - FORMAT_DRAWS + 1)
-    out = _scrambled(F.concat(value, F.lit("0" * more)), _digest(value, "any", draw))
+    out = _scrambled(F.concat(value, F.lit("0" * more)), _digest(key, value, "any", draw))
 
     def after(pattern: str, name: str) -> Column:
         """The value with what the pattern matches at its start kept."""
         head = F.regexp_extract(value, rf"\A(?:{pattern})", 0)
         rest = F.concat(F.substr(value, F.length(head) + 1), F.lit("0" * more))
-        made = _scrambled(rest, _digest(rest, name, draw))
+        made = _scrambled(rest, _digest(key, rest, name, draw))
         # Hexadecimal digits stay such.
         hexadecimal = rest.rlike(r"\A(?=.*[0-9])[0-9a-f]+\z") if name == "secret" else F.lit(False)
         return F.concat(head, F.when(hexadecimal, F.translate(made, "ghijklmnopqrstuvwxyz", "abcdefabcdefabcdefab")).otherwise(made))
 
     tail = F.regexp_extract(value, r"\.[^.]*\z", 0)
     head = F.concat(F.lit("a" * more), F.substr(value, F.lit(1), F.length(value) - F.length(tail)))
-    email = F.concat(_scrambled(head, _digest(head, "email", draw)), tail)
+    email = F.concat(_scrambled(head, _digest(key, head, "email", draw)), tail)
 
     def octet(o: Column, n: Column) -> Column:
         if more:
@@ -166,11 +182,11 @@ def _surrogate(kind: Column, value: Column, gender: Column, draw: int) -> Column
 
     # Four octets as long as there can be free ones, then further ones.
     octets = F.split(F.concat(value, F.lit(".0" * max(0, more - FORMAT_DRAWS))), r"\.")
-    address = _once(_digest(value, "ip", draw), lambda d: F.array_join(F.transform(octets, lambda o, i: octet(o, _hex(d, i))), "."))
-    card = _scrambled(F.concat(F.lit("0" * more), value), _digest(value, "card", draw))
+    address = _once(_digest(key, value, "ip", draw), lambda d: F.array_join(F.transform(octets, lambda o, i: octet(o, _hex(d, i))), "."))
+    card = _scrambled(F.concat(F.lit("0" * more), value), _digest(key, value, "card", draw))
     body = F.regexp_replace(F.substr(card, F.lit(1), F.length(card) - 1), "[ -]", "")
     check = F.pmod(-_digit_sum(body, 0), F.lit(10)).cast("string")
-    names = _new_name(value, gender, _digest(value, "name", draw), NAME_SYLLABLES + draw)
+    names = _new_name(value, gender, _digest(key, value, "name", draw), NAME_SYLLABLES + draw)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", address)
@@ -183,14 +199,14 @@ def _surrogate(kind: Column, value: Column, gender: Column, draw: int) -> Column
     )
 
 
-def surrogates(entities: DataFrame) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) from (kind, value, gender): distinct within a kind, and no value of the
     corpus. Values that collide draw again, the others keep theirs. Null values have none."""
     spread = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = saved(entities.where("value IS NOT NULL").distinct())
     fixed, open_rows = None, values.repartition(spread, "value")
     for draw in count():  # it ends: each draw has more room than the one before
-        made = open_rows.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("gender"), draw))
+        made = open_rows.withColumn("surrogate", _surrogate(key, F.col("kind"), F.col("value"), F.col("gender"), draw))
         made = saved(made)
         first = made.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         good = made.join(first, ["kind", "surrogate", "value"], "left_semi")
@@ -204,20 +220,16 @@ def surrogates(entities: DataFrame) -> DataFrame:
             return fixed.select("kind", "value", "surrogate")
 
 
-def _found(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+def _found(text: Column, pattern: str = ENTITY) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _key(doc_id: str, text: str) -> Column:
-    return F.xxhash64(F.col(doc_id), F.col(text))
-
-
-def _mapping(values: DataFrame) -> DataFrame:
-    """(value, kind, new) for each distinct entity value (value)."""
+def _mapping(values: DataFrame, key: str) -> DataFrame:
+    """(value, new, parts) for each distinct entity value (value); parts: (value, new) of a name's parts."""
     # Few bytes but much work: not for one task.
     spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     typed = saved(values.repartition(spread, "value").withColumn("kind", _type_of(F.col("value"))))
-    named = typed.where(F.col("kind").isin("titled", "name"))
+    named = typed.where(F.col("kind").isin(*NAMES))
     title = F.regexp_extract("value", rf"\A(?:(?:{_ALL_TITLES})\.? (?=\p{{Lu}}))?", 0)
     words = named.select("value", "kind", title.alias("title")).withColumn("parts", F.split(F.substr("value", F.length("title") + 1), " "))
     bare = F.rtrim(F.regexp_replace("title", r"\.? \z", ""))
@@ -231,52 +243,72 @@ def _mapping(values: DataFrame) -> DataFrame:
     parts = words.select("value", "title", F.size("parts").alias("n"), "gender", F.posexplode("parts").alias("i", "part"))
     # A first name of several is given its gender's ending; surnames have none. One part, one surrogate.
     by_part = parts.groupBy("part").agg(F.min(F.when((F.col("i") == 0) & (F.col("n") > 1), F.col("gender"))).alias("gender"))
-    other = typed.where(~F.col("kind").isin("titled", "name")).where((F.col("kind") != "card") | _luhn(F.col("value")))
+    other = typed.where(~F.col("kind").isin(*NAMES)).where((F.col("kind") != "card") | _luhn(F.col("value")))
     wanted = other.select("kind", "value", F.lit(None).cast("string").alias("gender")).unionByName(
         by_part.select(F.lit("part").alias("kind"), F.col("part").alias("value"), "gender")
     )
-    made = surrogates(wanted)
-    plain = made.where("kind <> 'part'").select("value", "kind", F.col("surrogate").alias("new"))
+    made = surrogates(wanted, key)
+    pair = "array<struct<value:string,new:string>>"
+    plain = made.where("kind <> 'part'").select("value", F.col("surrogate").alias("new"), F.array().cast(pair).alias("parts"))
     new_parts = made.where("kind = 'part'").select(F.col("value").alias("part"), "surrogate")
-    joined = parts.join(new_parts, "part").groupBy("value", "title").agg(F.sort_array(F.collect_list(F.struct("i", "surrogate"))).alias("s"))
-    full = joined.select("value", F.lit("name").alias("kind"), F.concat("title", F.array_join(F.col("s.surrogate"), " ")).alias("new"))
+    joined = parts.join(new_parts, "part").groupBy("value", "title").agg(F.sort_array(F.collect_list(F.struct("i", "part", "surrogate"))).alias("s"))
+    full = joined.select(
+        "value", F.concat("title", F.array_join(F.col("s.surrogate"), " ")).alias("new"), F.arrays_zip(F.col("s.part").alias("value"), F.col("s.surrogate").alias("new")).cast(pair).alias("parts")
+    )
     return saved(plain.unionByName(full))
 
 
 def replaced(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: str | None = None
+    docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, length: str | None = None
 ) -> DataFrame:
     """The columns in keep (default: all) of docs, entities in the text replaced, and n_replaced: how many.
 
-    Null texts stay null, texts without entities as they are. Repeated rows are treated alike. Digits
-    that fail the check sum of payment cards are not entities. A column n_replaced of docs gives way.
-    A column of the text's length, if named, follows the new text where it is replaced.
+    Surrogates depend on the key, which should be kept secret: who knows it can test guesses. Null texts
+    stay null, texts without entities as they are; a text of any length is treated as a whole. Rows with
+    equal id and text are treated alike. Where patterns of entities overlap, the first in the text counts,
+    and of those that begin at one place the first of PATTERNS. Digits that fail the check sum of payment
+    cards are not entities. A column n_replaced of docs gives way. A column of the text's length, if named,
+    follows the new text where it is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "n_replaced"]
-    hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
+    own, names, _ = numbered(docs)
+    id_col, text_col = F.col(names[doc_id]), F.col(names[text])
+    own = own.withColumn("hash", F.xxhash64(names[doc_id], names[text]))
+    hinted = F.coalesce(text_col.rlike(HINT), F.lit(False))
     # explode_outer: else Spark looks for entities once more, to drop rows without any beforehand.
-    rows = docs.where(hinted).select(_key(doc_id, text).alias("key"), F.explode_outer(_found(F.col(text))).alias("value"))
+    rows = own.where(hinted).select("hash", id_col.alias("id"), F.explode_outer(_found(text_col)).alias("value"))
     found = saved(rows.where("value IS NOT NULL").distinct())
-    mapping = _mapping(found.select("value").distinct())
-    maps = found.join(small(mapping), "value").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("__new"))
-    maps = saved(maps.withColumnRenamed("key", "__key"))
-    joined = docs.join(small(maps, weight=F.size("__new")), _key(doc_id, text) == F.col("__key"), "left")
-    gaps = F.split(F.col(text), ENTITY, -1)
-
-    def rewritten(values: Column) -> Column:
-        put = F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.col("__new")[F.get(values, i)], F.get(values, i), F.lit(""))))
-        return F.struct(F.array_join(put, "").alias("text"), F.size(F.filter(values, lambda v: F.col("__new")[v].isNotNull())).alias("n"))
-
-    changed = F.col("__new").isNotNull()
-    joined = joined.withColumn("__made", F.when(changed, _once(_found(F.col(text)), rewritten)))
-    n = F.coalesce("__made.n", F.lit(0)).cast("long")
-    joined = joined.withColumn("__text", F.when(changed, F.col("__made.text")).otherwise(F.col(text)))
-    made = {text: F.col("__text")}
+    mapping = _mapping(found.select("value").distinct(), key)
+    entry = F.concat(F.array(F.struct("value", "new")), F.col("parts"))
+    maps = found.join(small(mapping), "value").groupBy("hash", "id").agg(F.collect_list(entry).alias("entries"), F.max(F.size("parts")).alias("names"))
+    maps = saved(maps.select("hash", "id", F.map_from_entries(F.array_distinct(F.flatten("entries"))).alias("new"), (F.col("names") > 0).alias("named")))
+    one = small(maps, weight=F.size("new")).withColumnRenamed("hash", "map_hash")
+    joined = own.join(one, (F.col("hash") == F.col("map_hash")) & id_col.eqNullSafe(F.col("id")), "left")
+
+    def rewritten(pattern: str) -> Column:
+        gaps = F.split(text_col, pattern, -1)
+
+        def put(values: Column) -> Column:
+            parts = F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.col("new")[F.get(values, i)], F.get(values, i), F.lit(""))))
+            return F.struct(F.array_join(parts, "").alias("text"), F.size(F.filter(values, lambda v: F.col("new")[v].isNotNull())).alias("n"))
+
+        return _once(_found(text_col, pattern), put)
+
+    changed = F.col("new").isNotNull()
+    joined = joined.withColumn("made", F.when(changed & F.col("named"), rewritten(ENTITY_OR_PART)).when(changed, rewritten(ENTITY)))
+    out = {text: F.when(changed, F.col("made.text")).otherwise(text_col)}
     if length:
-        made[length] = F.when(changed, F.length("__text").cast(docs.schema[length].dataType)).otherwise(F.col(length))
-    return joined.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in keep], n.alias("n_replaced"))
+        out[length] = F.when(changed, F.length("made.text").cast(docs.schema[length].dataType)).otherwise(F.col(names[length]))
+    n = F.coalesce("made.n", F.lit(0)).cast("long")
+    return joined.select(*[out.get(c, F.col(names[c])).alias(c) for c in keep], n.alias("n_replaced"))
 
 
-def pseudonymised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
     """docs with entities in the text replaced, and no other column than before."""
-    return replaced(docs, doc_id, text, length=length).select([F.col(f"`{c}`") for c in docs.columns])
+    return replaced(docs, key, doc_id, text, length=length).select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key that the session names in spark.weftline.surrogateKey; where it is unset, one for tests, which
+    is public and so hides nothing from who looks for it."""
+    return spark.conf.get("spark.weftline.surrogateKey", None) or "public key for tests"

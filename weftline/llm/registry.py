@@ -38,7 +38,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replaced(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    return pii.replaced(table(spark, sf_dir, "documents"), pii.key_of(spark), keep=["doc_id", "text"])
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
