@@ -34,7 +34,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Private data in the texts gives way to surrogates; n_chars follows the new text."""
-    return pii.pseudonymised(docs, length="n_chars")
+    return pii.pseudonymised(docs, pii.key_of(spark), length="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
