@@ -23,8 +23,8 @@ MOST_EPOCHS = 2
 BLOCK_WORDS = 512
 #: Slots of a shard on average, and shards that one task deals out.
 SHARD_SLOTS, GROUP_SHARDS = 4096, 16
-#: Documents in a bucket of the fixed order on average; a task sorts such a bucket.
-BUCKET_ROWS = 50_000
+#: Buckets of the fixed order: so many, or more where one would hold more documents; a task sorts a source's part of one.
+BUCKETS, BUCKET_ROWS = 1024, 50_000
 SEED = 7
 WORD = r"[^\x20\x09-\x0D]+"
 _ROUNDS = 6
@@ -172,7 +172,7 @@ def mix(
     )
     rows = rows.withColumn("code", F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))))
     rows = saved(rows.withColumn("order", F.xxhash64("doc_id", F.lit(seed))))
-    rows = rows.withColumn("bucket", F.pmod("order", F.lit(max(1, -(-rows.count() // BUCKET_ROWS)))))
+    rows = rows.withColumn("bucket", F.pmod("order", F.lit(max(BUCKETS, -(-rows.count() // BUCKET_ROWS)))))
     buckets = saved(rows.groupBy("source", "code", "bucket").agg(F.sum("size").alias("bucket_size")))
     sizes = buckets.groupBy("source", "code").agg(F.sum("bucket_size").alias("source_size"))
     targets = source_targets(sizes.select("source", "source_size"))
