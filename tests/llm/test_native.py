@@ -1,5 +1,6 @@
 """Decontamination and surrogates, which use DataFrame functions only."""
 
+import random
 import re
 
 from weftline.llm import decontamination, pii
@@ -76,6 +77,72 @@ def test_number_heavy_and_unspaced_items(spark, documents, caplog):
     assert "2 benchmark items are too short" in caplog.text
 
 
+def test_slots_must_agree_both_ways(spark, documents):
+    item = "a train leaves with 40 people and 12 more get on it at the next stop so how many people are now on it"
+    again = item + " if 12 of all the 40 people at the start get off"
+    rows = [
+        (1, FILL + again.replace("40", "55").replace("12", "31")),
+        (2, FILL + again.replace("40", "55").replace("12", "55")),
+        (3, FILL + again.replace("40", "12").replace(" 12 more", " 40 more").replace("if 12 of all the 12", "if 40 of all the 12")),
+        (4, FILL + again),
+    ]
+    assert contaminated(spark, documents, rows, again) == {1: [0], 3: [0], 4: [0]}
+
+
+def test_planted_items_at_random(spark, documents, monkeypatch):
+    """Items with random parameters, once or twice in a document: found where one copy has one value for each
+    of the item's and different ones for different ones. With small limits, hashes go as a filter, or all
+    windows are shuffled."""
+    rng = random.Random(9)
+    names = ["Alder", "Birch", "Cedar", "Dogwood", "Elm", "Fir"]
+    texts, slots = [], []
+    for i in range(4):
+        words = [f"w{i}x{j}" for j in range(40)]
+        at = sorted(rng.sample(range(2, 38), 7))
+        kinds = [rng.choice(["number", "number", "name"]) for _ in at]
+        pool = {"number": ["12", "40", "7"], "name": names[:3]}
+        texts.append((words, at, kinds, [rng.choice(pool[k]) for k in kinds]))
+    make = lambda words, at, values: " ".join(w if j not in at else f"{w} {values[at.index(j)]}" for j, w in enumerate(words))
+    rows, expected = [], {}
+    for doc in range(60):
+        i = rng.randrange(4)
+        words, at, kinds, values = texts[i]
+        copies, good = [], False
+        for _ in range(rng.choice([1, 1, 2])):
+            fresh = {"number": ["55", "66", "77", "88"], "name": names[3:]}
+            new = [rng.choice(fresh[k]) for k in kinds]
+            if rng.random() < 0.6:
+                to = {}
+                for k in fresh:
+                    olds = sorted({v for v, kk in zip(values, kinds) if kk == k})
+                    to |= dict(zip(olds, rng.sample(fresh[k], len(olds))))
+                new = [to[v] for v in values]
+            pairs = set(zip(values, new))
+            good |= len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+            copies.append(make(words, at, new))
+        rows.append((doc, FILL + (". " + FILL).join(copies)))
+        if good:
+            expected[doc] = [i]
+    items_ = [make(w, at, v) for w, at, _, v in texts]
+    assert 10 < len(expected) < 55
+    assert contaminated(spark, documents, rows, *items_) == expected
+    for limit, ids in ((3, 10**6), (3, 3)):
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(decontamination, "BROADCAST_IDS", ids)
+        assert contaminated(spark, documents, rows, *items_) == expected
+
+
+def test_decontamination_of_defined_cases(spark, documents):
+    long = FILL * 15_000 + ITEM
+    docs = documents([(1, long), (1, FILL), (2, None), (3, "")]).selectExpr("*", "1 AS key", "2 AS item", "3 AS window")
+    named = items(spark, ITEM).selectExpr("cast(item_id AS string) AS item_id", "text")
+    clean = decontamination.clean_documents(docs, named)
+    assert clean.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in clean.collect() if r["text"]) == [(1, FILL)] and clean.count() == 3
+    found = decontamination.contamination(docs, named).collect()
+    assert sorted(r["contaminated"] for r in found) == [False, False, False, True] and max(list(r["items"]) for r in found) == ["0"]
+    assert decontamination.contamination(documents([]), named).count() == 0
+
+
 def test_short_items_and_no_items(spark, documents):
     assert contaminated(spark, documents, [(1, FILL + "five words are found here too"), (2, FILL)], "five words are found") == {1: [0]}
     assert contaminated(spark, documents, [(1, FILL)]) == {}

@@ -38,6 +38,12 @@ def test_host_verdict_and_defined_cases(spark, documents):
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if r["kept"]}
     assert quality.quality(documents([])).count() == 0
+    clash = documents(rows + rows[:2]).selectExpr("*", "1 AS host", "2 AS q", "3 AS failed", "4 AS bad", "5 AS n_words")
+    again = quality.quality(clash)
+    assert again.columns == ["doc_id", "text", "lang", "source", "n_chars", "host", "q", "failed", "bad", *quality.MEASURES, "base_failed", "kept"]
+    assert again.count() == len(rows) + 2
+    long = quality.quality(documents([(1, " ".join(f"w{i}" for i in range(200_000)))]), keep=["doc_id"]).first()
+    assert long["n_words"] == 200_000 and long["kept"] and long["n_repeat_words"] == 0
 
 
 def test_permutation_is_one_and_can_be_undone():

@@ -2,8 +2,9 @@
 
 Numbers, quantities with units and names become typed placeholders; the rest is lower-cased and cut
 into words. Windows of such words of all benchmark items are hash-joined with those of all documents.
-An item is in a document if enough of its windows are and the slots agree: aligned as the windows are,
-each value of the item stands for one value in the document throughout, the same or another. Where the
+An item is in a document if enough of its windows are and the slots agree both ways: aligned as the
+windows are, each value of the item stands for one value in the document throughout, the same or another,
+and different values for different ones (values that stay what they are never disagree). Where the
 document as a whole disagrees, each occurrence of the item in it is judged by itself. Items whose windows
 are mostly placeholders are looked for by their literal words, so as they stand only.
 """
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.storage import saved, small
+from weftline.llm.storage import BROADCAST_IDS, BROADCAST_ROWS, fits, numbered, saved, small
 
 WINDOW_WORDS = 8
 #: Items of fewer words than a window are looked for by windows of so many; shorter ones can't be told from chance.
@@ -143,7 +144,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     for literal, k in sorted(kinds):
         cut = rows.select("key", "doc_id", (literal_words if literal else template_words)(F.col("text")).alias("words"))
         side = windows.where((F.col("k") == k) & (F.col("literal") == literal)).select("window", "item", "n", F.col("at").alias("item_at"))
-        found = cut.select("key", "doc_id", F.posexplode(_window_hashes(F.col("words"), k)).alias("at", "window")).join(small(side), "window")
+        found = _met(cut.select("key", "doc_id", F.posexplode(_window_hashes(F.col("words"), k)).alias("at", "window")), side)
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return rows.select("key", "doc_id", F.lit(None).cast("long").alias("item"), F.lit(None).cast("double").alias("share")).limit(0)
@@ -168,11 +169,26 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     return whole.unionByName(single)
 
 
+def _met(cut: DataFrame, side: DataFrame) -> DataFrame:
+    """Windows of documents joined with those of items. Up to BROADCAST_ROWS windows of items go to the
+    documents whole; up to BROADCAST_IDS hashes do so as a filter, so that only what it passes is shuffled;
+    beyond that all windows are."""
+    if fits(side, BROADCAST_ROWS):
+        return cut.join(F.broadcast(side), "window")
+    hashes = side.select("window").distinct()
+    if fits(hashes, BROADCAST_IDS):
+        cut = cut.join(F.broadcast(hashes), "window", "left_semi")
+    return cut.join(side.hint("merge"), "window")
+
+
 def _torn(hits: DataFrame, slots: DataFrame, own: DataFrame, by: list[str]) -> DataFrame:
-    """The groups of hits in which an item's value stands for several, and some value never for itself."""
+    """The groups of hits in which an item's value stands for several others, or several for one other."""
     aligned = hits.join(slots, ["item", "item_at"]).select(*by, "item_value", (F.col("at") - F.col("item_at") + F.col("slot_at")).alias("at")).distinct()
-    kinds_of = aligned.join(own, ["key", "at"]).groupBy(*by, "item_value").agg(F.count_distinct("value").alias("values"), F.max((F.col("value") == F.col("item_value")).cast("int")).alias("same"))
-    return kinds_of.groupBy(*by).agg(F.max("values").alias("most"), F.min("same").alias("same")).where("most > 1 AND same = 0").select(*by)
+    pairs = aligned.join(own, ["key", "at"]).select(*by, "item_value", "value").distinct()
+    same = F.max(F.col("value") == F.col("item_value"))
+    sides = [pairs.groupBy(*by, side).agg(F.count("*").alias("others"), same.alias("same")) for side in ("item_value", "value")]
+    bad = [side.where("others > 1 AND NOT same").select(*by) for side in sides]
+    return bad[0].unionByName(bad[1]).distinct()
 
 
 def _readings(hits: DataFrame) -> DataFrame:
@@ -203,17 +219,17 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """doc_id, contaminated and items (sorted ids of the items found) of each row of docs.
 
     Null and empty texts are clean; so is everything if there are no items. Repeated rows get the same
-    verdict each. Items with a null text or under SHORT_WINDOW_WORDS words are found nowhere; a warning says
+    verdict each; texts of any length are searched whole. Items of one id count as one item. Items with a null text or under SHORT_WINDOW_WORDS words are found nowhere; a warning says
     how many these are. Items of mostly placeholders are found with their own values only.
     """
     found = matches(docs, items, doc_id, text).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), _key(doc_id, text).alias("key"))
-    return rows.join(small(saved(found)), "key", "left").select(
-        "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items")
-    )
+    none = F.array().cast(found.schema["items"].dataType)
+    return rows.join(small(saved(found), weight=F.size("items")), "key", "left").select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", none).alias("items"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs in which no item is found, with their own columns."""
-    found = saved(matches(docs, items, doc_id, text).select(F.col("key").alias("__key")).distinct())
-    return docs.join(small(found), _key(doc_id, text) == F.col("__key"), "left_anti")
+    own, names, back = numbered(docs)
+    found = saved(matches(own, items, names[doc_id], names[text]).select("key").distinct())
+    return own.join(small(found, BROADCAST_IDS), _key(names[doc_id], names[text]) == F.col("key"), "left_anti").select(*back)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import kernels
-from weftline.llm.storage import saved, small
+from weftline.llm.storage import numbered, saved, small
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -118,33 +118,34 @@ def host_rates(measured: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (default: all) with the measures, base_failed and kept.
 
-    A null text counts as empty and fails. Repeated rows are judged one by one. Columns of docs that
-    have the name of a measure give way to it. With all columns kept, texts are measured twice (for
-    the hosts' rates, then for the rows) rather than written or shuffled.
+    A null text counts as empty and fails. Repeated rows are judged one by one; the null host is one like
+    others; a host at the border MAX_HOST_RATE is kept. Texts of any length are measured whole. Columns of
+    docs that have the name of a measure give way to it. With all columns kept, texts are measured twice
+    (for the hosts' rates, then for the rows) rather than written or shuffled.
     """
     made = [*MEASURES, "base_failed", "kept"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(host).alias("__host"), _measures(F.col(text)).alias("__q"))
-    rows = rows.withColumn("__failed", base_failed("__q"))
+    own, names, _ = numbered(docs)
+    rows = _judged(own, names[text], names[host], sorted({names[c] for c in keep}))
+    return rows.select(*[F.col(names[c]).alias(c) for c in keep], "q.*", F.col("failed").alias("base_failed"), "kept")
+
+
+def _judged(own: DataFrame, text: str, host: str, keep: list[str]) -> DataFrame:
+    """The columns in keep, q (the struct of measures), failed and kept; own has numbered columns."""
+    rows = own.select(*keep, F.col(host).alias("its_host"), _measures(F.col(text)).alias("q"))
+    rows = rows.withColumn("failed", base_failed("q"))
     if text not in keep:
         rows = saved(rows)
-    rates = host_rates(rows.select(F.col("__host").alias("host"), F.col("__failed").alias("failed")))
-    bad = saved(rates.where(F.col("rate") > MAX_HOST_RATE).select("host", F.lit(True).alias("__bad")))
-    out = rows.join(small(bad), F.col("__host").eqNullSafe(F.col("host")), "left")
-    return out.select(
-        *[F.col(f"`{c}`") for c in keep],
-        "__q.*",
-        F.col("__failed").alias("base_failed"),
-        (~F.col("__failed") & F.col("__bad").isNull()).alias("kept"),
-    )
+    rates = host_rates(rows.select(F.col("its_host").alias("host"), "failed"))
+    bad = saved(rates.where(F.col("rate") > MAX_HOST_RATE).select("host", F.lit(True).alias("bad")))
+    out = rows.join(small(bad), F.col("its_host").eqNullSafe(F.col("host")), "left")
+    return out.withColumn("kept", ~F.col("failed") & F.col("bad").isNull())
 
 
 def good_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that the rules and their host's verdict keep, with their own columns."""
-    plain = docs.select([F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)])
-    at = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
-    kept = quality(plain, at[text], at[host]).where("kept")
-    return kept.select([F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    own, names, back = numbered(docs)
+    return _judged(own, names[text], names[host], own.columns).where("kept").select(*back)
 
 
 OP10_SQL = r"""
