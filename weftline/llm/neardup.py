@@ -13,14 +13,14 @@
    each band is compared with all others, and only sets which that leaves apart are joined with the
    rest, on the rarest shingles of each (one of which linked sets must share) and within the bounds
    that the shared shingle's place sets.
-5. Pairs are dropped if the collision-corrected estimate from the registers is over five standard
-   deviations below the threshold, and confirmed on the full sets of 64-bit shingle hashes.
+5. Pairs are dropped if the collision-corrected estimate from the registers is over DEVIATIONS standard
+   deviations below the threshold (linked pairs are so with a probability below 1e-8), and confirmed on
+   the full sets of 64-bit shingle hashes.
 6. Components of confirmed links by repeated smallest-label steps with shortcuts, on tables only.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import kernels
-from weftline.llm.storage import BROADCAST_IDS, dropped, saved, small
+from weftline.llm.storage import BROADCAST_IDS, dropped, numbered, saved, small
 
 REGISTERS = 160
 SMALL = 320
@@ -40,6 +40,9 @@ MOST_IN_BAND = 48
 MANTISSA_BITS = 10
 #: Pairs that one copy of a set's shingles serves when pairs are confirmed.
 PAIRS_PER_COPY = 64
+DEVIATIONS = 7
+#: A group of equal sets is hot if it has over one in so many of all rows (and over HOT_ROWS).
+HOT_SHARE, HOT_ROWS = 50_000, 1000
 
 _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 _ODD = kernels.mix(_SEEDS) | np.uint64(1)
@@ -120,7 +123,7 @@ def _sketches(k: int, percent: int):
                 small, large = kind_of(sets, 0, bands), kind_of(sets, 1, bands)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(start, stop - start).cast(pa.int64()),
+                        ids.slice(start, stop - start),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([fingerprint(s, np.uint64(0)) for s in sets], pa.int64()),
                         pa.array([fingerprint(s, _SEEDS[0]) for s in sets], pa.int64()),
@@ -134,21 +137,26 @@ def _sketches(k: int, percent: int):
     return run
 
 
+def may_be_linked(p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the corrected estimates from rows of registers come near enough to the threshold."""
+    used = ((p != 0xFFFF) | (q != 0xFFFF)).sum(1)
+    share = ((p == q) & (p != 0xFFFF)).sum(1) / np.maximum(used, 1)
+    # Two different minima agree if their leading zeros (1 in 3) and their mantissas do.
+    chance = 1 / 3 / (1 << MANTISSA_BITS)
+    least = percent / 100
+    return (share - chance) / (1 - chance) >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(used, 1))
+
+
 @F.pandas_udf(T.BooleanType())
-def _likely(a_small: pd.Series, a_large: pd.Series, b_small: pd.Series, b_large: pd.Series, least: pd.Series) -> pd.Series:
-    """Whether the corrected estimate of the similarity reaches least; registers of either common kind."""
-    out = np.zeros(len(least), bool)
+def _likely(a_small: pd.Series, a_large: pd.Series, b_small: pd.Series, b_large: pd.Series, percent: pd.Series) -> pd.Series:
+    """may_be_linked() of registers of either common kind."""
+    out = np.zeros(len(percent), bool)
     for x, y in ((a_small, b_small), (a_large, b_large)):
         at = np.flatnonzero((x.notna() & y.notna()).to_numpy())
         for i in range(0, len(at), 4096):
             rows = at[i : i + 4096]
-            p = np.frombuffer(b"".join(x.iloc[rows]), np.uint16).reshape(len(rows), -1)
-            q = np.frombuffer(b"".join(y.iloc[rows]), np.uint16).reshape(len(rows), -1)
-            used = (p != 0xFFFF) | (q != 0xFFFF)
-            share = ((p == q) & used).sum(1) / np.maximum(used.sum(1), 1)
-            # Two different minima agree if their leading zeros (1 in 3) and their mantissas do.
-            chance = 1 / 3 / (1 << MANTISSA_BITS)
-            out[rows] |= (share - chance) / (1 - chance) >= least.to_numpy()[rows]
+            p, q = (np.frombuffer(b"".join(z.iloc[rows]), np.uint16).reshape(len(rows), -1) for z in (x, y))
+            out[rows] |= may_be_linked(p, q, int(percent.iloc[0]))
     return pd.Series(out)
 
 
@@ -217,11 +225,9 @@ class _Links:
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), the linked ones."""
-        share = self.percent / 100
-        least = share - 5 * math.sqrt(share * (1 - share) / REGISTERS)
         pairs = saved(pairs.select("a", "b").distinct())
         both = _with(_with(pairs, self.reps, "a", ["small", "large"]), self.reps, "b", ["small", "large"])
-        likely = saved(both.where(_likely("a_small", "a_large", "b_small", "b_large", F.lit(least))).select("a", "b"))
+        likely = saved(both.where(_likely("a_small", "a_large", "b_small", "b_large", F.lit(self.percent))).select("a", "b"))
         wanted = saved(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct())
         sets = saved(self.texts.join(small(wanted, BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"]).select("id", self.sets("text").alias("set")))
         full = _with(_with(likely, sets, "a", ["set"]), sets, "b", ["set"])
@@ -254,7 +260,7 @@ def _crowded_links(crowded: DataFrame, links: _Links, k: int, percent: int) -> D
     most = links.reps.select("id", "n").join(ids, "id", "left_semi").join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
     most = saved(most.where(100 * F.col("most") >= percent * F.col("n")))
     members = saved(crowded.join(most, "id"))
-    hubs = members.groupBy("band").agg(F.max_by("id", F.struct(F.col("most") / F.col("n"), -F.col("id"))).alias("hub"))
+    hubs = members.groupBy("band").agg(F.max_by("id", F.struct(F.col("most") / F.col("n"), F.xxhash64("id"))).alias("hub"))
     spokes = members.join(hubs, "band").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     linked = links.confirmed(spokes)
     labels = components(linked)
@@ -286,24 +292,24 @@ def near_duplicates(
     and the smallest id that links reach from it. Linked are sets with 100 * intersection >= percent
     * union.
 
-    Rows without words (null, empty, white space) have size 0 and are linked with nothing; rows with
-    fewer than k words have one shingle. Rows that repeat an id are each judged by
-    their own text; a component's id is the smallest of its rows. A row with a null id stays alone, with a null component. Links between
-    different texts are missed with a probability below 1e-8 each.
+    Ids of any type that can be ordered. Rows without words (null, empty, white space) have size 0 and
+    are linked with nothing; rows with fewer than k words have one shingle; texts of any length count
+    whole. Rows that repeat an id are each judged by their own text (with a second pass over the texts,
+    if an id has several); a component's id is the smallest of its rows. A row with a null id stays alone, with a null
+    component. Other columns are not read. Links between different texts are missed with a probability
+    below 2e-8 each.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    sketched = saved(texts.mapInArrow(_sketches(k, percent), "id long, n long, set_a long, set_b long, small binary, large binary, bands array<long>"))
+    kind = texts.schema["id"].dataType.simpleString()
+    sketched = saved(texts.mapInArrow(_sketches(k, percent), f"id {kind}, n long, set_a long, set_b long, small binary, large binary, bands array<long>"))
     real = sketched.where("n > 0 AND id IS NOT NULL")
-    groups = saved(real.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
-    reps = real.withColumn("place", F.struct("set_a", "set_b", "n"))
-    reps = (
-        reps.join(groups.select("set_a", "set_b", "n", F.col("rep").alias("id")), ["set_a", "set_b", "n", "id"], "left_semi")
-        .dropDuplicates(["set_a", "set_b", "id"])
-        .select("id", "n", "set_a", "set_b", "small", "large", "bands")
-    )
-    if not reps.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+    several = real.groupBy("id").agg(F.min("set_a").alias("a"), F.max("set_a").alias("b"), F.min("set_b").alias("c"), F.max("set_b").alias("d")).where("a <> b OR c <> d")
+    if not several.isEmpty():
+        dropped(sketched)
         return _by_row(docs, id_col, text, percent, k)
-    reps = saved(reps.select("id", "n", "small", "large", "bands"))
+    groups = saved(real.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
+    reps = real.join(groups.select("set_a", "set_b", "n", F.col("rep").alias("id")), ["set_a", "set_b", "n", "id"], "left_semi")
+    reps = saved(reps.dropDuplicates(["id"]).select("id", "n", "small", "large", "bands"))
 
     banded = saved(reps.select("id", F.explode("bands").alias("band")))
     counts = saved(banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
@@ -320,18 +326,23 @@ def near_duplicates(
         found = found.unionByName(_crowded_links(crowded, links, k, percent))
     labels = components(found)
 
-    named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
+    named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n", "size", F.coalesce("component", "rep").alias("component"))
     shared = groups.where("size > 1").select("rep").unionByName(labels.select(F.col("id").alias("rep"))).distinct()
-    named = named.join(groups.join(shared, "rep", "left_semi").select("set_a", "set_b", "n"), ["set_a", "set_b", "n"], "left_semi")
+    named = saved(named.join(groups.join(shared, "rep", "left_semi").select("set_a", "set_b", "n"), ["set_a", "set_b", "n"], "left_semi"))
     rows = sketched.select("id", "n", "set_a", "set_b")
-    return rows.join(named, ["set_a", "set_b", "n"], "left").select(
+    # Large groups of equal sets, of which there are under HOT_SHARE, are broadcast to their rows.
+    most = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    by_set = ["set_a", "set_b", "n"]
+    hot = F.broadcast(named.where(F.col("size") > most).drop("size"))
+    rest = rows.join(hot, by_set, "left_anti").join(named.where(F.col("size") <= most).drop("size"), by_set, "left")
+    return rest.unionByName(rows.join(hot, by_set)).select(
         "id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id")).alias("component_id")
     )
 
 
 def _by_row(docs: DataFrame, id_col: str, text: str, percent: int, k: int) -> DataFrame:
     """near_duplicates for ids that stand for several texts: rows go by a hash of id and text."""
-    rows = saved(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("row", F.xxhash64("id", "text")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("row", F.xxhash64("id", "text"))
     found = near_duplicates(rows, "row", "text", percent, k).dropDuplicates(["id"]).withColumnRenamed("id", "row")
     found = rows.select("id", "row").join(found, "row")
     least = found.groupBy("component_id").agg(F.min("id").alias("least"))
@@ -341,15 +352,18 @@ def _by_row(docs: DataFrame, id_col: str, text: str, percent: int, k: int) -> Da
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of docs that stay: one of each group of near duplicates, that with the smallest id;
     of repeated rows one. Rows without words or id are in no group and stay."""
-    found = saved(near_duplicates(docs, id_col, text, percent))
-    gone = saved(found.where("component_id <> id").select(F.col("id").alias("__gone")).distinct())
-    kept = docs.join(small(gone, BROADCAST_IDS), F.col(id_col) == F.col("__gone"), "left_anti")
-    again = found.where("n_shingles > 0 AND id IS NOT NULL").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("__again"))
-    again = saved(again)
+    own, names, back = numbered(docs)
+    its_id = names[id_col]
+    found = saved(near_duplicates(own, its_id, names[text], percent))
+    gone = saved(found.where("component_id <> id").select(F.col("id").alias("gone")).distinct())
+    kept = own.join(small(gone, BROADCAST_IDS), F.col(its_id) == F.col("gone"), "left_anti")
+    again = saved(found.where("n_shingles > 0 AND id IS NOT NULL").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("again")))
+    dropped(found)
     if again.isEmpty():
-        return kept
-    once = kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(once)
+        return kept.select(*back)
+    again = small(again, BROADCAST_IDS)
+    once = kept.join(again, F.col(its_id) == F.col("again"), "left_semi").dropDuplicates([its_id])
+    return kept.join(again, F.col(its_id) == F.col("again"), "left_anti").unionByName(once).select(*back)
 
 
 OP5_SQL = r"""
