@@ -1,6 +1,7 @@
 """Toxicity, spans, licenses, languages, and the pipeline."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -130,21 +131,42 @@ def test_spans_of_long_sentences_wide_stops_and_long_texts(spark, documents):
     assert found[5]["text"] == many and found[7]["text"] == "Tail of it." and found[7]["n_sentences"] == 20_001
 
 
-def test_licenses_in_any_place(spark, documents):
+def plain_licenses(text):
+    """Notices by their definition: (template, first word, containment) of each run of a template's shingles."""
+    words = re.findall("[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
+    runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    out = set()
+    for i, (name, template) in enumerate((n, t) for n, ts in licenses.TEMPLATES.items() for t in ts):
+        own = re.findall("[0-9a-z]+", template.lower())
+        want = {tuple(own[j : j + 5]) for j in range(len(own) - 4)}
+        part = []
+        for at in [*(j for j, r in enumerate(runs) if r in want), 10**9]:
+            if part and at - part[-1] > len(want):
+                share = len({runs[j] for j in part}) / len(want)
+                if share >= licenses.CONTAINMENT:
+                    out.add((i, part[0], round(share, 6)))
+                part = []
+            part.append(at)
+    return out
+
+
+def test_licenses_equal_brute_force(spark, documents):
     rng = random.Random(1)
-    rows = []
-    for i, (name, texts) in enumerate(licenses.TEMPLATES.items()):
-        for j, notice in enumerate(texts):
-            rows.append((100 * i + j, f"{prose(rng, rng.randrange(0, 90))}\n{notice}.\n{prose(rng, rng.randrange(0, 90))}"))
-    rows += [(9000, prose(rng, 500)), (9001, None), (9002, ""), (9003, "under the License")]
-    found = licenses.licenses(documents(rows)).collect()
-    names = list(licenses.TEMPLATES)
-    assert {r["doc_id"] for r in found} == {d for d, _ in rows if d < 9000}
-    for r in found:
-        assert r["containment"] >= licenses.CONTAINMENT
-    for d, _ in rows:
-        if d < 9000:
-            assert names[d // 100] in {r["license"] for r in found if r["doc_id"] == d and r["containment"] == 1.0}
+    rows, texts = [], [t for ts in licenses.TEMPLATES.values() for t in ts]
+    for i, notice in enumerate(texts * 3):
+        words = notice.split()
+        if i >= len(texts):  # some words changed: near the border of containment
+            for _ in range(rng.randrange(0, max(1, len(words) // 25) + 1)):
+                words[rng.randrange(len(words))] = "changed"
+        rows.append((i, f"{prose(rng, rng.randrange(0, 90))}\n{' '.join(words)}.\n{prose(rng, rng.randrange(0, 90))}"))
+    rows += [(9000, prose(rng, 500)), (9001, None), (9002, ""), (9003, "under the License"), (9004, texts[0] + ". " + prose(rng, 60) + " " + texts[0]), (None, texts[1])]
+    rows += [(9005, prose(rng, 150_000) + texts[3] + prose(rng, 1000)), (5, rows[5][1])]
+    docs = documents(rows).selectExpr("*", "1 AS license", "2 AS template")
+    found = licenses.licenses(docs).collect()
+    expected = sorted(((str(d), *x) for d, t in rows for x in plain_licenses(t)), key=str)
+    assert sorted(((str(r["doc_id"]), r["template"], r["first_word"], round(r["containment"], 6)) for r in found), key=str) == expected
+    assert len({r["template"] for r in found}) == len(texts)
+    assert licenses.licenses(documents([])).count() == 0
     assert licenses.bands(0.5) == 24
 
 
