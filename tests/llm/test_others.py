@@ -28,6 +28,45 @@ def test_features_see_hidden_and_near_insults():
     assert len(toxicity.features([])) == 0
 
 
+LETTERS = "[a-z\u0080-\U0010ffff']+"
+
+
+def plain_features(text):
+    """The features by their definitions; without hidden spellings and learned stems."""
+    text = text or ""
+    words = re.findall(LETTERS, re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    at = [i for i, w in enumerate(words) if w in toxicity.INSULTS]
+    seconds = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    near = sum(any(abs(i - j) <= 6 for j in seconds) for i in at)
+    marks = [c in "!?" for c in text]
+    spaced = re.findall(r"[^\x20\x09-\x0D]+", text)
+    shouted = sum(len(re.findall("[A-Z]", w)) >= 3 for w in spaced)
+    size, n = max(1, len(text.encode())), max(1, len(words))
+    return [
+        100 * len(at) / n, np.log1p(len(at)), len({words[i] for i in at}), np.log1p(sum(b - a <= 15 for a, b in zip(at, at[1:]))),
+        np.log1p(near), 100 * near / n, 100 * len(seconds) / n, 100 * sum(w in toxicity.THREATS for w in words) / n,
+        len(re.findall("[A-Z]", text)) / size, shouted / n, 100 * sum(marks) / size, 100 * sum(a and b for a, b in zip(marks, marks[1:])) / size,
+        len(re.findall(r"[#*$%&@|<>~^_=+]", text)) / size, np.log1p(len(words)),
+    ]
+
+
+def test_features_equal_plain_code():
+    rng = random.Random(7)
+    pool = ["you", "idiot", "STUPID", "kill", "Your", "dumm", "été", "plain", "WORD", "it's", "why?!", "#tag", "no!!!", "x", "\n", "merde,"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 60))) for _ in range(300)] + [None, "", " ", "you " * 200_000]
+    found = toxicity.features(texts)
+    keep = [i for i, f in enumerate(toxicity.FEATURES) if f not in ("obfuscated", "obfuscated_percent", "learned_percent", "learned", "learned_weight")]
+    for row, text in zip(found[:, keep], texts):
+        assert np.allclose(row, plain_features(text)), text and text[:200]
+
+
+def test_toxicity_of_empty_tables_and_clashing_columns(spark, documents):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.toxicity(documents([]), labels).count() == 0
+    docs = documents([(1, "a"), (2, "b"), (2, "c")]).selectExpr("*", "1 AS x", "2 AS label", "3 AS score", "4 AS features")
+    assert toxicity.toxicity(docs, labels).count() == 3
+
+
 def test_toxicity_learns_and_keeps_held_out_labels_apart(spark, documents):
     rng = random.Random(4)
     rows, labels = [], []

@@ -28,10 +28,9 @@ from weftline.llm.storage import saved
 #: calibration; and the tenths of hashes from which each is drawn.
 LEXICON_ROWS, TRAIN_ROWS, CALIBRATE_ROWS = 6_000, 20_000, 10_000
 TENTHS = {"lexicon": range(0, 4), "train": range(4, 8), "calibrate": range(8, 10)}
-#: Stems of words, in bytes (0: the whole word); entries of the learned lexicon at most; their least
-#: ratio of rates; and the least number and share of toxic texts that must have one.
+#: Stems of words, in bytes (0: the whole word); their least ratio of rates; and the least number and
+#: share of toxic texts that must have one.
 STEMS = (0, 3, 4, 5, 6, 7, 8, 10)
-ENTRIES = 50_000
 LEAST_RATIO = 6.0
 LEAST_TEXTS, LEAST_SHARE = 3, 0.004
 TREES, DEPTH, STEP = 20, 3, 0.25
@@ -250,16 +249,17 @@ def _summed(texts: DataFrame, known: np.ndarray | None) -> DataFrame:
 
 
 def learn_lexicon(texts: DataFrame) -> Lexicon:
-    """Stems (as hashes, sorted) and weights from (text, label); both of bounded size.
+    """Stems (as hashes, sorted) and weights from (text, label), a bounded sample: of what it holds only.
 
-    Repeated texts count once. A text counts by the shares of its words, so that long ones weigh no more.
+    Repeated texts count once, as toxic if one of them is. A text counts by the shares of its words, so
+    that long ones weigh no more.
     """
-    texts = saved(texts.where(F.col("text").isNotNull()).dropDuplicates(["text"]))
+    texts = saved(texts.where(F.col("text").isNotNull()).groupBy("text").agg(F.max("label").alias("label")))
     size = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     if len(size) < 2:
         return NO_LEXICON
     least = max(LEAST_TEXTS, LEAST_SHARE * size[1.0])
-    toxic = _summed(texts.where("label = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(ENTRIES).toPandas()
+    toxic = _summed(texts.where("label = 1"), None).where(F.col("n") >= least).toPandas()
     toxic["h"] = toxic["h"].to_numpy().view(np.uint64)
     toxic = toxic.sort_values("h")
     known = toxic["h"].to_numpy()
@@ -280,8 +280,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """doc_id, held_out, score and predicted of each row of docs.
 
     Labels other than 0 and 1, and those of held-out or null ids, are not used; where an id has both,
-    1 counts. Null and empty texts get a score like others. If the labels show one class or none, the
-    score is the share of 1 among them (0 without labels).
+    1 counts. Null and empty texts get a score like others, as do texts of any length, and equal texts the
+    same. Of an id with several texts the first by code points (for the trees: by features) is learned
+    from. If the labels show one class or none, the score is the share of 1 among them (0 without
+    labels). Other columns are not read.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("double").alias("label")).withColumn("h", F.xxhash64("doc_id"))
@@ -292,11 +294,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     # The samples are bounded by their parameters, and so may be broadcast.
     first = F.broadcast(sample("lexicon", LEXICON_ROWS))
-    lexicon = learn_lexicon(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(first, "doc_id").select("text", "label"))
+    learned_from = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(first, "doc_id").groupBy("doc_id")
+    lexicon = learn_lexicon(learned_from.agg(F.min("text").alias("text"), F.max("label").alias("label")))
     rows = saved(docs.select(F.col(doc_id).alias("doc_id"), _features(lexicon)(F.col(text)).alias("x")))
     part = {}
     for name, limit in (("train", TRAIN_ROWS), ("calibrate", CALIBRATE_ROWS)):
-        chosen = rows.join(F.broadcast(sample(name, limit)), "doc_id").dropDuplicates(["doc_id"])
+        chosen = rows.join(F.broadcast(sample(name, limit)), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("label").alias("label"))
         part[name] = saved(chosen.select("label", array_to_vector("x").alias("features")))
     counts = {r["label"]: r["count"] for r in part["train"].groupBy("label").count().collect()}
     scored = rows.select("doc_id", array_to_vector("x").alias("features"))
