@@ -232,5 +232,17 @@ def test_pipeline_equals_its_stages(spark, documents, tmp_path):
     assert {r["doc_id"] for r in result} == set(private)
 
 
+def test_pipeline_of_empty_and_odd_tables(spark, documents, tmp_path):
+    rng = random.Random(3)
+    long = " ".join(f"w{i}" for i in range(120_000))
+    odd = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, prose(rng, 80), None, None, None), (3, long, "en", "a", 1), (3, long, "en", "a", 1), (None, prose(rng, 90), "en", "a", 1)]
+    for name, rows in (("none", []), ("odd", odd)):
+        folder = tmp_path / name
+        documents(rows).selectExpr("*", "1 AS host", "2 AS `__new`", "3 AS block").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        found = corpus_pipeline.run(spark, str(folder)).collect()
+        assert sorted((r["doc_id"] for r in found), key=str) == ([] if not rows else [2, 3, None])
+
+
 def test_registered_once_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))

@@ -26,21 +26,36 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables within the shared one."""
+    return f"{shared_dir(spark)}/weftline-{spark.sparkContext.applicationId}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there, and the
-    loss of an executor costs none of it."""
-    path = f"{shared_dir(df.sparkSession)}/weftline-{uuid.uuid4().hex}"
+    loss of an executor costs none of it. Results read such tables until they are written themselves;
+    then dropped() or cleared() deletes them."""
+    path = f"{session_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any file system that Spark knows."""
+    its = spark._jvm.org.apache.hadoop.fs.Path(path)
+    its.getFileSystem(spark._jsc.hadoopConfiguration()).delete(its, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table from saved() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    removed(df.sparkSession, df.saved_at)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all tables that saved() wrote in this application; for when all results are written."""
+    removed(spark, session_dir(spark))
 
 
 def fits(df: DataFrame, limit: int) -> bool:
