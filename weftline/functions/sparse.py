@@ -1,26 +1,26 @@
-"""Bulk feature hashing: a text's tokens as (bucket, tf) pairs, in one Arrow pass."""
+"""Bulk feature hashing: the tokens of a column of texts as term frequencies by bucket, in Arrow arrays."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftline.functions.text import BUCKETS, FNV_BASIS, FNV_PRIME
 
 _OUTER = re.compile(r"^[^\w]+|[^\w.]+$")
-_PAIRS = T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("tf", T.DoubleType())]))
 
 
 @lru_cache(maxsize=200_000)
 def _bucket(word: str) -> int:
     """The bucket of a white-space separated word; -1 if only punctuation."""
-    token = _OUTER.sub("", word)
+    token = _OUTER.sub("", word.lower())
     if not token:
         return -1
     h = FNV_BASIS
@@ -29,13 +29,43 @@ def _bucket(word: str) -> int:
     return h % BUCKETS
 
 
-@F.pandas_udf(_PAIRS)
-def sparse_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Term frequencies by bucket of a text's query tokens, in order of bucket; null counts as empty."""
-    for batch in batches:
-        out = []
-        for text in batch:
-            counts = Counter(map(_bucket, (text or "").lower().split()))
-            counts.pop(-1, None)
-            out.append([{"bucket": b, "tf": float(n)} for b, n in sorted(counts.items())])
-        yield pd.Series(out, dtype=object)
+def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, tf) of a batch of texts, ordered by row and bucket; each distinct word is hashed once."""
+    words = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    rows = pc.list_parent_indices(words).to_numpy().astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    bucket_of = np.fromiter(map(_bucket, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    buckets = bucket_of[coded.indices.to_numpy()] if len(rows) else rows
+    used = buckets >= 0
+    pairs, tf = np.unique(rows[used] * BUCKETS + buckets[used], return_counts=True)
+    return pairs // BUCKETS, pairs % BUCKETS, tf
+
+
+def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, bucket, tf): term frequencies of each row's query tokens; null counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, buckets, tf = term_counts(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(buckets, pa.int32()), pa.array(tf, pa.float64())], [key, "bucket", "tf"])
+
+    picked = texts.select(F.col(key), F.col(text))
+    return picked.mapInArrow(run, f"{key} {picked.schema[key].dataType.simpleString()}, bucket int, tf double")
+
+
+def documents(texts: DataFrame, key: str, text: str, wanted: np.ndarray) -> DataFrame:
+    """(key, buckets, tfs): of each row the wanted buckets that it has; rows without any are left out.
+    wanted: a flag for each of the BUCKETS buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, buckets, tf = term_counts(batch.column(1))
+            keep = wanted[buckets]
+            rows, buckets, tf = rows[keep], buckets[keep], tf[keep]
+            there, first = np.unique(rows, return_index=True)
+            ends = pa.array(np.append(first, len(rows)), pa.int32())
+            parts = [batch.column(0).take(pa.array(there)), pa.ListArray.from_arrays(ends, pa.array(buckets, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.float64()))]
+            yield pa.RecordBatch.from_arrays(parts, [key, "buckets", "tfs"])
+
+    picked = texts.select(F.col(key), F.col(text))
+    return picked.mapInArrow(run, f"{key} {picked.schema[key].dataType.simpleString()}, buckets array<int>, tfs array<double>")

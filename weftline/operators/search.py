@@ -1,4 +1,8 @@
-"""Retrieval over many queries at once: a keyword leg, a dense leg, fusion, dedup, reranking."""
+"""Retrieval over many queries at once: a keyword leg, a dense leg, fusion, dedup, reranking.
+
+Both legs score a block of queries, which tasks carry along, against all rows: a task keeps the k best of
+its rows for each query, so that (tasks x queries x k) rows are shuffled whatever the number of rows.
+"""
 
 from __future__ import annotations
 
@@ -7,25 +11,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.sparse import sparse_vector
+from weftline.functions import sparse
+from weftline.functions.text import BUCKETS, query_tokens
 from weftline.functions.vectors import min_max
+from weftline.storage import dropped, saved, small
 
-#: A query side of so many rows at most is broadcast; a larger one is joined by shuffle, or cut in blocks.
-BROADCAST_ROWS = 100_000
-QUERY_BLOCK = 4096
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+#: Queries of a block: so many, but no more numbers than that.
+QUERY_BLOCK, BLOCK_NUMBERS = 8192, 4_000_000
+#: Scores that a task works out at once.
+SCORES_AT_ONCE = 2_000_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, bucket, tf): the inverted index of a table."""
-    pairs = docs.select(F.col(key), F.explode(sparse_vector(F.col(text))).alias("p"))
-    return pairs.select(key, "p.bucket", "p.tf")
+    return sparse.postings(docs, key, text)
 
 
 def inverse_frequency(n_docs: Column, df: Column) -> Column:
@@ -33,10 +36,10 @@ def inverse_frequency(n_docs: Column, df: Column) -> Column:
 
 
 def bucket_weights(index: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """(bucket, df, idf) of an inverted index."""
-    n = docs.agg(F.count_distinct(key).alias("n"))
+    """(bucket, df, idf) of an inverted index; at most BUCKETS rows."""
     df = index.groupBy("bucket").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n)).select("bucket", "df", inverse_frequency(F.col("n"), F.col("df")).alias("idf"))
+    n = docs.select(F.count_distinct(key)).first()[0]
+    return df.select("bucket", "df", inverse_frequency(F.lit(n), F.col("df")).alias("idf"))
 
 
 def top_ranked(hits: DataFrame, k: int, query: str = "query_id", key: str = "key", score: str = "score") -> DataFrame:
@@ -45,74 +48,144 @@ def top_ranked(hits: DataFrame, k: int, query: str = "query_id", key: str = "key
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _blocks(queries: DataFrame, numbers: Column) -> Iterator[pd.DataFrame]:
+    """A query table in blocks of bounded size. numbers: how many a query has."""
+    size = queries.agg(F.count("*"), F.sum(numbers)).first()
+    blocks = max(1, -(-size[0] // QUERY_BLOCK), -(-(size[1] or 0) // BLOCK_NUMBERS))
+    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    for block in range(blocks):
+        rows = queries.where(place == block).toPandas()
+        if len(rows):
+            yield rows
+
+
+def _union(parts: list[DataFrame], k: int, empty: DataFrame) -> DataFrame:
+    hits = parts[0] if parts else empty
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
+    return top_ranked(hits.withColumn("score", F.round("score", 6)), k)
+
+
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int, query: str = "query_id", key: str = "key", text: str = "text") -> DataFrame:
     """(query_id, key, score, rank): BM25-like search by shared buckets, for all queries at once.
 
-    Only buckets that occur in queries leave the scan: their postings meet the query side in a hash
-    join, and are summed before the shuffle.
+    Texts are tokenised once: what they have of the queries' buckets is written, one row a text. Counts by
+    bucket give the weights, and blocks of queries are scored against the written rows.
     """
-    wanted = postings(queries.select(F.col(query).alias("query_id"), F.col(text).alias("t")), "query_id", "t").withColumnRenamed("tf", "query_tf")
-    used = _small(wanted.select("bucket").distinct())
-    index = postings(docs.select(F.col(key).alias("key"), F.col(text).alias("t")), "key", "t").join(used, "bucket", "left_semi")
-    weights = bucket_weights(index, docs.select(F.col(key).alias("key")), "key").drop("df")
-    terms = _small(wanted.join(weights, "bucket").select("query_id", "bucket", (F.col("query_tf") * F.col("idf")).alias("w")))
-    hits = index.join(terms, "bucket").groupBy("query_id", "key").agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
-    return top_ranked(hits.withColumn("score", F.round("score", 6)), k)
+    wanted = saved(sparse.postings(queries.select(F.col(query).alias("query_id"), F.col(text).alias("t")), "query_id", "t"))
+    used = np.zeros(BUCKETS, bool)
+    used[[r["bucket"] for r in wanted.select("bucket").distinct().collect()]] = True  # BUCKETS numbers at most
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    index = saved(sparse.documents(docs, "key", "t", used))
+    weights = bucket_weights(index.select(F.explode("buckets").alias("bucket")), docs, "key")
+    terms = wanted.join(F.broadcast(weights), "bucket").groupBy("query_id")  # BUCKETS rows at most
+    terms = saved(terms.agg(F.collect_list("bucket").alias("buckets"), F.collect_list(F.col("tf") * F.col("idf")).alias("weights")))
+    dropped(wanted)
+    parts = [_scored(index, rows, k) for rows in _blocks(terms, F.size("buckets"))]
+    dropped(terms)
+    empty = index.select(F.lit(None).cast(queries.schema[query].dataType).alias("query_id"), "key", F.lit(0.0).alias("score")).limit(0)
+    return _union(parts, k, empty)
+
+
+def _kept(query_ids: np.ndarray, k: int) -> Callable:
+    """The k best of each query, among what was kept before and a matrix of new scores (queries by rows).
+    Ties at the border are kept: ranks are by rounded score and key. Scores of minus infinity are none."""
+
+    def keep(best: pd.DataFrame | None, score: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
+        at = min(k, score.shape[1])
+        least = np.partition(score, -at, axis=1)[:, -at] - 1e-5
+        q, d = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+        found = pd.DataFrame({"q": q, "key": keys[d], "score": score[q, d]})
+        best = found if best is None else pd.concat([best, found], ignore_index=True)
+        return _best(best, k) if len(best) > 4 * k * len(query_ids) else best
+
+    return keep
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int, key: str = "key", vector: str = "embedding", skip_self: bool = False) -> DataFrame:
-    """(query_id, key, score, rank): exact search by dot product. queries: (query_id, vector).
+def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    found = found.sort_values(["q", "score"], ascending=[True, False], ignore_index=True)
+    place = found.groupby("q").cumcount()
+    border = found["q"].map(found[place == k - 1].set_index("q")["score"]).fillna(-np.inf)
+    return found[found["score"] >= border - 1e-5]
 
-    The query set goes to the tasks in blocks of QUERY_BLOCK rows, each of bounded size; a task scores
-    its vectors against a block with one matrix product and keeps k for each query, so that
-    (tasks x queries x k) rows are shuffled whatever the number of vectors.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    parts = []
-    for block in range(blocks):
-        rows = queries.where(place == block).select("query_id", F.col(vector).alias("v")).toPandas()
-        if len(rows):
-            parts.append(_scan(vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")), rows, k, skip_self))
-    if not parts:
-        return vectors.limit(0).select(F.col(key).alias("query_id"), F.col(key).alias("key"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
-    return top_ranked(hits.withColumn("score", F.round("score", 6)), k)
+
+def _hits(best: pd.DataFrame | None, query_ids: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    if best is not None and len(best):
+        best = _best(best, k)
+        yield pd.DataFrame({"query_id": query_ids[best["q"].to_numpy()], "key": best["key"].to_numpy(), "score": best["score"].to_numpy()})
+
+
+def _schema(query_id: type, keys: DataFrame) -> str:
+    return f"query_id {'string' if query_id is str else 'long'}, key {keys.schema['key'].dataType.simpleString()}, score double"
+
+
+def _scored(index: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
+    """Hits of a block of queries (query_id, buckets, weights) in rows (key, buckets, tfs)."""
+    ids = queries["query_id"].to_numpy()
+    bucket = np.concatenate(queries["buckets"].to_numpy())
+    order = np.argsort(bucket, kind="stable")
+    of_query = np.repeat(np.arange(len(ids)), queries["buckets"].map(len))[order]
+    weight = np.concatenate(queries["weights"].to_numpy())[order]
+    first = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    keep = _kept(ids, k)
+    step = max(1, SCORES_AT_ONCE // len(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                keys, lists, tfs = part.column(0).to_pandas().to_numpy(), part.column(1), part.column(2)
+                buckets, tf = lists.flatten().to_numpy(), tfs.flatten().to_numpy()
+                row = pc_parents(lists)
+                n = first[buckets + 1] - first[buckets]
+                # Each posting with each query that has its bucket.
+                posting = np.repeat(np.arange(len(buckets)), n)
+                term = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[buckets][posting]
+                cell = of_query[term] * part.num_rows + row[posting]
+                met = np.bincount(cell, minlength=len(ids) * part.num_rows) > 0
+                score = np.bincount(cell, weight[term] * tf[posting], minlength=len(ids) * part.num_rows)
+                best = keep(best, np.where(met, score, -np.inf).reshape(len(ids), part.num_rows), keys)
+        for hits in _hits(best, ids, k):
+            yield pa.RecordBatch.from_pandas(hits, preserve_index=False)
+
+    return index.select("key", "buckets", "tfs").mapInArrow(run, _schema(type(ids[0]), index))
+
+
+def pc_parents(lists: pa.ListArray) -> np.ndarray:
+    """The row of each element of a list array."""
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int, key: str = "key", vector: str = "embedding", skip_self: bool = False) -> DataFrame:
+    """(query_id, key, score, rank): exact search by dot product. queries: (query_id, vector). Null vectors
+    are left out."""
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("v IS NOT NULL")
+    asked = queries.select("query_id", F.col(vector).alias("v")).where("v IS NOT NULL")
+    parts = [_scan(rows, block, k, skip_self) for block in _blocks(asked, F.size("v"))]
+    return _union(parts, k, rows.select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), "key", F.lit(0.0).alias("score")).limit(0))
 
 
 def _scan(vectors: DataFrame, queries: pd.DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """Hits of a block of queries: one matrix product for each batch of vectors."""
     ids = queries["query_id"].to_numpy()
     matrix = np.stack(queries["v"].to_numpy()).astype(np.float64)
+    keep = _kept(ids, k)
+    step = max(1, SCORES_AT_ONCE // len(ids))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
         for batch in batches:
-            batch = batch[batch["v"].notna()]
-            if not len(batch):
-                continue
-            keys = batch["key"].to_numpy()
-            score = matrix @ np.stack(batch["v"].to_numpy()).astype(np.float64).T
-            if skip_self:
-                score[ids[:, None] == keys[None, :]] = -np.inf
-            # Ties at the border are kept: ranks are by rounded score and key.
-            least = np.partition(score, -min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])] - 1e-5
-            q, d = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-            found = pd.DataFrame({"query_id": ids[q], "key": keys[d], "score": score[q, d]})
-            best = found if best is None else pd.concat([best, found])
-            if len(best) > 20 * k * len(ids):
-                best = _best(best, k)
-        if best is not None:
-            yield _best(best, k)
-
-    return vectors.mapInPandas(run, "query_id long, key long, score double")
-
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                keys = part["key"].to_numpy()
+                score = matrix @ np.stack(part["v"].to_numpy()).astype(np.float64).T
+                if skip_self:
+                    score[ids[:, None] == keys[None, :]] = -np.inf
+                best = keep(best, score, keys)
+        yield from _hits(best, ids, k)
 
-def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    least = found.groupby("query_id")["score"].transform(lambda s: s.nlargest(k).iloc[-1])
-    return found[found["score"] >= least - 1e-5]
+    return vectors.mapInPandas(run, _schema(type(ids[0]), vectors))
 
 
 def fused(legs: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -194,12 +267,11 @@ def hybrid_search(
     """
     if where is not None:
         docs = docs.where(where)
+    queries = saved(queries)
     n = options.top_k * options.prefetch
     legs = [keyword_search(queries, docs, n, text=text), dense_leg(queries, n)]
-    hits = fused(legs, options.top_k, options.rrf_constant)
-    hits = docs.join(_small(hits), "key").join(_small(queries.select("query_id", F.col(query_text).alias("__query"))), "query_id")
+    hits = saved(fused(legs, options.top_k, options.rrf_constant))
+    hits = docs.join(small(hits), "key").join(small(queries.select("query_id", F.col(query_text).alias("__query"))), "query_id")
     hits = deduplicated(hits, dedup_key)
-    from weftline.functions.text import query_tokens
-
     hits = reranked(hits, word_overlap(query_tokens(F.col("__query")), query_tokens(F.col(text))), options.alpha)
     return cut(hits, options.threshold, options.final_top_k or options.top_k).drop("__query")

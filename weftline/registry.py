@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import citations, text, urls, vectors
-from weftline.functions.sparse import sparse_vector
 from weftline.operators import chunking, increments, search, stats
 from weftline.plans import ingest
 from weftline.sources import pages as page_source
+from weftline.storage import saved, small
 from weftline.streaming import limits
 
 QUERIES = {}
@@ -58,9 +58,11 @@ _DENSE = """
 ds AS (SELECT q.vec_id AS query_id, v.vec_id AS key, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
        FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM ds)"""
-_LENGTH = """
-ls AS (SELECT item_id AS query_id, doc_id AS key, -abs(length(b.text) - length(d.text))::DOUBLE AS score FROM benchmark b, documents d),
-lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM ls)"""
+# Items and documents have the vector with their number.
+_VECTORS = """
+vs AS (SELECT item_id AS query_id, doc_id AS key, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+       FROM benchmark JOIN embeddings q ON item_id = q.vec_id, documents JOIN embeddings v ON doc_id = v.vec_id),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM vs)"""
 
 
 @query(f"SELECT item_id, {_TOKENS.format('text')} AS tokens FROM benchmark")
@@ -107,33 +109,25 @@ def dense_search_topk(spark, sf_dir):
 _RRF = """
 f AS (SELECT query_id, key, sum(round(1.0 / (60 + rank), 12)::DECIMAL(20,12))::DOUBLE AS s FROM ({legs}) GROUP BY ALL),
 fr AS (SELECT query_id, key, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, key) AS rank FROM f)"""
-_BOTH = _RRF.format(legs="SELECT query_id, key, rank FROM kr WHERE rank <= 18 UNION ALL SELECT query_id, key, rank FROM lr WHERE rank <= 18")
+_BOTH = _RRF.format(legs="SELECT query_id, key, rank FROM kr WHERE rank <= 18 UNION ALL SELECT query_id, key, rank FROM vr WHERE rank <= 18")
 
 
-def _by_length(spark, sf_dir):
-    """A second ranking of documents for benchmark items that SQL can give: by closeness in length.
+def _by_vector(spark, sf_dir):
+    """The dense leg: items of the benchmark and documents have the vector with their number."""
+    stored = table(spark, sf_dir, "embeddings")
 
-    The candidates of a length are its neighbours in an order by length; ranks come from a bounded
-    number of documents on each side, found by position.
-    """
     def leg(queries: DataFrame, k: int) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.length("text").alias("n"))
-        sizes = docs.groupBy("n").agg(F.count("*").alias("c"))
-        # Sizes near a query's: enough distinct ones to hold k documents; documents join by size.
-        wanted = F.broadcast(queries.select("query_id", F.length("text").alias("m")))
-        near = sizes.join(wanted).withColumn("gap", F.abs(F.col("n") - F.col("m")))
-        order = Window.partitionBy("query_id").orderBy("gap")
-        held = near.withColumn("before", F.coalesce(F.sum("c").over(order.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < k)
-        hits = docs.join(held.select("query_id", "n", "gap"), "n").select("query_id", "key", (-F.col("gap")).cast("double").alias("score"))
-        return search.top_ranked(hits, k)
+        asked = queries.select("query_id").join(stored, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+        keys = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"))
+        return search.dense_search(asked, keys.join(stored, F.col("key") == F.col("vec_id")).select("key", "embedding"), k)
 
     return leg
 
 
-@query(f"WITH {_KEYWORD}, {_LENGTH}, {_BOTH} SELECT query_id, key, score, rank::INT AS rank FROM fr WHERE rank <= 6")
+@query(f"WITH {_KEYWORD}, {_VECTORS}, {_BOTH} SELECT query_id, key, score, rank::INT AS rank FROM fr WHERE rank <= 6")
 def rrf_fusion(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.fused([_keyword(spark, sf_dir, 18), _by_length(spark, sf_dir)(queries, 18)], TOP_K)
+    return search.fused([_keyword(spark, sf_dir, 18), _by_vector(spark, sf_dir)(queries, 18)], TOP_K)
 
 
 @query(f"""WITH {_KEYWORD} SELECT query_id, key, score, rank::INT AS rank FROM (
@@ -141,7 +135,7 @@ def rrf_fusion(spark, sf_dir):
 WHERE n = 1""")
 def retrieval_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source", "lang")
-    hits = docs.join(F.broadcast(_keyword(spark, sf_dir, 18)), "key")
+    hits = docs.join(small(saved(_keyword(spark, sf_dir, 18))), "key")
     return search.deduplicated(hits, F.concat_ws("|", "source", "lang")).select("query_id", "key", "score", "rank")
 
 
@@ -158,7 +152,7 @@ k AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDE
 def _reranked(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    hits = docs.join(F.broadcast(_keyword(spark, sf_dir, 18)), "key").join(F.broadcast(queries), "query_id")
+    hits = docs.join(small(saved(_keyword(spark, sf_dir, 18))), "key").join(small(queries), "query_id")
     overlap = search.word_overlap(text.query_tokens(F.col("question")), text.query_tokens(F.col("text")))
     return search.reranked(hits, overlap, 0.7).select("query_id", "key", "score", "rank")
 
@@ -174,7 +168,7 @@ def threshold_topk(spark, sf_dir):
     return search.cut(_reranked(spark, sf_dir), 0.4, 4)
 
 
-@query(f"""WITH {_KEYWORD}, {_LENGTH}, {_BOTH},
+@query(f"""WITH {_KEYWORD}, {_VECTORS}, {_BOTH},
 h0 AS (SELECT fr.*, d.text AS dtext, row_number() OVER (PARTITION BY query_id, source || '|' || lang ORDER BY rank) AS n
        FROM fr JOIN documents d ON key = doc_id WHERE rank <= 6),
 h AS (SELECT query_id, key, score AS rrf, rank AS pr, list_distinct({_TOKENS.format('b.text')}) AS qw, {_TOKENS.format('dtext')} AS dw
@@ -187,7 +181,7 @@ SELECT query_id, key, rrf AS rrf_score, score, row_number() OVER (PARTITION BY q
 def hybrid_search(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "key")
-    hits = search.hybrid_search(queries, docs, search.Options(), _by_length(spark, sf_dir), F.concat_ws("|", "source", "lang"))
+    hits = search.hybrid_search(queries, docs, search.Options(), _by_vector(spark, sf_dir), F.concat_ws("|", "source", "lang"))
     return hits.select("query_id", "key", "rrf_score", "score", "rank")
 
 
@@ -327,7 +321,7 @@ def citation_renumber(spark, sf_dir):
 FROM kr JOIN documents ON key = doc_id WHERE rank <= 6 GROUP BY query_id""")
 def format_context(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.lit("").alias("symbol"), F.col("source").alias("title"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"))
-    return ingest.contexts(docs.join(F.broadcast(_keyword(spark, sf_dir, 6)), "key"))
+    return ingest.contexts(docs.join(small(saved(_keyword(spark, sf_dir, 6))), "key"))
 
 
 @query("""SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS unit FROM embeddings""")
