@@ -72,13 +72,31 @@ def test_merge_small(spark, texts):
     assert [(x["anchor"], x["text"]) for x in found] == merged([(a, t) for a, t, _ in parts], 8)
 
 
+@pytest.mark.parametrize(
+    ("sizes", "most", "overlap", "expected"),
+    [
+        ([50, 30, 300, 40, 40, 40], 100, 40, ["ab", "c", "de", "ef"]),
+        ([50, 30, 300, 40, 40, 40], 100, 0, ["ab", "c", "de", "f"]),
+        ([40, 40, 40, 90], 100, 45, ["ab", "bc", "cd"]),
+        ([60, 20, 15, 60], 100, 40, ["abc", "bcd"]),
+        ([300], 100, 40, ["a"]),
+        ([40, 55], 100, 40, ["ab"]),
+        ([40, 58, 5], 99, 50, ["a", "ab", "c"]),
+    ],
+)
+def test_pieces(sizes, most, overlap, expected):
+    names = "abcdefgh"
+    parts = chunking.pieces("\n\n".join(names[i] * n for i, n in enumerate(sizes)), most, overlap)
+    assert all(p.startswith(chunking.OVERLAP_SIGN) for p in parts[1:]) == bool(overlap) or len(parts) == 1
+    found = ["".join(x[0] for x in p.removeprefix(chunking.OVERLAP_SIGN).split("\n\n")) for p in parts]
+    assert found == expected
+
+
 def test_pieces_bounds_and_overlap():
     text = "\n\n".join(f"paragraph {i} " + "x" * (50 + 37 * i % 90) for i in range(60))
     parts = chunking.pieces(text, 400, 120)
     assert len(parts) > 5 and all(len(p) <= 400 + 120 + 2 + len(chunking.OVERLAP_SIGN) for p in parts)
-    assert not parts[0].startswith(chunking.OVERLAP_SIGN) and all(p.startswith(chunking.OVERLAP_SIGN) for p in parts[1:])
-    seen = {line for p in parts for line in p.split("\n\n")}
-    assert set(text.split("\n\n")) <= seen
+    assert set(text.split("\n\n")) <= {line for p in parts for line in p.split("\n\n")}
     assert chunking.pieces("x" * 5000, 400, 0)[0] == "x" * 5000
     assert chunking.paragraphs("a\n\n```py\nx\n\ny\n\n```\n\nb") == ["a", "```py\nx\n\ny\n\n```", "b"]
     with pytest.raises(ValueError):

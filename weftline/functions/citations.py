@@ -41,7 +41,7 @@ def renumbered(answer: Column, used: Column) -> Column:
     gaps = F.split(answer, r"\[\d+\]", -1)
     marks = F.regexp_extract_all(answer, F.lit(MARK), F.lit(1))
     new = F.transform(marks, lambda m: F.concat(F.lit("["), F.when(F.array_contains(used, m.try_cast("int")), F.array_position(used, m.try_cast("int")).cast("string")).otherwise(m), F.lit("]")))
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.lit("")))), "")
+    return F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), new.alias("mark")), lambda x: F.concat(x["gap"], F.coalesce(x["mark"], F.lit("")))), "")
 
 
 def cut_at_word(text: Column, most: int = 3500) -> Column:
@@ -71,9 +71,10 @@ def chat_answer(answer: Column, sources: Column) -> Column:
         sign = F.when(F.length(mark) == 1, F.substr(F.lit(SUPERSCRIPTS), mark.try_cast("int"), F.lit(1))).otherwise(F.concat(F.lit("["), mark, F.lit("]")))
         return F.when(source.isNull(), F.concat(F.lit("["), mark, F.lit("]"))).otherwise(F.concat(F.lit('<a href="'), source["url"], F.lit('">'), sign, F.lit("</a>")))
 
-    linked = F.transform(marks, link)
-    apart = lambda g, i: F.when((i > 0) & (g == ""), F.lit(" ")).otherwise(g)
-    text = F.array_join(F.transform(gaps, lambda g, i: F.concat(F.when(i < F.size(gaps) - 1, apart(g, i)).otherwise(g), F.coalesce(F.get(linked, i), F.lit("")))), "")
+    linked = F.arrays_zip(gaps.alias("gap"), F.transform(marks, link).alias("link"))
+    # Between two links that touch stands a space; after the last gap there is no link.
+    apart = lambda x, i: F.when((i > 0) & (x["gap"] == "") & x["link"].isNotNull(), F.lit(" ")).otherwise(x["gap"])
+    text = F.array_join(F.transform(linked, lambda x, i: F.concat(apart(x, i), F.coalesce(x["link"], F.lit("")))), "")
     lines = F.transform(sources, lambda s: F.concat(s["index"].cast("string"), F.lit(". "), html_escaped(label(s["symbol"], s["title"], s["url"]))))
     return F.when(F.size(sources) > 0, F.concat(text, F.lit("\n\n"), F.array_join(lines, "\n"))).otherwise(text)
 
@@ -93,3 +94,8 @@ def error_text(message: Column) -> Column:
 
 def rag_prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit("Answer the question from the numbered context only and cite it as [n].\n\nContext:\n"), context, F.lit("\n\nQuestion: "), question)
+
+
+def hyde_prompt(question: Column) -> Column:
+    """Asks for a passage that may answer the question, whose vector then stands in for the question's."""
+    return F.concat(F.lit("Write a short passage of technical documentation that answers the question, without preface.\n\nQuestion: "), question, F.lit("\nPassage:"))

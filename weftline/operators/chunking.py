@@ -23,8 +23,10 @@ def segments(markdown: Column) -> Column:
     texts = F.slice(F.split(markdown, MARKER, -1), 2, 1_000_000_000)
     kinds = F.regexp_extract_all(markdown, F.lit(MARKER), F.lit(1))
     anchors = F.regexp_extract_all(markdown, F.lit(MARKER), F.lit(2))
-    made = F.transform(texts, lambda t, i: F.struct(F.concat(F.lit("#"), anchors[i]).alias("anchor"), strip(t).alias("text"), kinds[i].alias("kind")))
-    return F.when(F.size(kinds) > 0, made).otherwise(F.array().cast(SEGMENTS))
+    # Zipped before: within the lambda Spark would work out the arrays anew for each element.
+    zipped = F.arrays_zip(anchors.alias("anchor"), texts.alias("text"), kinds.alias("kind"))
+    made = F.transform(zipped, lambda x: F.struct(F.concat(F.lit("#"), x["anchor"]).alias("anchor"), strip(x["text"]).alias("text"), x["kind"].alias("kind")))
+    return F.when(markdown.isNotNull(), made).otherwise(F.array().cast(SEGMENTS))
 
 
 def merged(parts: Column, min_chars: int = 120) -> Column:
@@ -76,34 +78,52 @@ def paragraphs(text: str) -> list[str]:
     return out
 
 
+def carried_over(held: list[str], overlap: int) -> list[str]:
+    """The longest run of paragraphs at the end of held that, joined, is at most overlap long."""
+    at, size = len(held), -2
+    while at and size + 2 + len(held[at - 1]) <= overlap:
+        at -= 1
+        size += 2 + len(held[at])
+    return held[at:] if overlap else []
+
+
 def pieces(text: str, max_chars: int = 1500, overlap: int = 200) -> list[str]:
-    """Paragraphs packed into pieces of at most max_chars; a longer paragraph is a piece of its own.
-    Each piece but the first starts with a sign and as many whole paragraphs of the one before as fit
-    into overlap characters."""
+    """Paragraphs packed into pieces of at most max_chars.
+
+    A longer paragraph is a piece of its own, after which packing starts anew. Where a piece is full, the
+    next one begins with the paragraphs at its end that fit into overlap characters; these count towards
+    max_chars of the next, which one paragraph more may exceed. With an overlap, each piece but the first has a sign before it.
+    """
     if len(text) <= max_chars:
         return [text]
     out: list[str] = []
     held: list[str] = []
-    carried = 0
+    size = -2  # of held, joined
+    for paragraph in paragraphs(text):
+        alone = len(paragraph) > max_chars
+        if held and (alone or size + 2 + len(paragraph) > max_chars):
+            out.append("\n\n".join(held))
+            held = [] if alone else carried_over(held, overlap)
+            size = sum(map(len, held)) + 2 * len(held) - 2
+        if alone:
+            out.append(paragraph)
+        else:
+            held.append(paragraph)
+            size += 2 + len(paragraph)
+    if held:
+        out.append("\n\n".join(held))
+    return out[:1] + [OVERLAP_SIGN + x for x in out[1:]] if overlap else out
+
+
+def paragraph_list():
+    """paragraphs() as a column function."""
 
-    def flush() -> None:
-        out.append((OVERLAP_SIGN if out else "") + "\n\n".join(held))
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: None if t is None else paragraphs(t))
 
-    for paragraph in paragraphs(text):
-        size = sum(map(len, held[carried:])) + 2 * max(0, len(held) - carried)
-        if len(held) > carried and size + len(paragraph) > max_chars:
-            flush()
-            budget, tail = overlap, []
-            for old in reversed(held):
-                if len(old) > budget:
-                    break
-                tail.insert(0, old)
-                budget -= len(old) + 2
-            held, carried = tail, len(tail)
-        held.append(paragraph)
-    if len(held) > carried:
-        flush()
-    return out
+    return split
 
 
 def split_pieces(max_chars: int = 1500, overlap: int = 200):

@@ -213,30 +213,55 @@ def page_markers(spark, sf_dir):
     return pages.select("url", section).select("url", "s.anchor", "s.label", "s.level", "s.kind", "s.symbol")
 
 
-@query(r"""SELECT doc_id, i::INT AS pos, p AS paragraph FROM (
-  SELECT doc_id, unnest(l) AS p, unnest(range(len(l))) AS i FROM (
-    SELECT doc_id, list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x) <> '') AS l FROM documents))""")
+_PARAGRAPHS = "list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x) <> '')"
+
+
+def _spaced() -> Column:
+    """A text with each of its lines as a paragraph."""
+    return F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+
+
+@query(f"SELECT doc_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS paragraph FROM (SELECT doc_id, {_PARAGRAPHS} AS l FROM documents)")
 def paragraph_split(spark, sf_dir):
-    blocks = F.filter(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")), "\n{2,}"), lambda p: F.trim(p) != "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(blocks).alias("pos", "paragraph"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.paragraph_list()(_spaced())).alias("pos", "paragraph"))
 
 
-@query()
+@query(f"""WITH RECURSIVE long AS (SELECT doc_id, {_PARAGRAPHS} AS l FROM documents WHERE length(replace(text, chr(10), chr(10) || chr(10))) > 1500),
+p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS t FROM long),
+f AS (SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS held, []::VARCHAR[] AS made FROM long
+ UNION ALL
+ SELECT doc_id, i, CASE WHEN alone THEN [] WHEN full_ THEN list_append(coalesce(held[list_filter(range(1, len(held) + 1), lambda k: length(array_to_string(held[k:], chr(10) || chr(10))) <= 200)[1]:], []), t) ELSE list_append(held, t) END,
+  CASE WHEN len(held) > 0 AND (alone OR full_) THEN [array_to_string(held, chr(10) || chr(10))] ELSE [] END || CASE WHEN alone THEN [t] ELSE [] END
+ FROM (SELECT f.doc_id, p.i, held, t, length(t) > 1500 AS alone, len(held) > 0 AND length(array_to_string(held, chr(10) || chr(10))) + 2 + length(t) > 1500 AS full_
+       FROM f JOIN p ON f.doc_id = p.doc_id AND p.i = f.i + 1)),
+made AS (SELECT doc_id, i, unnest(range(len(made))) AS j, unnest(made) AS piece FROM f
+ UNION ALL SELECT f.doc_id, f.i + 1, 0, array_to_string(held, chr(10) || chr(10)) FROM f JOIN long ON f.doc_id = long.doc_id AND f.i = len(l) WHERE len(held) > 0),
+numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS n, piece FROM made)
+SELECT doc_id, n::INT AS sub_index, CASE WHEN n > 0 THEN '<!-- overlap -->' || chr(10) || chr(10) ELSE '' END || piece AS piece FROM numbered
+UNION ALL SELECT doc_id, 0, replace(text, chr(10), chr(10) || chr(10)) FROM documents WHERE length(replace(text, chr(10), chr(10) || chr(10))) <= 1500""")
 def sub_split(spark, sf_dir):
-    split = chunking.split_pieces()
-    spaced = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split(spaced)).alias("sub_index", "piece"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.split_pieces()(_spaced())).alias("sub_index", "piece"))
 
 
-@query()
+_STRIPPED = r"regexp_replace({0}, '^[\s\x0B\x{{85}}\x{{A0}}\x{{2028}}\x{{2029}}\x{{3000}}]+|[\s\x0B\x{{85}}\x{{A0}}\x{{2028}}\x{{2029}}\x{{3000}}]+$', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
+f AS (SELECT doc_id, 0::BIGINT AS i, '' AS carry, NULL::VARCHAR AS first_, NULL::VARCHAR AS anchor, NULL::VARCHAR AS text FROM documents
+ UNION ALL
+ SELECT doc_id, i, CASE WHEN length(t) < 120 THEN t ELSE '' END, CASE WHEN length(t) BETWEEN 1 AND 119 THEN coalesce(first_, own) END,
+  CASE WHEN length(t) >= 120 THEN own END, CASE WHEN length(t) >= 120 THEN t END
+ FROM (SELECT f.doc_id, l.i, first_, '#s' || (l.i - 1) AS own, carry || CASE WHEN carry <> '' AND {_STRIPPED.format('line')} <> '' THEN chr(10) || chr(10) ELSE '' END || {_STRIPPED.format('line')} AS t
+       FROM f JOIN l ON f.doc_id = l.doc_id AND l.i = f.i + 1)),
+rest AS (SELECT f.doc_id, carry, first_ FROM f JOIN (SELECT doc_id, max(i) AS i FROM l GROUP BY doc_id) m ON f.doc_id = m.doc_id AND f.i = m.i WHERE carry <> ''),
+made AS (SELECT doc_id, anchor, text, row_number() OVER w - 1 AS pos, row_number() OVER w = count(*) OVER (PARTITION BY doc_id) AS final FROM f WHERE text IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT made.doc_id, pos::INT AS pos, anchor, text || CASE WHEN final AND carry IS NOT NULL THEN chr(10) || chr(10) || carry ELSE '' END AS text FROM made LEFT JOIN rest ON made.doc_id = rest.doc_id
+UNION ALL SELECT doc_id, 0, first_, carry FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM made)""")
 def merge_small(spark, sf_dir):
     parts = F.transform(_lines(F.col("text")), lambda t, i: F.struct(F.concat(F.lit("#s"), i.cast("string")).alias("anchor"), text.strip(t).alias("text"), F.lit("section").alias("kind")))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.merged(parts)).alias("pos", "s")).select("doc_id", "pos", "s.anchor", "s.text")
 
 
-_MARKED = r"""list_transform(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10))))), lambda x: '<!-- section: s' || doc_id || '_' || x[2] || ' -->' || chr(10) || x[1])"""
-
-
 @query(r"""SELECT doc_id, i::INT AS pos, '#s' || doc_id || '_' || i AS anchor, regexp_replace(t, '^[\s\x0B\x{85}\x{A0}\x{2028}\x{2029}\x{3000}]+|[\s\x0B\x{85}\x{A0}\x{2028}\x{2029}\x{3000}]+$', '', 'g') AS text FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)""")
 def marker_split(spark, sf_dir):
@@ -302,19 +327,24 @@ def _docs() -> Column:
     return F.array(*[F.struct(F.lit(f"https://example.org/{i}").alias("url"), F.lit(f"Title {i}").alias("title"), F.lit("" if i % 2 else f"sym{i}").alias("symbol")) for i in range(1, 5)])
 
 
-@query("""SELECT conv_id, turn, [turn % 3 + 2, 1]::INT[] AS cited, ['https://example.org/' || (turn % 3 + 2), 'https://example.org/1'] AS urls FROM conversations
-WHERE NOT regexp_matches(text, '\\[[0-9]+\\]')""".replace("\\\\", "\\"))
+_ANSWER = "text || ' [' || (turn % 3 + 2) || '][1] and [' || (turn % 3 + 2) || '] [9]'"
+_CITED = rf"""a AS (SELECT conv_id, turn, {_ANSWER} AS answer FROM conversations),
+n AS (SELECT *, list_transform(regexp_extract_all(answer, '\[([0-9]+)\]', 1), lambda x: try_cast(x AS INT)) AS numbers FROM a),
+c AS (SELECT conv_id, turn, answer, list_filter(numbers, lambda x, i: x BETWEEN 1 AND 4 AND list_position(numbers, x) = i) AS cited FROM n)"""
+
+
+@query(rf"WITH {_CITED} SELECT conv_id, turn, cited, list_transform(cited, lambda x: 'https://example.org/' || x) AS urls FROM c")
 def citation_sources(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"\[[0-9]+\]"))
     found = citations.cited_sources(_answer(), _docs())
-    return rows.select("conv_id", "turn", F.transform(found, lambda s: s["index"]).alias("cited"), F.transform(found, lambda s: s["url"]).alias("urls"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(found, lambda s: s["index"]).alias("cited"), F.transform(found, lambda s: s["url"]).alias("urls"))
 
 
-@query(r"""SELECT conv_id, turn, text || ' [1][2] and [1] [9]' AS answer FROM conversations WHERE NOT regexp_matches(text, '\[[0-9]+\]')""")
+@query(rf"""WITH {_CITED}, g AS (SELECT *, string_split_regex(answer, '\[[0-9]+\]') AS gaps, regexp_extract_all(answer, '\[[0-9]+\]') AS marks FROM c)
+SELECT conv_id, turn, array_to_string(list_transform(gaps, lambda x, i: x || CASE WHEN i > len(marks) THEN '' WHEN list_contains(cited, try_cast(marks[i][2:-2] AS INT))
+  THEN '[' || list_position(cited, try_cast(marks[i][2:-2] AS INT)) || ']' ELSE marks[i] END), '') AS answer FROM g""")
 def citation_renumber(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"\[[0-9]+\]"))
     used = F.transform(citations.cited_sources(_answer(), _docs()), lambda s: s["index"])
-    return rows.select("conv_id", "turn", citations.renumbered(_answer(), used).alias("answer"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", citations.renumbered(_answer(), used).alias("answer"))
 
 
 @query(f"""WITH {_KEYWORD} SELECT query_id, string_agg('[' || rank || '] **' || source || '** (doc:' || key || ')' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
@@ -375,7 +405,7 @@ def access_filter(spark, sf_dir):
     return table(spark, sf_dir, "events").join(F.broadcast(allowed), "user_id", "left_semi").select("event_id", "user_id")
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s*[—–-]\s*PyTorch.*$', '')) AS title FROM pages""")
+@query(r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s*[—–-]\s*PyTorch.*$', '')), ''), 'Untitled') AS title FROM pages""")
 def html_title(spark, sf_dir):
     raw = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(raw, r"\s*[—–-]\s*PyTorch.*$", "")).alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", text.title_text(raw, "PyTorch").alias("title"))
