@@ -6,8 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline import schemas
-from weftline.functions import html
-from weftline.operators import chunking
+from weftline.operators import chunking, markup
 from weftline.plans import ingest, models
 from weftline.sources import pages as sources
 
@@ -23,27 +22,54 @@ x</pre></div>
 <ul><li>one<li>two</ul><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table></section></section></article></body></html>"""
 
 
-def test_page_parts():
-    page = html.page(PAGE)
-    assert page["title"] == "torch.nn"
-    text = page["markdown"]
+def page(spark, html):
+    return markup.parsed(spark.createDataFrame([("http://h/x", html)], "url string, html string")).collect()
+
+
+def test_page_parts(spark):
+    (found,) = page(spark, PAGE)
+    assert found["title"] == "torch.nn"
+    text = found["markdown"]
     for part in (
         "<!-- section: module-torch.nn -->", "# torch.nn\n", "First paragraph with a link and `code`.", "<!-- section: layers -->",
         "## Linear layers", "<!-- api: torch.nn.Linear -->\n\n```python\n", "**Parameters**", "the size", "```bash\npip  install\nx\n```",
         "> **Note**\n> Careful.", "- one\n- two", "| A | B |\n| --- | --- |\n| 1 | 2 |",
     ):
         assert part in text, part
-    assert "menu" not in text and "[source]" not in text and "\n\n\n" not in text
-    markers = page["markers"]
+    assert "menu" not in text and "[source]" not in text and "\n\n\n" not in text and "<!-- no -->" not in text
+    markers = found["markers"]
     assert markers["module"] == "torch.nn" and markers["symbols"] == ["torch.nn.Linear"]
     assert [(s["anchor"], s["level"], s["kind"]) for s in markers["sections"]] == [("#module-torch.nn", 1, "heading"), ("#layers", 2, "heading"), ("#torch.nn.Linear", 0, "class")]
     assert markers["sections"][2]["source_url"] == "https://github.com/x/blob/y"
     assert markers["keywords"][:5] == ["torch.nn", "torch", "nn", "Linear", "layers"]
 
 
-def test_pages_without_structure():
-    assert html.page(None) == {"title": "Untitled", "markdown": "", "markers": {"module": "", "symbols": [], "sections": [], "keywords": []}}
-    assert html.page("<title>T - PyTorch x</title><body><h2>A b</h2><p>x<p>y")["markers"]["sections"][0]["anchor"] == "#a-b"
+MARKDOWN = [
+    ("<p>a <b> bold </b>and <em>it</em> <code>x*y</code><code></code> ***</p>", "a **bold** and *it* `x*y` ***"),
+    ("<p>one<br>two <b>open", "one\ntwo open"),
+    ("<ol><li>a<ul><li>in</ul><li>b</ol>", "1. a\n  - in\n2. b"),
+    ("<pre>x\n\n  y &lt;</pre>", "```python\nx\n\n  y <\n```"),
+    ("<pre><code class='language-cpp'>a</code></pre>", "```cpp\na\n```"),
+    ("<div class='admonition warning'><p>Hot.</p><p>Very.</p></div>", "> **Warning**\n> Hot.\n> Very."),
+    ("<table><tr><th>A<th>B<tr><td><td>2</table>", "| A | B |\n| --- | --- |\n|  | 2 |"),
+    ("<p>&#8364; &#x41; &amp;lt; &copy;&unknown;</p>", "€ A &lt; ©&unknown;"),
+    ("<script>var x = '<p>no</p>'</script><style>p{}</style><p>yes</p><svg><text>no</text></svg>", "yes"),
+    ("<blockquote><p>said</p></blockquote>", "> said"),
+]
+
+
+def test_markdown(spark):
+    rows = [(str(i), f"<body>{html}</body>") for i, (html, _) in enumerate(MARKDOWN)]
+    found = {r["url"]: r["markdown"] for r in markup.parsed(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert [found[str(i)] for i in range(len(MARKDOWN))] == [m for _, m in MARKDOWN]
+
+
+def test_pages_without_structure(spark):
+    assert page(spark, None) == page(spark, "") == []
+    (found,) = page(spark, "<title>T - PyTorch x</title><body><h2>A b</h2><p>x<p>y")
+    assert found["title"] == "T" and found["markers"]["sections"][0]["anchor"] == "#a-b"
+    (deep,) = page(spark, "<div>" * 3000 + "deep" + "<a " * 3000)
+    assert deep["markdown"].startswith("deep") and deep["title"] == "Untitled"
 
 
 def merged(parts, least):
@@ -118,8 +144,11 @@ def test_chunks_of_pages(spark):
 def test_incremental_equals_full(spark, tmp_path):
     raw = spark.createDataFrame([(f"http://h/{i}", f"<h1>T{i}</h1><p>" + f"word{i} " * 30) for i in range(6)], "url string, html string")
     index, chunks, vectors = (f"{tmp_path}/{x}" for x in ("index", "chunks", "vectors"))
-    ingest.ingest_pages(raw.where("url <= 'http://h/2'"), index)
-    ingest.ingest_pages(raw, index)
+    stored = f"{tmp_path}/markdown"
+    ingest.ingest_pages(raw.where("url <= 'http://h/2'"), index, stored)
+    ingest.ingest_pages(raw, index, stored)
+    again = sources.saved_pages(spark, index, stored)
+    assert sorted((r["url"], r["markdown"]) for r in again.collect()) == sorted((r["url"], r["markdown"]) for r in sources.parsed(raw).collect())
     assert sorted(r["url"] for r in sources.done_urls(spark, index).collect()) == [f"http://h/{i}" for i in range(6)]
     pages = sources.parsed(raw)
     ingest.split_incremental(pages.where("url <= 'http://h/2'"), chunks)

@@ -42,10 +42,5 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(found.columns, found.collect()) == rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["html_to_markdown", "page_markers", "sub_split", "merge_small", "page_chunks"])
-def test_query_without_sql_gives_rows(spark, name):
-    assert __spark_entry__.queries()[name](spark, SF).count() > 0
-
-
 def test_entry_is_hybrid_search(spark):
     assert __spark_entry__.entry(spark).columns == ["query_id", "key", "rrf_score", "score", "rank"]

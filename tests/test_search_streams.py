@@ -79,6 +79,29 @@ def test_scored_incremental(spark, tmp_path):
     questions = spark.createDataFrame([("Q01", "a"), ("Q02", "bb")], "qid string, question string")
     found = ingest.scored_incremental(questions, ["m"], lambda metric, question: F.length(question) * 1.0, f"{tmp_path}/none")
     assert sorted((r["qid"], r["score"]) for r in found.collect()) == [("Q01", 1.0), ("Q02", 2.0)]
+    more = questions.unionByName(spark.createDataFrame([("Q03", "ccc")], questions.schema))
+    nan = F.when(F.col("question") == "ccc", float("nan")).otherwise(9.0)
+    found = ingest.scored_incremental(more, ["m"], lambda metric, question: nan, f"{tmp_path}/none")
+    assert sorted((r["qid"], str(r["score"])) for r in found.collect()) == [("Q01", "1.0"), ("Q02", "2.0"), ("Q03", "nan")]
+    found = ingest.scored_incremental(more, ["m"], lambda metric, question: F.length(question) * 1.0, f"{tmp_path}/none")
+    assert sorted((r["qid"], r["score"]) for r in found.collect()) == [("Q01", 1.0), ("Q02", 2.0), ("Q03", 3.0)]
+
+
+def test_answer_stream(spark, tmp_path):
+    questions = spark.createDataFrame([(1, "q?"), (2, " ")], "query_id long, question string")
+    questions.write.parquet(f"{tmp_path}/in")
+    hits = spark.createDataFrame([(1, 1, "s", "T", "u1", "k", "text one")], "query_id long, rank int, symbol string, title string, url string, kind string, text string")
+    stream = spark.readStream.schema(questions.schema).parquet(f"{tmp_path}/in")
+    ingest.answer_stream(stream, lambda asked: asked.join(hits, "query_id"), models.extractive_answer, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert [(r["query_id"], r["answer"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1, "text one [1]")]
+
+
+def test_chunk_statistics(spark):
+    rows = [("a", "x" * 30, "u", "c", 30), ("a", "y" * 40, "u", "c", 40), ("b", "", "v", "c", 0), ("d", "z" * 3000, "v", "c", 3000), ("e", "w" * 50, "v", "", 50), ("f", "fine and long enough", "v", "c", 20)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, page_url string, citation_url string, char_count int")
+    found = {(r["chunk_id"], r["problem"]) for r in stats.chunk_problems(chunks).collect()}
+    assert found == {("a", "repeated id"), ("b", "empty"), ("d", "long"), ("e", "no address")}
+    assert {(r["page_url"], r["n_chunks"], r["mean_chars"]) for r in stats.chunks_by_page(chunks).collect()} == {("u", 2, 35.0), ("v", 4, 767.5)}
 
 
 def test_answers(spark):
@@ -110,16 +133,22 @@ def test_limiter_in_batch_and_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert {r["event_id"]: r["accepted"] for r in spark.table("limited").collect()} == plain
+    run = limits.debounced_stream(stream, 200).writeStream.format("memory").queryName("debounced").outputMode("append").option("checkpointLocation", f"{tmp_path}/state2").start()
+    run.processAllAvailable()
+    run.stop()
+    assert {r["event_id"] for r in spark.table("debounced").collect() if r["emitted"]} == {r["event_id"] for r in limits.debounced(events, 200).collect() if r["emitted"]}
+    null_user = spark.createDataFrame([(1, None, "2024-01-01"), (2, None, "2024-01-01"), (3, 5, "2024-01-01")], "event_id long, user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    assert {(r["event_id"], r["accepted"]) for r in limits.throttled(null_user, 1, 10).collect()} == {(1, True), (2, False), (3, True)}
     emitted = {r["event_id"] for r in limits.debounced(events, 200).collect() if r["emitted"]}
     assert emitted == {e for e, u, _ in EVENTS if e % 3 == u and (e // 3) % 3 == 0}
 
 
 def test_ingest_stream_resumes(spark, tmp_path):
     rows = spark.createDataFrame([(f"http://h/{i}", f"<h1>T</h1><p>{'word ' * 30}") for i in range(4)], "url string, html string")
-    raw, index, state = (f"{tmp_path}/{x}" for x in ("raw", "index", "state"))
+    raw, index, stored, state = (f"{tmp_path}/{x}" for x in ("raw", "index", "markdown", "state"))
     for part in ("url < 'http://h/2'", "url >= 'http://h/1'"):
         rows.where(part).write.mode("append").parquet(raw)
-        run = ingest.ingest_stream(spark, raw, index, state)
+        run = ingest.ingest_stream(spark, raw, index, stored, state)
         run.awaitTermination()
     found = spark.read.json(index)
     assert sorted(r["url"] for r in found.collect()) == [f"http://h/{i}" for i in range(4)]

@@ -51,6 +51,23 @@ def size_stats(rows: DataFrame, size: str, groups: Sequence[str] = ()) -> DataFr
     )
 
 
+def chunks_by_page(chunks: DataFrame) -> DataFrame:
+    """(page_url, n_chunks, mean_chars) of each page."""
+    return chunks.groupBy("page_url").agg(F.count("*").alias("n_chunks"), F.round(F.avg("char_count"), 6).alias("mean_chars"))
+
+
+def chunk_problems(chunks: DataFrame, most_chars: int = 2000, least_chars: int = 20) -> DataFrame:
+    """Chunks to look at, with a problem each: empty, short, long, without an address, or with an id that others have."""
+    copies = chunks.groupBy("chunk_id").agg(F.count("*").alias("__copies")).where("__copies > 1")
+    size = F.length(F.coalesce("text", F.lit("")))
+    found = chunks.join(copies, "chunk_id", "left").withColumn(
+        "problem",
+        F.when(size == 0, "empty").when(size < least_chars, "short").when(size > most_chars, "long")
+        .when(F.coalesce("citation_url", F.lit("")) == "", "no address").when(F.col("__copies").isNotNull(), "repeated id"),
+    )
+    return found.where("problem IS NOT NULL").drop("__copies")
+
+
 def score_summary(scores: DataFrame) -> DataFrame:
     """Per metric of (qid, metric, score): mean, median, sample deviation, min, max; NaN counts as missing."""
     value = F.when(~F.isnan("score"), F.col("score"))

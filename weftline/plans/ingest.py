@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 
 from weftline import schemas
 from weftline.functions import citations
+from weftline.operators import stats
 from weftline.operators.chunking import chunks
 from weftline.operators.increments import aligned, pending
 from weftline.sources import pages as sources
 from weftline.sources import sinks
+from weftline.storage import saved
 
 
-def ingest_pages(raw: DataFrame, index_path: str) -> DataFrame:
-    """Parses the pages of (url, html) that the index doesn't have, and appends them to it."""
-    new = sources.parsed(pending(raw, sources.done_urls(raw.sparkSession, index_path), "url"))
+def ingest_pages(raw: DataFrame, index_path: str, markdown_path: str) -> DataFrame:
+    """Parses the pages of (url, html) that the index doesn't have, stores their Markdown and then appends
+    them to the index: a job that fails between leaves pages to be parsed again, not records without text."""
+    new = saved(sources.parsed(pending(raw, sources.done_urls(raw.sparkSession, index_path), "url")))
+    sinks.save_pages(new, markdown_path)
     sinks.save_index(new, index_path)
     return new
 
@@ -65,20 +69,32 @@ def running_text(tokens: DataFrame) -> DataFrame:
     return tokens.select("answer_id", "seq", F.array_join(F.collect_list("token").over(order), "").alias("text"))
 
 
-def ingest_stream(spark: SparkSession, raw_dir: str, index_path: str, checkpoint: str, files_at_once: int = 64):
+def answer_stream(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], answer: Callable[[Column, Column], Column], path: str, checkpoint: str):
+    """A query that answers the questions (query_id, question) of a stream, batch by batch, and appends the
+    answers to a folder. retrieve gives the hits of a batch of questions, with the columns that answers() needs."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        asked = saved(batch.where(F.coalesce(F.trim("question"), F.lit("")) != ""))
+        answers(retrieve(asked), answer).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return questions.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run).start()
+
+
+def ingest_stream(spark: SparkSession, raw_dir: str, index_path: str, markdown_path: str, checkpoint: str, files_at_once: int = 64):
     """A query that parses new raw pages in a folder, once each, and appends them to the index."""
     stream = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", files_at_once).parquet(raw_dir)
     return (
         stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda batch, _: ingest_pages(batch.dropDuplicates(["url"]), index_path)).start()
+        .foreachBatch(lambda batch, _: ingest_pages(batch.dropDuplicates(["url"]), index_path, markdown_path)).start()
     )
 
 
 def scored_incremental(questions: DataFrame, metrics: list[str], score: Callable[[Column, Column], Column], checkpoint_path: str) -> DataFrame:
-    """(qid, metric, score): pairs without a usable score are scored; all scores are returned."""
-    from weftline.operators.stats import missing_scores
-
+    """(qid, metric, score): pairs without a usable score are scored and appended to the checkpoint (NaN as
+    null, so that the next run tries them again); the latest state of all scores is returned."""
     spark = questions.sparkSession
     old = sources.json_lines(spark, checkpoint_path, schemas.SCORES).where(sources.usable_score(F.col("score")))
-    todo = missing_scores(questions, metrics, old).join(questions, "qid")
-    return old.unionByName(todo.select("qid", "metric", score(F.col("metric"), F.col("question")).alias("score")))
+    todo = stats.missing_scores(questions, metrics, old).join(questions, "qid")
+    made = saved(todo.select("qid", "metric", score(F.col("metric"), F.col("question")).alias("score")))
+    sinks.append_scores(made, checkpoint_path)
+    return sources.json_lines(spark, checkpoint_path, schemas.SCORES).where(sources.usable_score(F.col("score"))).unionByName(made.where(~sources.usable_score(F.col("score"))))

