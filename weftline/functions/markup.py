@@ -34,7 +34,7 @@ def unescaped(text: Column) -> Column:
     out = F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(zipped, lambda x: F.concat(x["gap"], F.coalesce(x["sign"], F.lit("")))), "")).otherwise(text)
     for name, sign in NAMED.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
-    return out
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
 def tag_name(token: Column) -> Column:

@@ -57,13 +57,18 @@ def _class_in(classes: Column, known: list[str]) -> Column:
     return F.get(F.filter(classes, lambda c: c.isin(known)), F.lit(0))
 
 
+def _by_page(rows: DataFrame) -> DataFrame:
+    """Few bytes may be much work: a stated number of partitions, which Spark leaves as it is."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page")
+
+
 def tokens(raw: DataFrame) -> DataFrame:
     """(page, url, pos, tag, open, name, id, cls, el, step, ...) of (url, html); equal rows count once.
 
     el: what the tag's element is (on its opening and its closing tag), step: 1 where an element that is
     closed later opens, -1 where it closes. Sums of steps so far are the n_ columns.
     """
-    pages = raw.select("url", "html").dropDuplicates(["url", "html"]).withColumn("page", F.xxhash64("url", "html"))
+    pages = _by_page(raw.select("url", "html", F.xxhash64("url", "html").alias("page")).dropDuplicates(["page"]))
     # The tokens are cut out before they are numbered; Spark would do so twice in one step.
     cut = pages.select("page", "url", F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(markup.TOKEN), F.lit(0)).alias("tokens"))
     each = cut.select("page", "url", F.posexplode("tokens").alias("pos", "token")).where(~F.col("token").rlike(markup.SILENT))
@@ -267,8 +272,8 @@ def _sections(found: DataFrame) -> DataFrame:
 
 def parsed(raw: DataFrame) -> DataFrame:
     """(url, title, markdown, markers) of each distinct row of (url, html); pages without text have none."""
-    each = saved(tokens(raw))
-    found = saved(blocks(each))
+    each = _by_page(saved(tokens(raw)))
+    found = _by_page(saved(blocks(each)))
     module = F.substr(F.min_by("a_id", F.when(F.col("open") & (F.col("name") == "section") & F.startswith("a_id", F.lit("module-")), F.col("pos"))), F.lit(8))
     modules = each.groupBy("page").agg(F.coalesce(module, F.lit("")).alias("module"))
     whole = _joined(_written(found)).join(titles(each), "page").join(modules, "page").join(_sections(found), "page", "left")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -53,15 +53,20 @@ def _debounce(interval_s: float) -> Fold:
     return fold
 
 
-def _times(ts: pd.Series) -> list[float]:
-    return (ts.astype("datetime64[us]").astype("int64") / 1e6).tolist()
+def _seconds(events: DataFrame) -> Column:
+    """ts, with or without a time zone, as seconds since 1970."""
+    if events.schema["ts"].dataType.typeName() == "timestamp":
+        return F.unix_micros("ts") / 1e6
+    since = F.col("ts") - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    parts = [F.extract(F.lit(unit), since).cast("double") * size for unit, size in (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1))]
+    return parts[0] + parts[1] + parts[2] + parts[3]
 
 
 def _by_session(events: DataFrame, gap_s: float, fold: Fold, columns: list[str], schema: str) -> DataFrame:
     """Events (event_id, user_id, ts) folded in order of ts and event_id. A gap of gap_s starts a new session."""
-    rows = events.select("event_id", "user_id", "ts")
+    rows = events.select("event_id", "user_id", "ts", _seconds(events).alias("at"))
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    apart = F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(order) >= gap_s
+    apart = F.col("at") - F.lag("at").over(order) >= gap_s
     rows = rows.withColumn("starts", F.coalesce(apart, F.lit(True)).cast("long"))
     rows = rows.withColumn("session", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
     spread = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -71,10 +76,10 @@ def _by_session(events: DataFrame, gap_s: float, fold: Fold, columns: list[str],
         for batch in batches:
             made = []
             users = batch["user_id"].astype(object).where(batch["user_id"].notna(), None)
-            for key, time in zip(zip(users, batch["session"]), _times(batch["ts"])):
+            for key, seconds in zip(zip(users, batch["session"]), batch["at"].tolist()):
                 if key != at:
                     at, state = key, []
-                state, values = fold(state, time)
+                state, values = fold(state, seconds)
                 made.append(values)
             yield batch[["event_id", "user_id", "ts"]].assign(**{c: [v[i] for v in made] for i, c in enumerate(columns)})
 
@@ -84,7 +89,7 @@ def _by_session(events: DataFrame, gap_s: float, fold: Fold, columns: list[str],
 
 def throttled(events: DataFrame, most: int = 5, window_s: float = 60) -> DataFrame:
     """Each event (event_id, user_id, ts) with whether the limiter accepts it, and else the seconds to wait.
-    Null users are one user; events without a time come first."""
+    Null users are one user; every event has a time."""
     return _by_session(events, window_s, _throttle(most, window_s), ["accepted", "wait_s"], RESULT)
 
 
@@ -101,13 +106,13 @@ def _stream(events: DataFrame, fold: Fold, columns: list[str], schema: str) -> D
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(groups)).sort_values(["ts", "event_id"])
         made = []
-        for at in _times(rows["ts"]):
+        for at in rows["at"].tolist():
             held, values = fold(held, at)
             made.append(values)
         state.update((held,))
         yield rows[["event_id", "user_id", "ts"]].assign(**{c: [v[i] for v in made] for i, c in enumerate(columns)})
 
-    picked = events.select("event_id", "user_id", "ts")
+    picked = events.select("event_id", "user_id", "ts", _seconds(events).alias("at"))
     return picked.groupBy("user_id").applyInPandasWithState(run, schema, "times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
