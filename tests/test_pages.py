@@ -171,6 +171,15 @@ def test_json_sources(spark, tmp_path):
         sources.json_lines(spark, f"{tmp_path}/chunks.json", schemas.CHUNKS, strict=True).collect()
     (tmp_path / "scores.json").write_text(json.dumps({"Q01": {"a": 0.5, "b": None}}))
     assert sorted(map(tuple, sources.score_checkpoint(spark, f"{tmp_path}/scores.json").collect())) == [("Q01", "a", 0.5), ("Q01", "b", None)]
+    questions = spark.createDataFrame([("Q01", "a?"), ("Q02", "b?")], "qid string, question string")
+    (tmp_path / "answers.json").write_text(json.dumps({"Q01": "yes", "Q02": "no"}))
+    assert {(r["qid"], r["answer"]) for r in sources.reference_answers(spark, f"{tmp_path}/answers.json", questions).collect()} == {("Q01", "yes"), ("Q02", "no")}
+    (tmp_path / "answers.json").write_text(json.dumps({"Q01": "yes"}))
+    with pytest.raises(Exception, match="no answer for"):
+        sources.reference_answers(spark, f"{tmp_path}/answers.json", questions).collect()
+    (tmp_path / "vectors").mkdir()
+    (tmp_path / "vectors" / "part.parquet").write_text("not parquet")
+    assert sources.saved_vectors(spark, f"{tmp_path}/vectors").count() == sources.saved_vectors(spark, f"{tmp_path}/none").count() == 0
     (tmp_path / "map.xml").write_text("<urlset xmlns='x'><url><loc> http://h/a </loc></url><url><loc>http://h/search.html</loc></url></urlset>")
     assert [r["url"] for r in sources.sitemap_urls(spark, f"{tmp_path}/map.xml").collect()] == ["http://h/a"]
 

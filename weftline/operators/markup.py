@@ -1,4 +1,4 @@
-"""HTML pages to title, Markdown and section markers, as joins of nothing but windows over tokens.
+"""HTML pages to title, Markdown and section markers, by windows over their tokens.
 
 A page is exploded into its tags and texts. A closing tag meets its opening tag as the row before it at
 the same level of elements of its name; running sums of opened and closed elements then say of each
@@ -75,10 +75,9 @@ def tokens(raw: DataFrame) -> DataFrame:
     tag = F.col("token").rlike(markup.TAG)
     each = each.select("page", "url", "pos", "token", tag.alias("tag"), (tag & ~F.startswith("token", F.lit("</"))).alias("open"), F.when(tag, markup.tag_name(F.col("token"))).otherwise("").alias("name"))
     has = F.col("open") & F.contains("token", F.lit("="))
-    for name in ("id", "class", "role", "href"):
-        each = each.withColumn(f"a_{name}", F.when(has, markup.attribute(F.col("token"), name)).otherwise(""))
+    of_tag = {f"a_{n}": F.when(has, markup.attribute(F.col("token"), n)).otherwise("") for n in ("id", "class", "role", "href")}
+    each = each.withColumns({**of_tag, "text": F.when(~F.col("tag"), markup.unescaped(F.col("token")))}).drop("token")
     each = each.withColumn("cls", F.split("a_class", r"\s+"))
-    each = each.withColumn("text", F.when(~F.col("tag"), markup.unescaped(F.col("token")))).drop("token")
 
     def is_(selector: str) -> Column:
         return markup.selected(selector, F.col("name"), F.col("a_id"), F.col("cls"), F.col("a_role"))
@@ -103,8 +102,8 @@ def tokens(raw: DataFrame) -> DataFrame:
     each = each.withColumn("level", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(by_name) + F.when(closes, 1).otherwise(0))
     by_level = Window.partitionBy("page", "name", "level").orderBy("pos")
     each = each.withColumns({"before": F.lag("own").over(by_level), "end": F.when(opens, F.lead(F.when(closes, F.col("pos"))).over(by_level))})
-    each = each.withColumn("el", F.when(opens, F.col("own")).when(closes, F.col("before")))
-    each = each.withColumn("step", F.when(opens & F.col("end").isNotNull(), 1).when(closes & F.col("before").isNotNull(), -1).otherwise(0)).drop("own", "before", "level")
+    step = F.when(opens & F.col("end").isNotNull(), 1).when(closes & F.col("before").isNotNull(), -1).otherwise(0)
+    each = each.withColumns({"el": F.when(opens, F.col("own")).when(closes, F.col("before")), "step": step}).drop("own", "before", "level")
 
     upto = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     counted = {

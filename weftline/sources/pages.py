@@ -12,6 +12,7 @@ from pyspark.sql.utils import AnalysisException
 from weftline import schemas
 from weftline.functions import urls
 from weftline.operators import markup
+from weftline.operators.increments import aligned
 
 SHORTEST_PAGE = 50
 
@@ -81,7 +82,8 @@ def saved_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def saved_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return _or_empty(spark, lambda: spark.read.schema(schemas.VECTORS).parquet(path), schemas.VECTORS)
+    """Stored vectors; a missing path is empty, and files that can't be read count as missing, too."""
+    return _or_empty(spark, lambda: spark.read.schema(schemas.VECTORS).option("ignoreCorruptFiles", True).parquet(path), schemas.VECTORS)
 
 
 def score_checkpoint(spark: SparkSession, path: str) -> DataFrame:
@@ -92,6 +94,14 @@ def score_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return by_question.select("qid", F.explode("scores").alias("metric", "score"))
 
 
+def reference_answers(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
+    """questions (qid, question) with the answer of each, from JSON of {qid: answer}; a question without one
+    fails the job."""
+    kind = "map<string,string>"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("qid", "answer"))
+    return aligned(questions, rows, "qid", "answer")
+
+
 def table_stats(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("points_count"))
 
