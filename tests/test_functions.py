@@ -45,8 +45,12 @@ def fnv(data):
 @pytest.mark.parametrize("word", ["", "a", "torch.nn", "größe", "日本"])
 def test_fnv_and_bulk_vector(spark, word):
     assert one(spark, text.fnv1a(F.col("w")), w=word) == fnv(word.encode())
-    rows = spark.createDataFrame([(1, f"{word} {word.upper()} ..."), (2, None)], "key long, t string")
+    rows = spark.createDataFrame([(1, f"{word} {word} ..."), (2, None)], "key long, t string")
     found = [tuple(r) for r in sparse.postings(rows, "key", "t").collect()]
+    sparse.PART_BYTES, kept = 3, sparse.PART_BYTES
+    batch = sparse.pa.RecordBatch.from_arrays([sparse.pa.array([1, 2, 3, 4]), sparse.pa.array(["aa", None, "bbbb", "c"])], ["key", "t"])
+    assert [p.num_rows for p in sparse._parts(iter([batch]))] == [2, 2] and list(sparse._parts(iter([batch.slice(0, 0)]))) == []
+    sparse.PART_BYTES = kept
     assert found == ([(1, fnv(word.encode()) % 2**17, 2.0)] if word else [])
 
 

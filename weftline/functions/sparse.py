@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import BUCKETS, FNV_BASIS, FNV_PRIME
 
+#: Text taken in at once.
+PART_BYTES = 1 << 23
+
 _OUTER = re.compile(r"^[^\w]+|[^\w.]+$")
 
 
@@ -41,11 +44,22 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pairs // BUCKETS, pairs % BUCKETS, tf
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, text) in parts of about PART_BYTES of text, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        place = np.cumsum(sizes) // PART_BYTES
+        borders = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [batch.num_rows]))
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, bucket, tf): term frequencies of each row's query tokens; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             rows, buckets, tf = term_counts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(buckets, pa.int32()), pa.array(tf, pa.float64())], [key, "bucket", "tf"])
 
@@ -58,7 +72,7 @@ def documents(texts: DataFrame, key: str, text: str, wanted: np.ndarray) -> Data
     wanted: a flag for each of the BUCKETS buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             rows, buckets, tf = term_counts(batch.column(1))
             keep = wanted[buckets]
             rows, buckets, tf = rows[keep], buckets[keep], tf[keep]
