@@ -12,9 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a single longer text is handled alone.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 _TABLE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,6 +72,19 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """From and to which row, and the texts of the column: only one block's are Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    first, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and size + n > BLOCK_BYTES:
+            yield first, i, batch.column(column).slice(first, i - first).to_pylist()
+            first, size = i, 0
+        size += n
+    if first < len(sizes):
+        yield first, len(sizes), batch.column(column).slice(first).to_pylist()
+
+
 class Words:
     """Word borders of a list of texts.
 

@@ -234,9 +234,9 @@ def _meeting(words: kernels.Words, candidates: set[tuple[int, int, int]]) -> set
 def _scan(templates: Templates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, stop in kernels.blocks(texts):
-                words = kernels.Words(texts[start:stop], lower=True, gap=_GAP)
+            ids = batch.column(0)
+            for start, _, texts in kernels.parts(batch, 1):
+                words = kernels.Words(texts, lower=True, gap=_GAP)
                 shingles = _shingles(words, templates.k)
                 rows: dict[tuple[int, int, int], tuple] = {}
                 for t, i in _meeting(words, templates.candidates(shingles)) if len(shingles) else ():

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import kernels
-from weftline.llm.storage import BROADCAST_IDS, dropped, numbered, saved, small
+from weftline.llm.storage import BROADCAST_IDS, arrow_batches, dropped, numbered, saved, small
 
 REGISTERS = 160
 SMALL = 320
@@ -41,6 +41,8 @@ MANTISSA_BITS = 10
 #: Pairs that one copy of a set's shingles serves when pairs are confirmed.
 PAIRS_PER_COPY = 64
 DEVIATIONS = 7
+#: Rows with whole sets that Python is handed at once.
+BATCH_ROWS = 1000
 #: A group of equal sets is hot if it has over one in so many of all rows (and over HOT_ROWS).
 HOT_SHARE, HOT_ROWS = 50_000, 1000
 
@@ -116,9 +118,9 @@ def _sketches(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, stop in kernels.blocks(texts):
-                sets = kernels.shingle_sets(texts[start:stop], k)
+            ids = batch.column(0)
+            for start, stop, texts in kernels.parts(batch, 1):
+                sets = kernels.shingle_sets(texts, k)
                 bands: list[list[np.ndarray]] = [[] for _ in sets]
                 small, large = kind_of(sets, 0, bands), kind_of(sets, 1, bands)
                 yield pa.RecordBatch.from_arrays(
@@ -229,9 +231,10 @@ class _Links:
         both = _with(_with(pairs, self.reps, "a", ["small", "large"]), self.reps, "b", ["small", "large"])
         likely = saved(both.where(_likely("a_small", "a_large", "b_small", "b_large", F.lit(self.percent))).select("a", "b"))
         wanted = saved(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct())
-        sets = saved(self.texts.join(small(wanted, BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"]).select("id", self.sets("text").alias("set")))
-        full = _with(_with(likely, sets, "a", ["set"]), sets, "b", ["set"])
-        links = saved(full.where(_linked("a_set", "b_set", F.lit(self.percent))).select("a", "b"))
+        with arrow_batches(pairs.sparkSession, BATCH_ROWS):
+            sets = saved(self.texts.join(small(wanted, BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"]).select("id", self.sets("text").alias("set")))
+            full = _with(_with(likely, sets, "a", ["set"]), sets, "b", ["set"])
+            links = saved(full.where(_linked("a_set", "b_set", F.lit(self.percent))).select("a", "b"))
         for table in (pairs, likely, sets):
             dropped(table)
         return links

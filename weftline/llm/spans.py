@@ -114,9 +114,9 @@ class Sentences:
 def _spans(limits: tuple[int, int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            for start, stop in kernels.blocks(texts):
-                s = Sentences(texts[start:stop], *limits)
+            keys, ids = batch.column(0), batch.column(1)
+            for start, _, texts in kernels.parts(batch, 2):
+                s = Sentences(texts, *limits)
                 a, b, hashes = s.runs
                 of = s.of[a]
                 base = s.bounds[of]

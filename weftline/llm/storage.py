@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.storage import BROADCAST_IDS, BROADCAST_ROWS, cleared, dropped, fits, removed, saved, session_dir, shared_dir, small
 
-__all__ = ["BROADCAST_IDS", "BROADCAST_ROWS", "cleared", "dropped", "fits", "numbered", "removed", "sampled", "saved", "session_dir", "shared_dir", "small"]
+__all__ = ["BROADCAST_IDS", "BROADCAST_ROWS", "arrow_batches", "cleared", "dropped", "fits", "numbered", "removed", "sampled", "saved", "session_dir", "shared_dir", "small"]
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, what Spark runs hands at most so many rows at once to Python: for rows of many KB each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
