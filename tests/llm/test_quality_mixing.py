@@ -99,14 +99,15 @@ def test_slots_are_dealt_once_and_blocks_drawn_evenly(monkeypatch):
 
     monkeypatch.setattr(mixing, "GROUP_SHARDS", 3)
     for size, target, n_shards in ((1000, 1730.0, 7), (64, 128.0, 1), (65, 1.5, 4), (5000, 4999.9, 10)):
-        groups, shards, blocks_of = mixing._drawn(64, 7)
+        groups, shards, blocks_of, both = mixing._drawn(64, 7)
         source = pd.DataFrame({"code": [9], "source_size": [size], "target": [target], "n_shards": [n_shards]})
         dealt = pd.concat(shards(groups(iter([source]))))
-        assert dealt["shard"].max() < n_shards and dealt["shard"].is_unique
-        slots = sorted(x for r in dealt.itertuples() for x in range(r.first, r.first + r.n))
+        assert dealt["shard"].max() < n_shards
+        slots = sorted(dealt["slot"])
         assert slots == list(range(len(slots)))
         each = pd.DataFrame({"code": 9, "source_size": size, "words": int(target), "slot": slots})
         drawn = pd.concat(blocks_of(iter([each])))
+        assert sorted(map(tuple, pd.concat(both(groups(iter([source])))).to_numpy().tolist())) == sorted(map(tuple, drawn.to_numpy().tolist()))
         lengths = {b: min(64, size - 64 * b) for b in range(-(-size // 64))}
         assert drawn["take"].sum() == int(target)
         epochs = int(target) // size

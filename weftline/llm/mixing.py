@@ -94,7 +94,8 @@ def _generator(*seed: int) -> np.random.Generator:
 
 
 def _drawn(block: int, seed: int):
-    """Tasks' work on sources: slots of each group of shards, those of each shard, and the blocks behind slots."""
+    """Tasks' work on sources: slots of each group of shards, those of each shard, and the blocks behind slots.
+    The last two are one step, as two in a task would take two Python processes."""
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each source's slots, dealt over the groups."""
@@ -118,13 +119,14 @@ def _drawn(block: int, seed: int):
                 yield pd.DataFrame({"code": s.code, "source_size": s.source_size, "words": int(s.target), "part": used, "shards": shards[used], "first": first, "n": counts[used]})
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each group's slots, dealt over its shards."""
+        """Each group's slots, dealt over its shards: a frame for each shard."""
         for batch in batches:
             for g in batch.itertuples():
                 counts = _generator(seed, g.code, g.part).multinomial(g.n, np.full(g.shards, 1 / g.shards))
                 used = np.flatnonzero(counts)
                 first = g.first + np.cumsum(counts)[used] - counts[used]
-                yield pd.DataFrame({"code": g.code, "source_size": g.source_size, "words": g.words, "shard": g.part * GROUP_SHARDS + used, "first": first, "n": counts[used]})
+                for shard, start, n in zip((g.part * GROUP_SHARDS + used).tolist(), first.tolist(), counts[used].tolist()):
+                    yield pd.DataFrame({"code": g.code, "source_size": g.source_size, "words": g.words, "shard": shard, "slot": np.arange(start, start + n)})
 
     def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each slot's block, and how many of its words the slot takes."""
@@ -145,7 +147,7 @@ def _drawn(block: int, seed: int):
                         take = np.clip(rest - (index * block - (at < index) * (block - last)), 0, length)
                     yield pd.DataFrame({"code": code, "block": number, "take": take})
 
-    return groups, shards, blocks_of
+    return groups, shards, blocks_of, lambda batches: blocks_of(shards(batches))
 
 
 def mix(
@@ -178,18 +180,14 @@ def mix(
     targets = source_targets(sizes.select("source", "source_size"))
     targets = saved(targets.withColumn("code", F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))))
 
-    groups, shards, blocks_of = _drawn(block_words, seed)
+    groups, _, _, blocks_of_groups = _drawn(block_words, seed)
     slots = (targets.agg(F.sum("target")).first()[0] or 0.0) / block_words
     n_shards = int(max(1, -(-slots // shard_slots)))
     sized = targets.where("source_size > 0 AND target >= 1").select("code", "source_size", "target", F.lit(n_shards).alias("n_shards"))
     dealt = sized.mapInPandas(groups, "code long, source_size long, words long, part long, shards long, first long, n long")
     # Few bytes but all the slots: a stated number of partitions, which Spark leaves as it is.
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(spread, "code", "part").mapInPandas(shards, "code long, source_size long, words long, shard long, first long, n long")
-    dealt = dealt.select(
-        "code", "source_size", "words", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot")
-    )
-    drawn = dealt.mapInPandas(blocks_of, "code long, block long, take long").where("take > 0")
+    drawn = dealt.repartition(spread, "code", "part").mapInPandas(blocks_of_groups, "code long, block long, take long").where("take > 0")
 
     in_order = Window.partitionBy("code", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     by_bucket = Window.partitionBy("code").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

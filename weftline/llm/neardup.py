@@ -41,7 +41,7 @@ MANTISSA_BITS = 10
 #: Pairs that one copy of a set's shingles serves when pairs are confirmed.
 PAIRS_PER_COPY = 64
 DEVIATIONS = 7
-#: Rows with whole sets that Python is handed at once.
+#: Rows with whole texts or sets that Python is handed at once.
 BATCH_ROWS = 1000
 #: A group of equal sets is hot if it has over one in so many of all rows (and over HOT_ROWS).
 HOT_SHARE, HOT_ROWS = 50_000, 1000
@@ -231,10 +231,9 @@ class _Links:
         both = _with(_with(pairs, self.reps, "a", ["small", "large"]), self.reps, "b", ["small", "large"])
         likely = saved(both.where(_likely("a_small", "a_large", "b_small", "b_large", F.lit(self.percent))).select("a", "b"))
         wanted = saved(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct())
-        with arrow_batches(pairs.sparkSession, BATCH_ROWS):
-            sets = saved(self.texts.join(small(wanted, BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"]).select("id", self.sets("text").alias("set")))
-            full = _with(_with(likely, sets, "a", ["set"]), sets, "b", ["set"])
-            links = saved(full.where(_linked("a_set", "b_set", F.lit(self.percent))).select("a", "b"))
+        sets = saved(self.texts.join(small(wanted, BROADCAST_IDS), "id", "left_semi").dropDuplicates(["id"]).select("id", self.sets("text").alias("set")))
+        full = _with(_with(likely, sets, "a", ["set"]), sets, "b", ["set"])
+        links = saved(full.where(_linked("a_set", "b_set", F.lit(self.percent))).select("a", "b"))
         for table in (pairs, likely, sets):
             dropped(table)
         return links
@@ -302,6 +301,11 @@ def near_duplicates(
     component. Other columns are not read. Links between different texts are missed with a probability
     below 2e-8 each.
     """
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs, id_col, text, percent, k)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text: str, percent: int, k: int) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     sketched = saved(texts.mapInArrow(_sketches(k, percent), f"id {kind}, n long, set_a long, set_b long, small binary, large binary, bands array<long>"))
