@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, extraction, language, licenses, mixing, neardup, pii, quality, spans, toxicity
+from weftline.llm import decontamination, divergence, extraction, language, licenses, mixing, neardup, pii, quality, repair, spans, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(table(spark, sf_dir, "conversations"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judged(pages, url_filter.rule_table(spark), url_filter.spam_urls(pages), keep=["page_id"])
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
@@ -67,9 +80,15 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_quality_rules": op10_quality_rules,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_url_filter": op12_url_filter,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL = {
     "op5_near_duplicates": neardup.OP5_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op11_conversation_repair": repair.OP11_SQL,
+    "op12_url_filter": url_filter.OP12_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
