@@ -7,9 +7,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import BUCKETS, FNV_BASIS, FNV_PRIME
@@ -20,10 +21,15 @@ PART_BYTES = 1 << 23
 _OUTER = re.compile(r"^[^\w]+|[^\w.]+$")
 
 
+def _token(word: str) -> str:
+    """The query token of a white-space separated word; empty if only punctuation."""
+    return _OUTER.sub("", word.lower())
+
+
 @lru_cache(maxsize=200_000)
 def _bucket(word: str) -> int:
     """The bucket of a white-space separated word; -1 if only punctuation."""
-    token = _OUTER.sub("", word.lower())
+    token = _token(word)
     if not token:
         return -1
     h = FNV_BASIS
@@ -44,6 +50,34 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pairs // BUCKETS, pairs % BUCKETS, tf
 
 
+def _distinct_words(texts: pa.Array) -> Iterator[list[str]]:
+    """The distinct white-space separated words of each text, which are made Python strings once for a batch."""
+    words = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    rows = pc.list_parent_indices(words).to_numpy().astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    n = max(1, len(coded.dictionary))
+    pairs = np.unique(rows * n + coded.indices.to_numpy())
+    names = coded.dictionary.to_pylist()
+    borders = np.searchsorted(pairs, np.arange(len(texts) + 1) * n)
+    for a, b in zip(borders[:-1], borders[1:]):
+        yield [names[i] for i in (pairs[a:b] % n).tolist()]
+
+
+def token_overlap(asked: Column, text: Column) -> Column:
+    """The share of the distinct query tokens of a column of questions that the text beside each has; 0 without tokens.
+    Each text is taken apart once."""
+
+    @F.pandas_udf("double")
+    def overlap(asked: pd.Series, text: pd.Series) -> pd.Series:
+        out = []
+        for question, words in zip(asked.fillna(""), _distinct_words(pa.array(text, pa.large_string()))):
+            wanted = {_token(w) for w in question.split()} - {""}
+            out.append(len(wanted & set(map(_token, words))) / len(wanted) if wanted else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return overlap(asked, text)
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches (key, text) in parts of about PART_BYTES of text, one row at least."""
     for batch in batches:

@@ -1,11 +1,14 @@
 """Retrieval over many queries at once: a keyword leg, a dense leg, fusion, dedup, reranking.
 
-Both legs score a block of queries, which tasks carry along, against all rows: a task keeps the k best of
-its rows for each query, so that (tasks x queries x k) rows are shuffled whatever the number of rows.
+Queries that make up one block of bounded size are carried along by the tasks that scan the rows: a task keeps the k
+best of its rows for each query, so that (tasks x queries x k) rows are shuffled whatever the number of rows. More
+queries than that stay a table: the keyword leg joins them with an inverted index by bucket (keyword_index),
+the dense leg joins blocks of them with the blocks of rows of a scan.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,14 +19,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import sparse
-from weftline.functions.text import BUCKETS, query_tokens
+from weftline.functions.text import BUCKETS
 from weftline.functions.vectors import min_max
-from weftline.storage import dropped, saved, small
+from weftline.operators import keyword_index
+from weftline.operators.keyword_index import inverse_frequency
+from weftline.plans.models import hypothetical_text
+from weftline.storage import dropped, saved, session_dir, small
 
 #: Queries of a block: so many, but no more numbers than that.
 QUERY_BLOCK, BLOCK_NUMBERS = 8192, 4_000_000
 #: Scores that a task works out at once.
 SCORES_AT_ONCE = 2_000_000
+#: Numbers of a packed block of rows, and of queries where they are joined.
+ROW_NUMBERS, QUERY_NUMBERS = 1 << 16, 1 << 16
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -31,10 +39,6 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return sparse.postings(docs, key, text)
 
 
-def inverse_frequency(n_docs: Column, df: Column) -> Column:
-    return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-
-
 def bucket_weights(index: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """(bucket, df, idf) of an inverted index; at most BUCKETS rows."""
     df = index.groupBy("bucket").agg(F.count("*").alias("df"))
@@ -48,43 +52,40 @@ def top_ranked(hits: DataFrame, k: int, query: str = "query_id", key: str = "key
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, numbers: Column) -> Iterator[pd.DataFrame]:
-    """A query table in blocks of bounded size. numbers: how many a query has."""
+def _fits(queries: DataFrame, numbers: Column) -> bool:
+    """Whether queries make up one block. numbers: how many a query has."""
     size = queries.agg(F.count("*"), F.sum(numbers)).first()
-    blocks = max(1, -(-size[0] // QUERY_BLOCK), -(-(size[1] or 0) // BLOCK_NUMBERS))
-    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    for block in range(blocks):
-        rows = queries.where(place == block).toPandas()
-        if len(rows):
-            yield rows
+    return size[0] <= QUERY_BLOCK and (size[1] or 0) <= BLOCK_NUMBERS
 
 
-def _union(parts: list[DataFrame], k: int, empty: DataFrame) -> DataFrame:
-    hits = parts[0] if parts else empty
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return top_ranked(hits.withColumn("score", F.round("score", 6)), k)
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int, query: str = "query_id", key: str = "key", text: str = "text") -> DataFrame:
     """(query_id, key, score, rank): BM25-like search by shared buckets, for all queries at once.
 
-    Texts are tokenised once: what they have of the queries' buckets is written, one row a text. Counts by
-    bucket give the weights, and blocks of queries are scored against the written rows.
+    Texts are tokenised once: what they have of the queries' buckets is written, one row a text, counts by
+    bucket give the weights, and a block of queries is scored against the written rows. With more queries than a block
+    holds, an inverted index of the same rows is written and searched (and may be kept: keyword_index.build()).
     """
     wanted = saved(sparse.postings(queries.select(F.col(query).alias("query_id"), F.col(text).alias("t")), "query_id", "t"))
     used = np.zeros(BUCKETS, bool)
     used[[r["bucket"] for r in wanted.select("bucket").distinct().collect()]] = True  # BUCKETS numbers at most
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    per_query = wanted.groupBy("query_id").agg(F.count("*").alias("n"))
+    if not _fits(per_query, F.col("n")):
+        dropped(wanted)
+        index = keyword_index.build(docs, f"{session_dir(docs.sparkSession)}/{uuid.uuid4().hex}", text="t", wanted=used)
+        return _ranked(keyword_index.search(index, queries, k, query, text), k)
     index = saved(sparse.documents(docs, "key", "t", used))
     weights = bucket_weights(index.select(F.explode("buckets").alias("bucket")), docs, "key")
     terms = wanted.join(F.broadcast(weights), "bucket").groupBy("query_id")  # BUCKETS rows at most
-    terms = saved(terms.agg(F.collect_list("bucket").alias("buckets"), F.collect_list(F.col("tf") * F.col("idf")).alias("weights")))
+    terms = terms.agg(F.collect_list("bucket").alias("buckets"), F.collect_list(F.col("tf") * F.col("idf")).alias("weights")).toPandas()
     dropped(wanted)
-    parts = [_scored(index, rows, k) for rows in _blocks(terms, F.size("buckets"))]
-    dropped(terms)
-    empty = index.select(F.lit(None).cast(queries.schema[query].dataType).alias("query_id"), "key", F.lit(0.0).alias("score")).limit(0)
-    return _union(parts, k, empty)
+    if not len(terms):
+        return index.select(F.lit(None).cast(queries.schema[query].dataType).alias("query_id"), "key", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return _ranked(_scored(index, terms, k), k)
 
 
 def _kept(query_ids: np.ndarray, k: int) -> Callable:
@@ -162,8 +163,69 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int, key: str = "key
     are left out."""
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("v IS NOT NULL")
     asked = queries.select("query_id", F.col(vector).alias("v")).where("v IS NOT NULL")
-    parts = [_scan(rows, block, k, skip_self) for block in _blocks(asked, F.size("v"))]
-    return _union(parts, k, rows.select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), "key", F.lit(0.0).alias("score")).limit(0))
+    if not _fits(asked, F.size("v")):
+        return _ranked(_joined(rows, asked, k, skip_self), k)
+    block = asked.toPandas()
+    if not len(block):
+        return rows.select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), "key", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return _ranked(_scan(rows, block, k, skip_self), k)
+
+
+def packed(rows: DataFrame, name: str, numbers: int) -> DataFrame:
+    """(names, matrix) of rows (name, v): as many rows as come one after another in a task, up to so many numbers, as one,
+    with the vectors as bytes of doubles."""
+    kind = rows.schema[name].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.unique(batch.column(1).value_lengths().to_numpy()) if batch.num_rows else []
+            if len(lengths) > 1:
+                raise ValueError("vectors of different lengths")
+            step = max(1, numbers // max(1, int(lengths[0]))) if len(lengths) else 1
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                matrix = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([matrix.tobytes()], pa.binary())], [name, "matrix"])
+
+    return rows.select(name, "v").mapInArrow(run, f"{name} array<{kind.simpleString()}>, matrix binary")
+
+
+def _joined(rows: DataFrame, asked: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """Hits of any number of queries. They are packed in blocks, dealt into groups that are small enough to be broadcast,
+    and each group meets the packed rows in a scan of its own; a task keeps its k best rows of each query."""
+    size = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    groups = max(1, -(-size[0] * (size[1] or 1) // BLOCK_NUMBERS))
+    group = F.pmod(F.xxhash64("query_id"), F.lit(groups))
+    blocks = rows.transform(lambda df: packed(df, "key", ROW_NUMBERS))
+    queries = saved(asked.withColumn("group", group).repartition("group"))
+    kinds = {c: t.dataType.simpleString() for c, t in (("query_id", asked.schema["query_id"]), ("key", rows.schema["key"]))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, pd.DataFrame] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, keys = (np.array(batch.column(c)[i].as_py(), dtype=object) for c in (0, 2))
+                a, b = (np.frombuffer(batch.column(c)[i].as_py()).reshape(len(names), -1) for c, names in ((1, ids), (3, keys)))
+                score = a @ b.T
+                if skip_self:
+                    score[ids[:, None] == keys[None, :]] = -np.inf
+                name = (ids[0], len(ids))
+                held = best.get(name)
+                best[name] = (ids, _kept(ids, k)(held[1] if held else None, score, keys))
+        for ids, found in best.values():
+            for hits in _hits(found, ids, k):
+                yield pa.RecordBatch.from_pandas(hits, preserve_index=False)
+
+    parts = []
+    for g in range(groups):
+        own = packed(queries.where(F.col("group") == g), "query_id", QUERY_NUMBERS).select("query_id", F.col("matrix").alias("asked"))
+        # One group's queries against all rows, in blocks: BLOCK_NUMBERS numbers or so are broadcast.
+        met = blocks.join(F.broadcast(own)).select("query_id", "asked", "key", "matrix")
+        parts.append(met.mapInArrow(run, f"query_id {kinds['query_id']}, key {kinds['key']}, score double"))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
+    return hits
 
 
 def _scan(vectors: DataFrame, queries: pd.DataFrame, k: int, skip_self: bool) -> DataFrame:
@@ -232,10 +294,9 @@ def cut(hits: DataFrame, threshold: float | None, k: int, rank: str = "rank") ->
     return hits.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
 
 
-def word_overlap(a: Column, b: Column) -> Column:
-    """A stand-in for a cross-encoder: the share of a's distinct words that b has."""
-    words = F.array_distinct(a)
-    return F.when(F.size(words) > 0, F.size(F.array_intersect(words, b)) / F.size(words)).otherwise(0.0)
+def word_overlap(question: Column, text: Column) -> Column:
+    """A stand-in for a cross-encoder: the share of the question's distinct words that the text has."""
+    return sparse.token_overlap(question, text)
 
 
 @dataclass(frozen=True)
@@ -254,24 +315,30 @@ def hybrid_search(
     queries: DataFrame,
     docs: DataFrame,
     options: Options,
-    dense_leg: Callable[[DataFrame, int], DataFrame],
+    dense_leg: Callable[[DataFrame, int, DataFrame | None], DataFrame],
     dedup_key: Column,
     where: Column | None = None,
     query_text: str = "text",
     text: str = "text",
+    rewrite: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """(query_id, key, rank, score, rrf_score, ...) for queries (query_id, text[, dense_text]).
+    """(query_id, key, rank, score, rrf_score, ...) for queries (query_id, text).
 
-    where filters docs before either leg. dense_leg(queries, k) gives the dense ranking; it may use
-    another text than the keyword leg and the reranker do. Texts join late, for the hits only.
+    where filters docs before either leg. rewrite makes the text that the dense leg looks for (an answer as it might
+    be written, say) from a question; a null or blank one falls back on the question, and so do all without rewrite. The
+    keyword leg and the reranker always take the question. dense_leg(queries, k, keys) gives the dense ranking of queries (query_id, text,
+    dense_text) among the rows with a key in keys (key), which is None without a filter. Texts join late, for the hits only.
     """
+    keys = None
     if where is not None:
         docs = docs.where(where)
-    queries = saved(queries)
+        keys = docs.select("key")
+    question = F.col(query_text)
+    queries = saved(queries.withColumn("dense_text", hypothetical_text(rewrite(question), question) if rewrite else question))
     n = options.top_k * options.prefetch
-    legs = [keyword_search(queries, docs, n, text=text), dense_leg(queries, n)]
+    legs = [keyword_search(queries, docs, n, text=text), dense_leg(queries, n, keys)]
     hits = saved(fused(legs, options.top_k, options.rrf_constant))
     hits = docs.join(small(hits), "key").join(small(queries.select("query_id", F.col(query_text).alias("__query"))), "query_id")
     hits = deduplicated(hits, dedup_key)
-    hits = reranked(hits, word_overlap(query_tokens(F.col("__query")), query_tokens(F.col(text))), options.alpha)
+    hits = reranked(hits, word_overlap(F.col("__query"), F.col(text)), options.alpha)
     return cut(hits, options.threshold, options.final_top_k or options.top_k).drop("__query")

@@ -116,9 +116,9 @@ def _by_vector(spark, sf_dir):
     """The dense leg: items of the benchmark and documents have the vector with their number."""
     stored = table(spark, sf_dir, "embeddings")
 
-    def leg(queries: DataFrame, k: int) -> DataFrame:
+    def leg(queries: DataFrame, k: int, keys: DataFrame | None = None) -> DataFrame:
         asked = queries.select("query_id").join(stored, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
-        keys = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"))
+        keys = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key")) if keys is None else keys
         return search.dense_search(asked, keys.join(stored, F.col("key") == F.col("vec_id")).select("key", "embedding"), k)
 
     return leg
@@ -153,8 +153,8 @@ def _reranked(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
     hits = docs.join(small(saved(_keyword(spark, sf_dir, 18))), "key").join(small(queries), "query_id")
-    overlap = search.word_overlap(text.query_tokens(F.col("question")), text.query_tokens(F.col("text")))
-    return search.reranked(hits, overlap, 0.7).select("query_id", "key", "score", "rank")
+    scored = saved(hits.select("query_id", "key", "score", "rank", search.word_overlap(F.col("question"), F.col("text")).alias("overlap")))
+    return search.reranked(scored, F.col("overlap"), 0.7).select("query_id", "key", "score", "rank")
 
 
 @query(_RERANK + " SELECT query_id, key, score, rank::INT AS rank FROM k")
