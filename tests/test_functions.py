@@ -1,10 +1,11 @@
-import re
+import html
 import uuid
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import citations, sparse, text, urls, vectors
+from weftline.functions import citations, markup, sparse, text, urls, vectors
 
 
 def one(spark, column, **values):
@@ -115,13 +116,22 @@ def test_citations(spark, answer, numbers, new):
 
 
 def test_chat_output(spark):
-    answer = "Use **x** & `y` [2][9]\n```python\na<b\n```"
+    answer = "Use **x** & `y` [2][9]\n```python\na<b ** `q` ** c\n```"
     sources = citations.cited_sources(F.col("a"), docs())
-    html = one(spark, citations.chat_answer(F.col("a"), sources), a=answer)
-    assert "<b>x</b> &amp; <code>y</code>" in html and "<pre><code>a&lt;b\n</code></pre>" in html
-    assert '<a href="u2">²</a>' in html and "[9]" in html and html.endswith("2. s2")
-    assert one(spark, citations.source_buttons(sources), a="[3]")[0]["label"] == "Source 3"
+    made = one(spark, citations.chat_answer(F.col("a"), sources), a=answer)
+    assert made == 'Use <b>x</b> &amp; <code>y</code> <a href="u2">²</a>⁹\n<pre><code>a&lt;b ** `q` ** c\n</code></pre>\n\n📚 <b>Sources</b>\n[2] <a href="u2">s2</a>'
+    assert one(spark, citations.chat_answer(F.col("a"), sources), a="[2][2] [007] \"") == '<a href="u2">²</a> <a href="u2">²</a> ⁷ &quot;\n\n📚 <b>Sources</b>\n[2] <a href="u2">s2</a>'
+    assert one(spark, citations.source_buttons(sources), a="[3]")[0]["label"] == "[3] Source 3"
     assert one(spark, citations.source_buttons(sources), a="none") is None
     long = one(spark, citations.cut_at_word(F.col("a"), 10), a="aaa bbb ccc ddd")
-    assert long == "aaa bbb…" and re.match("aaa", long)
-    assert one(spark, citations.error_text(F.col("a")), a="<" * 400) == "&lt;" * 300
+    assert long == "aaa bbb …\n\n<i>(answer truncated)</i>"
+    assert "<code>" + "&lt;" * 300 + "</code>" in one(spark, citations.error_text(F.col("a")), a="<" * 400)
+    assert one(spark, citations.markdown_to_html(F.col("a")), a="```py\nnever closed ** x ** 'q'") == "<pre><code>never closed ** x ** &#x27;q&#x27;</code></pre>"
+
+
+def test_character_references(spark):
+    text = "&eacute;&uuml; &alpha; &amp;lt; &#233; &#xE9; &#150; &copy 2020 &copy; &nosuchname; &nosemi &#0; &#1114112; &NotEqualTilde; a&b &= &"
+    assert one(spark, markup.unescaped(F.col("a")), a=text) == html.unescape(text)
+    assert one(spark, markup.unescaped(F.col("a")), a="?a=1&copy=2&lt=3") == "?a=1&copy=2&lt=3"
+    every = " ".join(f"&{n}" for n in sorted(html5) if n.endswith(";"))
+    assert one(spark, markup.unescaped(F.col("a")), a=every) == html.unescape(every)

@@ -73,24 +73,21 @@ def test_pages_without_structure(spark):
 
 
 def merged(parts, least):
-    """merge_small by its definition."""
-    out, carry = [], None
+    """merge_small by its definition: a short text goes before the next one; at the end to the one before, or to the first anchor."""
+    out, carry = [], ""
     for anchor, text in parts:
-        if not text and not carry:
-            continue
-        if carry:
-            text = f"{carry[1]}\n\n{text}" if text else carry[1]
+        text = f"{carry}\n\n{text}".strip() if carry else text
         if len(text) < least:
-            carry = (carry[0] if carry else anchor, text)
+            carry = text
         else:
             out.append((anchor, text))
-            carry = None
+            carry = ""
     if carry:
-        out = [*out[:-1], (out[-1][0], f"{out[-1][1]}\n\n{carry[1]}")] if out else [carry]
+        out = [*out[:-1], (out[-1][0], f"{out[-1][1]}\n\n{carry}")] if out else [(parts[0][0], carry)]
     return out
 
 
-@pytest.mark.parametrize("texts", [[], [""], ["aa"], ["aa", "bb"], ["a" * 9, "bb"], ["bb", "a" * 9, "", "cc", "d" * 9, "e"], ["", "x" * 20, ""]])
+@pytest.mark.parametrize("texts", [[], [""], ["aa"], ["aa", "bb"], ["a" * 9, "bb"], ["bb", "a" * 9, "", "cc", "d" * 9, "e"], ["", "x" * 20, ""], ["", "bb"], ["", "", "a", "bb"]])
 def test_merge_small(spark, texts):
     parts = [(f"#{i}", t, "section") for i, t in enumerate(texts)]
     row = spark.createDataFrame([(parts,)], "p array<struct<anchor:string,text:string,kind:string>>")
@@ -162,6 +159,24 @@ def test_incremental_equals_full(spark, tmp_path):
     assert ingest.split_incremental(pages, chunks).count() == full.count()
 
 
+def test_pages_with_one_path_and_a_failure_between_sinks(spark, tmp_path, monkeypatch):
+    raw = spark.createDataFrame([(f"http://h/a.html{q}", f"<h1>T{q}</h1><p>" + f"word{q[-1:]} " * 30) for q in ("", "?v=1", "?v=2")] * 2, "url string, html string")
+    index, stored = f"{tmp_path}/index", f"{tmp_path}/markdown"
+    want = sorted((r["url"], r["markdown"]) for r in sources.parsed(raw).collect())
+    assert len({m for _, m in want}) == 3
+
+    def stop(*_):
+        raise OSError("stopped")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(ingest.sinks, "save_index", stop)
+        with pytest.raises(OSError):
+            ingest.ingest_pages(raw, index, stored)
+    for _ in range(2):
+        ingest.ingest_pages(raw, index, stored)
+        assert sorted((r["url"], r["markdown"]) for r in sources.saved_pages(spark, index, stored).collect()) == want
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "chunks.json").write_text(json.dumps({"chunk_id": "a", "text": "xyz", "char_count": 99}) + "\n\nnot json\n")
     found = sources.saved_chunks(spark, f"{tmp_path}/chunks.json").collect()

@@ -13,6 +13,12 @@ from weftline.functions.text import html_escaped, shortened, strip
 MARK = r"\[(\d+)\]"
 BETWEEN = "\n\n---\n\n"
 SUPERSCRIPTS = "¹²³⁴⁵⁶⁷⁸⁹"
+FENCED = r"(?sU)```(?:\w+)?\n?.*?```"
+# Wording of the chat's output.
+CUT_NOTE = " …\n\n<i>(answer truncated)</i>"
+SOURCES_HEAD = "\n\n📚 <b>Sources</b>\n"
+ERROR_BEFORE = "❌ <b>Something went wrong.</b>\n\n<code>"
+ERROR_AFTER = "</code>\n\nPlease try again or rephrase your question."
 
 
 def label(symbol: Column, title: Column, fallback: Column) -> Column:
@@ -46,50 +52,60 @@ def renumbered(answer: Column, used: Column) -> Column:
 
 def cut_at_word(text: Column, most: int = 3500) -> Column:
     """Texts over most characters end at the last space before; a note says so."""
-    head = F.substring(text, 1, most)
-    at_space = F.regexp_replace(head, r" [^ ]*$", "")
-    return F.when(F.length(text) > most, F.concat(at_space, F.lit("…"))).otherwise(text)
+    head = F.regexp_replace(F.substring(text, 1, most), r" [^ ]*\z", "")
+    return F.when(F.length(text) > most, F.concat(head, F.lit(CUT_NOTE))).otherwise(text)
 
 
 def markdown_to_html(text: Column) -> Column:
-    """Fenced blocks, inline code and bold of Markdown as HTML; everything else escaped."""
-    pieces = F.split(text, r"(?=```)|(?<=```)", -1)
-    escaped = F.array_join(F.transform(pieces, html_escaped), "")
-    fenced = F.regexp_replace(escaped, r"(?s)```[a-zA-Z0-9_+-]*\n?(.*?)```", "<pre><code>$1</code></pre>")
-    inline = F.regexp_replace(fenced, r"`([^`\n]+)`", "<code>$1</code>")
-    return F.regexp_replace(inline, r"(?s)\*\*(.+?)\*\*", "<b>$1</b>")
+    """Fenced blocks, and outside them inline code and bold, of Markdown as HTML; everything is escaped. What follows
+    a fence that is never closed is code if nothing stands before it since the last one."""
+
+    def code(part: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(part, r"(?U)\A```\w*\n?", ""), r"```\z", "")
+        return F.concat(F.lit("<pre><code>"), html_escaped(inner), F.lit("</code></pre>"))
+
+    def prose(part: Column) -> Column:
+        inline = F.regexp_replace(html_escaped(part), r"`([^`]+)`", "<code>$1</code>")
+        return F.when(F.startswith(part, F.lit("```")), code(part)).otherwise(F.regexp_replace(inline, r"\*\*([^\n]+?)\*\*", "<b>$1</b>"))
+
+    blocks = F.arrays_zip(F.split(text, FENCED, -1).alias("gap"), F.regexp_extract_all(text, F.lit(FENCED), F.lit(0)).alias("fence"))
+    return F.array_join(F.transform(blocks, lambda x: F.concat(prose(x["gap"]), F.coalesce(code(x["fence"]), F.lit("")))), "")
 
 
 def chat_answer(answer: Column, sources: Column) -> Column:
-    """An answer for chat: cut, in HTML, marks as linked superscripts, and the sources below."""
+    """An answer for chat: cut, in HTML, marks as superscripts up to 9, linked where there is a source, and the sources below."""
     body = markdown_to_html(cut_at_word(answer))
     gaps = F.split(body, r"\[\d+\]", -1)
     marks = F.regexp_extract_all(body, F.lit(MARK), F.lit(1))
 
     def link(mark: Column) -> Column:
-        source = F.get(F.filter(sources, lambda s: s["index"] == mark.try_cast("int")), F.lit(0))
-        sign = F.when(F.length(mark) == 1, F.substr(F.lit(SUPERSCRIPTS), mark.try_cast("int"), F.lit(1))).otherwise(F.concat(F.lit("["), mark, F.lit("]")))
-        return F.when(source.isNull(), F.concat(F.lit("["), mark, F.lit("]"))).otherwise(F.concat(F.lit('<a href="'), source["url"], F.lit('">'), sign, F.lit("</a>")))
+        digits = F.regexp_replace(mark, r"\A0+(?=\d)", "")
+        number = digits.try_cast("int")
+        source = F.get(F.filter(sources, lambda s: s["index"] == number), F.lit(0))
+        sign = F.when(number.between(1, 9), F.substr(F.lit(SUPERSCRIPTS), number, F.lit(1))).otherwise(F.concat(F.lit("["), digits, F.lit("]")))
+        return F.when(F.coalesce(source["url"], F.lit("")) == "", sign).otherwise(F.concat(F.lit('<a href="'), source["url"], F.lit('">'), sign, F.lit("</a>")))
 
     linked = F.arrays_zip(gaps.alias("gap"), F.transform(marks, link).alias("link"))
-    # Between two links that touch stands a space; after the last gap there is no link.
-    apart = lambda x, i: F.when((i > 0) & (x["gap"] == "") & x["link"].isNotNull(), F.lit(" ")).otherwise(x["gap"])
-    text = F.array_join(F.transform(linked, lambda x, i: F.concat(apart(x, i), F.coalesce(x["link"], F.lit("")))), "")
-    lines = F.transform(sources, lambda s: F.concat(s["index"].cast("string"), F.lit(". "), html_escaped(label(s["symbol"], s["title"], s["url"]))))
-    return F.when(F.size(sources) > 0, F.concat(text, F.lit("\n\n"), F.array_join(lines, "\n"))).otherwise(text)
+    text = F.array_join(F.transform(linked, lambda x: F.concat(x["gap"], F.coalesce(x["link"], F.lit("")))), "")
+    # Between two links that touch stands a space.
+    text = F.replace(text, F.lit("</a><a href="), F.lit("</a> <a href="))
+    lines = F.transform(sources, lambda s: F.concat(F.lit("["), s["index"].cast("string"), F.lit('] <a href="'), s["url"], F.lit('">'), html_escaped(label(s["symbol"], s["title"], s["url"])), F.lit("</a>")))
+    return F.when(F.size(sources) > 0, F.concat(text, F.lit(SOURCES_HEAD), F.array_join(lines, "\n"))).otherwise(text)
 
 
 def source_buttons(sources: Column) -> Column:
     """(label, url) of each source; null without sources."""
-    buttons = F.transform(
-        sources,
-        lambda s: F.struct(shortened(label(s["symbol"], s["title"], F.concat(F.lit("Source "), s["index"].cast("string"))), 60, 57, "…").alias("label"), s["url"].alias("url")),
-    )
-    return F.when(F.size(sources) > 0, buttons)
+
+    def button(s: Column) -> Column:
+        number = s["index"].cast("string")
+        text = F.concat(F.lit("["), number, F.lit("] "), label(s["symbol"], s["title"], F.concat(F.lit("Source "), number)))
+        return F.struct(shortened(text, 60, 57, "…").alias("label"), s["url"].alias("url"))
+
+    return F.when(F.size(sources) > 0, F.transform(sources, button))
 
 
 def error_text(message: Column) -> Column:
-    return html_escaped(F.substring(message, 1, 300))
+    return F.concat(F.lit(ERROR_BEFORE), html_escaped(F.substring(message, 1, 300)), F.lit(ERROR_AFTER))
 
 
 def rag_prompt(question: Column, context: Column) -> Column:

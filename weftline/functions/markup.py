@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,30 +14,26 @@ TOKEN = r"(?is)<!--(?:.*?-->|.*)|<(script|style|noscript|iframe|svg)\b[^<>]*>(?:
 SILENT = r"(?is)\A<(?:[!?]|(?:script|style|noscript|iframe|svg)\b)"
 TAG = r"(?is)\A</?[a-z][^<>]*>\z"
 
-# Names of characters.
-NAMED = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
-    "mdash": "—", "ndash": "–", "hellip": "…", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»",
-    "times": "×", "rarr": "→", "larr": "←", "para": "¶", "sect": "§", "deg": "°", "euro": "€", "amp": "&",
-}
-_NUMBER = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+#: Character references: numbers, names with a semicolon, and those that need none where no letter, digit or = follows.
+REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31}(?:;|(?![A-Za-z0-9;=])))"
+#: The standard's names, and what the numbers of control characters stand for.
+NAMED = {name: sign for name, sign in html5.items()} | {f"#{n}": bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
 
 
 def unescaped(text: Column) -> Column:
-    """Text with its character references replaced: numbers, and the names in NAMED."""
+    """Text with its character references replaced; what no name is known for stays."""
+    # Folded into one literal when the plan is made.
+    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
 
     def of(reference: Column) -> Column:
         digits = F.regexp_extract(reference, "[0-9a-fA-F]+", 0)
-        number = F.when(F.lower(F.substring(reference, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        number = F.when(F.lower(F.substring(reference, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
         known = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("�")
-
-    gaps, numbers = F.split(text, _NUMBER, -1), F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0))
-    zipped = F.arrays_zip(gaps.alias("gap"), F.transform(numbers, of).alias("sign"))
-    out = F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(zipped, lambda x: F.concat(x["gap"], F.coalesce(x["sign"], F.lit("")))), "")).otherwise(text)
-    for name, sign in NAMED.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+        sign = F.when(number.between(128, 159), F.element_at(named, F.concat(F.lit("#"), number.cast("string")))).when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("�")
+        return F.when(F.startswith(reference, F.lit("&#")), sign).otherwise(F.coalesce(F.element_at(named, F.substr(reference, F.lit(2))), reference))
+
+    zipped = F.arrays_zip(F.split(text, REFERENCE, -1).alias("gap"), F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), of).alias("sign"))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(zipped, lambda x: F.concat(x["gap"], F.coalesce(x["sign"], F.lit("")))), "")).otherwise(text)
 
 
 def tag_name(token: Column) -> Column:

@@ -115,9 +115,9 @@ def shortened(text: Column, most: int, keep: int, sign: str) -> Column:
 
 
 def html_escaped(text: Column) -> Column:
-    out = F.replace(text, F.lit("&"), F.lit("&amp;"))
-    out = F.replace(out, F.lit("<"), F.lit("&lt;"))
-    return F.replace(out, F.lit(">"), F.lit("&gt;"))
+    for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(sign), F.lit(reference))
+    return text
 
 
 def id_list(text: Column) -> Column:

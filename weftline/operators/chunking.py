@@ -31,8 +31,8 @@ def segments(markdown: Column) -> Column:
 
 def merged(parts: Column, min_chars: int = 120) -> Column:
     """Segments shorter than min_chars joined to the next one, which keeps its anchor; a short rest at
-    the end goes to the one before. Empty segments vanish; if all are short, the first anchor has all."""
-    start = F.struct(F.array().cast(SEGMENTS).alias("done"), F.lit("").alias("carry"), F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("string").alias("kind"))
+    the end goes to the one before. Empty segments vanish; if all are short, the first segment's anchor has all."""
+    start = F.struct(F.array().cast(SEGMENTS).alias("done"), F.lit("").alias("carry"))
 
     def step(s: Column, x: Column) -> Column:
         text = F.when(s["carry"] == "", x["text"]).when(x["text"] == "", s["carry"]).otherwise(F.concat(s["carry"], F.lit("\n\n"), x["text"]))
@@ -41,14 +41,12 @@ def merged(parts: Column, min_chars: int = 120) -> Column:
         return F.struct(
             F.when(short, s["done"]).otherwise(whole).alias("done"),
             F.when(short, text).otherwise(F.lit("")).alias("carry"),
-            F.when(short & (F.length(text) > 0), F.coalesce(s["anchor"], x["anchor"])).alias("anchor"),
-            F.when(short & (F.length(text) > 0), F.coalesce(s["kind"], x["kind"])).alias("kind"),
         )
 
     def finish(s: Column) -> Column:
         last = F.element_at(s["done"], -1)
         joined = F.struct(last["anchor"].alias("anchor"), F.concat(last["text"], F.lit("\n\n"), s["carry"]).alias("text"), last["kind"].alias("kind"))
-        alone = F.struct(s["anchor"].alias("anchor"), s["carry"].alias("text"), s["kind"].alias("kind"))
+        alone = F.struct(parts[0]["anchor"].alias("anchor"), s["carry"].alias("text"), parts[0]["kind"].alias("kind"))
         return (
             F.when(s["carry"] == "", s["done"])
             .when(F.size(s["done"]) == 0, F.array(alone))
@@ -142,14 +140,14 @@ def split_pieces(max_chars: int = 1500, overlap: int = 200):
 def chunks(pages: DataFrame, max_chars: int = 1500, min_chars: int = 120, overlap: int = 200) -> DataFrame:
     """Chunks of pages (url, title, section, markdown, markers): the columns of schemas.CHUNKS.
 
-    A page without markers is one chunk at #top. A marker's section entry (by anchor, the last one
+    A page without markers is one chunk at #top, of the kind `heading`. A marker's section entry (by anchor, the last one
     counts) gives kind, symbol, parameters and source. Pages whose segments are all empty have none.
     """
     if min_chars < 0:
         raise ValueError("min_chars must not be negative")
     split = split_pieces(max_chars, overlap)
     marked = pages.withColumn("__parts", segments(F.col("markdown")))
-    whole = F.array(F.struct(F.lit("#top").alias("anchor"), strip(F.col("markdown")).alias("text"), F.lit("page").alias("kind")))
+    whole = F.array(F.struct(F.lit("#top").alias("anchor"), strip(F.col("markdown")).alias("text"), F.lit("section").alias("kind")))
     plain = F.size("__parts") == 0
     marked = marked.withColumn("__plain", plain).withColumn("__parts", F.when(plain, whole).otherwise(merged(F.col("__parts"), min_chars)))
     each = marked.select("*", F.explode("__parts").alias("__part")).withColumn("__pieces", F.when(F.col("__plain"), F.array("__part.text")).otherwise(split(F.col("__part.text"))))
@@ -160,7 +158,7 @@ def chunks(pages: DataFrame, max_chars: int = 1500, min_chars: int = 120, overla
 
     anchor = F.col("__part.anchor")
     symbol = F.coalesce(F.col("__section.symbol"), F.lit(""))
-    kind = F.coalesce(F.nullif(F.col("__section.kind"), F.lit("")), F.when(F.col("__part.kind") == "api", "object").when(F.col("__part.kind") == "section", "heading").otherwise("page"))
+    kind = F.coalesce(F.nullif(F.col("__section.kind"), F.lit("")), F.when(F.col("__part.kind") == "api", "object").otherwise("heading"))
     return each.select(
         F.when(F.col("__plain"), F.concat(F.lit("top__0__"), F.substring(F.md5("url"), 1, 6))).otherwise(chunk_id(anchor, F.col("sub_index"), F.col("url"))).alias("chunk_id"),
         "text",

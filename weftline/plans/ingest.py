@@ -18,9 +18,11 @@ from weftline.storage import saved
 
 
 def ingest_pages(raw: DataFrame, index_path: str, markdown_path: str) -> DataFrame:
-    """Parses the pages of (url, html) that the index doesn't have, stores their Markdown and then appends
-    them to the index: a job that fails between leaves pages to be parsed again, not records without text."""
-    new = saved(sources.parsed(pending(raw, sources.done_urls(raw.sparkSession, index_path), "url")))
+    """Parses the pages of (url, html) that the index doesn't have, one for each url, stores their Markdown and then
+    appends them to the index: a job that fails between leaves pages to be parsed and stored again, by url, not records
+    without text or pages twice."""
+    todo = pending(raw.dropDuplicates(["url"]), sources.done_urls(raw.sparkSession, index_path), "url")
+    new = saved(sources.parsed(todo))
     sinks.save_pages(new, markdown_path)
     sinks.save_index(new, index_path)
     return new

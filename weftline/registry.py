@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import citations, text, urls, vectors
-from weftline.operators import chunking, increments, search, stats
+from weftline.operators import chunking, increments, keyword_index, search, stats, vector_index
 from weftline.plans import ingest
 from weftline.sources import pages as page_source
-from weftline.storage import saved, small
+from weftline.sources import tables
+from weftline.storage import saved, session_dir, small
 from weftline.streaming import limits
 
 QUERIES = {}
@@ -95,6 +98,14 @@ def sparse_search_topk(spark, sf_dir):
     return _keyword(spark, sf_dir, TOP_K * PREFETCH)
 
 
+@query(ORACLE_SQL["sparse_search_topk"])
+def stored_keyword_index(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    index = keyword_index.build(docs, f"{session_dir(spark)}/{uuid.uuid4().hex}")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.top_ranked(keyword_index.search(index, queries, TOP_K * PREFETCH), TOP_K * PREFETCH)
+
+
 def _dense(spark, sf_dir, k):
     rows = table(spark, sf_dir, "embeddings")
     queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -106,6 +117,24 @@ def dense_search_topk(spark, sf_dir):
     return _dense(spark, sf_dir, TOP_K * PREFETCH)
 
 
+def _by_index(spark, sf_dir, exactly):
+    rows = table(spark, sf_dir, "embeddings")
+    index = vector_index.build(rows.select(F.col("vec_id").alias("key"), "embedding"), f"{session_dir(spark)}/{uuid.uuid4().hex}")
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_index.search(index, queries, TOP_K * PREFETCH, exactly=exactly)
+
+
+# What it finds isn't all that there is, so there is no SQL; tests measure its recall.
+@query()
+def vector_index_topk(spark, sf_dir):
+    return _by_index(spark, sf_dir, exactly=False)
+
+
+@query(ORACLE_SQL["dense_search_topk"])
+def vector_index_exact(spark, sf_dir):
+    return _by_index(spark, sf_dir, exactly=True)
+
+
 _RRF = """
 f AS (SELECT query_id, key, sum(round(1.0 / (60 + rank), 12)::DECIMAL(20,12))::DOUBLE AS s FROM ({legs}) GROUP BY ALL),
 fr AS (SELECT query_id, key, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, key) AS rank FROM f)"""
@@ -227,6 +256,18 @@ def page_markers(spark, sf_dir):
     return pages.select("url", section).select("url", "s.anchor", "s.label", "s.level", "s.kind", "s.symbol")
 
 
+# Each page a second time, at an address with the same path.
+@query(rf"""WITH pages AS (SELECT url, html FROM pages UNION ALL SELECT url || '?again=1', replace(html, '<h1>', '<h1>Again ') FROM pages WHERE NOT contains(url, '#')), {_PAGES}
+SELECT url, title, markdown FROM md WHERE length(markdown) >= 50""")
+def saved_pages_by_url(spark, sf_dir):
+    first = table(spark, sf_dir, "pages").select("url", "html")
+    second = first.where(~F.contains("url", F.lit("#"))).select(F.concat("url", F.lit("?again=1")).alias("url"), F.replace("html", F.lit("<h1>"), F.lit("<h1>Again ")).alias("html"))
+    folder = f"{session_dir(spark)}/{uuid.uuid4().hex}"
+    for raw in (first, first.unionByName(second)):
+        ingest.ingest_pages(raw, f"{folder}/index", f"{folder}/markdown")
+    return page_source.saved_pages(spark, f"{folder}/index", f"{folder}/markdown").select("url", "title", "markdown")
+
+
 _PARAGRAPHS = "list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x) <> '')"
 
 
@@ -261,16 +302,16 @@ _STRIPPED = r"regexp_replace({0}, '^[\s\x0B\x{{85}}\x{{A0}}\x{{2028}}\x{{2029}}\
 
 
 @query(f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
-f AS (SELECT doc_id, 0::BIGINT AS i, '' AS carry, NULL::VARCHAR AS first_, NULL::VARCHAR AS anchor, NULL::VARCHAR AS text FROM documents
+f AS (SELECT doc_id, 0::BIGINT AS i, '' AS carry, NULL::VARCHAR AS anchor, NULL::VARCHAR AS text FROM documents
  UNION ALL
- SELECT doc_id, i, CASE WHEN length(t) < 120 THEN t ELSE '' END, CASE WHEN length(t) BETWEEN 1 AND 119 THEN coalesce(first_, own) END,
+ SELECT doc_id, i, CASE WHEN length(t) < 120 THEN t ELSE '' END,
   CASE WHEN length(t) >= 120 THEN own END, CASE WHEN length(t) >= 120 THEN t END
- FROM (SELECT f.doc_id, l.i, first_, '#s' || (l.i - 1) AS own, carry || CASE WHEN carry <> '' AND {_STRIPPED.format('line')} <> '' THEN chr(10) || chr(10) ELSE '' END || {_STRIPPED.format('line')} AS t
+ FROM (SELECT f.doc_id, l.i, '#s' || (l.i - 1) AS own, carry || CASE WHEN carry <> '' AND {_STRIPPED.format('line')} <> '' THEN chr(10) || chr(10) ELSE '' END || {_STRIPPED.format('line')} AS t
        FROM f JOIN l ON f.doc_id = l.doc_id AND l.i = f.i + 1)),
-rest AS (SELECT f.doc_id, carry, first_ FROM f JOIN (SELECT doc_id, max(i) AS i FROM l GROUP BY doc_id) m ON f.doc_id = m.doc_id AND f.i = m.i WHERE carry <> ''),
+rest AS (SELECT f.doc_id, carry FROM f JOIN (SELECT doc_id, max(i) AS i FROM l GROUP BY doc_id) m ON f.doc_id = m.doc_id AND f.i = m.i WHERE carry <> ''),
 made AS (SELECT doc_id, anchor, text, row_number() OVER w - 1 AS pos, row_number() OVER w = count(*) OVER (PARTITION BY doc_id) AS final FROM f WHERE text IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i))
 SELECT made.doc_id, pos::INT AS pos, anchor, text || CASE WHEN final AND carry IS NOT NULL THEN chr(10) || chr(10) || carry ELSE '' END AS text FROM made LEFT JOIN rest ON made.doc_id = rest.doc_id
-UNION ALL SELECT doc_id, 0, first_, carry FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM made)""")
+UNION ALL SELECT doc_id, 0, '#s0', carry FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM made)""")
 def merge_small(spark, sf_dir):
     parts = F.transform(_lines(F.col("text")), lambda t, i: F.struct(F.concat(F.lit("#s"), i.cast("string")).alias("anchor"), text.strip(t).alias("text"), F.lit("section").alias("kind")))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.merged(parts)).alias("pos", "s")).select("doc_id", "pos", "s.anchor", "s.text")
@@ -292,7 +333,7 @@ def chunk_ids(spark, sf_dir):
     return rows.select("page_id", text.chunk_id(F.col("url"), F.col("page_id"), F.col("url")).alias("chunk_id"), urls.citation(F.col("url"), anchor).alias("citation_url"))
 
 
-@query(rf"""WITH {_PAGES} SELECT 'top__0__' || substr(md5(url), 1, 6) AS chunk_id, markdown AS text, url AS page_url, url AS citation_url, 'page' AS kind, length(markdown)::INT AS char_count, 0 AS sub_index
+@query(rf"""WITH {_PAGES} SELECT 'top__0__' || substr(md5(url), 1, 6) AS chunk_id, markdown AS text, url AS page_url, url AS citation_url, 'heading' AS kind, length(markdown)::INT AS char_count, 0 AS sub_index
 FROM md WHERE length(markdown) >= 50""")
 def page_chunks(spark, sf_dir):
     found = chunking.chunks(page_source.parsed(table(spark, sf_dir, "pages")))
@@ -313,6 +354,18 @@ def upsert_last_wins(spark, sf_dir):
     return increments.upserted(old, new, "doc_id")
 
 
+@query("""SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN d.source ELSE 'q' || l.quality END AS source FROM documents d LEFT JOIN labels l USING (doc_id)
+WHERE doc_id % 7 <> 3 UNION ALL SELECT doc_id, 'q' || quality FROM labels WHERE doc_id % 7 <> 3 AND doc_id NOT IN (SELECT doc_id FROM documents)""")
+def committed_upserts(spark, sf_dir):
+    keyed = tables.Table(spark, f"{session_dir(spark)}/{uuid.uuid4().hex}", "doc_id long, source string", ["doc_id"])
+    documents = table(spark, sf_dir, "documents")
+    new = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("source"))
+    keyed.upsert(documents, batch=("documents", 0))
+    for _ in range(2):  # the second is a retry, which changes nothing
+        keyed.upsert(new, gone=documents.unionByName(new, allowMissingColumns=True).where("doc_id % 7 = 3"), batch=("labels", 0))
+    return keyed.read()
+
+
 @query("""WITH s AS (SELECT lang, length(text) AS n, row_number() OVER (PARTITION BY lang ORDER BY length(text)) AS r, count(*) OVER (PARTITION BY lang) AS c FROM documents)
 SELECT lang, count(*) AS n, min(n) AS min_size, median(n)::DOUBLE AS median_size, round(avg(n), 6) AS mean_size,
        max(n) FILTER (r = floor(c * 0.95)::BIGINT + 1) AS p95_size, max(n) AS max_size FROM s GROUP BY lang""")
@@ -362,6 +415,33 @@ def citation_renumber(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", citations.renumbered(_answer(), used).alias("answer"))
 
 
+def _formatted() -> Column:
+    """An answer with made-up marks, code, bold and a fence, long ones repeated."""
+    marked = F.concat(F.lit("**Note** `x<1` "), _answer(), F.lit("\n```python\na < 'b' ** c ** [1]\n```\n** "), F.col("text"))
+    return F.when(F.col("turn") % 4 == 3, F.repeat(marked, 12)).otherwise(marked)
+
+
+_FENCED = r"(?s)```(?:[\p{L}\p{N}_]+)?\n?.*?```"
+_ESCAPED = """replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')"""
+_SIGN = "CASE WHEN n BETWEEN 1 AND 9 THEN substr('¹²³⁴⁵⁶⁷⁸⁹', n, 1) ELSE '[' || n || ']' END"
+
+
+@query(rf"""WITH {_CITED}, m AS (SELECT conv_id, turn, cited, '**Note** `x<1` ' || answer || chr(10) || '```python' || chr(10) || 'a < ''b'' ** c ** [1]' || chr(10) || '```' || chr(10) || '** ' || text AS marked
+  FROM c JOIN (SELECT conv_id, turn, text FROM conversations) USING (conv_id, turn)),
+l AS (SELECT conv_id, turn, cited, CASE WHEN turn % 4 = 3 THEN repeat(marked, 12) ELSE marked END AS a FROM m),
+t AS (SELECT conv_id, turn, cited, CASE WHEN length(a) > 3500 THEN regexp_replace(a[:3500], ' [^ ]*$', '') || ' …' || chr(10) || chr(10) || '<i>(answer truncated)</i>' ELSE a END AS a FROM l),
+p AS (SELECT conv_id, turn, cited, string_split_regex(a, '{_FENCED}') AS gaps, regexp_extract_all(a, '{_FENCED}') AS fences FROM t),
+h AS (SELECT conv_id, turn, cited, array_to_string(list_transform(gaps, lambda g, i: CASE WHEN starts_with(g, '```') THEN '<pre><code>' || {_ESCAPED.format("regexp_replace(g, '^```[a-z]*' || chr(10) || '?', '')")} || '</code></pre>'
+    ELSE regexp_replace(regexp_replace({_ESCAPED.format('g')}, '`([^`]+)`', '<code>\1</code>', 'g'), '\*\*([^\n]+?)\*\*', '<b>\1</b>', 'g') END
+    || CASE WHEN i <= len(fences) THEN '<pre><code>' || {_ESCAPED.format("regexp_replace(regexp_replace(fences[i], '^```[a-z]*' || chr(10) || '?', ''), '```$', '')")} || '</code></pre>' ELSE '' END), '') AS html FROM p),
+g AS (SELECT conv_id, turn, cited, string_split_regex(html, '\[[0-9]+\]') AS gaps, list_transform(regexp_extract_all(html, '\[([0-9]+)\]', 1), lambda x: x::BIGINT) AS marks FROM h)
+SELECT conv_id, turn, replace(array_to_string(list_transform(gaps, lambda x, i: x || CASE WHEN i > len(marks) THEN '' ELSE list_transform([marks[i]], lambda n: CASE WHEN list_contains(cited, n) THEN '<a href="https://example.org/' || n || '">' || {_SIGN} || '</a>' ELSE {_SIGN} END)[1] END), ''), '</a><a href=', '</a> <a href=')
+  || CASE WHEN len(cited) > 0 THEN chr(10) || chr(10) || '📚 <b>Sources</b>' || chr(10) || array_to_string(list_transform(cited, lambda n: '[' || n || '] <a href="https://example.org/' || n || '">' || CASE WHEN n % 2 = 1 THEN 'Title ' || n ELSE 'sym' || n END || '</a>'), chr(10)) ELSE '' END AS html FROM g""")
+def chat_answers(spark, sf_dir):
+    sources = citations.cited_sources(_answer(), _docs())
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", citations.chat_answer(_formatted(), sources).alias("html"))
+
+
 @query(f"""WITH {_KEYWORD} SELECT query_id, string_agg('[' || rank || '] **' || source || '** (doc:' || key || ')' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
 FROM kr JOIN documents ON key = doc_id WHERE rank <= 6 GROUP BY query_id""")
 def format_context(spark, sf_dir):

@@ -10,4 +10,4 @@ CHUNKS = (
 )
 VECTORS = "chunk_id string, embedding array<float>"
 SCORES = "qid string, metric string, score double"
-MARKDOWN = "saved_path string, markdown string"
+MARKDOWN = "url string, saved_path string, markdown string"

@@ -13,6 +13,7 @@ from weftline import schemas
 from weftline.functions import urls
 from weftline.operators import markup
 from weftline.operators.increments import aligned
+from weftline.sources.tables import Table
 
 SHORTEST_PAGE = 50
 
@@ -71,9 +72,10 @@ def done_urls(spark: SparkSession, index_path: str) -> DataFrame:
 
 
 def saved_pages(spark: SparkSession, index_path: str, markdown_path: str) -> DataFrame:
-    """Index records with the Markdown that sinks.save_pages stored; records without it go, malformed ones too."""
-    stored = spark.read.schema(schemas.MARKDOWN).parquet(markdown_path)
-    return spark.read.schema(schemas.INDEX).option("mode", "DROPMALFORMED").json(index_path).join(stored, "saved_path")
+    """Index records with the Markdown that sinks.save_pages stored, one for each url; records without it go, malformed ones
+    too. A path is but a label: urls with different query strings have the same."""
+    stored = Table(spark, markdown_path, schemas.MARKDOWN, ["url"]).read().select("url", "markdown")
+    return json_lines(spark, index_path, schemas.INDEX).dropDuplicates(["url"]).join(stored, "url")
 
 
 def saved_chunks(spark: SparkSession, path: str) -> DataFrame:

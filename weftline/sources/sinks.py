@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline import schemas
+from weftline.sources.tables import Table
+
 
 def save_index(pages: DataFrame, path: str, append: bool = True) -> None:
     pages.drop("markdown").write.mode("append" if append else "overwrite").json(path)
 
 
-def save_pages(pages: DataFrame, path: str, append: bool = True) -> None:
-    """Stores the Markdown of pages by the path that it would have as a file."""
-    pages.select("saved_path", "markdown").write.mode("append" if append else "overwrite").parquet(path)
+def save_pages(pages: DataFrame, path: str, most_segments: int = 16) -> None:
+    """Stores the Markdown of pages by url, so that a page that is stored again, after a failure, is there once."""
+    table = Table(pages.sparkSession, path, schemas.MARKDOWN, ["url"])
+    if len(table.upsert(pages.select("url", "saved_path", "markdown")).segments) > most_segments:
+        table.compact()
 
 
 def save_chunks(chunks: DataFrame, path: str, append: bool = True) -> None:
@@ -23,14 +28,19 @@ def save_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("append").parquet(path)
 
 
+def _as_null(scores: DataFrame) -> DataFrame:
+    """Scores with NaN as null."""
+    return scores.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+
+
 def save_scores(scores: DataFrame, path: str) -> None:
-    """Scores with NaN as null, overwritten as a whole."""
-    scores.withColumn("score", F.when(~F.isnan("score"), F.col("score"))).write.mode("overwrite").json(path)
+    """Puts scores (qid, metric, score) in place of those of the table of a folder, at once or not at all; NaN as null."""
+    Table(scores.sparkSession, path, schemas.SCORES, ["qid", "metric"]).replace(_as_null(scores))
 
 
 def append_scores(scores: DataFrame, path: str) -> None:
     """Adds scores to a checkpoint, NaN as null."""
-    scores.withColumn("score", F.when(~F.isnan("score"), F.col("score"))).write.mode("append").json(path)
+    _as_null(scores).write.mode("append").json(path)
 
 
 def save_scores_csv(scores: DataFrame, path: str) -> None:
