@@ -2,8 +2,11 @@
 
 import random
 import re
+import time
 
-from weftline.llm import decontamination, pii
+from pyspark.sql import functions as F
+
+from weftline.llm import decontamination, pii, toxicity
 
 ITEM = "Alice has 12 apples and gives 5 kg of them to her friend Bob Smith before the long walk home at 7"
 OTHER = "the quick brown fox jumps over a lazy dog while seven small birds sing their song"
@@ -252,3 +255,74 @@ def test_surrogates_of_defined_cases(spark, documents):
     assert len({r["text"][-30:] for r in rows if r["text"]}) == 1 and "a.person" not in rows[0]["text"]
     other = pii.replaced(docs, "another key").where("doc_id IS NULL").first()
     assert other["text"] != next(r["text"] for r in rows if r["doc_id"] is None)
+
+
+LONG = ["ACGT" * 250_000, "Aa-" * 300_000, "a_" * 500_000, "." * 1_000_000, "QUJD" * 250_000, "Aa'" * 300_000, "1a:" * 300_000, "A b " * 200_000]
+
+
+def test_very_long_words_take_linear_time(spark, documents):
+    docs = documents([(i, t) for i, t in enumerate(LONG)] + [(100, "Dear Ravi Kumar, hello")])
+    began = time.monotonic()
+    found = {r["doc_id"]: r["text"] for r in pii.replaced(docs, "k").collect()}
+    assert all(found[i] == t for i, t in enumerate(LONG)) and "Kumar" not in found[100]
+    assert time.monotonic() - began < 180
+    assert sum(toxicity.hidden_insults(t) for t in LONG) == 0
+
+
+def test_lists_of_names_and_names_of_many_parts_go(spark, documents):
+    names = ["Ravi Kumar", "Mei Lin", "Jean-Luc Picardo Alvarez Montenegro", "Oskar Brandt", "Fatima Alsayedovnabenhassanalrashidi", "Kofi Mensah"]
+    text = "Dear " + ", ".join(names[:-1]) + " and " + names[-1] + ", please write. Kumar is late."
+    made = pii.replaced(documents([(1, text)]), "k").first()["text"]
+    assert not any(part in made for name in names for part in name.split())
+    assert made.startswith("Dear ") and made.endswith(" is late.") and made.count(",") == text.count(",") and " and " in made
+
+
+def test_accounts_addresses_and_devices_keep_their_form(spark, documents):
+    values = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE00370400440532013000", "2001:db8::1", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "00:1A:2b:3c:4D:5e", "00-1A-2B-3C-4D-5E"]
+    made = [pii.replaced(documents([(1, f"see {v} now")]), "k").first()["text"][4:-4] for v in values]
+
+    def remainder(account):
+        plain = account.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+    for value, new in zip(values, made):
+        assert new != value and re.sub("[0-9A-Za-z]", "x", new) == re.sub("[0-9A-Za-z]", "x", value)
+    assert [remainder(v) == 1 for v in made[:3]] == [True, True, False]
+    assert made[0][:2] == "DE" and all(int(g or "0", 16) >= 0 for v in made[3:] for g in re.split("[:-]", v))
+    plain = "at 10:30:15, std::vector, a::b::c, 12:34 and ratio 1:2:3"
+    assert pii.replaced(documents([(1, plain)]), "k").first()["text"] == plain
+
+
+PROMPT = "Answer the following question and give short reasons for your choice in two or three full sentences please: "
+
+
+def made_items(n):
+    rng = random.Random(8)
+    words = ["river", "castle", "engine", "lemon", "violet", "harbour", "copper", "meadow", "lantern", "saddle", "winter", "basket", "marble", "falcon", "ribbon", "cellar", "hammer", "island", "pepper", "mirror"]
+    return [(i, PROMPT + " ".join(rng.choice(words) for _ in range(12)) + " twelve times") for i in range(n)]
+
+
+def test_a_common_prompt_is_no_evidence(spark, documents):
+    items = made_items(200)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, PROMPT + "nothing of it") for i in range(200)]
+    rows += [(1000 + i, "Some words before. " + t.replace("twelve", "31") + " And some after.") for i, t in items]
+    rows += [(2000 + i, f"All in all {t[len(PROMPT):]} is what it says.") for i, t in items]
+    found = {r["doc_id"]: (r["contaminated"], r["items"]) for r in decontamination.contamination(documents(rows), table).collect()}
+    assert not any(found[i][0] for i in range(200))
+    assert sum(found[1000 + i][1] == [i] for i, _ in items) >= 0.95 * len(items)
+    assert sum(found[2000 + i][1] == [i] for i, _ in items) >= 0.95 * len(items)
+    # Each document has the windows of one item at most: hits don't grow with the number of items.
+    windows = decontamination.benchmark_windows(table)
+    assert windows.groupBy("window").agg(F.count_distinct("item").alias("n")).agg(F.max("n")).first()[0] <= decontamination.SHARED_ITEMS
+    # Items that are equal but for a number have no windows of their own, and are found all the same.
+    twins = spark.createDataFrame([(i, f"How far does a train go in {i + 2} hours if it runs at the same speed all day long") for i in range(9)], "item_id long, text string")
+    both = decontamination.contamination(documents([(1, "How far does a train go in 40 hours if it runs at the same speed all day long?"), (2, "A train goes far.")]), twins)
+    assert {r["doc_id"]: len(r["items"]) for r in both.collect()} == {1: 9, 2: 0}
+
+
+def test_number_words_are_slots(spark, documents):
+    items = spark.createDataFrame([(1, "A farmer has twelve sheep and sells five sheep to a neighbour, so how many sheep are left on the farm")], "item_id long, text string")
+    same = "A farmer has {} sheep and sells {} sheep to a neighbour, so how many sheep are left on the farm?"
+    rows = [(1, same.format("12", "5")), (2, same.format("twenty-one", "seven")), (3, same.format("nine", "3"))]
+    assert all(r["contaminated"] for r in decontamination.contamination(documents(rows), items).collect())

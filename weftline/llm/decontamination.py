@@ -27,6 +27,9 @@ LEAST_PLAIN = 0.5
 #: Share of an item's windows that a document must have.
 COVERAGE = 0.3
 
+#: Windows that more items have are a common prompt rather than an item's own, and count for items without own ones only.
+SHARED_ITEMS = 5
+
 #: Characters of scripts without spaces (Thai to Khmer, kana, Chinese), each of which is a word.
 UNSPACED = "[\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3040-\\u30ff\\u31f0-\\u31ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff\\x{20000}-\\x{3ffff}]"
 
@@ -39,9 +42,14 @@ UNITS = (
     "|kb|mb|gb|tb|bytes?|bits?|dollars?|euros?|cents?|usd|eur|gbp|percent"
 )
 NUMBER, QUANTITY, NAME = "\ue001", "\ue002", "\ue003"
+# Numbers in words, and what they are.
+ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+WORD_VALUES = {w: str(i) for i, w in enumerate(ONES)} | {w: str(20 + 10 * i) for i, w in enumerate(TENS)} | {"hundred": "100", "thousand": "1000", "million": "1000000"}
+_WORD = rf"(?<![\p{{L}}\p{{N}}])(?i:(?:{'|'.join(TENS)})[- ](?:{'|'.join(ONES[1:10])})|{'|'.join(sorted(WORD_VALUES, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])"
 _DIGITS = r"(?<![\p{L}\p{N}.,])[$€£]?[0-9]++(?:[.,:/][0-9]++)*+"
-QUANTITY_PATTERN = rf"{_DIGITS}(?:\s?%|\s?(?i:{UNITS})(?![\p{{L}}\p{{N}}]))"
-NUMBER_PATTERN = rf"{_DIGITS}(?![\p{{L}}\p{{N}}])"
+QUANTITY_PATTERN = rf"(?:{_DIGITS}|{_WORD})(?:\s?%|\s?(?i:{UNITS})(?![\p{{L}}\p{{N}}]))"
+NUMBER_PATTERN = rf"{_DIGITS}(?![\p{{L}}\p{{N}}])|{_WORD}"
 # A capitalised word (or several) after a word that doesn't end a sentence.
 NAME_PATTERN = r"(?<=[\p{Ll}0-9,;] )\p{Lu}[\p{Ll}'’-]++(?: \p{Lu}[\p{Ll}'’-]++)*+"
 
@@ -56,7 +64,7 @@ def _spaced(text: Column) -> Column:
 def _stages(text: Column) -> tuple[Column, Column, Column]:
     """The text, without quantities, without numbers too, and without names too."""
     plain = F.coalesce(text, F.lit(""))
-    digits = plain.rlike("[0-9]")
+    digits = plain.rlike(f"[0-9]|{_WORD}")
     first = F.when(digits, F.regexp_replace(plain, QUANTITY_PATTERN, f" {QUANTITY} ")).otherwise(plain)
     second = F.when(digits, F.regexp_replace(first, NUMBER_PATTERN, f" {NUMBER} ")).otherwise(plain)
     return plain, first, F.regexp_replace(second, NAME_PATTERN, f" {NAME} ")
@@ -73,6 +81,14 @@ def literal_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _in_digits(value: Column) -> Column:
+    """A number in words as one in digits; others as they are."""
+    known = F.create_map(*[x for w, n in WORD_VALUES.items() for x in (F.lit(w), F.lit(n))])
+    both = F.split(value, "[- ]")
+    two = (known[F.get(both, F.lit(0))].cast("int") + known[F.get(both, F.lit(1))].cast("int")).cast("string")
+    return F.coalesce(known[value], F.when(F.size(both) == 2, two), value)
+
+
 def _places(words: Column, sign: str) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when(w == sign, i)), lambda i: i.isNotNull())
 
@@ -86,6 +102,8 @@ def template_slots(text: Column, words: Column) -> Column:
         places = _places(words, sign)
         values = F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
         values = F.transform(values, lambda v: F.lower(F.regexp_replace(v, r"\s+", " ")))
+        if sign == NUMBER:
+            values = F.transform(values, _in_digits)
         parts.append(F.zip_with(places, values, lambda i, v: F.struct(i.alias("at"), v.alias("value"))))
     return F.concat(*parts)
 
@@ -108,15 +126,19 @@ def _item_windows(words: DataFrame, literal: bool) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, k, literal, n, window, at, slots): all windows of the items, how many windows the item has,
+    """(item, k, literal, n, window, at, slots): the windows by which items are looked for, how many of them the item has,
     and the placeholders in each. Items without a window of enough plain words have literal ones, without
-    placeholders. Items of under SHORT_WINDOW_WORDS words have none."""
+    placeholders. Windows that over SHARED_ITEMS items have, such as those of a common prompt, are left to items that have
+    no others. Items of under SHORT_WINDOW_WORDS words have none."""
     texts = items.select(F.col(item_id).alias("item"), _spaced(F.col(text)).alias("text")).distinct()
     words = texts.withColumn("words", template_words(F.col("text"))).withColumn("slots", template_slots(F.col("text"), F.col("words")))
     plain = saved(_item_windows(words, False))
     left = texts.join(plain.select("item").distinct(), "item", "left_anti")
     left = left.withColumn("words", literal_words(F.col("text"))).withColumn("slots", F.filter(template_slots(F.lit(""), F.array(F.lit(""))), lambda s: F.lit(False)))
     out = saved(plain.unionByName(_item_windows(left, True)))
+    shared = out.groupBy("k", "literal", "window").agg(F.count_distinct("item").alias("items")).where(F.col("items") > SHARED_ITEMS)
+    own = saved(out.join(small(shared), ["k", "literal", "window"], "left_anti"))
+    out = saved(own.unionByName(out.join(own.select("item").distinct(), "item", "left_anti")))
     counts = out.groupBy("item").agg(F.count_distinct("at").alias("n"))
     return out.join(counts, "item")
 
@@ -220,7 +242,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
     Null and empty texts are clean; so is everything if there are no items. Repeated rows get the same
     verdict each; texts of any length are searched whole. Items of one id count as one item. Items with a null text or under SHORT_WINDOW_WORDS words are found nowhere; a warning says
-    how many these are. Items of mostly placeholders are found with their own values only.
+    how many these are. Items of mostly placeholders are found with their own values only. A text that has but the prompt
+    that many items begin with is clean.
     """
     found = matches(docs, items, doc_id, text).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), _key(doc_id, text).alias("key"))

@@ -50,14 +50,14 @@ ENDINGS = {"latin": {"m": "o", "f": "a", "n": "e"}, "cyrillic": {"m": "", "f": "
 
 # A capitalised word (McDonald, O'Brien, Jean-Luc), without the ending of the genitive.
 _NAME_PART = r"\p{Lu}(?:[\p{Ll}-]|['’](?!s(?!\p{L}))|(?<=[\p{Ll}'’-])\p{Lu})++"
-_NAME = rf"{_NAME_PART}(?: {_NAME_PART}){{1,2}}+"
+_NAME = rf"{_NAME_PART}(?: {_NAME_PART})++"
+#: What stands between the names of a list.
+_BETWEEN = "(?:, and |, | and | und | et | y )"
 # Words that introduce a name.
 CUES = (
     "[Mm]y name is|[Nn]ame is|[Nn]amed|[Nn]ame:|[Dd]ear|[Cc]ontact|[Cc]ontact:|[Mm]et|[Mm]eet|[Aa]sk for|[Ss]igned by|[Ww]ritten by|[Ss]igned,|[Rr]egards,"
     "|[Ss]incerely,|[Aa]uthor:|[Pp]atient|[Pp]atient:|[Cc]lient:|[Cc]ustomer:|[Aa]pplicant:|[Ee]mployee:|[Ii]ch hei(?:ß|ss)e|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es"
 )
-_SHORT_WORD = r"\p{Lu}[\p{L}'’-]{1,20}"
-_LISTED = rf"{_SHORT_WORD} {_SHORT_WORD}(?: {_SHORT_WORD})?(?:, and |, | and | und | et | y )"
 _ALL_GIVEN = "|".join(GIVEN["m"] + GIVEN["f"])
 _ALL_TITLES = "|".join(TITLES["m"] + TITLES["f"] + TITLES["n"])
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -68,15 +68,18 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)++[\p{L}]{2,}",
     "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?=[0-9])(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    # In full, or with one :: for groups of zeros; with two groups at least.
+    "ipv6": r"(?=[0-9A-Fa-f:])(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "mac": r"(?=[0-9A-Fa-f])(?<![\p{L}\p{N}:-])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:-])|(?=[0-9A-Fa-f])(?<![\p{L}\p{N}:-])(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:-])",
     "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?=[0-9])(?<![0-9.,-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[.,-][0-9])",
     "phone": r"(?=[0-9+(])(?<![\p{L}0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
     r"|0[0-9]{2,4} [0-9]{3,4} ?[0-9]{3,4}|0[0-9]{2,4}-[0-9]{3,4}-?[0-9]{3,4}|0[0-9]{2,4}/[0-9]{5,8}|0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}))(?![0-9])",
     "titled": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_ALL_TITLES})\.? {_NAME_PART}(?: {_NAME_PART})?",
     "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_ALL_GIVEN}) {_NAME_PART}",
-    # After a word that introduces names, or after up to three names of a list that does.
-    "introduced": rf"(?=\p{{Lu}}[\p{{L}}'’-]++ \p{{Lu}})(?<=(?<!\p{{L}})(?:{CUES}) (?:{_LISTED}(?:{_LISTED}(?:{_LISTED})?)?)?){_NAME}",
+    # After a word that introduces names, a name or a list of them, of any length. What stands before comes first, so that
+    # within a long word nothing is looked at.
+    "introduced": rf"(?<= )(?=\p{{Lu}}[\p{{L}}'’-]++ \p{{Lu}})(?<=(?<!\p{{L}})(?:{CUES}) ){_NAME}(?:{_BETWEEN}{_NAME})*+",
 }
 NAMES = ("titled", "name", "introduced")
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -89,7 +92,7 @@ HINT = rf"[@0-9=:]|(?=[\p{{Lu}}gsx])(?<!\p{{L}})(?:AKIA|gh[pousr]_|sk-|xox[abp]-
 def _type_of(value: Column) -> Column:
     out = F.lit(None).cast("string")
     # An introduced name is known by what stands before it, so by itself any name may be one.
-    for name, pattern in reversed((PATTERNS | {"introduced": _NAME}).items()):
+    for name, pattern in reversed((PATTERNS | {"introduced": rf"{_NAME}(?:{_BETWEEN}{_NAME})*+"}).items()):
         out = F.when(value.rlike(rf"\A(?:{pattern})\z"), name).otherwise(out)
     return out
 
@@ -105,6 +108,29 @@ def _luhn(value: Column) -> Column:
     return _digit_sum(F.regexp_replace(value, "[ -]", ""), 1) % 10 == 0
 
 
+def _remainder(value: Column) -> Column:
+    """An account number's remainder by 97, letters counting from 10: 1 if its check digits are right."""
+    moved = F.regexp_replace(value, "[ ]", "")
+    moved = F.concat(F.substr(moved, F.lit(5)), F.substr(moved, F.lit(1), F.lit(4)))
+
+    def step(s: Column, c: Column) -> Column:
+        n = F.conv(c, 36, 10).cast("int")
+        return (s * F.when(n > 9, 100).otherwise(10) + n) % 97
+
+    return F.aggregate(F.split(F.upper(moved), ""), F.lit(0), step)
+
+
+def _checked(made: Column) -> Column:
+    """An account number with check digits that are right, in the third and fourth place."""
+    open_ = F.concat(F.substr(made, F.lit(1), F.lit(2)), F.lit("00"), F.substr(made, F.lit(5)))
+    return _once(open_, lambda o: F.concat(F.substr(o, F.lit(1), F.lit(2)), F.lpad((98 - _remainder(o)).cast("string"), 2, "0"), F.substr(o, F.lit(5))))
+
+
+def _hexadecimal(made: Column) -> Column:
+    """Letters beyond f become some up to f, in either case."""
+    return F.translate(made, "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ", "abcdefabcdefabcdefabABCDEFABCDEFABCDEFAB")
+
+
 def _digest(key: str, value: Column, kind: str, draw: int) -> Column:
     """192 hexadecimal digits that depend on the key, the kind, the draw and the value."""
     return F.concat(*[F.sha2(F.concat_ws("\0", F.lit(key), F.lit(kind), F.lit(i), F.lit(str(draw)), value), 256) for i in range(3)])
@@ -169,7 +195,7 @@ def _surrogate(key: str, kind: Column, value: Column, gender: Column, draw: int)
         made = _scrambled(rest, _digest(key, rest, name, draw))
         # Hexadecimal digits stay such.
         hexadecimal = rest.rlike(r"\A(?=.*[0-9])[0-9a-f]+\z") if name == "secret" else F.lit(False)
-        return F.concat(head, F.when(hexadecimal, F.translate(made, "ghijklmnopqrstuvwxyz", "abcdefabcdefabcdefab")).otherwise(made))
+        return F.concat(head, F.when(hexadecimal, _hexadecimal(made)).otherwise(made))
 
     tail = F.regexp_extract(value, r"\.[^.]*\z", 0)
     head = F.concat(F.lit("a" * more), F.substr(value, F.lit(1), F.length(value) - F.length(tail)))
@@ -192,7 +218,9 @@ def _surrogate(key: str, kind: Column, value: Column, gender: Column, draw: int)
         .when(kind == "ip", address)
         .when(kind == "card", F.when(_luhn(value), F.concat(F.substr(card, F.lit(1), F.length(card) - 1), check)).otherwise(card))
         .when(kind == "secret", after(r"(?i:[a-z_-]+?\s*[=:]\s*[\"']?)|AKIA|gh[a-z]_|sk-|xox[abp]-", "secret"))
-        .when(kind == "iban", after(r"[A-Z]{2}", "iban"))
+        # Right check digits stay right.
+        .when(kind == "iban", _once(after(r"[A-Z]{2}", "iban"), lambda made: F.when(_remainder(value) == 1, _checked(made)).otherwise(made)))
+        .when(kind.isin("ipv6", "mac"), _hexadecimal(out))
         .when(kind == "phone", after(r"\+[0-9]{1,3}(?=[ .(-])|\+", "phone"))
         .when(kind == "part", names)
         .otherwise(out)
@@ -231,18 +259,21 @@ def _mapping(values: DataFrame, key: str) -> DataFrame:
     typed = saved(values.repartition(spread, "value").withColumn("kind", _type_of(F.col("value"))))
     named = typed.where(F.col("kind").isin(*NAMES))
     title = F.regexp_extract("value", rf"\A(?:(?:{_ALL_TITLES})\.? (?=\p{{Lu}}))?", 0)
-    words = named.select("value", "kind", title.alias("title")).withColumn("parts", F.split(F.substr("value", F.length("title") + 1), " "))
+    # A value may be a list of names: what stands between parts stays, and a part after anything but a space begins a name.
+    rest = F.substr("value", F.length("title") + 1)
+    words = named.select("value", "kind", title.alias("title"), F.regexp_extract_all(rest, F.lit(_NAME_PART), F.lit(0)).alias("words"), F.split(rest, _NAME_PART, -1).alias("gaps"))
     bare = F.rtrim(F.regexp_replace("title", r"\.? \z", ""))
 
-    def gender_of(first: Column) -> Column:
+    def gender_of(first: Column, titled: Column) -> Column:
         return (
-            F.when(bare.isin(TITLES["m"]) | first.isin(GIVEN["m"]), "m").when(bare.isin(TITLES["f"]) | first.isin(GIVEN["f"]), "f").otherwise("n")
+            F.when((titled & bare.isin(TITLES["m"])) | first.isin(GIVEN["m"]), "m").when((titled & bare.isin(TITLES["f"])) | first.isin(GIVEN["f"]), "f").otherwise("n")
         )
 
-    words = words.withColumn("gender", F.when(F.size("parts") > 1, gender_of(F.col("parts")[0])))
-    parts = words.select("value", "title", F.size("parts").alias("n"), "gender", F.posexplode("parts").alias("i", "part"))
+    zipped = F.transform("words", lambda w, i: F.struct(w.alias("part"), F.get("gaps", i).alias("gap"), F.get("gaps", i + 1).alias("next")))
+    parts = words.select("value", "title", "gaps", F.posexplode(zipped).alias("i", "w")).select("value", "title", "gaps", "i", "w.*")
     # A first name of several is given its gender's ending; surnames have none. One part, one surrogate.
-    by_part = parts.groupBy("part").agg(F.min(F.when((F.col("i") == 0) & (F.col("n") > 1), F.col("gender"))).alias("gender"))
+    first = ((F.col("i") == 0) | (F.col("gap") != " ")) & (F.col("next") == " ")
+    by_part = parts.groupBy("part").agg(F.min(F.when(first, gender_of(F.col("part"), F.col("i") == 0))).alias("gender"))
     other = typed.where(~F.col("kind").isin(*NAMES)).where((F.col("kind") != "card") | _luhn(F.col("value")))
     wanted = other.select("kind", "value", F.lit(None).cast("string").alias("gender")).unionByName(
         by_part.select(F.lit("part").alias("kind"), F.col("part").alias("value"), "gender")
@@ -251,10 +282,9 @@ def _mapping(values: DataFrame, key: str) -> DataFrame:
     pair = "array<struct<value:string,new:string>>"
     plain = made.where("kind <> 'part'").select("value", F.col("surrogate").alias("new"), F.array().cast(pair).alias("parts"))
     new_parts = made.where("kind = 'part'").select(F.col("value").alias("part"), "surrogate")
-    joined = parts.join(new_parts, "part").groupBy("value", "title").agg(F.sort_array(F.collect_list(F.struct("i", "part", "surrogate"))).alias("s"))
-    full = joined.select(
-        "value", F.concat("title", F.array_join(F.col("s.surrogate"), " ")).alias("new"), F.arrays_zip(F.col("s.part").alias("value"), F.col("s.surrogate").alias("new")).cast(pair).alias("parts")
-    )
+    joined = parts.join(new_parts, "part").groupBy("value", "title", "gaps").agg(F.sort_array(F.collect_list(F.struct("i", "part", "surrogate"))).alias("s"))
+    put = F.transform("gaps", lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col("s.surrogate"), i), F.lit(""))))
+    full = joined.select("value", F.concat("title", F.array_join(put, "")).alias("new"), F.arrays_zip(F.col("s.part").alias("value"), F.col("s.surrogate").alias("new")).cast(pair).alias("parts"))
     return saved(plain.unionByName(full))
 
 

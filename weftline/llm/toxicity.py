@@ -77,11 +77,14 @@ _MARK[list(b"!?")] = 1
 _SIGN = np.zeros(256, np.int64)
 _SIGN[list(b"#*$%&@|<>~^_=+")] = 1
 _INSULTS = frozenset(INSULTS)
-_ODD_WORD = re.compile(
-    r"(?<![^\s\"'(])(?=\S*[^\W\d_])(?=\S*[0-9@$!|+€*._-])[\w@$!|+€*.-]*[^\W\d_][0-9@$!|+€*._-]+[\w@$!|+€*.-]*[^\W_]"
-    r"|(?<![^\s\"'(])[0-9@$|+€]+[^\W\d_][\w@$!|+€*.-]+"
-    r"|(?<!\w)[^\W\d_](?:[ .*_-][^\W\d_]){3,}(?!\w)"
-)
+#: Runs of letters, digits and the signs that may stand among them; what a hidden word may begin after; a letter before a
+#: sign; signs before a letter; single letters with gaps.
+_RUN = re.compile(r"[\w@$!|+€*.-]+")
+_OPENS = frozenset("\"'(")
+_LETTER_SIGN = re.compile(r"[^\W\d_][0-9@$!|+€*._-]")
+_SIGN_LETTER = re.compile(r"[0-9@$|+€]+[^\W\d_]")
+_SPACED_OUT = re.compile(r"(?<!\w)[^\W\d_](?:[ .*_-][^\W\d_]){3,}(?!\w)")
+_LONGEST = max(map(len, INSULTS))
 _WILD = re.compile(r"[*]+")
 
 
@@ -93,16 +96,52 @@ def _hash(words: list[str]) -> np.ndarray:
 _HASHES = tuple(map(_hash, (INSULTS, THREATS, SECOND_PERSON)))
 
 
+def _odd_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs with a sign after a letter, up to their last letter or digit, and runs with a letter after signs at the start."""
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        if a and not (text[a - 1].isspace() or text[a - 1] in _OPENS):
+            continue
+        end = b
+        while end > a and not text[end - 1].isalnum():
+            end -= 1
+        first = _LETTER_SIGN.search(text, a, end)
+        if first and first.start() + 2 < end:
+            yield a, end
+        elif (start := _SIGN_LETTER.match(text, a, b)) and start.end() < b:
+            yield a, b
+
+
+def odd_words(text: str) -> Iterator[str]:
+    """Words that may be spelt with digits, signs or gaps, each sign looked at a few times whatever the words' length."""
+    at = 0
+    spaced = _SPACED_OUT.search(text)
+    for a, b in _odd_runs(text):
+        while spaced and spaced.start() < a:
+            if spaced.start() >= at:
+                yield spaced[0]
+                at = spaced.end()
+            spaced = _SPACED_OUT.search(text, max(at, spaced.start() + 1))
+        if a >= at:
+            yield text[a:b]
+            at = b
+    while spaced:
+        if spaced.start() >= at:
+            yield spaced[0]
+            at = spaced.end()
+        spaced = _SPACED_OUT.search(text, max(at, spaced.start() + 1))
+
+
 def hidden_insults(text: str) -> int:
     """Insults spelt with digits, signs or gaps between letters."""
     found = 0
-    for word in _ODD_WORD.findall(text):
+    for word in odd_words(text):
         plain = word.translate(LOOKALIKES)
         joined = re.sub(r"[ .*_-]", "", plain)
         if joined in _INSULTS or re.sub(r"(.)\1+", r"\1", joined) in _INSULTS:
             found += 1
-        elif "*" in plain and (m := re.sub(r"[ ._-]", "", plain)) and len(m) >= 4 and m[0] != "*":
-            pattern = re.compile(_WILD.sub("\0", re.escape(m).replace(r"\*", "*")).replace("\0", r"\w{1,4}"))
+        elif "*" in plain and (m := _WILD.sub("*", re.sub(r"[ ._-]", "", plain))) and 4 <= len(re.sub(r"[ ._-]", "", plain)) and len(m) <= _LONGEST and m[0] != "*":
+            pattern = re.compile(re.escape(m).replace(r"\*", r"\w{1,4}"))
             found += any(pattern.fullmatch(x) for x in INSULTS)
     return found
 
