@@ -1,9 +1,13 @@
 """Search operators, statistics, and state in batch and stream."""
 
+import os
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import increments, search, stats
+from weftline.functions import vectors
+from weftline.operators import increments, metrics, search, stats
 from weftline.plans import ingest, models
 from weftline.streaming import limits
 
@@ -143,6 +147,92 @@ def test_limiter_in_batch_and_stream(spark, tmp_path):
     assert emitted == {e for e, u, _ in EVENTS if e % 3 == u and (e // 3) % 3 == 0}
 
 
+def test_stream_forgets_a_key_after_its_window(spark, tmp_path):
+    rows = [(1, 1, "2024-01-01 00:00:00"), (2, 1, "2024-01-01 00:00:10"), (3, 2, "2024-01-01 00:30:00"), (4, 1, "2024-01-01 02:00:00"), (5, 3, "2024-01-01 06:00:00"), (6, 4, "2024-01-01 12:00:00")]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    for i in range(6):
+        events.where(f"event_id = {i + 1}").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    run = limits.throttled_stream(stream, 1, 300, "1 minute").writeStream.format("memory").queryName("forgets").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").start()
+    run.processAllAvailable()
+    run.stop()
+    assert {r["event_id"]: r["accepted"] for r in spark.table("forgets").collect()} == {r["event_id"]: r["accepted"] for r in limits.throttled(events, 1, 300).collect()}
+    # Only the last event's key is still held.
+    held = spark.read.format("statestore").option("stateVarName", "times").load(f"{tmp_path}/state")
+    assert [r["key"]["user_id"] for r in held.select("key").distinct().collect()] == [4]
+
+
+def test_batch_models_load_once_and_are_checked(spark, tmp_path):
+    loads, sizes = tmp_path / "loads", tmp_path / "sizes"
+
+    def make():
+        with loads.open("a") as out:
+            out.write(f"{os.getpid()}\n")
+
+        def model(texts):
+            with sizes.open("a") as out:
+                out.write(f"{len(texts)}\n")
+            made = np.array([[len(t), 1.0] for t in texts])
+            return made / np.sqrt((made**2).sum(1))[:, None]
+
+        return model
+
+    def broken():
+        raise OSError("no model here")
+
+    rows = spark.createDataFrame([(i, "x" * (i % 7) if i % 10 else None) for i in range(200)], "i long, t string").repartition(4)
+    found = rows.select("i", "t", models.batch_embedder(make, 2)(F.col("t")).alias("v")).collect()
+    assert all(abs(r["v"][0] - len(r["t"] or "") * r["v"][1]) < 1e-5 for r in found)
+    workers = loads.read_text().split()
+    assert len(workers) == len(set(workers)) and max(map(int, sizes.read_text().split())) <= 16
+    assert rows.select(models.batch_embedder(broken, 2, fallback=make)(F.col("t")).alias("v")).where("size(v) = 2").count() == 200
+    for wrong in (models.batch_embedder(broken, 2), models.batch_embedder(make, 3), models.batch_embedder(lambda: lambda ts: [[2.0, 0.0]] * len(ts), 2)):
+        with pytest.raises(Exception, match="no model here|shape|length one"):
+            rows.select(wrong(F.col("t"))).collect()
+    # Pooled and made unit by expressions, the same comes out.
+    pooled = rows.where("t IS NOT NULL").select("t", vectors.l2_normalized(vectors.mean_pooled(F.array(F.array(F.length("t").cast("double"), F.lit(1.0))), 2)).alias("v"), models.batch_embedder(make, 2)(F.col("t")).alias("w"))
+    assert pooled.where(F.abs(vectors.dot(F.col("v"), F.col("w")) - 1) > 1e-5).count() == 0
+    score = models.batch_scorer(lambda: lambda a, b: [float(len(x) - len(y)) for x, y in zip(a, b)])
+    assert {(r["i"], r["s"]) for r in rows.select("i", score(F.col("t"), F.lit("ab")).alias("s")).collect()} == {(i, (i % 7 if i % 10 else 0) - 2.0) for i in range(200)}
+
+
+def test_tries_and_waiting_times(spark, tmp_path):
+    questions = spark.createDataFrame([(f"Q{i}", f"q{i}") for i in range(6)], "qid string, question string")
+    asked, now, slept = [], [0.0], []
+
+    def score(metric, question):
+        """Q0 works at once, Qn fails n times."""
+        asked.append(now[0])
+        return F.when(F.substring(question, 2, 1).cast("int") < len(asked), 1.0).otherwise(F.lit(float("nan")))
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    state = ingest.score_to_the_end(questions, ["m"], score, f"{tmp_path}/t", clock=lambda: now[0], sleep=sleep)
+    assert {(r["qid"], r["score"], r["tries"]) for r in state.collect()} == {("Q0", 1.0, 1), ("Q1", 1.0, 2), ("Q2", 1.0, 3), ("Q3", 1.0, 4), ("Q4", 1.0, 5), ("Q5", None, 5)}
+    assert slept == [10, 20, 40, 80]
+    # Another pass finds nothing to do, a new question is scored alone.
+    again = ingest.tried_scores(questions.unionByName(spark.createDataFrame([("Q9", "q0")], questions.schema)), ["m"], score, f"{tmp_path}/t", now[0])
+    assert again.where("qid = 'Q9'").first()["tries"] == 1 and again.where("qid = 'Q5'").first()["score"] is None
+
+
+def test_assembled_answers(spark):
+    tokens = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 2, "b"), (2, 1, "x"), (1, 10, "c")], "answer_id long, seq long, token string")
+    assert sorted(map(tuple, ingest.assembled(tokens).collect())) == [(1, "abc", 3), (2, "x", 1)]
+
+
+def test_measures_of_answers(spark):
+    contexts = ["The cat sat on the mat. Dogs bark.", "Nothing here.", "Birds fly south in winter."]
+    samples = spark.createDataFrame([("a", "Where sat the cat?", "The cat sat on a mat. Fish swim deep.", "Birds fly in winter. The moon is far.", contexts), ("b", None, "", None, [])], "qid string, question string, answer string, reference string, contexts array<string>")
+    found = {(r["qid"], r["metric"]): r["score"] for r in metrics.measured(samples).collect()}
+    assert found[("a", "faithfulness")] == 0.5 and found[("a", "context_recall")] == 0.5
+    assert found[("a", "context_precision")] == round(1 / 3, 6) and found[("a", "answer_relevancy")] == 0.75
+    assert found[("b", "faithfulness")] is None and found[("b", "answer_correctness")] is None and len(found) == 10
+    relevant = spark.createDataFrame([("q", i, i in (1, 3)) for i in range(1, 5)], "qid string, rank int, relevant boolean")
+    assert abs(metrics.average_precision(relevant).first()["value"] - (1 + 2 / 3) / 2) < 1e-9
+
+
 def test_ingest_stream_resumes(spark, tmp_path):
     rows = spark.createDataFrame([(f"http://h/{i}", f"<h1>T</h1><p>{'word ' * 30}") for i in range(4)], "url string, html string")
     raw, index, stored, state = (f"{tmp_path}/{x}" for x in ("raw", "index", "markdown", "state"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from weftline.operators.chunking import chunks
 from weftline.operators.increments import aligned, pending
 from weftline.sources import pages as sources
 from weftline.sources import sinks
+from weftline.sources.tables import Table
 from weftline.storage import saved
 
 
@@ -100,3 +102,46 @@ def scored_incremental(questions: DataFrame, metrics: list[str], score: Callable
     made = saved(todo.select("qid", "metric", score(F.col("metric"), F.col("question")).alias("score")))
     sinks.append_scores(made, checkpoint_path)
     return sources.json_lines(spark, checkpoint_path, schemas.SCORES).where(sources.usable_score(F.col("score"))).unionByName(made.where(~sources.usable_score(F.col("score"))))
+
+
+TRIES = "qid string, metric string, score double, tries int, not_before double"
+
+
+def tried_scores(questions: DataFrame, metrics: list[str], score: Callable[[Column, Column], Column], path: str, now: float, most_tries: int = 5, wait_s: float = 10) -> DataFrame:
+    """(qid, metric, score, tries, not_before) after one more pass over what is due at now (seconds).
+
+    A null or NaN score is a failed try: after the n-th one the pair waits wait_s * 2^(n-1) seconds, and after most_tries its
+    score stays null. The state is a committed table by qid and metric, so that a pass that stops counts no
+    try; what is scored is scored once.
+    """
+    spark = questions.sparkSession
+    table = Table(spark, path, TRIES, ["qid", "metric"])
+    state = table.read()
+    over = state.where(sources.usable_score(F.col("score")) | (F.col("tries") >= most_tries) | (F.col("not_before") > now))
+    pairs = questions.select("qid", "question", F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
+    due = pairs.join(over.select("qid", "metric"), ["qid", "metric"], "left_anti").join(state.select("qid", "metric", "tries"), ["qid", "metric"], "left")
+    made = due.select("qid", "metric", score(F.col("metric"), F.col("question")).alias("made"), (F.coalesce("tries", F.lit(0)) + 1).alias("tries"))
+    value = F.when(sources.usable_score(F.col("made")), F.col("made"))
+    wait = now + wait_s * F.pow(F.lit(2.0), F.col("tries") - 1)
+    # Saved, as a scorer may give something else when it is asked again.
+    rows = saved(made.select("qid", "metric", value.alias("score"), F.col("tries").cast("int").alias("tries"), F.when(value.isNull(), wait).alias("not_before")))
+    if not rows.isEmpty():
+        table.upsert(rows)
+    return table.read()
+
+
+def score_to_the_end(questions: DataFrame, metrics: list[str], score: Callable[[Column, Column], Column], path: str, most_tries: int = 5, wait_s: float = 10, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """tried_scores() again and again, with the waits between, until no pair is left to be tried."""
+    while True:
+        state = tried_scores(questions, metrics, score, path, clock(), most_tries, wait_s)
+        left = state.where(F.col("score").isNull() & (F.col("tries") < most_tries)).agg(F.min("not_before")).first()[0]
+        if left is None:
+            return state
+        sleep(max(0.0, left - clock()))
+
+
+def assembled(tokens: DataFrame) -> DataFrame:
+    """(answer_id, text, n_tokens): whole answers from (answer_id, seq, token) in order of seq; a token that comes twice counts once.
+    Work is in proportion to the tokens, unlike that of running_text(), whose result grows with their square."""
+    parts = tokens.dropDuplicates(["answer_id", "seq"]).groupBy("answer_id").agg(F.sort_array(F.collect_list(F.struct("seq", "token"))).alias("parts"))
+    return parts.select("answer_id", F.array_join("parts.token", "").alias("text"), F.size("parts").alias("n_tokens"))

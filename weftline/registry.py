@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import citations, text, urls, vectors
-from weftline.operators import chunking, increments, keyword_index, search, stats, vector_index
+from weftline.operators import chunking, increments, keyword_index, metrics, search, stats, vector_index
 from weftline.plans import ingest
 from weftline.sources import pages as page_source
 from weftline.sources import tables
@@ -494,6 +494,43 @@ def eval_worst5(spark, sf_dir):
     return stats.worst(_scores(spark, sf_dir))
 
 
+# Each answer of a conversation is measured against what stood before it as contexts, and the next answer as its reference.
+_SAMPLES = """w AS (SELECT conv_id || '-' || turn AS qid, conv_id, turn, role, lag(text, 1) OVER o AS question, text AS answer, lead(text, 2) OVER o AS reference,
+  list_filter([lag(text, 1) OVER o, lag(text, 2) OVER o, lag(text, 3) OVER o, lag(text, 4) OVER o], lambda x: x IS NOT NULL) AS contexts FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+samples AS (SELECT * FROM w WHERE role = 'assistant')"""
+_WORDS_OF = _TOKENS.format("s")
+
+
+def _sentences(text: str) -> str:
+    """SQL of a list of a text's sentences, each as its distinct tokens."""
+    return f"list_filter(list_transform(regexp_extract_all(coalesce({text}, '') || ' ', '(?s).+?[.!?]\\s+|.+'), lambda s: list_distinct({_WORDS_OF})), lambda t: len(t) > 0)"
+
+
+@query(rf"""WITH {_SAMPLES},
+ctx AS (SELECT qid, i, unnest({_sentences('contexts[i]')}) AS e FROM (SELECT qid, contexts, unnest(range(1, len(contexts) + 1)) AS i FROM samples)),
+claims AS (SELECT qid, 'faithfulness' AS metric, unnest(l) AS s, unnest(range(len(l))) AS n FROM (SELECT qid, {_sentences('answer')} AS l FROM samples)
+ UNION ALL SELECT qid, 'context_recall', unnest(l), unnest(range(len(l))) FROM (SELECT qid, {_sentences('reference')} AS l FROM samples)),
+shared AS (SELECT c.qid, metric, n, len(s) AS size, i, len(list_intersect(s, e)) AS k FROM claims c LEFT JOIN ctx ON c.qid = ctx.qid),
+best AS (SELECT qid, metric, n, size, coalesce(max(k), 0) AS k, arg_max(i, k * 1000 - i) AS i FROM shared GROUP BY ALL),
+ap AS (SELECT x.qid, x.i, coalesce(hit, false) AS hit FROM (SELECT qid, unnest(range(1, len(contexts) + 1)) AS i FROM samples) x
+  LEFT JOIN (SELECT DISTINCT qid, i, true AS hit FROM best WHERE metric = 'context_recall' AND k >= 0.5 * size) b ON x.qid = b.qid AND x.i = b.i),
+pr AS (SELECT qid, hit, sum(hit::INT) OVER o / count(*) OVER o AS p FROM ap WINDOW o AS (PARTITION BY qid ORDER BY i)),
+words AS (SELECT qid, list_distinct({_TOKENS.format("coalesce(question, '')")}) AS q, list_distinct({_TOKENS.format("coalesce(answer, '')")}) AS a, list_distinct({_TOKENS.format("coalesce(reference, '')")}) AS r FROM samples),
+v AS (SELECT qid, metric, avg((k >= 0.5 * size)::INT) AS value FROM best GROUP BY ALL
+ UNION ALL SELECT qid, 'context_precision', coalesce(avg(p) FILTER (hit), 0) FROM pr GROUP BY qid
+ UNION ALL SELECT qid, 'answer_relevancy', CASE WHEN len(q) > 0 THEN len(list_intersect(q, a)) / len(q) END FROM words
+ UNION ALL SELECT qid, 'answer_correctness', CASE WHEN len(a) + len(r) > 0 THEN 2 * len(list_intersect(a, r)) / (len(a) + len(r)) END FROM words)
+SELECT p.qid, p.metric, round(value, 6) AS score FROM (SELECT qid, unnest(['faithfulness', 'answer_relevancy', 'context_precision', 'context_recall', 'answer_correctness']) AS metric FROM samples) p LEFT JOIN v ON p.qid = v.qid AND p.metric = v.metric""")
+def answer_metrics(spark, sf_dir):
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    before = F.array(*[F.lag("text", i).over(order) for i in range(1, 5)])
+    rows = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("qid"), "role", F.lag("text").over(order).alias("question"), F.col("text").alias("answer"), F.lead("text", 2).over(order).alias("reference"), before.alias("contexts")
+    )
+    rows = rows.where("role = 'assistant'").withColumn("contexts", F.filter("contexts", lambda x: x.isNotNull()))
+    return metrics.measured(saved(rows.drop("role")))
+
+
 @query("SELECT event_id, user_id FROM events WHERE user_id IN (3, 7, 20, 41)")
 def access_filter(spark, sf_dir):
     allowed = spark.range(1).select(F.explode(text.id_list(F.lit("3, 7,, 20 ,41"))).alias("user_id"))

@@ -7,12 +7,14 @@ task holds one batch of rows and one session's state, a bounded list of times, w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def admitted(times: list[float], at: float, most: int, window_s: float) -> tuple[list[float], bool, int]:
@@ -99,28 +101,59 @@ def debounced(events: DataFrame, interval_s: float) -> DataFrame:
     return _by_session(events, interval_s, _debounce(interval_s), ["emitted"], EMITTED)
 
 
-def _stream(events: DataFrame, fold: Fold, columns: list[str], schema: str) -> DataFrame:
-    """The same on a stream; a key's state lives on between batches, whose order is that of the source."""
+class _Folding(StatefulProcessor):
+    """Folds a key's events and holds its times; a timer drops them once keep_s have passed since its last event, when they
+    can't tell anything any more."""
 
-    def run(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(groups)).sort_values(["ts", "event_id"])
+    def __init__(self, fold: Fold, columns: list[str], keep_s: float):
+        self.fold, self.columns, self.keep_s = fold, columns, keep_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "at double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = [r[0] for r in self.times.get()]
+        events = pd.concat(list(rows)).sort_values(["at", "event_id"])
         made = []
-        for at in rows["at"].tolist():
-            held, values = fold(held, at)
+        for at in events["at"].tolist():
+            held, values = self.fold(held, at)
             made.append(values)
-        state.update((held,))
-        yield rows[["event_id", "user_id", "ts"]].assign(**{c: [v[i] for v in made] for i, c in enumerate(columns)})
+        if held:
+            self.times.put([(at,) for at in held])
+        else:
+            self.times.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(math.ceil((events["at"].iloc[-1] + self.keep_s) * 1000))
+        yield events[["event_id", "user_id", "ts"]].assign(**{c: [v[i] for v in made] for i, c in enumerate(self.columns)})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that lists and timers need.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-    picked = events.select("event_id", "user_id", "ts", _seconds(events).alias("at"))
-    return picked.groupBy("user_id").applyInPandasWithState(run, schema, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+def _stream(events: DataFrame, fold: Fold, columns: list[str], schema: str, keep_s: float, delay: str) -> DataFrame:
+    """The same on a stream; a key's state lives on between batches until keep_s after its last event. Sets the
+    session's state store to PROVIDER."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    picked = events.select("event_id", "user_id", "ts", _seconds(events).alias("at")).withColumn("seen", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")))
+    return picked.withWatermark("seen", delay).groupBy("user_id").transformWithStateInPandas(_Folding(fold, columns, keep_s), schema, "Append", "EventTime")
 
 
-def throttled_stream(events: DataFrame, most: int = 5, window_s: float = 60) -> DataFrame:
-    """throttled() on a stream; a batch's events of one key must fit a task."""
-    return _stream(events, _throttle(most, window_s), ["accepted", "wait_s"], RESULT)
+def throttled_stream(events: DataFrame, most: int = 5, window_s: float = 60, delay: str = "10 minutes") -> DataFrame:
+    """throttled() on a stream of events in order of time; a batch's events of one key must fit a task. Events that come later than
+    delay after the latest one are left out, and a key is forgotten when that is certain to be over for its last window."""
+    return _stream(events, _throttle(most, window_s), ["accepted", "wait_s"], RESULT, window_s, delay)
 
 
-def debounced_stream(events: DataFrame, interval_s: float) -> DataFrame:
-    """debounced() on a stream; a batch's events of one key must fit a task."""
-    return _stream(events, _debounce(interval_s), ["emitted"], EMITTED)
+def debounced_stream(events: DataFrame, interval_s: float, delay: str = "10 minutes") -> DataFrame:
+    """debounced() on a stream, likewise."""
+    return _stream(events, _debounce(interval_s), ["emitted"], EMITTED, interval_s, delay)
