@@ -88,6 +88,15 @@ def inverse_frequency(n_docs, df):
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
+def changed_frequencies(df: DataFrame, before: DataFrame, after: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """(bucket, df) after a change, from (bucket, df) and the changed documents as they were and as they are: a document that is
+    new isn't in before, one that is deleted isn't in after. Only changed texts are tokenised; equal to counting all anew."""
+    parts = [sparse.postings(rows.select(F.col(key).alias("key"), F.col(text).alias("t")), "key", "t").select("bucket", F.lit(sign).cast("long").alias("df")) for rows, sign in ((after, 1), (before, -1))]
+    summed = parts[0].unionByName(parts[1]).groupBy("bucket").agg(F.sum("df").alias("df"))
+    merged = df.select("bucket", "df").unionByName(summed).groupBy("bucket").agg(F.sum("df").alias("df"))
+    return merged.where(F.col("df") > 0)
+
+
 def build(docs: DataFrame, path: str, key: str = "key", text: str = "text", wanted: np.ndarray | None = None) -> KeywordIndex:
     """Writes the index of docs to a folder. wanted: a flag for each bucket, where only some will be asked for.
 

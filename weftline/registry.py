@@ -87,6 +87,18 @@ def sparse_postings_idf(spark, sf_dir):
     return weights.select("bucket", "df", F.round("idf", 6).alias("idf"))
 
 
+# A quarter of the documents comes, one changes and one goes after the first count.
+@query(f"""WITH documents AS (SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'altogether new ' || source ELSE text END AS text FROM documents WHERE doc_id % 4 <> 3), {_SPARSE}
+SELECT bucket::INT AS bucket, df FROM idf""")
+def frequency_updates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    kept = tables.Table(spark, f"{session_dir(spark)}/{uuid.uuid4().hex}", "bucket int, df long", ["bucket"])
+    kept.replace(search.postings(docs.where("doc_id % 4 <> 1"), "doc_id", "text").groupBy("bucket").agg(F.count("*").alias("df")))
+    new = docs.where("doc_id % 4 in (1, 2)").withColumn("text", F.when(F.col("doc_id") % 4 == 2, F.concat(F.lit("altogether new "), "source")).otherwise(F.col("text")))
+    kept.replace(keyword_index.changed_frequencies(kept.read(), docs.where("doc_id % 4 in (2, 3)"), new, "doc_id"))
+    return kept.read()
+
+
 def _keyword(spark, sf_dir, k):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
