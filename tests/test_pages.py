@@ -50,11 +50,13 @@ MARKDOWN = [
     ("<ol><li>a<ul><li>in</ul><li>b</ol>", "1. a\n  - in\n2. b"),
     ("<pre>x\n\n  y &lt;</pre>", "```python\nx\n\n  y <\n```"),
     ("<pre><code class='language-cpp'>a</code></pre>", "```cpp\na\n```"),
-    ("<div class='admonition warning'><p>Hot.</p><p>Very.</p></div>", "> **Warning**\n> Hot.\n> Very."),
+    ("<div class='admonition warning'><p>Hot.</p><p>Very.</p></div>", "> **Warning**\n> Hot.\n>\n> Very."),
+    ("<div class='admonition tip'><p class='admonition-title'>Do</p><p>a</p><ul><li>x</li><li>y</li></ul><p>b</p></div><p>c</p>", "> **Do**\n> a\n>\n> - x\n> - y\n>\n> b\n\nc"),
     ("<table><tr><th>A<th>B<tr><td><td>2</table>", "| A | B |\n| --- | --- |\n|  | 2 |"),
     ("<p>&#8364; &#x41; &amp;lt; &copy;&unknown;</p>", "€ A &lt; ©&unknown;"),
     ("<script>var x = '<p>no</p>'</script><style>p{}</style><p>yes</p><svg><text>no</text></svg>", "yes"),
     ("<blockquote><p>said</p></blockquote>", "> said"),
+    ("<ul><li>a<ul><li>b</ul></ul><ol><li>c</ol><ul><li>d</ul>", "- a\n  - b\n\n1. c\n\n- d"),
 ]
 
 

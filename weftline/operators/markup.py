@@ -158,6 +158,7 @@ def blocks(each: DataFrame) -> DataFrame:
             "item": F.when(F.col("n_list") > 0, latest(name == "li", F.col("pos"))),
             "row": F.when(F.col("n_table") > 0, latest(name == "tr", F.col("pos"))),
             "cell": F.when(F.col("n_table") > 0, latest(name.isin("td", "th"), F.col("pos"))),
+            "of_list": F.when(F.col("n_list") > 0, latest((F.col("n_list") == 1) & (F.col("step") == 1) & name.isin("ul", "ol"), F.col("pos"))),
             "of_table": F.when(F.col("n_table") > 0, latest(name == "table", F.col("pos"))),
             "of_note": F.when(F.col("n_note") > 0, latest(F.col("el.note").isNotNull(), F.struct("pos", F.col("el.note").alias("kind")))),
             "of_api": F.when(F.col("n_api") > 0, latest((F.col("n_api") == 1) & F.col("el.api").isNotNull(), F.struct("pos", F.col("el.api").alias("kind")))),
@@ -180,7 +181,7 @@ def blocks(each: DataFrame) -> DataFrame:
     found = rows.groupBy("page", "url", "block").agg(
         F.min("pos").alias("pos"), F.min_by(head, "pos").alias("head"), F.sort_array(F.collect_list(at)).alias("pieces"), F.max("n_pre").alias("pre"), F.max("n_sig").alias("sig"),
         F.max("n_blockquote").alias("quote"), F.max("n_list").alias("depth"), F.min("n_api").alias("n_api"),
-        *[F.max_by(c, "pos").alias(c) for c in ("item", "row", "cell", "of_table", "of_note", "in_section", "in_highlight", "in_list")], F.max("of_api").alias("of_api"),
+        *[F.max_by(c, "pos").alias(c) for c in ("item", "row", "cell", "of_list", "of_table", "of_note", "in_section", "in_highlight", "in_list")], F.max("of_api").alias("of_api"),
         F.min_by("a_href", F.when(link, F.col("pos"))).alias("href"), F.min_by(code, F.when((name == "code") & opened, F.col("pos"))).alias("language"),
     )
     found = found.withColumn("body", F.array_join("pieces.piece", "")).withColumn("plain", text.strip(F.regexp_replace(F.array_join("pieces.plain", ""), r"\s+", " ")))
@@ -229,18 +230,24 @@ def _joined(found: DataFrame) -> DataFrame:
     unit = F.when(F.col("row").isNotNull(), -F.col("row") - 1).otherwise(F.col("block"))
     cells = found.groupBy("page", "url", unit.alias("unit"), "cell").agg(
         F.min("pos").alias("pos"), F.array_join(F.sort_array(F.collect_list(F.struct("block", "written")))["written"], " ").alias("written"), F.min("row").alias("row"),
-        F.min("of_table").alias("of_table"), F.min("of_note.pos").alias("note"), F.min(F.when(F.col("item").isNotNull(), 1)).alias("listed"),
+        F.min("of_table").alias("of_table"), F.min("of_note.pos").alias("note"), F.min(F.when(F.col("item").isNotNull(), F.col("of_list"))).alias("listed"),
+        F.max(F.array_contains("head.cls", "admonition-title")).alias("label"),
     )
     rows = cells.groupBy("page", "url", "unit").agg(
-        F.min("pos").alias("pos"), F.sort_array(F.collect_list(F.struct("pos", "written")))["written"].alias("parts"), F.min("row").alias("row"), F.min("of_table").alias("of_table"), F.min("note").alias("note"), F.min("listed").alias("listed")
+        F.min("pos").alias("pos"), F.sort_array(F.collect_list(F.struct("pos", "written")))["written"].alias("parts"), F.min("row").alias("row"), F.min("of_table").alias("of_table"), F.min("note").alias("note"), F.min("listed").alias("listed"), F.max("label").alias("label")
     )
     order = Window.partitionBy("page").orderBy("pos")
     head = F.row_number().over(Window.partitionBy("page", "of_table").orderBy("pos")) == 1
     line = F.concat(F.lit("| "), F.array_join("parts", " | "), F.lit(" |"))
     rule = F.concat(F.lit("\n| "), F.array_join(F.transform("parts", lambda _: F.lit("---")), " | "), F.lit(" |"))
     rows = rows.withColumn("written", F.when(F.col("row").isNull(), F.array_join("parts", " ")).otherwise(F.concat(line, F.when(head, rule).otherwise(""))))
-    group = F.coalesce(F.concat(F.lit("n"), "note"), F.concat(F.lit("t"), "of_table"), F.when(F.col("listed") == 1, "l"))
-    rows = rows.withColumn("group", group).withColumn("between", F.when(F.col("group") == F.lag("group").over(order), "\n").otherwise("\n\n"))
+    # Rows of a table and items of a list follow each other, as the first block of a note does its label; its others are set apart.
+    group = F.coalesce(F.concat(F.lit("t"), "of_table"), F.concat(F.lit("l"), "listed"))
+    rows = rows.withColumn("group", group)
+    same = lambda c: F.coalesce(F.col(c) == F.lag(c).over(order), F.lit(False))
+    in_note, close = same("note"), same("group") & F.equal_null("note", F.lag("note").over(order))
+    between = F.when(close | (in_note & F.lag("label").over(order)), "\n").when(in_note, "\n>\n").otherwise("\n\n")
+    rows = rows.withColumn("between", between)
     parts = F.sort_array(F.collect_list(F.struct("pos", F.concat("between", "written").alias("part"))))
     return rows.groupBy("page", "url").agg(text.tidy_lines(F.array_join(parts["part"], "")).alias("markdown"))
 

@@ -280,6 +280,110 @@ def saved_pages_by_url(spark, sf_dir):
     return page_source.saved_pages(spark, f"{folder}/index", f"{folder}/markdown").select("url", "title", "markdown")
 
 
+# A page as a documentation generator writes it, for each row of pages; {n} is its number.
+_SPHINX = (
+    '<html><head><title>Mod{n} — PyTorch 2 documentation</title></head><body><nav>menu</nav><div class="bd-toc">toc</div><article class="bd-article" role="main"><section id="module-pkg.m{n}">'
+    '<h1>pkg.m{n}<a class="headerlink" href="#">#</a></h1><p>Intro {n} with <code>x{n}</code> and <strong>bold</strong> text.</p><section id="part-{n}"><h2>Part {n}</h2><dl class="py function">'
+    '<dt class="sig sig-object" id="pkg.m{n}.run">pkg.m{n}.run(a,b)<a class="reference external" href="https://github.com/o/r/blob/m{n}.py">[source]</a></dt><dd><p>Runs {n} times.</p></dd></dl>'
+    '<div class="highlight-bash"><pre>pip install m{n}</pre></div><pre><code class="language-cpp">int x = {n} &lt; 2;</code></pre><div class="admonition note"><p class="admonition-title">Note</p><p>Mind {n}.</p><p>Twice.</p></div>'
+    '<div class="versionadded"><p>New in {n}.</p></div><ul><li>one {n}</li><li>two</li></ul><ol><li>first</li><li>second</li></ol><table><tr><th>A</th><th>B</th></tr><tr><td>{n}</td><td>2</td></tr></table>'
+    '<dl class="field-list"><dt class="field-odd">Returns:</dt><dd><p>Meaning {n}.</p></dd></dl><h3>Deep {n}</h3><p>End &eacute;.</p></section></section></article></body></html>'
+)
+_SPHINX_MARKDOWN = """<!-- section: module-pkg.m{n} -->
+
+# pkg.m{n}
+
+Intro {n} with `x{n}` and **bold** text.
+
+<!-- section: part-{n} -->
+
+## Part {n}
+
+<!-- api: pkg.m{n}.run -->
+
+```python
+pkg.m{n}.run(a, b)
+```
+
+Runs {n} times.
+
+```bash
+pip install m{n}
+```
+
+```cpp
+int x = {n} < 2;
+```
+
+> **Note**
+> Mind {n}.
+>
+> Twice.
+
+> **Version added**
+> New in {n}.
+
+- one {n}
+- two
+
+1. first
+2. second
+
+| A | B |
+| --- | --- |
+| {n} | 2 |
+
+**Returns**
+
+Meaning {n}.
+
+<!-- section: part-{n} -->
+
+### Deep {n}
+
+End é."""
+
+
+@query(f"""SELECT page_id, 'pkg.m' || page_id AS title, 'pkg.m' || page_id AS module, replace('{_SPHINX_MARKDOWN}', '{{n}}', page_id::VARCHAR) AS markdown, ['pkg.m' || page_id || '.run'] AS symbols,
+  ['#module-pkg.m' || page_id, '#part-' || page_id, '#pkg.m' || page_id || '.run'] AS anchors, ['heading', 'heading', 'function'] AS kinds, ['pkg.m' || page_id, 'Part ' || page_id, 'pkg.m' || page_id || '.run(a, b)'] AS labels,
+  [1, 2, 0] AS levels, ['', '', 'https://github.com/o/r/blob/m' || page_id || '.py'] AS source_urls,
+  ['pkg.m' || page_id, 'pkg', 'm' || page_id, 'Part', 'pkg.m' || page_id || '.run', 'run'] AS keywords FROM pages""")
+def sphinx_pages(spark, sf_dir):
+    number = F.col("page_id").cast("string")
+    raw = table(spark, sf_dir, "pages").select(number.alias("url"), F.replace(F.lit(_SPHINX), F.lit("{n}"), number).alias("html"))
+    found = page_source.parsed(raw)
+    of = lambda name: F.transform("markers.sections", lambda s: s[name])
+    return found.select(
+        F.col("url").cast("long").alias("page_id"), "title", "markers.module", "markdown", "markers.symbols", of("anchor").alias("anchors"), of("kind").alias("kinds"), of("label").alias("labels"),
+        of("level").alias("levels"), of("source_url").alias("source_urls"), "markers.keywords",
+    )
+
+
+@query("""WITH d AS (SELECT page_id, url, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages)
+SELECT page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT % 4 + 1), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM d""")
+def point_ids(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.point_id(F.col("url")).alias("point_id"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace('f(' || left(text, 40) || ',b) [source]#', '\s*(?:\[source\]|[#¶])+\s*$', ''), ',([^\s])', ', \1', 'g') AS symbol,
+  regexp_replace(left(text, 60) || ' #¶', '[\s#¶]+$', '') AS heading, list_filter(regexp_extract_all(left(text, 80), '[a-zA-Z_][a-zA-Z0-9_]*'), lambda w: length(w) >= 3) AS words,
+  trim(regexp_replace(regexp_replace(left(text, 80) || chr(10) || chr(10) || chr(10) || 'x  ' || chr(10) || 'y ', '\n{3,}', chr(10) || chr(10), 'g'), '[ \t\r]+(\n|$)', '\1', 'g')) AS tidy FROM documents""")
+def cleaned_texts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    head = lambda n: F.substring("text", 1, n)
+    return rows.select(
+        "doc_id", text.symbol_text(F.concat(F.lit("f("), head(40), F.lit(",b) [source]#"))).alias("symbol"), text.heading_text(F.concat(head(60), F.lit(" #¶"))).alias("heading"),
+        text.heading_words(head(80)).alias("words"), text.tidy_lines(F.concat(head(80), F.lit("\n\n\nx  \ny "))).alias("tidy"),
+    )
+
+
+@query("""WITH t AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM t GROUP BY ALL)
+SELECT label, list(round(x, 6) ORDER BY i) AS mean FROM m GROUP BY label""")
+def mean_pooled_vectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list("embedding")).alias("tokens"))
+    return rows.select("label", F.transform(vectors.mean_pooled(F.col("tokens"), 64), lambda x: F.round(x, 6)).alias("mean"))
+
+
 _PARAGRAPHS = "list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x) <> '')"
 
 
@@ -454,6 +558,16 @@ def chat_answers(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", citations.chat_answer(_formatted(), sources).alias("html"))
 
 
+@query(rf"""WITH {_CITED}, s AS (SELECT conv_id, turn, text, unnest(CASE WHEN len(cited) = 0 THEN [NULL] ELSE cited END) AS n, unnest(range(greatest(len(cited), 1))) AS i FROM c JOIN (SELECT conv_id, turn, text FROM conversations) USING (conv_id, turn))
+SELECT conv_id, turn, list('[' || n || '] ' || CASE WHEN n % 2 = 1 THEN 'Title ' || n ELSE 'sym' || n END ORDER BY i) FILTER (n IS NOT NULL) AS labels,
+  '❌ <b>Something went wrong.</b>' || chr(10) || chr(10) || '<code>' || {_ESCAPED.format("left(any_value(text) || '<&>', 300)")} || '</code>' || chr(10) || chr(10) || 'Please try again or rephrase your question.' AS error,
+  'Q' || CASE WHEN turn < 10 THEN '0' ELSE '' END || turn AS qid FROM s GROUP BY conv_id, turn""")
+def chat_pieces(spark, sf_dir):
+    buttons = citations.source_buttons(citations.cited_sources(_answer(), _docs()))
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.transform(buttons, lambda b: b["label"]).alias("labels"), citations.error_text(F.concat("text", F.lit("<&>"))).alias("error"), text.question_id(F.col("turn")).alias("qid"))
+
+
 @query(f"""WITH {_KEYWORD} SELECT query_id, string_agg('[' || rank || '] **' || source || '** (doc:' || key || ')' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
 FROM kr JOIN documents ON key = doc_id WHERE rank <= 6 GROUP BY query_id""")
 def format_context(spark, sf_dir):
