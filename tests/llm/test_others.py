@@ -245,4 +245,4 @@ def test_pipeline_of_empty_and_odd_tables(spark, documents, tmp_path):
 
 
 def test_registered_once_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
