@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weftline.functions import vectors
 from weftline.operators import increments, metrics, search, stats
 from weftline.plans import ingest, models
-from weftline.streaming import limits
+from weftline.streaming import assembly, limits
 
 
 def hits(spark, rows):
@@ -222,6 +222,24 @@ def test_assembled_answers(spark):
     assert sorted(map(tuple, ingest.assembled(tokens).collect())) == [(1, "abc", 3), (2, "x", 1)]
 
 
+def test_answers_assembled_on_a_stream(spark, tmp_path):
+    rows = [
+        (0, "a", 1, "b", False, 1), (0, "a", 0, "a", False, 0), (0, "b", 0, "x", False, 2),  # a's tokens out of order, b never ends
+        (1, "a", 1, "other", False, 3), (1, "a", 3, "d", True, 4),  # one again, the last before the one in front
+        (2, "a", 2, "c", False, 5), (2, "c", 0, None, True, 6),
+        (3, "d", 0, "y", False, 500), (4, "e", 0, "z", True, 1000),
+    ]
+    tokens = spark.createDataFrame(rows, "file int, answer_id string, seq int, token string, last boolean, s int").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000))
+    for i in range(5):
+        tokens.where(F.col("file") == i).drop("file", "s").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(tokens.drop("file", "s").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    run = assembly.assembled_stream(stream, 60, "10 seconds").writeStream.format("memory").queryName("assembled").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").start()
+    run.processAllAvailable()
+    run.stop()
+    found = sorted(map(tuple, spark.table("assembled").collect()))
+    assert found == [("a", "abcd", 4, True), ("b", "x", 1, False), ("c", "", 1, True), ("d", "y", 1, False), ("e", "z", 1, True)]
+
+
 def test_measures_of_answers(spark):
     contexts = ["The cat sat on the mat. Dogs bark.", "Nothing here.", "Birds fly south in winter."]
     samples = spark.createDataFrame([("a", "Where sat the cat?", "The cat sat on a mat. Fish swim deep.", "Birds fly in winter. The moon is far.", contexts), ("b", None, "", None, [])], "qid string, question string, answer string, reference string, contexts array<string>")
