@@ -1,4 +1,6 @@
+import itertools
 import random
+import re
 import time
 
 import pytest
@@ -45,13 +47,79 @@ def test_marks_are_not_read_when_scoring():
 
 
 def test_region_equals_brute_force():
+    """All ways of keeping (1), cutting (0) or leaving out items; a cut is a run of 0 between kept items."""
     rng = random.Random(1)
     for _ in range(300):
-        scores = [float(rng.randrange(-4, 5)) for _ in range(rng.randrange(0, 14))]
-        first, last = extraction.best_region(scores)
-        sums = [(sum(scores[a:b]), -b, -a) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
-        best = max([s for s in sums if s[0] > 0], default=(0.0, 0, 0))
-        assert (first, last) == (-best[2], -best[1])
+        scores = [float(rng.randrange(-4, 5)) for _ in range(rng.randrange(0, 9))]
+        cost, share = rng.choice([(0.5, 0.25), (2.0, 0.125), (100.0, 0.0)])
+        sums = [0.0]
+        for a in range(len(scores)):
+            for b in range(a + 1, len(scores) + 1):
+                for inner in itertools.product([1, 0], repeat=max(b - a - 2, 0)):
+                    keep = [1, *inner, 1][: b - a]
+                    cuts = sum(x > y for x, y in itertools.pairwise(keep))
+                    sums.append(sum(s if k else share * min(s, 0) for s, k in zip(scores[a:b], keep, strict=True)) - cost * cuts)
+        parts = extraction.best_region(scores, cost, share)
+        gaps = [(y, z) for (_, y), (z, _) in itertools.pairwise(parts)]
+        assert all(y < z for y, z in gaps)
+        total = sum(sum(scores[x:y]) for x, y in parts) + sum(share * min(s, 0) for y, z in gaps for s in scores[y:z]) - cost * len(gaps)
+        assert total == max(sums) and bool(parts) == (max(sums) > 0)
+        if cost == 100.0:
+            assert len(parts) <= 1
+
+
+# What surrounds an article without a telling class, id, role or element, and what it is.
+AROUND = [
+    f'<section id="responses"><h3>3 thoughts on the matter</h3><p>{COMMENT}</p><p>{COMMENT}</p></section>',
+    f"<div><h4>Comments (2)</h4><div><p>{COMMENT}</p></div><div><p>{COMMENT}</p></div></div>",
+    '<div class="site-end"><p>All rights reserved by the Example Publishing Company and its many partners.</p></div>',
+    "<div><p>We use cookies to make this site work and to learn how it is used by all of you.</p></div>",
+    '<div id="right"><h3>Most read</h3><ul><li><a href=a>One story of some words</a></li><li><a href=b>And another story</a></li></ul></div>',
+    "<div><p>Subscribe to our weekly newsletter for more of this kind.</p></div>",
+]
+# Paragraphs of an article whose class or size could be taken for boilerplate's.
+INSIDE = [
+    f'<div class="social-history"><p>{BODY}</p></div>',
+    f'<div class="alert-levels"><p>{BODY}</p></div>',
+    "<p>By <a href=x>Ann Lee</a></p>",
+    "<h2>Comments on the theory of colours and light</h2>",
+    "<h2>Further reading of old maps and what they tell</h2>",
+]
+
+
+def plain(html):
+    return " ".join(re.sub(r"<[^>]*>", " ", html).split())
+
+
+@pytest.mark.parametrize("before", [False, True])
+@pytest.mark.parametrize("around", AROUND)
+def test_unmarked_boilerplate_goes(around, before):
+    parts = [f"<h1>Title</h1><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p>", around]
+    if before and "thoughts" not in around and "Comments" not in around:
+        parts.reverse()
+    assert Page(f"<div>{parts[0]}{parts[1]}</div>").main_text(PRIOR_WEIGHTS) == f"Title {BODY} {BODY} {BODY}"
+
+
+@pytest.mark.parametrize("inside", INSIDE)
+@pytest.mark.parametrize("last", [False, True])
+def test_article_stays_whole(inside, last):
+    page = f"<nav><a href=x>m</a></nav><div><h1>T</h1><p>{BODY}</p>{inside}{'' if last else f'<p>{BODY}</p>'}</div><footer>f</footer>"
+    assert Page(page).main_text(PRIOR_WEIGHTS) == " ".join(["T", BODY, plain(inside)] + [BODY] * (not last))
+
+
+def test_the_scan_decides():
+    """Taking the whole page for the region, or never cutting, gives other texts; a long advert costs more than
+    a short one, so that a few words behind it don't count."""
+    advert = "<div class=ad>" + "buy these fine goods here " * 12 + "</div>"
+    page = f"<p>{BODY}</p>{{}}<p>{{}}</p>"
+    assert Page(page.format(advert, "Short end.")).main_text(PRIOR_WEIGHTS) == BODY
+    assert Page(page.format("<div class=ad>buy</div>", "Short end.")).main_text(PRIOR_WEIGHTS) == f"{BODY} Short end."
+    assert Page(page.format(advert, " ".join([BODY] * 5))).main_text(PRIOR_WEIGHTS) == " ".join([BODY] * 6)
+    parsed = Page(f"<nav><a href=x>a b c</a></nav><p>{BODY}</p><div class=ad>buy</div><p>{BODY}</p>")
+    parsed.measure()
+    scores = parsed.scores(PRIOR_WEIGHTS, False)
+    assert len(extraction.best_region(scores)) == 2 and len(extraction.best_region(scores, 1000.0)) == 1
+    assert extraction.best_region(scores)[0][0] > 0
 
 
 def test_weights_are_learned_from_marked_pages(spark):

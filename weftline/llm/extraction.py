@@ -1,12 +1,15 @@
 """Main text of HTML pages by the maximum-scoring subsequence (operator 1).
 
 A page is a sequence of words and tags. Each word scores by its context: the elements and the words of
-the class, id and role attributes around it, and the size and share of links of the block that it
-stands in; each tag costs by its name. The weights are log odds, counted over labelled pages (those
-whose main text an ``article`` or ``main`` element marks) on top of a stated prior. One linear scan
-finds the contiguous region with the highest total; its text, without the elements whose context is
-that of boilerplate (an advert amid an article), is the result. The marks serve as labels and are
-not read when a page is scored, but for one thing: a header within a section or article is not the page's.
+the class, id and role attributes around it, the size and share of links of the block that it stands
+in, phrases such as "all rights reserved" in a part of the page apart from most of its words, and the
+heading of such a part; each tag costs by its name. The weights are log odds, counted over labelled pages (those whose
+main text an ``article`` or ``main`` element marks) on top of a stated prior. Nothing is left out before
+the scan: one linear scan finds the contiguous region with the highest total, and by the same rule what is
+better cut from it. A cut costs a fixed amount and a share of what the words cut would have cost, so that a
+short advert doesn't part an article and what stands behind a long one must be worth it. The marks serve as
+labels and are not read when a page is scored, but for one thing: a header within a section or article is
+not the page's.
 """
 
 from __future__ import annotations
@@ -67,12 +70,34 @@ OUTSIDE_WORDS = {
 DOUBTFUL_WORDS = {"header", "masthead", "search", "discussion", "share", "sharing"}
 # In "has-sidebar" or "no-ads" the second word doesn't say what the element is.
 TURNING = {"has", "with", "no", "not", "without", "is"}
+# Phrases of boilerplate; these open or fill a short block of their own.
+HEADINGS = {
+    "comments": r"\d* ?(?:reader |user )?(?:comments?|replies|responses)(?: \(?\d+\)?)?:?$|(?:\d+|one) (?:comments?|thoughts?|responses?|repl(?:y|ies)) (?:on|to)\b|(?:leave|post|add|write) (?:a|your) (?:comment|reply)\b|join the (?:discussion|conversation)\b",
+    "more": r"(?:most|also|recommended|popular|trending|related|latest|recent|further|more) (?:read|popular|viewed|shared|stories|articles|posts|news|reading|from|links|topics)\b.{0,40}$|you (?:may|might) (?:also )?(?:like|enjoy)\b|read (?:next|also|more)\b.{0,40}$|(?:related|popular|trending)$",
+}
+PHRASES = {
+    "rights": r"all rights reserved|(?:^|\s)(?:©|\(c\)|copyright) ",
+    "subscribe": r"^(?:subscribe|sign up|log in|follow us|share this|share on|join our)\b|(?:our|free|weekly|daily) newsletter",
+    "consent": r"\b(?:uses?|accept) (?:all )?cookies|cookie policy|privacy policy|terms of (?:use|service)",
+    "advert": r"^(?:advertisement|sponsored|advertising)\b|^(?:buy|order|shop) now\b",
+}
+# Words that say where in a page something is or what it is made of, not what it is about.
+STRUCTURE = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "column", "container", "content",
+    "entry", "footer", "form", "group", "head", "header", "heading", "icon", "icons", "inner", "item", "items",
+    "label", "law", "left", "link", "links", "list", "main", "message", "middle", "outer", "page", "panel", "policy", "post",
+    "posts", "primary", "region", "right", "row", "secondary", "section", "site", "slot", "stories", "text", "thread", "title",
+    "top", "unit", "wrap", "wrapper", "zone",
+}
 PRIOR = {
+    **{("heading", x): (40.0, 0.0) for x in HEADINGS},
+    **{("phrase", x): (40.0, 0.0) for x in PHRASES},
     **{("element", x): (40.0, 0.0) for x in OUTSIDE_ELEMENTS},
     **{("element", x): (1.0, 8.0) for x in INSIDE_ELEMENTS},
     ("element", "header"): (40.0, 0.0),
     ("element", "inner header"): (1.0, 1.0),
     **{("word", x): (40.0, 0.0) for x in OUTSIDE_WORDS},
+    **{("mixed", x): (3.0, 0.5) for x in OUTSIDE_WORDS},
     **{("word", x): (3.0, 0.0) for x in DOUBTFUL_WORDS},
     ("links", "most"): (8.0, 1.0),
     ("links", "some"): (1.0, 1.0),
@@ -83,10 +108,15 @@ PRIOR = {
     ("size", "more"): (1.0, 6.0),
 }
 
+#: Phrases are looked for in blocks of so many words at most; a heading has fewer.
+PHRASE_WORDS, HEADING_WORDS = 40, 8
+
 #: Bounds of weights: of a context for and against, of a block's size and links, and of a tag's cost. A
 #: plain word outweighs the tags of a paragraph, so that short paragraphs stay.
-MOST_FOR, MOST_AGAINST, MOST_BLOCK = 1.5, 4.0, 0.75
-LEAST_COST, MOST_COST = 0.01, 0.5
+MOST_FOR, MOST_AGAINST, MOST_BLOCK = 1.5, 4.0, 0.6
+LEAST_COST, MOST_COST = 0.01, 0.15
+#: What a cut costs at least, and its share of what the words cut from the region would cost there.
+CUT_COST, CUT_SHARE = 1.0, 0.02
 #: An element with so much of a page's words is no boilerplate if what else there is has under this share of its words.
 WRAPPER_SHARE, LITTLE_ELSE = 0.5, 0.1
 
@@ -103,19 +133,32 @@ _COMMENT_END = re.compile(r"--!?>")
 _NAMING = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_HEADINGS = [(("heading", name), re.compile(x, re.I)) for name, x in HEADINGS.items()]
+_PHRASES = [(("phrase", name), re.compile(x, re.I)) for name, x in PHRASES.items()]
 
 
 @lru_cache(maxsize=50_000)
 def _naming_words(values: str) -> tuple[Feature, ...]:
-    """The words of class, id and role values; names with a turning word have none."""
+    """The words of class, id and role values; names with a turning word have none. A word of boilerplate
+    in a name with words of content ("social-history") is another feature, as it may be the matter."""
     out: dict[Feature, None] = {}
     for part in html_lib.unescape(values).split():
         words = _WORD.findall(_HUMP.sub("-", part).lower())
         if TURNING.isdisjoint(words):
-            out.update(dict.fromkeys(("word", w) for w in words))
+            mixed = any(len(w) > 2 and w not in OUTSIDE_WORDS and w not in DOUBTFUL_WORDS and w not in STRUCTURE for w in words)
+            out.update(dict.fromkeys(("mixed" if mixed and w in OUTSIDE_WORDS else "word", w) for w in words))
     return tuple(out)
 
 
+def _said(text: str, n: int) -> tuple[Feature, ...]:
+    """The phrases of boilerplate in a block of n words."""
+    short = " ".join(text.split())
+    out = tuple(f for f, x in _PHRASES if x.search(short))
+    if n <= HEADING_WORDS:
+        out += tuple(f for f, x in _HEADINGS if x.match(short))
+    return out
+
+
 def _features(name: str, attributes: str, within: bool) -> tuple[Feature, ...]:
     """What an element (within a section or not) says about the words in it."""
     own = () if name in PLAIN else (("element", f"inner {name}" if within and name == "header" else name),)
@@ -136,7 +179,7 @@ class Page:
 
     def __init__(self, source: str):
         self.items: list[tuple[int, int, str | None, str]] = []
-        self.parents, self.features, self.in_mark, self.unit, self.is_link = [-1], [()], [False], [0], [False]
+        self.parents, self.features, self.in_mark, self.unit, self.is_link, self.headed, self.holder = [-1], [()], [False], [0], [False], [False], [0]
         self._stack, self._names = [0], [""]
         self._open: Counter[str] = Counter()
         self._block = 0
@@ -225,6 +268,10 @@ class Page:
         self.in_mark.append(self.in_mark[above] or name in MARKS)
         self.unit.append(self.unit[above] if name in INLINE or name in PARTS else this)
         self.is_link.append(self.is_link[above] or name == "a")
+        self.headed.append(False)
+        self.holder.append(self.holder[above] if name in INLINE or name in PARTS or name in INSIDE_ELEMENTS else this)
+        if len(name) == 2 and name[0] == "h" and name[1] in "23456":
+            self.headed[above] = True
         self._stack.append(this)
         self._names.append(name)
         self._open[name] += 1
@@ -255,6 +302,31 @@ class Page:
             own[self.parents[e]] += own[e]
         self.inside = own
         self.block_features = {u: (_size(n), _links(of_links[u] / n if n else 0.0)) for u, n in of_unit.items()}
+        self._listen()
+
+    def _listen(self) -> None:
+        """What blocks say (said), where what holds them hasn't most of the page's words. A heading that such an
+        element begins with says it of the element; one of comments does so of any."""
+        parts: dict[int, list[str]] = {}
+        where: dict[int, tuple[int, int]] = {}
+        for (e, block, text, _), n in zip(self.items, self.words, strict=True):
+            if n:
+                parts.setdefault(block, []).append(text)
+                first, total = where.get(block, (e, 0))
+                where[block] = (first, total + n)
+        self.said: dict[int, tuple[Feature, ...]] = {}
+        started = {0}
+        for block, (e, n) in where.items():
+            said = _said("".join(parts[block]), n) if n <= PHRASE_WORDS else ()
+            around = self.holder[e]
+            if said and 2 * self.inside[around] <= self.inside[0]:
+                self.said[block] = said
+            comments = ("heading", "comments") in said and self.headed[around]
+            if around not in started and (block in self.said or comments):
+                self.features[around] += tuple(f for f in said if f[0] == "heading")
+            while e not in started:  # an element has one beginning
+                started.add(e)
+                e = self.parents[e]
 
     def shares(self) -> dict[tuple[str, str, bool], float]:
         """Of a marked page: for each class of context, of block and of tag, its share of the words (tags)
@@ -265,7 +337,7 @@ class Page:
         out: dict[tuple[str, str, bool], float] = {}
         totals = {"words": [0.0, 0.0], "tags": [0.0, 0.0]}
         around: dict[int, frozenset[Feature]] = {-1: frozenset(), 0: frozenset()}
-        for (e, _, text, tag), n in zip(self.items, self.words, strict=True):
+        for (e, block, text, tag), n in zip(self.items, self.words, strict=True):
             where = self.in_mark[e]
             if text is None and tag not in MARKS:
                 totals["tags"][where] += 1
@@ -273,7 +345,7 @@ class Page:
             if not n:
                 continue
             totals["words"][where] += n
-            for f in self._around(e, around) | set(self.block_features[self.unit[e]]):
+            for f in self._around(e, around) | set(self.block_features[self.unit[e]]) | set(self.said.get(block, ())):
                 out[(*f, where)] = out.get((*f, where), 0) + n
         return {k: n / (totals["tags" if k[0] == "tag" else "words"][k[2]] or 1) for k, n in out.items()}
 
@@ -315,30 +387,26 @@ class Page:
             found = self._region({f: w for f, w in weights.items() if f[0] in ("element", "word")} | SHORT_BLOCKS, False)
         return found[0]
 
-    def _region(self, weights: Weights, excused: bool) -> tuple[str, int]:
-        """The best region's text and its number of words. Boilerplate amid a region is left out; it costs as
-        much as a tag, however long it is, so that it doesn't part an article."""
+    def scores(self, weights: Weights, excused: bool) -> list[float]:
+        """The score of each item: words by their context, their block and what it says; tags cost."""
         context = self.contexts(weights, excused)
         of_block = {u: sum(weights.get(f, 0.0) for f in fs) for u, fs in self.block_features.items()}
-        scores = []
-        before = False
-        for (e, _, text, tag), n in zip(self.items, self.words, strict=True):
-            boilerplate = context[e] < 0
-            if boilerplate:
-                scores.append(0.0 if before else -MOST_COST)
-            elif text is None:
-                scores.append(weights.get(("tag", tag), -LEAST_COST))
-            else:
-                scores.append(n * (context[e] + of_block[self.unit[e]]) if n else 0.0)
-            before = boilerplate
-        first, last = best_region(scores)
+        of_said = {block: max(sum(weights.get(f, 0.0) for f in fs), -MOST_AGAINST) for block, fs in self.said.items()}
+        return [
+            weights.get(("tag", tag), -LEAST_COST) if text is None else n * (context[e] + of_block[self.unit[e]] + of_said.get(block, 0.0)) if n else 0.0
+            for (e, block, text, tag), n in zip(self.items, self.words, strict=True)
+        ]
+
+    def _region(self, weights: Weights, excused: bool) -> tuple[str, int]:
+        """The text that is left of the best region, and its number of words."""
         blocks: dict[int, list[str]] = {}
         n_words = 0
-        for i in range(first, last):
-            e, block, text, _ = self.items[i]
-            if text is not None and context[e] >= 0:
-                blocks.setdefault(block, []).append(text)
-                n_words += self.words[i]
+        for first, last in best_region(self.scores(weights, excused)):
+            for i in range(first, last):
+                _, block, text, _ = self.items[i]
+                if text is not None:
+                    blocks.setdefault(block, []).append(text)
+                    n_words += self.words[i]
         joined = (" ".join("".join(parts).split()) for parts in blocks.values())
         return " ".join(x for x in joined if x), n_words
 
@@ -348,21 +416,45 @@ def _size(n: int) -> Feature:
 
 
 def _links(share: float) -> Feature:
-    return ("links", "few" if share < 1 / 3 else "some" if share < 2 / 3 else "most")
+    return ("links", "few" if share < 1 / 3 else "some" if share < 3 / 4 else "most")
 
 
-def best_region(scores: list[float]) -> tuple[int, int]:
-    """From and to which item (exclusive) the sum is greatest; of those that tie the first to end that
-    begins earliest. Empty (0, 0) if no sum is above zero."""
-    best, best_from, best_to = 0.0, 0, 0
-    total, start = 0.0, 0
+def best_region(scores: list[float], cost: float = CUT_COST, share: float = CUT_SHARE) -> list[tuple[int, int]]:
+    """What is left of the contiguous region with the greatest sum: from and to which items (exclusive), in
+    order. Within it, runs of items may be cut: a cut counts -cost, and each item cut that is below zero
+    share of its score, in place of the scores of what is cut. Of regions that tie the first to end, of those
+    the one that keeps most at its end. Empty if no sum is above zero. Takes one pass, and one back.
+    """
+    best, best_at = 0.0, -1
+    kept = cut = -math.inf  # the best sums of what ends here with an item kept, and with one cut
+    came = bytearray(len(scores))  # 1: kept after a cut one; 2: kept as the first; 4: cut as the first of a cut
     for i, score in enumerate(scores):
-        total += score
-        if total > best:
-            best, best_from, best_to = total, start, i + 1
-        if total < 0:
-            total, start = 0.0, i + 1
-    return best_from, best_to
+        lost = share * score if score < 0 else 0.0
+        how = 0
+        before, how = (kept, 0) if kept >= cut else (cut, 1)
+        if before < 0:
+            before, how = 0.0, 2
+        if kept - cost >= cut:
+            cut = kept - cost
+            how += 4
+        cut += lost
+        kept = before + score
+        came[i] = how
+        if kept > best:
+            best, best_at = kept, i
+    parts, at = [], best_at
+    while at >= 0:
+        last = at + 1
+        while not came[at] & 3:
+            at -= 1
+        parts.append((at, last))
+        if came[at] & 2:
+            break
+        at -= 1
+        while not came[at] & 4:
+            at -= 1
+        at -= 1
+    return parts[::-1]
 
 
 def weights_from(shares: dict[tuple[str, str, bool], float]) -> Weights:
