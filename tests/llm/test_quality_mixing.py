@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -92,6 +93,18 @@ def test_mix_reaches_targets_and_repeats(spark, documents):
     assert mixing.mix(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("part", [3, 50_000])
+def test_targets_of_many_sources_in_ranges(spark, monkeypatch, part):
+    """Each task puts few sources in order; targets are those of plain code, whatever the ranges."""
+    monkeypatch.setattr(mixing, "PART_SOURCES", part)
+    sizes = {f"s{i * 7919 % 101}": i * i * 37 % 1000 for i in range(60)} | {"é": 5, "\U0001f600": 70, "\uffff": 7, "": 9, None: 50, "hot": 9000}
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    found = {r["source"]: r["target"] for r in mixing.source_targets(table).collect()}
+    wanted = plain_targets(sizes)
+    assert found.keys() == wanted.keys()
+    assert all(abs(found[s] - wanted[s]) < 1e-6 for s in wanted)
+
+
 def test_slots_are_dealt_once_and_blocks_drawn_evenly(monkeypatch):
     """Groups and shards part the slots among them; every block is in each whole epoch once, and the words
     taken are the target."""

@@ -72,7 +72,7 @@ def training_texts(texts: DataFrame, text: str = "text", lang: str = "lang", lim
     known = texts.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     known = known.withColumn("h", F.xxhash64("text"))
     counts = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("c"))
-    below = known.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 32)) < F.lit(float(1 << 32)) * limit / F.col("c"))  # a row a language
+    below = known.join(small(counts), "lang").where(F.pmod("h", F.lit(1 << 32)) < F.lit(float(1 << 32)) * limit / F.col("c"))
     return below.dropDuplicates(["lang", "h"]).select("lang", "text", "h")
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.storage import saved, small
@@ -25,6 +25,8 @@ BLOCK_WORDS = 512
 SHARD_SLOTS, GROUP_SHARDS = 4096, 16
 #: Buckets of the fixed order: so many, or more where one would hold more documents; a task sorts a source's part of one.
 BUCKETS, BUCKET_ROWS = 1024, 50_000
+#: Sources that one task puts in order.
+PART_SOURCES = 50_000
 SEED = 7
 WORD = r"[^\x20\x09-\x0D]+"
 _ROUNDS = 6
@@ -63,29 +65,39 @@ def permuted(index: np.ndarray, n: int, keys: list[np.uint64], back: bool = Fals
     return out.astype(np.int64)
 
 
+def _with_running(rows: DataFrame, keys: list[Column], **sums: Column) -> DataFrame:
+    """rows with sums over all rows that come before in the order of keys, which tells rows apart. Ranges of
+    PART_SOURCES rows are summed up by themselves; what meets in one task is a row for each range."""
+    n = max(1, -(-rows.count() // PART_SOURCES))
+    rows = rows.withColumns(sums)
+    rows = saved(rows.repartitionByRange(n, *keys).withColumn("range", F.spark_partition_id())) if n > 1 else rows.withColumn("range", F.lit(0))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("range").agg(*[F.sum(c).alias(c) for c in sums])
+    starts = starts.select("range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"start_{c}") for c in sums])
+    within = Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({c: F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums}).join(small(starts), "range")
+    return out.withColumns({c: F.col(c) + F.col(f"start_{c}") for c in sums}).drop("range", *[f"start_{c}" for c in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row a source.
 
     Sources by code point, null last, take the weights in turn. A target is its weight times a
     common level, at most MOST_EPOCHS times the source's size; the level is the one at which all
-    targets make up the share: sources stop in the order of size to weight.
+    targets make up the share: sources stop in the order of size to weight. All sums are of whole numbers,
+    so that they don't depend on how sources are dealt to tasks.
     """
-    everything = Window.partitionBy(F.lit(0))
-    place = F.row_number().over(everything.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight).withColumn("most", F.col("source_size") * float(MOST_EPOCHS))
-    by_stop = everything.orderBy(F.col("most") / F.col("weight"), "weight", F.col("source").isNull(), "source")
-    before = by_stop.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select(
-        "*",
-        F.sum("source_size").over(everything).alias("all"),
-        F.coalesce(F.sum("most").over(before), F.lit(0.0)).alias("stopped"),
-        F.sum("weight").over(by_stop.rowsBetween(0, Window.unboundedFollowing)).alias("open"),
-    )
-    level = (share * F.col("all") - F.col("stopped")) / F.col("open")
-    rows = rows.withColumn("level", level)
-    first = F.min(F.when(F.col("most") >= F.col("level") * F.col("weight"), F.struct(F.col("most") / F.col("weight"), "level"))).over(everything)
-    target = F.least(F.col("most"), F.coalesce(first["level"] * F.col("weight"), F.col("most")))
+    by_name = [F.col("source").isNull(), F.encode("source", "UTF-8")]
+    rows = _with_running(sizes, by_name, place=F.lit(1).cast("long"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = rows.withColumn("weight", weight).withColumn("most", F.col("source_size") * float(MOST_EPOCHS)).drop("place")
+    total = rows.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    by_stop = [F.col("most") / F.col("weight"), F.col("weight"), *by_name]
+    rows = _with_running(rows, by_stop, stopped=F.col("most"), closed=F.col("weight"))
+    level = (share * (total["words"] or 0) - F.col("stopped")) / (F.lit(total["weight"] or 0.0) - F.col("closed"))
+    first = F.min(F.when(F.col("most") >= level * F.col("weight"), F.struct(F.col("most") / F.col("weight"), level.alias("level"))))
+    found = rows.agg(first["level"].alias("level")).first()["level"]
+    target = F.col("most") if found is None else F.least(F.col("most"), F.lit(found) * F.col("weight"))
     return rows.select("source", "source_size", target.alias("target"))
 
 
