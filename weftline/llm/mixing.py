@@ -70,13 +70,16 @@ def _with_running(rows: DataFrame, keys: list[Column], **sums: Column) -> DataFr
     PART_SOURCES rows are summed up by themselves; what meets in one task is a row for each range."""
     n = max(1, -(-rows.count() // PART_SOURCES))
     rows = rows.withColumns(sums)
-    rows = saved(rows.repartitionByRange(n, *keys).withColumn("range", F.spark_partition_id())) if n > 1 else rows.withColumn("range", F.lit(0))
+    if n == 1:
+        within = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+        return saved(rows.withColumns({c: F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums}))
+    rows = saved(rows.repartitionByRange(n, *keys).withColumn("range", F.spark_partition_id()))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("range").agg(*[F.sum(c).alias(c) for c in sums])
     starts = starts.select("range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"start_{c}") for c in sums])
     within = Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumns({c: F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums}).join(small(starts), "range")
-    return out.withColumns({c: F.col(c) + F.col(f"start_{c}") for c in sums}).drop("range", *[f"start_{c}" for c in sums])
+    return saved(out.withColumns({c: F.col(c) + F.col(f"start_{c}") for c in sums}).drop("range", *[f"start_{c}" for c in sums]))
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE) -> DataFrame:
