@@ -1,4 +1,5 @@
 import html
+import re
 import uuid
 from html.entities import html5
 
@@ -75,6 +76,12 @@ def test_urls(spark, url, section, path):
     assert one(spark, urls.relative_path(F.col("u")), u=url) == path
 
 
+def test_commas_in_a_row(spark):
+    given = "f(a,,b,c, d,,,e,)#"
+    assert one(spark, text.symbol_text(F.col("t")), t=given) == "f(a, , b, c, d, , , e, )"
+    assert one(spark, text.symbol_text(F.col("t"), runs=False), t=given) == re.sub(r",([^\s])", r", \1", given[:-1]) == "f(a, ,b, c, d, ,, e, )"
+
+
 def test_text_cleaning(spark):
     assert one(spark, text.heading_text(F.col("t")), t="Title ¶ #") == "Title"
     assert one(spark, text.symbol_text(F.col("t")), t="f(a,b, c)[source]#") == "f(a, b, c)"
