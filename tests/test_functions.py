@@ -76,6 +76,11 @@ def test_urls(spark, url, section, path):
     assert one(spark, urls.relative_path(F.col("u")), u=url) == path
 
 
+def test_rounding_keeps_the_sign_of_nought(spark):
+    found = one(spark, F.transform(vectors.l2_normalized(F.col("v")), lambda x: vectors.rounded(x, 6)), v=[1.0, -1e-7, 1e-7, -0.25])
+    assert [str(x) for x in found] == ["0.970143", "-0.0", "0.0", "-0.242536"]
+
+
 def test_commas_in_a_row(spark):
     given = "f(a,,b,c, d,,,e,)#"
     assert one(spark, text.symbol_text(F.col("t")), t=given) == "f(a, , b, c, d, , , e, )"

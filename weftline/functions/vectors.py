@@ -16,6 +16,12 @@ def l2_normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded half up; what rounds to nought keeps its sign, which F.round drops."""
+    near = F.round(x, digits)
+    return F.when(near == 0, x * 0.0).otherwise(near)
+
+
 def mean_pooled(tokens: Column, dim: int) -> Column:
     """The mean of token vectors; another dimension than dim raises, no tokens give null."""
     zero = F.array_repeat(F.lit(0.0), dim)
