@@ -141,6 +141,10 @@ def test_chat_output(spark):
     assert one(spark, citations.markdown_to_html(F.col("a")), a="```py\nnever closed ** x ** 'q'") == "<pre><code>never closed ** x ** &#x27;q&#x27;</code></pre>"
 
 
+def test_only_closed_character_references(spark):
+    assert one(spark, markup.unescaped(F.col("a"), closed=True), a="a&amp;&amp &copy 1&#65;&#65 &eacute;&amp;lt;&am") == "a&&amp &copy 1A&#65 é&lt;&am"
+
+
 def test_character_references(spark):
     text = "&eacute;&uuml; &alpha; &amp;lt; &#233; &#xE9; &#150; &copy 2020 &copy; &nosuchname; &nosemi &#0; &#1114112; &NotEqualTilde; a&b &= &"
     assert one(spark, markup.unescaped(F.col("a")), a=text) == html.unescape(text)

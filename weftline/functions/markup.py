@@ -16,12 +16,15 @@ TAG = r"(?is)\A</?[a-z][^<>]*>\z"
 
 #: Character references: numbers, names with a semicolon, and those that need none where no letter, digit or = follows.
 REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31}(?:;|(?![A-Za-z0-9;=])))"
+CLOSED = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 #: The standard's names, and what the numbers of control characters stand for.
 NAMED = {name: sign for name, sign in html5.items()} | {f"#{n}": bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
 
 
-def unescaped(text: Column) -> Column:
-    """Text with its character references replaced; what no name is known for stays."""
+def unescaped(text: Column, closed: bool = False) -> Column:
+    """Text with its character references replaced; what no name is known for stays. closed: only references that end
+    with a semicolon, where texts are cut at any place and the rest of one is to be seen."""
+    form = CLOSED if closed else REFERENCE
     # Folded into one literal when the plan is made.
     named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
 
@@ -32,7 +35,7 @@ def unescaped(text: Column) -> Column:
         sign = F.when(number.between(128, 159), F.element_at(named, F.concat(F.lit("#"), number.cast("string")))).when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("�")
         return F.when(F.startswith(reference, F.lit("&#")), sign).otherwise(F.coalesce(F.element_at(named, F.substr(reference, F.lit(2))), reference))
 
-    zipped = F.arrays_zip(F.split(text, REFERENCE, -1).alias("gap"), F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), of).alias("sign"))
+    zipped = F.arrays_zip(F.split(text, form, -1).alias("gap"), F.transform(F.regexp_extract_all(text, F.lit(form), F.lit(0)), of).alias("sign"))
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(zipped, lambda x: F.concat(x["gap"], F.coalesce(x["sign"], F.lit("")))), "")).otherwise(text)
 
 

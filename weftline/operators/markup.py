@@ -62,11 +62,12 @@ def _by_page(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page")
 
 
-def tokens(raw: DataFrame) -> DataFrame:
+def tokens(raw: DataFrame, closed: bool = False) -> DataFrame:
     """(page, url, pos, tag, open, name, id, cls, el, step, ...) of (url, html); equal rows count once.
 
     el: what the tag's element is (on its opening and its closing tag), step: 1 where an element that is
-    closed later opens, -1 where it closes. Sums of steps so far are the n_ columns.
+    closed later opens, -1 where it closes. Sums of steps so far are the n_ columns. closed: of texts' character references,
+    only those with a semicolon are decoded.
     """
     pages = _by_page(raw.select("url", "html", F.xxhash64("url", "html").alias("page")).dropDuplicates(["page"]))
     # The tokens are cut out before they are numbered; Spark would do so twice in one step.
@@ -76,7 +77,7 @@ def tokens(raw: DataFrame) -> DataFrame:
     each = each.select("page", "url", "pos", "token", tag.alias("tag"), (tag & ~F.startswith("token", F.lit("</"))).alias("open"), F.when(tag, markup.tag_name(F.col("token"))).otherwise("").alias("name"))
     has = F.col("open") & F.contains("token", F.lit("="))
     of_tag = {f"a_{n}": F.when(has, markup.attribute(F.col("token"), n)).otherwise("") for n in ("id", "class", "role", "href")}
-    each = each.withColumns({**of_tag, "text": F.when(~F.col("tag"), markup.unescaped(F.col("token")))}).drop("token")
+    each = each.withColumns({**of_tag, "text": F.when(~F.col("tag"), markup.unescaped(F.col("token"), closed))}).drop("token")
     each = each.withColumn("cls", F.split("a_class", r"\s+"))
 
     def is_(selector: str) -> Column:
@@ -276,9 +277,9 @@ def _sections(found: DataFrame) -> DataFrame:
     return both.groupBy("page").agg(listed["section"].cast(f"array<{schemas.SECTION}>").alias("sections"))
 
 
-def parsed(raw: DataFrame) -> DataFrame:
-    """(url, title, markdown, markers) of each distinct row of (url, html); pages without text have none."""
-    each = _by_page(saved(tokens(raw)))
+def parsed(raw: DataFrame, closed: bool = False) -> DataFrame:
+    """(url, title, markdown, markers) of each distinct row of (url, html); pages without text have none. closed: see tokens()."""
+    each = _by_page(saved(tokens(raw, closed)))
     found = _by_page(saved(blocks(each)))
     module = F.substr(F.min_by("a_id", F.when(F.col("open") & (F.col("name") == "section") & F.startswith("a_id", F.lit("module-")), F.col("pos"))), F.lit(8))
     modules = each.groupBy("page").agg(F.coalesce(module, F.lit("")).alias("module"))

@@ -19,12 +19,12 @@ from weftline.sources.tables import Table
 from weftline.storage import saved
 
 
-def ingest_pages(raw: DataFrame, index_path: str, markdown_path: str) -> DataFrame:
+def ingest_pages(raw: DataFrame, index_path: str, markdown_path: str, closed: bool = False) -> DataFrame:
     """Parses the pages of (url, html) that the index doesn't have, one for each url, stores their Markdown and then
     appends them to the index: a job that fails between leaves pages to be parsed and stored again, by url, not records
-    without text or pages twice."""
+    without text or pages twice. closed: see sources.pages.parsed()."""
     todo = pending(raw.dropDuplicates(["url"]), sources.done_urls(raw.sparkSession, index_path), "url")
-    new = saved(sources.parsed(todo))
+    new = saved(sources.parsed(todo, closed))
     sinks.save_pages(new, markdown_path)
     sinks.save_index(new, index_path)
     return new

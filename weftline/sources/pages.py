@@ -45,9 +45,10 @@ def fetched(addresses: DataFrame, fetch: Callable[[str], str], partitions: int =
     return addresses.select("url").repartition(partitions).mapInPandas(run, "url string, html string, error string")
 
 
-def parsed(raw: DataFrame) -> DataFrame:
-    """Pages (schemas.PAGES) from (url, html); pages of under SHORTEST_PAGE characters go. Equal rows count once."""
-    pages = markup.parsed(raw).where(F.length("markdown") >= SHORTEST_PAGE)
+def parsed(raw: DataFrame, closed: bool = False) -> DataFrame:
+    """Pages (schemas.PAGES) from (url, html); pages of under SHORTEST_PAGE characters go. Equal rows count once. closed: of
+    texts' character references, only those with a semicolon are decoded."""
+    pages = markup.parsed(raw, closed).where(F.length("markdown") >= SHORTEST_PAGE)
     path = urls.relative_path(F.col("url"))
     return pages.select("url", "title", urls.section(F.col("url")).alias("section"), "markdown", F.length("markdown").alias("char_count"), path.alias("saved_path"), "markers")
 
