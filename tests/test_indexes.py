@@ -174,3 +174,14 @@ def test_table_versions_retries_and_conflicts(spark, tmp_path, monkeypatch):
     assert rows_of(table) == [(9, "z")]
     table.upsert(spark.createDataFrame([(9, "old", 1), (9, "new", 3), (9, "mid", 2)], "id long, v string, at int"), order=F.col("at"))
     assert rows_of(table) == [(9, "new")]
+
+
+def test_vectors_of_queries_are_not_broadcast(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id AS key", "array(float(sin(id)), float(cos(id)), float(sin(id * 7))) AS embedding")
+    index = vector_index.build(rows, str(tmp_path / "index"), cells=4)
+    asked = rows.selectExpr("key AS query_id", "embedding AS v").where("query_id % 5 = 0")
+    found = vector_index._candidates(index, vector_index._looked_into(index, asked, 2), 3)
+    whole = vector_index._whole(index, found.select("cell", "block", "place"))
+    for df in (found, whole):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import search as exact
-from weftline.storage import dropped, saved, small
+from weftline.storage import dropped, saved
 
 #: Most cells, vectors of the sample for each, and numbers of a block's whole vectors.
 MOST_CELLS, SAMPLE_OF_CELL, BLOCK_NUMBERS = 4096, 256, 1 << 16
@@ -201,7 +201,8 @@ def _candidates(index: VectorIndex, looked: DataFrame, k: int) -> DataFrame:
     packs = packs.agg(F.collect_list(F.struct("query_id", "v", "norm")).alias("asked")).select("cell", "asked.query_id", "asked.v", "asked.norm")
     wanted = [r[0] for r in looked.select("cell").distinct().collect()]  # MOST_CELLS at most
     blocks = index.blocks.where(F.col("cell").isin(wanted)).select("cell", "block", "codes", "scales", "error")
-    met = blocks.join(packs, "cell").select("cell", "block", "codes", "scales", "error", "query_id", "v", "norm")
+    # Packs are far larger than what Spark reckons from the table of queries: they are not to go through the driver.
+    met = blocks.join(packs.hint("merge"), "cell").select("cell", "block", "codes", "scales", "error", "query_id", "v", "norm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +229,7 @@ def _whole(index: VectorIndex, found: DataFrame) -> DataFrame:
     key = index.blocks.schema["keys"].dataType.elementType.simpleString()
     wanted = found.select("cell", "block", "place").distinct().groupBy("cell", "block").agg(F.collect_list("place").alias("places"))
     cells = [r[0] for r in found.select("cell").distinct().collect()]  # MOST_CELLS at most
-    met = index.blocks.where(F.col("cell").isin(cells)).select("cell", "block", "keys", "vectors").join(wanted, ["cell", "block"])
+    met = index.blocks.where(F.col("cell").isin(cells)).select("cell", "block", "keys", "vectors").join(wanted.hint("merge"), ["cell", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,11 +248,12 @@ def _whole(index: VectorIndex, found: DataFrame) -> DataFrame:
 def _best(index: VectorIndex, asked: DataFrame, looked: DataFrame, k: int) -> DataFrame:
     """(query_id, key, score) of the k best in the cells looked into, and of what equals the last of them up to rounding."""
     found = saved(_candidates(index, looked, k))
-    by_low = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    least = found.withColumn("n", F.row_number().over(by_low)).where(F.col("n") == k).select("query_id", F.col("low").alias("least"))
-    kept = found.join(small(least), "query_id", "left").where(F.col("least").isNull() | (F.col("high") >= F.col("least") - 1e-6)).select("query_id", "cell", "block", "place")
-    kept = saved(kept)
-    scored = kept.join(small(_whole(index, kept)), ["cell", "block", "place"]).join(small(asked.select("query_id", F.col("v").alias("q"))), "query_id")
+    query = Window.partitionBy("query_id")
+    numbered = found.withColumn("n", F.row_number().over(query.orderBy(F.desc("low"))))
+    bound = numbered.withColumn("least", F.max(F.when(F.col("n") == k, F.col("low"))).over(query))
+    kept = saved(bound.where(F.col("least").isNull() | (F.col("high") >= F.col("least") - 1e-6)).select("query_id", "cell", "block", "place"))
+    # Vectors are joined by shuffles, however few: no vector goes through the driver.
+    scored = kept.join(_whole(index, kept).hint("merge"), ["cell", "block", "place"]).join(asked.select("query_id", F.col("v").alias("q")).hint("merge"), "query_id")
     score = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     out = saved(scored.select("query_id", "key", F.round(score, 6).alias("score")))
     dropped(found)
