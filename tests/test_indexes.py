@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,13 @@ def test_vectors_of_queries_are_not_broadcast(spark, tmp_path):
     for df in (found, whole):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_scores_are_worked_out_for_few_meetings_at_once(monkeypatch):
+    monkeypatch.setattr(search, "MEETINGS_AT_ONCE", 50)
+    first = np.arange(101) * 10  # each of 100 buckets is asked for by ten queries
+    lists = [list(range(n)) for n in (3, 0, 9, 1, 2, 2, 4, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([[0] * 7, *lists], pa.list_(pa.int32()))], ["key", "buckets"]).slice(1)
+    parts = list(search._by_meetings(batch, first, 3))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(1, 9))
+    assert [[len(x) for x in p.column(1).to_pylist()] for p in parts] == [[3, 0], [9], [1, 2, 2], [4, 0]]

@@ -70,9 +70,10 @@ def token_overlap(asked: Column, text: Column) -> Column:
     @F.pandas_udf("double")
     def overlap(asked: pd.Series, text: pd.Series) -> pd.Series:
         out = []
-        for question, words in zip(asked.fillna(""), _distinct_words(pa.array(text, pa.large_string()))):
-            wanted = {_token(w) for w in question.split()} - {""}
-            out.append(len(wanted & set(map(_token, words))) / len(wanted) if wanted else 0.0)
+        for part in _parts([pa.RecordBatch.from_arrays([pa.array(asked, pa.string()), pa.array(text, pa.large_string())], ["asked", "text"])]):
+            for question, words in zip(part.column(0).to_pylist(), _distinct_words(part.column(1))):
+                wanted = {_token(w) for w in (question or "").split()} - {""}
+                out.append(len(wanted & set(map(_token, words))) / len(wanted) if wanted else 0.0)
         return pd.Series(out, dtype="float64")
 
     return overlap(asked, text)

@@ -28,8 +28,8 @@ from weftline.storage import dropped, saved, session_dir, small
 
 #: Queries of a block: so many, but no more numbers than that.
 QUERY_BLOCK, BLOCK_NUMBERS = 8192, 4_000_000
-#: Scores that a task works out at once.
-SCORES_AT_ONCE = 2_000_000
+#: Scores that a task works out at once, and meetings of a posting with a query.
+SCORES_AT_ONCE, MEETINGS_AT_ONCE = 2_000_000, 1_000_000
 #: Numbers of a packed block of rows, and of queries where they are joined.
 ROW_NUMBERS, QUERY_NUMBERS = 1 << 16, 1 << 16
 
@@ -134,8 +134,7 @@ def _scored(index: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in _by_meetings(batch, first, step):
                 keys, lists, tfs = part.column(0).to_pandas().to_numpy(), part.column(1), part.column(2)
                 buckets, tf = lists.flatten().to_numpy(), tfs.flatten().to_numpy()
                 row = pc_parents(lists)
@@ -153,6 +152,19 @@ def _scored(index: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
     return index.select("key", "buckets", "tfs").mapInArrow(run, _schema(type(ids[0]), index))
 
 
+def _by_meetings(batch: pa.RecordBatch, first: np.ndarray, step: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch (key, buckets, ...): up to step rows, and as many as have MEETINGS_AT_ONCE meetings, one at least."""
+    lists = batch.column(1)
+    buckets, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    upto = np.concatenate(([0], np.cumsum(first[buckets + 1] - first[buckets])))[offsets - offsets[0]]
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, upto[at] + MEETINGS_AT_ONCE, side="right")) - 1
+        end = min(at + step, batch.num_rows, max(at + 1, end))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def pc_parents(lists: pa.ListArray) -> np.ndarray:
     """The row of each element of a list array."""
     return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
