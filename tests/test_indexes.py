@@ -39,6 +39,39 @@ def test_keyword_index_equals_a_scan_and_leaves_shards_out(spark, tmp_path, monk
     assert keyword_index.search(nothing, queries, 3).count() == 0
 
 
+def test_keyword_index_has_few_rows_and_any_bounds_give_the_same_hits(spark, tmp_path, monkeypatch):
+    docs, words = made_docs(spark, 300)
+    docs = docs.unionByName(spark.range(1000, 1060).selectExpr("id AS key", "'w7 w8 W7' AS text"))
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["w1 w2 w59", "W3, w3. w4", "nothing here", None, "w7 w8", "w7", "w58", " ".join(words)])], "query_id string, text string")
+    wanted = {k: search.keyword_search(queries, docs, k).cache() for k in (3, 70)}
+    for name, few in (("SHARD_POSTINGS", 40), ("PACK_QUERIES", 2), ("PACK_TERMS", 5), ("MEETINGS_AT_ONCE", 7), ("BROADCAST_PACKS", 0)):
+        monkeypatch.setattr(keyword_index, name, few)
+    index = keyword_index.build(docs, f"{tmp_path}/index")
+    # A row for each part of a shard, not for each of its buckets.
+    shards = index.shards.count()
+    assert shards > 20 and index.postings.count() <= shards * keyword_index.PARTS
+    assert index.postings.where(F.size("places") > 40).count() == 0
+    sizes = index.postings.select("shard", F.size("places").alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
+    alone = index.shards.where("size(keys) = 1").select("shard")
+    assert sizes.join(alone, "shard", "left_anti").where("n > 40").count() == 0
+    for k, hits in wanted.items():
+        assert same(search.top_ranked(keyword_index.search(index, queries, k), k), hits)
+
+
+def test_words_are_hashed_together(monkeypatch):
+    words = ["...", "a!.", "!.A.!", "_x_", "'\u0130'", "\u03a3\u0391\u03a3", "«é»", "x\x00y", "\x7fz\x01", "日本。", "a" * 5000, "", "!", "Ⅷ", "ß.", "\u212a"] + [f"(W{i})," for i in range(90_000)]
+    asked, token = [], sparse._token
+    monkeypatch.setattr(sparse, "_token", lambda w: asked.append(w) or token(w))
+    found = sparse._buckets(pa.array(words, pa.large_string()))
+    assert set(asked) == {w for w in words if not w.isascii()}
+    for word, bucket in list(zip(words, found, strict=True))[:200]:
+        h = 2166136261
+        for b in token(word).encode():
+            h = (h ^ b) * 16777619 % 2**32
+        assert bucket == (h % 2**17 if token(word) else -1)
+    assert len(sparse._buckets(pa.array([], pa.large_string()))) == 0
+
+
 def test_searching_an_index_reads_no_text(spark, tmp_path):
     docs, _ = made_docs(spark, 50)
     docs.write.parquet(f"{tmp_path}/docs")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,6 +18,10 @@ from weftline.functions.text import BUCKETS, FNV_BASIS, FNV_PRIME
 PART_BYTES = 1 << 23
 
 _OUTER = re.compile(r"^[^\w]+|[^\w.]+$")
+#: The ASCII signs that are not of a word.
+_SIGNS = "".join(c for c in map(chr, range(128)) if not re.match(r"\w", c))
+#: Words that are fewer than this are hashed one by one.
+FEW_WORDS = 16
 
 
 def _token(word: str) -> str:
@@ -26,16 +29,36 @@ def _token(word: str) -> str:
     return _OUTER.sub("", word.lower())
 
 
-@lru_cache(maxsize=200_000)
-def _bucket(word: str) -> int:
-    """The bucket of a white-space separated word; -1 if only punctuation."""
-    token = _token(word)
-    if not token:
-        return -1
-    h = FNV_BASIS
-    for b in token.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFF
-    return h % BUCKETS
+def _tokens(words: pa.Array) -> pa.Array:
+    """_token() of an array of words; those that are ASCII are not made Python strings."""
+    tokens = pc.ascii_rtrim(pc.ascii_ltrim(pc.ascii_lower(words), _SIGNS), _SIGNS.replace(".", ""))
+    other = pc.invert(pc.string_is_ascii(words))
+    return pc.replace_with_mask(tokens, other, pa.array(map(_token, words.filter(other).to_pylist()), words.type))
+
+
+def _buckets(words: pa.Array) -> np.ndarray:
+    """The buckets of white-space separated words; -1 if only punctuation. All words are hashed together, byte by byte,
+    the longest to the end each by itself."""
+    tokens = _tokens(words)
+    size = pc.binary_length(tokens).to_numpy().astype(np.int64)
+    order = np.argsort(-size, kind="stable")
+    size = size[order]
+    octets = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)
+    start = np.frombuffer(tokens.buffers()[1] or b"", np.int64)[tokens.offset :][: len(size)][order]
+    h = np.full(len(size), FNV_BASIS, np.uint32)
+    done, n = 0, int((size > 0).sum())
+    while n >= FEW_WORDS:
+        h[:n] = (h[:n] ^ octets[start[:n] + done]) * np.uint32(FNV_PRIME)
+        done += 1
+        n = int(np.searchsorted(-size, -done, side="left"))
+    for i in range(n):
+        x = int(h[i])
+        for b in octets[start[i] + done : start[i] + size[i]].tolist():
+            x = (x ^ b) * FNV_PRIME & 0xFFFFFFFF
+        h[i] = x
+    out = np.empty(len(size), np.int64)
+    out[order] = np.where(size > 0, (h % BUCKETS).astype(np.int64), -1)
+    return out
 
 
 def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,8 +66,7 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     rows = pc.list_parent_indices(words).to_numpy().astype(np.int64)
     coded = words.flatten().dictionary_encode()
-    bucket_of = np.fromiter(map(_bucket, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-    buckets = bucket_of[coded.indices.to_numpy()] if len(rows) else rows
+    buckets = _buckets(coded.dictionary)[coded.indices.to_numpy()] if len(rows) else rows
     used = buckets >= 0
     pairs, tf = np.unique(rows[used] * BUCKETS + buckets[used], return_counts=True)
     return pairs // BUCKETS, pairs % BUCKETS, tf
@@ -103,8 +125,8 @@ def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def documents(texts: DataFrame, key: str, text: str, wanted: np.ndarray) -> DataFrame:
-    """(key, buckets, tfs): of each row the wanted buckets that it has; rows without any are left out.
-    wanted: a flag for each of the BUCKETS buckets."""
+    """(key, buckets, tfs, n): of each row the wanted buckets that it has, and the sum of their frequencies; rows without any
+    are left out. wanted: a flag for each of the BUCKETS buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
@@ -114,7 +136,8 @@ def documents(texts: DataFrame, key: str, text: str, wanted: np.ndarray) -> Data
             there, first = np.unique(rows, return_index=True)
             ends = pa.array(np.append(first, len(rows)), pa.int32())
             parts = [batch.column(0).take(pa.array(there)), pa.ListArray.from_arrays(ends, pa.array(buckets, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.float64()))]
-            yield pa.RecordBatch.from_arrays(parts, [key, "buckets", "tfs"])
+            parts.append(pa.array(np.add.reduceat(tf, first) if len(first) else tf, pa.float64()))
+            yield pa.RecordBatch.from_arrays(parts, [key, "buckets", "tfs", "n"])
 
     picked = texts.select(F.col(key), F.col(text))
-    return picked.mapInArrow(run, f"{key} {picked.schema[key].dataType.simpleString()}, buckets array<int>, tfs array<double>")
+    return picked.mapInArrow(run, f"{key} {picked.schema[key].dataType.simpleString()}, buckets array<int>, tfs array<double>, n double")
