@@ -58,6 +58,18 @@ def test_keyword_index_has_few_rows_and_any_bounds_give_the_same_hits(spark, tmp
         assert same(search.top_ranked(keyword_index.search(index, queries, k), k), hits)
 
 
+def test_groups_of_rows_of_an_index_are_no_larger_when_decoded(spark, tmp_path):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    docs, _ = made_docs(spark, 50)
+    keyword_index.build(docs, f"{tmp_path}/index")
+    for name in ("postings", "maxima"):
+        groups = [f.metadata.row_group(i) for f in map(pq.ParquetFile, Path(f"{tmp_path}/index/{name}").rglob("*.parquet")) for i in range(f.metadata.num_row_groups)]
+        assert groups and not any("DICTIONARY" in e for g in groups for j in range(g.num_columns) for e in g.column(j).encodings)
+
+
 def test_words_are_hashed_together(monkeypatch):
     words = ["...", "a!.", "!.A.!", "_x_", "'\u0130'", "\u03a3\u0391\u03a3", "«é»", "x\x00y", "\x7fz\x01", "日本。", "a" * 5000, "", "!", "Ⅷ", "ß.", "\u212a"] + [f"(W{i})," for i in range(90_000)]
     asked, token = [], sparse._token

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import sparse
 from weftline.functions.text import BUCKETS
-from weftline.storage import dropped, fits, saved, small
+from weftline.storage import LONG_ROWS, dropped, fits, saved, small
 
 #: Documents of a shard, and postings: so many, but no more postings than that (one document at least).
 SHARD_DOCS, SHARD_POSTINGS = 512, 1 << 19
@@ -143,14 +143,14 @@ def build(docs: DataFrame, path: str, key: str = "key", text: str = "text", want
     """
     spark = docs.sparkSession
     rows = saved(sparse.documents(docs.select(F.col(key).alias("key"), F.col(text).alias("t")), "key", "t", np.ones(BUCKETS, bool) if wanted is None else wanted))
-    sharded = saved(_sharded(rows))
+    sharded = saved(_sharded(rows), **LONG_ROWS)
     dropped(rows)
     postings = sharded.where("part IS NOT NULL").select("shard", "buckets", "counts", "places", "tfs", "part")
     # Many shards have each part, so its rows are dealt by shard, too.
     spread = postings.repartition("part", (F.col("shard") % 8)).sortWithinPartitions("part", "shard")
-    spread.write.partitionBy("part").parquet(f"{path}/postings")
+    spread.write.options(**LONG_ROWS).partitionBy("part").parquet(f"{path}/postings")
     whole = sharded.where("part IS NULL")
-    whole.select("shard", "buckets", "most").write.parquet(f"{path}/maxima")
+    whole.select("shard", "buckets", "most").write.options(**LONG_ROWS).parquet(f"{path}/maxima")
     whole.select("shard", "keys").write.parquet(f"{path}/shards")
     n = docs.select(F.count_distinct(key)).first()[0]
     _counted(postings).select("bucket", "df", inverse_frequency(F.lit(n), F.col("df")).alias("idf")).write.parquet(f"{path}/weights")
@@ -327,7 +327,7 @@ def search(index: KeywordIndex, queries: DataFrame, k: int, query: str = "query_
     """(query_id, key, score): for each query the k best documents and those equal to the last, by shared buckets.
     Queries are a table; a query without tokens, or with none that a document has, has no hits."""
     terms = saved(_terms(index, queries, query, text))
-    packs = saved(_packed(terms))
+    packs = saved(_packed(terms), **LONG_ROWS)
     bounds = saved(reachable(index, packs))
     first = _first(bounds)
     seen = saved(_top(_scores(index, packs, first, k), k))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 #: A table of one column of longs may have so many (about 20 MB as a hash table).
 BROADCAST_IDS = 500_000
+#: For tables of long arrays: a reader holds a group of rows whole, so groups are of few MB, and no larger when decoded.
+LONG_ROWS = {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,12 +33,12 @@ def session_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/weftline-{spark.sparkContext.applicationId}"
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, **options: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there, and the
     loss of an executor costs none of it. Results read such tables until they are written themselves;
-    then dropped() or cleared() deletes them."""
+    then dropped() or cleared() deletes them. options: those of the writer."""
     path = f"{session_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
